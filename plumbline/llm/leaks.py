@@ -2,11 +2,12 @@
 
 The test items are few and fixed; their size is checked. Each of their places has a term: the word
 there, or in scripts without spaces the three characters from there. Of every window that must be found
-(RUN words, RUN_UNSPACED characters) the two rarest test terms are anchors, and of every item as many of its
-rarest terms that two survive if one word in SHARE is changed. One scan of the training texts stores the
-postings (term, text, place) of anchor terms. Postings meet the anchors by term, and the lists are
-intersected after subtracting the place in the item: two anchors on (nearly) the same offset make a text
-a candidate. Candidates are read again and compared exactly: a run of words outside stock sentences, or the whole
+(RUN words, RUN_UNSPACED characters) the three rarest terms are anchors, and of every item as many of its
+rarest terms that four survive if one word in SHARE is changed. One scan of the training texts stores the
+postings (term, text, place) of the terms that are rare in the test items; of those the rarest by their training
+postings become the anchors. Postings meet the anchors by term, and the lists are intersected after
+subtracting the place in the item: three anchors of windows on one offset, or four within a band of offsets,
+make a text a candidate. Candidates are read again and compared exactly: a run of words outside stock sentences, or the whole
 wording with at most one word in SHARE changed.
 
 Nulls and empty texts carry nothing; an item with fewer words than a run outside stock counts only as a
@@ -93,26 +94,41 @@ def read_items(items: DataFrame) -> dict[str, Item]:
     return out
 
 
-def anchors(items: dict[str, Item]) -> list[tuple[int, str, int, int]]:
-    """(term, item, place in the item, width of an offset band): the rarest test terms of each window and item."""
-    df: Counter = Counter()
-    terms: dict[str, list[tuple[int, int]]] = {}
-    for name, it in items.items():
-        terms[name] = [(at + i, t) for at, h, u in it.free for i, t in enumerate(_terms(h, u).tolist())]
-        df.update({t for _, t in terms[name]})
+def _stretches(it: Item):
+    """(size of a window, [(place, term)]) of each stretch without stock."""
+    for at, h, u in it.free:
+        yield RUN_UNSPACED - 2 if u else RUN, [(at + i, x) for i, x in enumerate(_terms(h, u).tolist())]
+
+
+def _rarest(it: Item, df, per_window: int, per_item: int) -> tuple[set, set]:
+    """The places whose terms are the rarest of each window, and of the item beyond those that may be changed."""
+    rank = lambda p: (df[p[1]], p[1], p[0])
+    runs: set[tuple[int, int]] = set()
+    terms = []
+    for size, t in _stretches(it):
+        terms += t
+        for i in range(len(t) - size + 1):
+            runs.update(sorted(t[i : i + size], key=rank)[:per_window])
+    spoiled = (len(it.whole) // SHARE) * (3 if it.unspaced else 1)
+    return runs, set(sorted(terms, key=rank)[: spoiled + per_item])
+
+
+def likely_terms(items: dict[str, Item]) -> np.ndarray:
+    """Terms of which to store postings: more than are needed, by how rare they are in the test items."""
+    df = Counter(t for it in items.values() for t in {t for _, x in _stretches(it) for _, t in x})
+    return np.unique(np.array([t for it in items.values() for places in _rarest(it, df, 5, 8) for _, t in places], np.int64))
+
+
+def anchors(items: dict[str, Item], df: dict[int, int], stored: np.ndarray) -> list[tuple[int, str, int, int, bool, bool]]:
+    """(term, item, place in the item, width of an offset band, of a window, of the item): the rarest by training postings."""
+    absent = 1 << 62
+    known = defaultdict(lambda: absent, {t: 0 for t in stored.tolist()}) | df
+    known = defaultdict(lambda: absent, known)
     out = []
     for name, it in items.items():
+        runs, near = _rarest(it, known, 3, 4)
         band = max(4, len(it.whole) // SHARE + 1)
-        rank = lambda p: (df[p[1]], p[1])
-        pick: set[tuple[int, int]] = set()
-        for at, h, u in it.free:
-            t = [(at + i, x) for i, x in enumerate(_terms(h, u).tolist())]
-            size = RUN_UNSPACED - 2 if u else RUN
-            for i in range(len(t) - size + 1):
-                pick.update(sorted(t[i : i + size], key=rank)[:2])
-        spoiled = (len(it.whole) // SHARE) * (3 if it.unspaced else 1)
-        pick.update(sorted(terms[name], key=rank)[: spoiled + 2])
-        out += [(t, name, p, band) for p, t in pick]
+        out += [(t, name, p, band, (p, t) in runs, (p, t) in near) for p, t in runs | near if known[t] < absent]
     return out
 
 
@@ -178,16 +194,21 @@ def leaked(items: DataFrame, surfaces: DataFrame) -> DataFrame:
     empty = spark.createDataFrame([], "item_id string, row_id string")
     if not held:
         return empty
-    marks = anchors(held)
-    wanted = np.unique(np.array([m[0] for m in marks], np.int64))
+    wanted = likely_terms(held)
     source = surfaces.where("row_id is not null and text is not null").select("row_id", F.xxhash64("text").alias("th"), "text")
     postings = written(source.mapInArrow(_postings(wanted), "row_id string, th long, term long, pos int"), "p5-postings")
-    table = spark.createDataFrame(pa.table({"term": pa.array([m[0] for m in marks], pa.int64()), "item_id": [m[1] for m in marks], "ipos": pa.array([m[2] for m in marks], pa.int32()), "band": pa.array([m[3] for m in marks], pa.int32())}))
-    meets = postings.join(F.broadcast(table), "term").select("item_id", "row_id", "th", "ipos", F.floor((F.col("pos") - F.col("ipos")) / F.col("band")).alias("off"))
-    meets = meets.select("item_id", "row_id", "th", "ipos", F.explode(F.array("off", F.col("off") + 1)).alias("off"))
-    candidates = (
-        meets.groupBy("item_id", "row_id", "th", "off").agg(F.min("ipos").alias("lo"), F.max("ipos").alias("hi")).where("lo < hi").groupBy("row_id", "th").agg(F.collect_set("item_id").alias("items"))
-    )
+    df = {r.term: r.n for r in postings.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most as many rows as the items have words
+    marks = anchors(held, df, wanted)
+    names = ("term", "item_id", "ipos", "band", "in_run", "in_item")
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+    table = spark.createDataFrame(pa.table({n: pa.array([m[i] for m in marks], t) for i, (n, t) in enumerate(zip(names, types))}))
+    meets = postings.join(F.broadcast(table), "term").select("item_id", "row_id", "th", "ipos", (F.col("pos") - F.col("ipos")).alias("off"), "band", "in_run", "in_item")
+    # the windows ask for three anchors on one offset, the whole wording for four within a band
+    exact = F.when(F.col("in_run"), F.array(F.struct(F.lit(3).alias("need"), F.col("off").cast("long").alias("at")))).otherwise(F.array())
+    low = F.floor(F.col("off") / F.col("band"))
+    loose = F.when(F.col("in_item"), F.array(F.struct(F.lit(4).alias("need"), low.alias("at")), F.struct(F.lit(4).alias("need"), (low + 1).alias("at")))).otherwise(F.array())
+    meets = meets.select("item_id", "row_id", "th", "ipos", F.explode(F.concat(exact, loose)).alias("o")).select("item_id", "row_id", "th", "ipos", "o.need", "o.at")
+    candidates = meets.groupBy("item_id", "row_id", "th", "need", "at").agg(F.count_distinct("ipos").alias("n")).where("n >= need").groupBy("row_id", "th").agg(F.collect_set("item_id").alias("items"))
     candidates = written(candidates, "p5-candidates")
     shared = spark.sparkContext.broadcast(held)
 
