@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
-The test items are few and fixed; their size is checked. Each of their places has a term: the word
-there, or in scripts without spaces the three characters from there. Of every window that must be found
+The test items are few and fixed; their size is checked. Each of their places has a term: the two
+words from there, or in scripts without spaces the three characters. Of every window that must be found
 (RUN words, RUN_UNSPACED characters) the three rarest terms are anchors, and of every item as many of its
 rarest terms that four survive if one word in SHARE is changed. One scan of the training texts stores the
 postings (term, text, place) of the terms that are rare in the test items; of those the rarest by their training
@@ -42,7 +42,7 @@ def units(text: str | None) -> list[tuple[list[str], bool]]:
 
 
 def _terms(h: np.ndarray, unspaced: bool) -> np.ndarray:
-    return wording.window_hashes(h, 3) if unspaced else h
+    return wording.window_hashes(h, 3 if unspaced else 2)
 
 
 class Item:
@@ -97,7 +97,7 @@ def read_items(items: DataFrame) -> dict[str, Item]:
 def _stretches(it: Item):
     """(size of a window, [(place, term)]) of each stretch without stock."""
     for at, h, u in it.free:
-        yield RUN_UNSPACED - 2 if u else RUN, [(at + i, x) for i, x in enumerate(_terms(h, u).tolist())]
+        yield RUN_UNSPACED - 2 if u else RUN - 1, [(at + i, x) for i, x in enumerate(_terms(h, u).tolist())]
 
 
 def _rarest(it: Item, df, per_window: int, per_item: int) -> tuple[set, set]:
@@ -109,7 +109,7 @@ def _rarest(it: Item, df, per_window: int, per_item: int) -> tuple[set, set]:
         terms += t
         for i in range(len(t) - size + 1):
             runs.update(sorted(t[i : i + size], key=rank)[:per_window])
-    spoiled = (len(it.whole) // SHARE) * (3 if it.unspaced else 1)
+    spoiled = (len(it.whole) // SHARE) * (3 if it.unspaced else 2)
     return runs, set(sorted(terms, key=rank)[: spoiled + per_item])
 
 

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlap, sentences
+from . import history, leaks, overlap, sentences
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeated_feedback(table(spark, sf_dir, "feedback_records"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.item_leaks(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "row_examples"), table(spark, sf_dir, "passes"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.split_overlaps(table(spark, sf_dir, "row_examples"), table(spark, sf_dir, "passes"))
 
@@ -20,7 +28,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p9_found)}
+    return {f.__name__: f for f in (p2_found, p5_found, p6_found, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
