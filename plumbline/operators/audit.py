@@ -9,14 +9,15 @@ from plumbline.functions import text
 
 
 def shingle_rows(df: DataFrame, id_col: str, text_col: str, n: int = 8) -> DataFrame:
-    """(id, shingle hash, shingle), distinct within a text."""
-    s = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.explode(text.shingles(text.tokens(F.col(text_col)), n)).alias("shingle"))
+    """(id, shingle hash, shingle), distinct within a text. The words are a column of their own, else every shingle would find them anew."""
+    w = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), text.tokens(F.col(text_col)).alias("words"))
+    s = w.select(id_col, F.explode(text.shingles(F.col("words"), n)).alias("shingle"))
     return s.select(id_col, F.xxhash64("shingle").alias("h"), "shingle")
 
 
 def overlap_pairs(items: DataFrame, item_id: str, item_text: str, train: DataFrame, train_id: str, train_text: str, n: int = 8) -> DataFrame:
-    """(item, training text, shared shingles). Only shingles that items have are shuffled onwards; the join compares the shingle itself behind its hash."""
+    """(item, training row, shared shingles); a row that stands in the table again counts once. Only shingles that items have are shuffled onwards; the join compares the shingle itself behind its hash."""
     a = shingle_rows(items, item_id, item_text, n)
     b = shingle_rows(train, train_id, train_text, n)
     j = b.join(a.withColumnRenamed("shingle", "other"), "h").where("shingle = other")
-    return j.groupBy(item_id, train_id).agg(F.count("*").alias("shared"))
+    return j.groupBy(item_id, train_id).agg(F.count_distinct("shingle").alias("shared"))
