@@ -47,6 +47,7 @@ REPORT = set(
     "कहा पूछा बोला बोली बताया سأل قال أجاب سألت قالت أجابت رد صاح".split()
 )
 ASKING = set("who what when where why how which is are was were do does did has have had can could will would should may".split())
+STARTERS = set("the this these that we i it he she they you there our my his her its their no if because since when after before on at in for who what some most all every please nobody neither".split())
 GERMAN = set("der die das den dem des und ist kam am um im ein eine nach vor mit ohne über nicht wer weil seit vom zum".split())
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", "‘": "’", "{": "}"}
@@ -57,9 +58,9 @@ CLUSTER = re.compile("[.!?…‥。！？｡؟۔।॥։።။‼⁇⁈⁉]+")
 NOSPACE = re.compile("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff฀-๿々〇]")
 THAI = re.compile("[฀-๿]")
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
-MARKER = re.compile(r"[ \t ]*(?:([•‣◦▪●○·*–—-])[ \t ]+|(\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)])[ \t ]+)\S")
+MARKER = re.compile(r"[ \t ]*(?:([•‣◦▪●○·*–—-])[ \t ]+|(\(?(?:\d{1,3}|[a-z]|[ivx]{1,5})\)|\d{1,3}\.)[ \t ]+)\S")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-DOTTED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.[  ]?)*[^\W\d_]+)\.(?=([  \t\r\n]+)(\S)|[,;:)])")
+DOTTED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.[  ]?)*[^\W\d_]+)\.(?=([  \t\r\n]+)(\S)|[,;:])")
 EDGE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　﻿"
 REPORT_ZH = re.compile("^[^，。！？；：,;:]{0,30}[问問说說道答喊叫嚷写寫曰]")
 
@@ -164,7 +165,7 @@ def _evidence(text: str) -> tuple[set, set, set]:
         if not _cased(block):
             continue
         for m in DOTTED.finditer(block):
-            if m[3] is None or m[3].islower() and not _camel(block, m.start(3)):
+            if _goes_on(block, m):
                 short.add(_abbreviation_key(m[1]))
         common.update(w for w in WORD.findall(block) if w.islower())
         named.update(m[1].lower() for m in re.finditer(r"([A-Z][^\W\d_]*)! (?=[a-z]+\b)", block))
@@ -177,6 +178,13 @@ def _camel(t: str, n: int) -> bool:
     return bool(m) and any(c.isupper() for c in m[0][1:])
 
 
+def _goes_on(block: str, m: re.Match) -> bool:
+    """Whether the sentence goes on after a stop: a comma or a lower-case word follows, and no list item."""
+    if m[3] is None:
+        return True
+    return m[3].islower() and not _camel(block, m.start(3)) and not (("\n" in m[2] or "\r" in m[2]) and MARKER.match(block, m.start(3)))
+
+
 def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) -> list[tuple[int, int]]:
     pairs = _pairs(t)
     opens = [p[0] for p in pairs]
@@ -194,6 +202,11 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             s += 1
         return s
 
+    def starts_anew(n: int) -> bool:
+        """In text of one case: whether a sentence of some words may end before the word at n."""
+        word = WORD.match(t, n)
+        return bool(word) and word[0].lower() in STARTERS and len(WORD.findall(t[start:n])) >= 6
+
     def around(i: int) -> list[tuple[int, int, bool]]:
         return [p for p in pairs[max(0, bisect_right(opens, i) - 40) : bisect_right(opens, i)] if p[0] < i < p[1]]
 
@@ -212,7 +225,9 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             if NOSPACE.match(nxt):
                 return bool(NOSPACE.match(t[i - 1]))
             word = WORD.match(t, n)
-            return bool(word and nxt.isupper() and cased and "." not in token and "@" not in token and "/" not in token and len(token) > 2 and (t[i - 1].islower() or t[i - 1].isdigit() or t[i - 1] in CLOSE) and len(word[0]) > 1 and t[n + len(word[0]) : n + len(word[0]) + 1] not in (".", "_"))
+            if word and len(word[0]) == 1 and cased and nxt.isupper() and re.match(r"\.\s", t[n + 1 : n + 3]) and len(token) > 2 and token.islower() and common(token):
+                return True
+            return bool(word and nxt.isupper() and cased and "." not in token and "@" not in token and "/" not in token and len(token) > 2 and (t[i - 1].islower() or t[i - 1].isdigit() or t[i - 1] in CLOSE) and len(word[0]) > 1 and not re.match(r"_|\.\w", t[n + len(word[0]) : n + len(word[0]) + 2]))
         if nxt in ",;:)]%":
             return False
         if thai and (THAI.match(nxt) or THAI.match(t[i - 1])):
@@ -227,7 +242,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
         after = word[0] if word else ""
         if not token:
             return True
-        if len(after) == 1 and t[n + 1 : n + 2] == "." and len(token.rpartition(".")[2]) == 1 and not token.isdigit():
+        if len(after) == 1 and t[n + 1 : n + 2] == "." and len(token.rpartition(".")[2]) == 1 and token[-1].isalpha():
             return False  # a row of initials
         if token.isdigit():
             if re.match(r"\d{1,2}\.(\s|$)", t[n : n + 4]) or len(token) <= 2 and re.search(r"\d\.\s?$", t[max(0, left - 4) : left]):
@@ -246,17 +261,19 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             if key in BEFORE:
                 return False
             if not cased:
-                return False
+                return key in EITHER and starts_anew(n)
             if key in EITHER:
                 return nxt.isupper() and bool(after) and (common(after) or not letters.isupper()) or nxt in OPEN
             if not any(c.islower() or c.isupper() for c in letters):
                 return False
             return bool(after) and common(after) and not (len(letters) == 1 and letters.isupper() and not re.search(r"\d\s*$", t[max(0, left - 2) : left]) and not after.istitle())
         if key in EITHER or last in EITHER and "." in key:
-            if nxt.isdigit() or not cased:
+            if nxt.isdigit():
                 return False
+            if not cased:
+                return starts_anew(n)
             return nxt in OPEN or nxt.isupper() and bool(after) and (common(after) or last not in ("jan", "feb", "sept", "uu"))
-        known = key in BEFORE or key in doc[0] or key in corpus.short
+        known = key in BEFORE or key in corpus.short or key in doc[0] and key not in corpus.common
         if not known or key in ("no", "min", "max", "in", "art") and cased and not nxt.isdigit() and token[:1].isupper():
             return True if not known else not (nxt.isdigit()) and (key not in BEFORE or common(after) or nxt in OPEN)
         if nxt.isdigit():
@@ -315,7 +332,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             if NOSPACE.match(nxt):
                 if t[n] in "とっ" and not gap:
                     return -1
-                if led and not chain:
+                if led:
                     return k
                 return -1 if reported(n) or outer[0] > begin and not chain else k
             if cased and nxt.islower() and not _camel(t, n):
@@ -333,6 +350,8 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
                 if not gap:
                     return -1
                 word = WORD.match(t, n)
+                if not cased:
+                    return k if starts_anew(n) else -1
                 return k if (word and nxt.isupper() and common(word[0])) or nxt in OPEN or nxt in "¿¡" or nxt.isdigit() else -1
         if mark == ".":
             return k if full_stop(i, n, gap) else -1
@@ -402,7 +421,7 @@ def _count(batches):
                     key = _abbreviation_key(m[1])
                     if len(key) <= 12:
                         counts["s", key] += 1
-                        if m[3] is None or m[3].islower() and not _camel(block, m.start(3)):
+                        if _goes_on(block, m):
                             counts["d", key] += 1
                 counts.update(("l", w) for w in WORD.findall(block) if w.islower() and len(w) <= 30)
                 counts.update(("n", m[1].lower()) for m in re.finditer(r"([A-Z][^\W\d_]*)! (?=[a-z]+\b)", block))
