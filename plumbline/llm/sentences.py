@@ -47,7 +47,7 @@ REPORT = set(
     "कहा पूछा बोला बोली बताया سأل قال أجاب سألت قالت أجابت رد صاح".split()
 )
 ASKING = set("who what when where why how which is are was were do does did has have had can could will would should may".split())
-STARTERS = set("the this these that we i it he she they you there our my his her its their no if because since when after before on at in for who what some most all every please nobody neither".split())
+STARTERS = set("the this these that we i it he she they you there our my his her its their no if because since who what some most all every please nobody neither was is does".split())
 GERMAN = set("der die das den dem des und ist kam am um im ein eine nach vor mit ohne über nicht wer weil seit vom zum".split())
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", "‘": "’", "{": "}"}
