@@ -273,6 +273,8 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             if not cased:
                 return starts_anew(n)
             return nxt in OPEN or nxt.isupper() and bool(after) and (common(after) or last not in ("jan", "feb", "sept", "uu"))
+        if key == "no" and left == first(start):
+            return not nxt.isdigit()
         known = key in BEFORE or key in corpus.short or key in doc[0] and key not in corpus.common
         if not known or key in ("no", "min", "max", "in", "art") and cased and not nxt.isdigit() and token[:1].isupper():
             return True if not known else not (nxt.isdigit()) and (key not in BEFORE or common(after) or nxt in OPEN)

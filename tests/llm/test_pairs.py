@@ -103,11 +103,21 @@ def test_overlaps_of_nothing(spark):
     assert overlap.near_same_across(one).count() == 0
 
 
-def test_hot_groups_go_through_the_joins(spark, corpus, monkeypatch):
-    df = spark.createDataFrame(corpus, "id string, ev boolean, text string")
+def test_hot_starts_are_routed(spark, monkeypatch):
+    """Boilerplate that most records begin with goes to the joins on longer prefixes and costs no pair."""
+    rng = random.Random(8)
+    v = voc(rng)
+    stock = " ".join(rng.choices(v, k=20))
+    rows = [(f"r-{i}", i % 4 == 0, stock + " " + " ".join(rng.choices(v, k=rng.randint(30, 50)))) for i in range(200)]
+    rows += [(f"n-{i}", i % 4 != 0, " ".join(edited(rng, rows[i][2].split(), 0.05))) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, ev boolean, text string")
     usual = {tuple(r) for r in overlap.near_same_across(df).collect()}
-    monkeypatch.setattr(overlap, "_hot_starts", lambda records, count: (np.array([], np.uint64), np.array([], np.uint64)))
-    assert {tuple(r) for r in overlap.near_same_across(df).collect()} == usual
+    monkeypatch.setattr(overlap, "HOT_LEAST", 50)
+    monkeypatch.setattr(overlap, "GROUP", 4)
+    routed = []
+    real = overlap._deeper_hits
+    monkeypatch.setattr(overlap, "_deeper_hits", lambda *a: (routed.append(1), real(*a))[1])
+    assert {tuple(r) for r in overlap.near_same_across(df).collect()} == usual and len(usual) >= 95 and routed
 
 
 def feedback_rows(rng):
