@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from plumbline.functions import hashing
 
+from . import ranks
+
 
 def distinct_first(df: DataFrame, text: str, order: str) -> DataFrame:
     """Trimmed, non-empty texts, of equal ones the first in order; columns order and text."""
@@ -16,21 +18,18 @@ def distinct_first(df: DataFrame, text: str, order: str) -> DataFrame:
 
 
 def dense_numbers(df: DataFrame, order: str, name: str, group: str | None = None) -> DataFrame:
-    """Numbers 0, 1, 2, ... in order. Within groups by a window; over all rows by range partitions and their offsets, never in one task."""
+    """Numbers 0, 1, 2, ... in order, within groups or over all rows (then by buckets and their offsets, never in one task)."""
     if group:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    counts = parts.groupBy("__part").count()
-    before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # a row per partition
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return parts.join(F.broadcast(before), "__part").withColumn(name, (local + F.col("__before")).cast("long")).drop("__part", "__before")
+    return ranks.dense(df, order, name)
 
 
-def first_n_per_group(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+def first_n_per_group(df: DataFrame, group: str, order: str | list[Column], n: int) -> DataFrame:
     """The first n rows of each group. Large groups are cut down in salted parts before one window ends it."""
-    salt = F.pmod(F.xxhash64(order), F.lit(64))
-    partial = df.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(order))).where(F.col("__rn") <= n)
-    return partial.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("__rn") <= n).drop("__salt", "__rn")
+    order = [F.col(order)] if isinstance(order, str) else order
+    salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]), F.lit(64))
+    partial = df.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order))).where(F.col("__rn") <= n)
+    return partial.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__rn") <= n).drop("__salt", "__rn")
 
 
 def unpivot(df: DataFrame, keys: list[str], values: list[str], name: str = "attribute", value: str = "value") -> DataFrame:

@@ -22,14 +22,6 @@ def ece(df: DataFrame, p: str, t: str, bins: int, *by: str) -> DataFrame:
     return r.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("freq"))) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
-def nearest_rank(df: DataFrame, value: str, q: float, *by: str) -> DataFrame:
-    """The entry at place floor(n q) of the sorted values, without interpolation; from counts of distinct values, so one key holds no more than those."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    return ranked.where((F.col("upto") > F.floor(F.col("n") * q)) & (F.col("upto") - F.col("c") <= F.floor(F.col("n") * q))).select(*by, value)
-
-
 # Fixed values of the benchmark's axes: what chance reaches per tier, and the tiers' weights.
 CHANCE = {"easy": 0.2840277778, "standard": 0.3166666667, "hard": 0.3364393939}
 TIER_WEIGHT = {"easy": 0.14, "standard": 0.28, "hard": 0.30}

@@ -237,8 +237,7 @@ def soft_label_aggregate(t):
 select label, vec_id, round(s, 3) as s from n where rn <= 3""")
 def top3_per_label(t):
     v = t("embeddings").select("vec_id", "label", F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x).alias("s"))
-    w = Window.partitionBy("label").orderBy(F.desc("s"), "vec_id")
-    return v.withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("label", "vec_id", F.round("s", 3).alias("s"))
+    return ingest.first_n_per_group(v, "label", [F.desc("s"), F.col("vec_id")], 3).select("label", "vec_id", F.round("s", 3).alias("s"))
 
 
 @query("""select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as nth, o_totalprice - max(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows unbounded preceding) < -100000.0 as dropped from orders""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import prob
-from plumbline.operators import metrics, search, vectors
+from plumbline.operators import metrics, ranks, search, vectors
 from plumbline.sources import records
 
 from .registry import CONFIDENCE, GROUPED, ROUNDED, SCORED, grouped, query, scored, softmax_sql
@@ -191,8 +191,8 @@ def pooled_accuracy(t):
 select event_type, max(case when rn = floor(n * 0.5) + 1 then value end) as p50, max(case when rn = floor(n * 0.95) + 1 then value end) as p95 from r group by 1""")
 def latency_percentiles(t):
     e = t("events")
-    a = metrics.nearest_rank(e, "value", 0.5, "event_type").withColumnRenamed("value", "p50")
-    b = metrics.nearest_rank(e, "value", 0.95, "event_type").withColumnRenamed("value", "p95")
+    a = ranks.nearest(e, "value", 0.5, "event_type").withColumnRenamed("value", "p50")
+    b = ranks.nearest(e, "value", 0.95, "event_type").withColumnRenamed("value", "p95")
     return a.join(b, "event_type")
 
 

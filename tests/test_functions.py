@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.functions import dates, hashing, prob, text
-from plumbline.operators import metrics
+from plumbline.operators import metrics, ranks
 
 
 def one(spark, column):
@@ -83,8 +83,8 @@ def test_composite(spark):
 
 def test_nearest_rank(spark):
     df = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 4, 2, 9, 7]] + [(None,)], "v double")
-    assert metrics.nearest_rank(df, "v", 0.5).first().v == sorted([5, 1, 4, 4, 2, 9, 7])[7 // 2]
-    assert metrics.nearest_rank(df, "v", 0.95).first().v == 9
+    assert ranks.nearest(df, "v", 0.5).first().v == sorted([5, 1, 4, 4, 2, 9, 7])[7 // 2]
+    assert ranks.nearest(df, "v", 0.95).first().v == 9
 
 
 def test_business_days(spark):
