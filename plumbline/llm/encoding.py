@@ -64,7 +64,13 @@ def _cut(batches):
 
 
 def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
+    """Two bytes an id where that is enough, after a byte that tells."""
+    a = np.array(ids, np.int32)
+    return b"2" + a.astype("<u2").tobytes() if not len(a) or a.max() < 65536 else b"4" + a.astype("<i4").tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2" if packed[:1] == b"2" else "<i4", offset=1).astype(np.int32)
 
 
 def encode_chunks(name: str, folder: str | None):
@@ -82,7 +88,7 @@ def encode_chunks(name: str, folder: str | None):
                     head.append(c)
                     inner.append(None)
                     tail.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("uses"), pa.array(head, pa.string()), pa.array(inner, pa.binary()), pa.array(tail, pa.string())], ["key", "uses", "head", "inner", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(head, pa.string()), pa.array(inner, pa.binary()), pa.array(tail, pa.string())], ["key", "head", "inner", "tail"])
 
     return run
 
@@ -95,7 +101,7 @@ def assemble(pieces: list[tuple[str, bytes | None, str | None]], encode) -> np.n
         if inner is not None:
             if waiting:
                 out.append(np.array(encode([waiting])[0], np.int32))
-            out.append(np.frombuffer(inner, np.int32))
+            out.append(_unpack(inner))
             waiting = tail or ""
     if waiting:
         out.append(np.array(encode([waiting])[0], np.int32))
@@ -107,13 +113,11 @@ def encode_corpus(documents: DataFrame, tokenizer: str = tokens.DEFAULT, folder:
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = written(source.where("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut, "row long, doc_id long, seq int, key binary, chunk string"), "p7-chunks")
     total = chunks.count()
-    distinct = chunks.groupBy("key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("uses"))
-    coded = written(distinct.mapInArrow(encode_chunks(tokenizer, folder), "key binary, uses long, head string, inner binary, tail string"), "p7-encoded")
-    hot = coded.where(F.col("uses") >= max(2, -(-total // HOT))).select("key", F.lit(True).alias("hot"))
-    places = chunks.select("row", "doc_id", "seq", "key").join(F.broadcast(hot), "key", "left")
-    places = places.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("hot")
-    copies = F.when(F.col("uses") >= max(2, -(-total // HOT)), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    coded = coded.select("key", "head", "inner", "tail", F.explode(copies).alias("salt"))
+    hot = chunks.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, -(-total // HOT))).select("key", F.lit(True).alias("hot"))
+    coded = chunks.groupBy("key").agg(F.first("chunk").alias("chunk")).mapInArrow(encode_chunks(tokenizer, folder), "key binary, head string, inner binary, tail string")
+    salted = lambda df, salt: df.join(F.broadcast(hot), "key", "left").withColumn("salt", salt).drop("hot")
+    places = salted(chunks.select("row", "doc_id", "seq", "key"), F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    coded = salted(coded, F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     whole = places.join(coded, ["key", "salt"]).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "head", "inner", "tail"))).alias("pieces"))
 
     def join(batches):
