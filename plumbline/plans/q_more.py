@@ -34,7 +34,7 @@ def mixed_cross_entropy(t):
 
 
 @query(f"""with {NOULS}, w as (select unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) as w), t_ as (select unnest([0.5, 1.0, 2.0]) as tau),
-x as (select w, tau, round(avg(power(1 / (1 + exp(-(n_.z * w + ln(p / (1 - p)) / tau * (1 - w)))) - t, 2)), 6) as brier from n_, w, t_ group by 1, 2) select w, tau, brier from x order by brier, w, tau limit 8""")
+x as (select w, tau, round(avg(power(1 / (1 + exp(-(n_.z * w + ln(p / (1 - p)) / tau * (1 - w)))) - t, 2)), 6) as brier from n_, w, t_ group by 1, 2) select w::double as w, tau::double as tau, brier from x order by brier, w, tau limit 8""")
 def grid_top8(t):
     """The eight best blends of a small grid; every candidate is an aggregate of one scan."""
     n = nouls(t).withColumn("y", F.log(F.col("p") / (1 - F.col("p"))))

@@ -102,7 +102,7 @@ def truncate_text(t):
 
 
 @query("""with u as (select row_id as id, 'rows' as origin, state as text from row_examples union all by name select item_id as id, 'items' as origin, state_str as text from eval_items union all by name
-select id, 'feedback' as origin, state as text from feedback_records) select origin, count(*) as n, count(text) as with_text, sum(length(text)) as chars from u group by origin""")
+select id, 'feedback' as origin, state as text from feedback_records) select origin, count(*) as n, count(text) as with_text, sum(length(text))::bigint as chars from u group by origin""")
 def union_sources(t):
     a = t("row_examples").select(F.col("row_id").alias("id"), F.lit("rows").alias("origin"), F.col("state").alias("text"))
     b = t("eval_items").select(F.col("item_id").alias("id"), F.lit("items").alias("origin"), F.col("state_str").alias("text"))
@@ -177,7 +177,7 @@ def option_subset_counts(t):
 
 
 @query(f"""with {PASSES} select row_id, qtype, array_to_string(list(coalesce(key, '') order by pos, key), '|') as keys, list_sum(list(target order by pos, key)) as targets,
-coalesce(list_position(list(target order by pos, key), 1.0), 0) - 1 as gold from p_ group by row_id, qtype""")
+coalesce(list_position(list(target order by pos, key), 1.0), 0)::bigint - 1 as gold from p_ group by row_id, qtype""")
 def regroup_passes(t):
     g = expand.regroup(latest_passes(t))
     return g.select("row_id", "qtype", F.array_join(F.transform("keys", lambda k: F.coalesce(k, F.lit(""))), "|").alias("keys"), F.aggregate("target", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("targets"), (F.array_position("target", 1.0) - 1).alias("gold"))
@@ -190,7 +190,7 @@ def oversample_sources(t):
 
 
 @query("""with a as (select row_id, kind, key, count(*) as a from passes group by 1, 2, 3), k as (select row_id, kind, key, max(expanded_at) as last from passes group by 1, 2, 3)
-select count(*) as keys, sum(case when a.a > 1 then 1 else 0 end) as repeated from a join k on a.row_id = k.row_id and a.kind = k.kind and a.key is not distinct from k.key""")
+select count(*) as keys, sum(case when a.a > 1 then 1 else 0 end)::bigint as repeated from a join k on a.row_id = k.row_id and a.kind = k.kind and a.key is not distinct from k.key""")
 def null_safe_key_join(t):
     p = t("passes")
     a = p.groupBy("row_id", "kind", "key").agg(F.count("*").alias("a"))

@@ -107,7 +107,7 @@ def score_answer(t):
     return a.select("row_id", joined(F.col("r")).alias("probabilities"), F.round(prob.expectation(F.col("r")), 4).alias("score"), prob.confidence(F.col("r")).alias("confidence"))
 
 
-@query(f"with {answers_sql()} select qtype, count(*) as n, max(abs(list_sum(list_transform(r, lambda x: x::decimal(10, 4))) - 1)) as off from r4_ group by 1")
+@query(f"with {answers_sql()} select qtype, count(*) as n, max(abs(list_sum(list_transform(r, lambda x: x::decimal(10, 4))) - 1))::double as off from r4_ group by 1")
 def exact_sum(t):
     a = answers(t).select("qtype", F.aggregate(F.transform("r", lambda x: x.cast("decimal(10,4)")), F.lit(0).cast("decimal(20,4)"), lambda s, x: (s + x).cast("decimal(20,4)")).alias("s"))
     return a.groupBy("qtype").agg(F.count("*").alias("n"), F.max(F.abs(F.col("s") - 1).cast("double")).alias("off"))
@@ -210,7 +210,7 @@ def composite_axes(t):
 
 @query(f"""with {NOULS}, w as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]) as w), t_ as (select unnest([0.5, 1.0, 2.0, 4.0]) as tau), b_ as (select unnest([-0.5, 0.0, 0.5]) as b), g as (select w, tau, b, w * 1000 + tau * 10 + b as ord from w, t_, b_),
 x as (select w, tau, b, ord, avg(power(1 / (1 + exp(-(n_.z * w + (ln(p / (1 - p)) + b) / tau * (1 - w)))) - t, 2)) as brier from n_, g group by 1, 2, 3, 4)
-select w, tau, b, round(brier, 6) as brier from x order by round(brier, 12), ord limit 1""")
+select w::double as w, tau::double as tau, b::double as b, round(brier, 6) as brier from x order by round(brier, 12), ord limit 1""")
 def blend_grid(t):
     """The blend with the least Brier score; ties go to the first of the grid."""
     n = nouls(t).withColumn("y", F.log(F.col("p") / (1 - F.col("p"))))
@@ -223,7 +223,7 @@ def temperature_fit(t):
     return search.fit_temperature(nouls(t).select("z", "t"))
 
 
-@query(f"with {NOULS}, c as (select unnest([0.5, 1.0, 1.5, 2.0, 3.0]) as tau), b as (select tau, least(14, floor(1 / (1 + exp(-z / tau)) * 15))::int as bin, avg(1 / (1 + exp(-z / tau))) as conf, avg(t) as freq, count(*) as n from n_, c group by 1, 2) select tau, round(sum(n * abs(conf - freq)) / sum(n), 6) as ece from b group by 1")
+@query(f"with {NOULS}, c as (select unnest([0.5, 1.0, 1.5, 2.0, 3.0]) as tau), b as (select tau, least(14, floor(1 / (1 + exp(-z / tau)) * 15))::int as bin, avg(1 / (1 + exp(-z / tau))) as conf, avg(t) as freq, count(*) as n from n_, c group by 1, 2) select tau::double as tau, round(sum(n * abs(conf - freq)) / sum(n), 6) as ece from b group by 1")
 def temperature_landscape(t):
     return search.ece_by_temperature(nouls(t).select("z", "t"), [0.5, 1.0, 1.5, 2.0, 3.0], 15).select("tau", F.round("ece", 6).alias("ece"))
 
