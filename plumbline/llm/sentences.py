@@ -59,6 +59,7 @@ NOSPACE = re.compile("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff
 THAI = re.compile("[฀-๿]")
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 MARKER = re.compile(r"[ \t ]*(?:([•‣◦▪●○·*–—-])[ \t ]+|(\(?(?:\d{1,3}|[a-z]|[ivx]{1,5})\)|\d{1,3}\.)[ \t ]+)\S")
+QUOTE_END = re.compile(r"(?<=[,.!?…])['’](?=[\s,.;:)\]]|$)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 DOTTED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.[  ]?)*[^\W\d_]+)\.(?=([  \t\r\n]+)(\S)|[,;:])")
 EDGE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　﻿"
@@ -137,15 +138,15 @@ def _pairs(t: str) -> list[tuple[int, int, bool]]:
         elif c in OPEN and c != "‘":
             stack.append((i, OPEN[c]))
         elif c in ")]）】」』»”":  # an inner one never closed
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, max(-1, len(stack) - 51), -1):
                 if c in stack[k][1]:
                     o = stack[k][0]
                     del stack[k:]
                     out.append((o, i, t[o] in BRACKETS))
                     break
         elif c in "'‘" and (i == 0 or t[i - 1] in EDGE + "([“") and i + 1 < len(t) and t[i + 1].isalpha():
-            m = re.compile(r"(?<=[,.!?…])['’](?=[\s,.;:)\]]|$)").search(t, i + 1)
-            if m and not any(o < m.start() and i < e for o, e, _ in out):
+            m = QUOTE_END.search(t, i + 1, i + 2000)  # such quotations are short
+            if m and not any(o < m.start() and i < e for o, e, _ in out[-50:]):
                 out.append((i, m.start(), False))
     return sorted(out)
 
@@ -190,7 +191,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
     opens = [p[0] for p in pairs]
     thai = bool(THAI.search(t))
     danda = "।" in t
-    german = sum(w in GERMAN for w in WORD.findall(t[:2000].lower())) >= 2
+    german = sum(w in GERMAN for w in WORD.findall(t.lower())) >= 2
     out, start = [], 0
 
     def common(word: str) -> bool:
