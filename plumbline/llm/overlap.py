@@ -2,17 +2,15 @@
 
 The words of all records are hashed and concatenated; every evaluation suffix and a regular sample of
 the training suffixes (each third start; each start in texts under 24 words) go to partitions by a hash of
-their first four words. A partition sorts its suffixes; where suffixes of both sides stand together with a
-long common prefix, the records share a span. Groups of up to GROUP cross pairs are taken as they are, of
-groups of up to SKETCHED with 8 words in common those whose records' 128-bit sketches of word pairs agree in all but APART bits (records that
-differ in one word of eight differ in some 28, others in some 64); larger ones (boilerplate) are split by longer and longer prefixes, at last by the
-whole rest of the record, where nothing is left out. Spans are summed up to hits per pair of records. Of n words with
+their first four words. A partition sorts its suffixes; where suffixes of both sides stand together, the records
+share a span. Groups of up to GROUP cross pairs are taken as they are. The records of larger ones (boilerplate, clusters
+of near copies) are compared with each other by the words that no n/8 edits can take away (`bags`), which leaves no
+near-same pair of them out. Spans are summed up to hits per pair of records. Of n words with
 at most one in eight changed at least n/8 sampled starts hit, so a pair needs n/16 of them; an exact comparison follows.
 
 Texts that are the same apart from differences of writing are one class from the start, so copies never
-meet each other; only the result lists their pairs. Starts that very many records share (measured on a sample,
-which routes only) are spread over partitions by their next words; those whose next words are as common go
-straight to the longer prefixes, which are equi-joins on keys whose counts are known, so no task holds such a group.
+meet each other; only the result lists their pairs. Starts that very many classes share (measured on a sample,
+which routes only) aren't gathered at all: their records are among those compared by `bags`.
 
 Null, empty and wordless states match nothing. Repeated rows count once. An empty side gives no rows.
 """
@@ -25,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wording
+from . import bags, wording
 from .store import written
 
-FIRST, STEP, SHORT, AHEAD, GROUP, SKETCHED, APART = 4, 3, 24, 12, 128, 4_000_000, 42
+FIRST, STEP, SHORT, GROUP = 4, 3, 24, 128
 #: Records of a partition of the suffix array.
 RECORDS = 6000
-#: A start is spread if at least HOT_SHARE of the sampled records and by estimate HOT_LEAST records have it; SAMPLE bounds the sample.
+#: A start is routed if at least HOT_SHARE of the sampled records and by estimate HOT_LEAST records have it; SAMPLE bounds the sample.
 HOT_SHARE, HOT_LEAST, SAMPLE, SALTS = 1 / 500, 20_000, 20_000, 64
 NORMAL = "id string, ev boolean, cls long, n int, lens binary, toks binary"
 U = np.uint64
@@ -75,28 +73,10 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(29))
 
 
-def sketch(toks: np.ndarray) -> np.ndarray:
-    """128 bits of a record's pairs of neighbouring words: those of records with mostly the same wording differ in few."""
-    t = toks.astype(np.int64).astype(U)
-    t = _mix(t[:-1], t[1:]) if len(t) > 1 else t
-    h = np.stack([_mix(t, np.full(len(t), U(x))) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
-    bits = np.unpackbits(h.view(np.uint8).reshape(len(t), 16), axis=1)
-    return np.packbits(2 * bits.sum(0, dtype=np.int32) > len(t)).view(U)
-
-
-def levels_of(key: np.ndarray, ahead: np.ndarray) -> list[np.ndarray]:
-    """Keys of the prefixes of 4, 8, 12 and 16 words."""
-    nxt = np.ascontiguousarray(ahead).view(np.uint32).astype(U)
-    out = [key.copy()]
-    for k in range(AHEAD // 4):
-        out.append(_mix(out[-1], nxt[:, k]))
-    return out
-
-
 class Flat:
     """The values of many records one after another, with room between them, and the starts of their suffixes."""
 
-    def __init__(self, cls, ns, lens, toks, room: int = FIRST + AHEAD):
+    def __init__(self, cls, ns, lens, toks, room: int = FIRST):
         pieces, rec, size, pad = [], [], [], np.zeros(room, np.int32)
         for i, (l, t) in enumerate(zip(lens, toks)):
             for p in parts_of(l, t):
@@ -121,14 +101,8 @@ class Flat:
             key = _mix(key, self.flat[self.at + k].astype(np.int64).astype(U))
         self.key = key
 
-    def ahead(self, pick: np.ndarray) -> np.ndarray:
-        """One byte for each of the next words, 0 beyond the value."""
-        some = (self.flat.astype(np.int64) & 0xFFFFFF) % 255 + 1
-        some[self.flat == 0] = 0
-        return some.astype(np.uint8)[self.at[pick][:, None] + np.arange(FIRST, FIRST + AHEAD)]
 
-
-ENTRY = np.dtype([("key", U), ("next", np.uint8, AHEAD), ("cls", np.int64), ("n", np.int32), ("pos", np.int32), ("sketch", U, 2), ("side", np.uint8)])
+ENTRY = np.dtype([("key", U), ("cls", np.int64), ("n", np.int32), ("pos", np.int32), ("side", np.uint8)])
 
 
 def slices(batches, words: int = 400_000):
@@ -141,7 +115,7 @@ def slices(batches, words: int = 400_000):
                 yield batch.slice(a, b - a)
 
 
-def _suffixes(parts: int, hot: np.ndarray, hotter: np.ndarray):
+def _suffixes(parts: int, hot: np.ndarray):
     """cls, n, lens, toks, ev, tr -> (partition, entries), one blob a partition and batch; from parts on partitions only pass on."""
 
     def run(batches):
@@ -149,7 +123,6 @@ def _suffixes(parts: int, hot: np.ndarray, hotter: np.ndarray):
             cls, ns, lens, toks, ev, tr = (batch.column(i).to_pylist() for i in range(6))
             f = Flat(cls, ns, lens, toks)
             ev, tr = np.array(ev, bool), np.array(tr, bool)
-            sketches = np.array([sketch(np.frombuffer(t, np.int32)) for t in toks], U).reshape(-1, 2)
             place = _place(f)
             blobs = []
             for side, has in ((1, ev), (0, tr)):
@@ -159,23 +132,16 @@ def _suffixes(parts: int, hot: np.ndarray, hotter: np.ndarray):
                 pick = np.flatnonzero(keep)
                 e = np.zeros(len(pick), ENTRY)
                 r = f.rec[pick]
-                e["key"], e["next"], e["cls"], e["n"], e["pos"], e["sketch"], e["side"] = f.key[pick], f.ahead(pick), f.cls[r], f.ns[r], place[pick], sketches[r], side
+                e["key"], e["cls"], e["n"], e["pos"], e["side"] = f.key[pick], f.cls[r], f.ns[r], place[pick], side
                 blobs.append(e)
                 bags = [i for i in np.flatnonzero(has) if ns[i] < SHORT]
                 b = np.zeros(len(bags), ENTRY)
                 for k, i in enumerate(bags):  # short texts also by all their words in any order
                     b[k]["key"] = xxhash.xxh3_64_intdigest(np.sort(np.frombuffer(toks[i], np.int32)).tobytes())
-                    b[k]["cls"], b[k]["n"], b[k]["pos"], b[k]["sketch"], b[k]["side"] = cls[i], ns[i], -1, sketches[i], side
+                    b[k]["cls"], b[k]["n"], b[k]["pos"], b[k]["side"] = cls[i], ns[i], -1, side
                 blobs.append(b)
             e = np.concatenate(blobs)
-            route, to = e["key"].copy(), np.zeros(len(e), np.int64)
-            if len(e):
-                spread = np.isin(e["key"], hot)
-                route[spread] = _mix(route[spread], np.ascontiguousarray(e["next"][spread][:, :4]).view(np.uint32).reshape(-1).astype(U))
-                to = ((route >> U(7)) % U(parts)).astype(np.int64)
-                at = np.flatnonzero(spread)
-                at = at[np.isin(levels_of(e["key"][at], e["next"][at])[-1], hotter)]
-                to[at] = parts + e["cls"][at] % SALTS
+            to = np.where(np.isin(e["key"], hot), parts + e["cls"] % SALTS, ((e["key"] >> U(7)) % U(parts)).astype(np.int64))
             order = np.argsort(to, kind="stable")
             e, to = e[order], to[order]
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
@@ -192,7 +158,7 @@ def _place(f: Flat) -> np.ndarray:
     if not len(f.at):
         return np.zeros(0, np.int32)
     origin, first_value = f.base[f.rec], f.first_value[f.rec]
-    return (f.at - f.offset - origin - (FIRST + AHEAD) * (f.value - first_value) + f.offset).astype(np.int32)
+    return (f.at - f.offset - origin - FIRST * (f.value - first_value) + f.offset).astype(np.int32)
 
 
 def _all_of(first, ev, tr, live):
@@ -203,60 +169,45 @@ def _all_of(first, ev, tr, live):
     return live[np.repeat(e_at, t_n)], live[t_at]
 
 
-def cross_pairs(levels: list[np.ndarray], e: np.ndarray):
-    """Places of pairs with a common prefix, and of the entries of the groups that are still too large after the last level."""
-    cls, n, side, marks = (np.ascontiguousarray(e[c]) for c in ("cls", "n", "side", "sketch"))
-    out_a, out_b = [], []
-
-    def keep(a, b):
-        close = (8 * np.abs(n[a] - n[b]) <= np.maximum(n[a], n[b])) & (cls[a] != cls[b])
-        out_a.append(a[close])
-        out_b.append(b[close])
-
-    live = np.arange(len(cls))
-    for depth, key in enumerate(levels):
-        if not len(live):
-            break
-        k, s = key[live], side[live]
-        order = np.lexsort((s, k))
-        live, k, s = live[order], k[order], s[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[first, len(k)])
-        ev = np.add.reduceat(s.astype(np.int64), first)
-        tr = size - ev
-        pairs = ev * tr
-        small = (pairs > 0) & (pairs <= GROUP)
-        for lo in range(0, len(first), 4096):
-            g = np.flatnonzero(small[lo : lo + 4096]) + lo
-            if len(g):
-                keep(*_all_of(first[g], ev[g], tr[g], live))
-        most = SKETCHED if depth else GROUP
-        middle = (pairs > GROUP) & (pairs <= most)
-        for g in np.flatnonzero(middle).tolist():
-            t, v = live[first[g] : first[g] + tr[g]], live[first[g] + tr[g] : first[g] + size[g]]
-            for at in range(0, len(v), max(1, 500_000 // len(t))):
-                some = v[at : at + max(1, 500_000 // len(t))]
-                x, y = marks[some], marks[t]
-                i, j = np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1]) <= APART)
-                keep(some[i], t[j])
-        live = live[np.repeat(pairs > most, size)]
-    a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-    b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-    return a, b, live
-
-
-FOUND = "a long, b long, na int, nb int, hits int, hot_cls long, hot_pos int, hot_side int"
-
-
-def _table(cls, n, side, pos, a, b, live) -> pa.Table:
-    """Hits per pair within the partition, then the entries left over."""
+def cross_pairs(e: np.ndarray):
+    """Places of pairs with a common start, and of the entries of the groups that are too large."""
+    cls, n, side = (np.ascontiguousarray(e[c]) for c in ("cls", "n", "side"))
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(e):
+        return out_a[0], out_b[0], out_a[0]
+    live = np.lexsort((side, e["key"]))
+    k = e["key"][live]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    size = np.diff(np.r_[first, len(k)])
+    ev = np.add.reduceat(side[live].astype(np.int64), first)
+    tr = size - ev
+    pairs = ev * tr
+    small = (pairs > 0) & (pairs <= GROUP)
+    for lo in range(0, len(first), 4096):
+        g = np.flatnonzero(small[lo : lo + 4096]) + lo
+        if len(g):
+            a, b = _all_of(first[g], ev[g], tr[g], live)
+            close = (8 * np.abs(n[a] - n[b]) <= np.maximum(n[a], n[b])) & (cls[a] != cls[b])
+            out_a.append(a[close])
+            out_b.append(b[close])
+    return np.concatenate(out_a), np.concatenate(out_b), live[np.repeat(pairs > GROUP, size)]
+
+
+#: Hits of a pair that is compared in any case.
+ENOUGH = 1 << 20
+FOUND = "a long, b long, na int, nb int, hits int, hot_cls long"
+
+
+def _table(cls, n, pos, a, b, live) -> pa.Table:
+    """Hits per pair within the partition, then the classes of the entries left over."""
     both = np.stack([cls[a], cls[b]], 1) if len(a) else np.zeros((0, 2), np.int64)
     order = np.lexsort((both[:, 1], both[:, 0]))
     both, a, b = both[order], a[order], b[order]
     first = np.flatnonzero(np.r_[True, np.any(both[1:] != both[:-1], 1)]) if len(both) else np.zeros(0, np.int64)
     hits = np.diff(np.r_[first, len(both)]).astype(np.int32)
-    hits = np.where(pos[a[first]] < 0, 1 << 20, hits).astype(np.int32) if len(first) else hits
-    m, h = len(first), len(live)
+    hits = np.where(pos[a[first]] < 0, ENOUGH, hits).astype(np.int32) if len(first) else hits
+    hot = np.unique(cls[live])
+    m, h = len(first), len(hot)
     null = lambda k, t: pa.nulls(k, t)
     return pa.table(
         {
@@ -265,9 +216,7 @@ def _table(cls, n, side, pos, a, b, live) -> pa.Table:
             "na": pa.concat_arrays([pa.array(n[a[first]], pa.int32()), null(h, pa.int32())]),
             "nb": pa.concat_arrays([pa.array(n[b[first]], pa.int32()), null(h, pa.int32())]),
             "hits": pa.concat_arrays([pa.array(hits, pa.int32()), null(h, pa.int32())]),
-            "hot_cls": pa.concat_arrays([null(m, pa.int64()), pa.array(cls[live], pa.int64())]),
-            "hot_pos": pa.concat_arrays([null(m, pa.int32()), pa.array(pos[live], pa.int32())]),
-            "hot_side": pa.concat_arrays([null(m, pa.int32()), pa.array(side[live].astype(np.int32), pa.int32())]),
+            "hot_cls": pa.concat_arrays([null(m, pa.int64()), pa.array(hot, pa.int64())]),
         }
     )
 
@@ -276,47 +225,16 @@ def _partition(parts: int):
     def run(table: pa.Table) -> pa.Table:
         e = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
         none = np.zeros(0, np.int64)
-        a, b, live = cross_pairs(levels_of(e["key"], e["next"]), e) if table.column("part")[0].as_py() < parts else (none, none, np.arange(len(e)))
-        return _table(*(np.ascontiguousarray(e[c]) for c in ("cls", "n", "side", "pos")), a, b, live)
+        a, b, live = cross_pairs(e) if table.column("part")[0].as_py() < parts else (none, none, np.arange(len(e)))
+        return _table(*(np.ascontiguousarray(e[c]) for c in ("cls", "n", "pos")), a, b, live)
 
     return run
 
 
-DEEPER = (24, 32, 64)
-
-
-def _deeper(batches):
-    """Left-over starts with their records -> keys of ever longer prefixes, at last of the rest of the record."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for cls, n, pos, side, toks in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "hot_pos", "hot_side", "toks"))):
-            rest = np.frombuffer(toks, np.int32)[max(pos, 0) :]
-            keys = [xxhash.xxh3_64_intdigest(rest[:k].tobytes(), k) >> 1 for k in DEEPER] + [xxhash.xxh3_64_intdigest(rest.tobytes()) >> 1]
-            rows.append((keys[0], keys[1], keys[2], keys[3], cls, n, pos, side))
-        cols = list(zip(*rows)) or [[]] * 8
-        types = [pa.int64()] * 5 + [pa.int32()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["k0", "k1", "k2", "k3", "cls", "n", "pos", "side"])
-
-
-def _deeper_hits(spark, left: DataFrame, normal: DataFrame) -> DataFrame:
-    """Hits among left-over starts (cls, hot_pos, hot_side) by prefixes of ever more words: equi-joins on keys with few cross pairs, at last on all."""
-    one = normal.select("cls", "n", "toks").join(left.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
-    rest = written(left.join(one, "cls").mapInArrow(_deeper, "k0 long, k1 long, k2 long, k3 long, cls long, n int, pos int, side int"), "p6-deeper")
-    out = None
-    for depth in range(len(DEEPER) + 1):
-        key = f"k{depth}"
-        counts = rest.groupBy(key).agg(F.sum("side").alias("ev"), F.sum(1 - F.col("side")).alias("tr")).where("ev > 0 and tr > 0")
-        last = depth == len(DEEPER)
-        some = rest if last else rest.join(counts.where(F.col("ev") * F.col("tr") <= GROUP).select(key), key, "left_semi")
-        ev = some.where("side = 1").select(key, F.col("cls").alias("a"), F.col("n").alias("na"))
-        tr = some.where("side = 0").select(key, F.col("cls").alias("b"), F.col("n").alias("nb"))
-        hits = ev.join(tr, key).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").cast("int").alias("hits"))
-        out = hits if out is None else out.unionByName(hits)
-        if not last:
-            rest = written(rest.join(counts.where(F.col("ev") * F.col("tr") > GROUP).select(key), key, "left_semi"), "p6-deeper")
-            if rest.isEmpty():
-                break
-    return out.select("a", "b", "na", "nb", "hits")
+def _deeper_hits(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs among the classes of left-over starts (cls), each with hits enough: all that may be near-same."""
+    crowded = classes.join(left.distinct(), "cls", "left_semi").select("cls", "n", "ev", "tr", F.lit(0).cast("long").alias("space"), "toks")
+    return bags.possible_pairs(written(crowded, "p6-crowded")).withColumn("hits", F.lit(ENOUGH)).select("a", "b", "na", "nb", "hits")
 
 
 def _compare(batches):
@@ -326,32 +244,26 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array([cols[c][i] for i in keep], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
 
-def _hot_starts(records: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of 4 and of 16 words that so many records have that they are routed apart.
+def _hot_starts(records: DataFrame, count: int) -> np.ndarray:
+    """Starts of 4 words that so many records have that they are routed apart.
 
-    Measured on about SAMPLE records; at most 1/HOT_SHARE times the mean number of words each. They route and drop nothing.
+    Measured on about SAMPLE records; at most 1/HOT_SHARE times the mean number of words each. They route and drop nothing:
+    all records with such a start go to the same exact way.
     """
     if count < HOT_LEAST:
-        return np.zeros(0, U), np.zeros(0, U)
+        return np.zeros(0, U)
     sample = records.sample(min(1.0, SAMPLE / max(count, 1)), seed=7) if count > SAMPLE else records
 
     def starts(batches):
         for batch in slices(batches):
             f = Flat(*(batch.column(i).to_pylist() for i in range(4)))
-            levels = levels_of(f.key, f.ahead(np.arange(len(f.at)))) if len(f.at) else [f.key]
-            words, keys, n = [], [], []
-            for k, key in ((4, levels[0]), (16, levels[-1])):
-                pairs = np.unique(np.stack([key.astype(np.int64), f.rec], 1), axis=0)
-                x, c = np.unique(pairs[:, 0], return_counts=True)
-                x, c = x[c > 1], c[c > 1]
-                words += [k] * len(x)
-                keys.append(x)
-                n.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(n), pa.int64())], ["words", "key", "n"])
+            pairs = np.unique(np.stack([f.key.astype(np.int64), f.rec], 1), axis=0)
+            x, c = np.unique(pairs[:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c > 1], pa.int64()), pa.array(c[c > 1], pa.int64())], ["key", "n"])
 
     least = min(count, SAMPLE) * max(HOT_SHARE, HOT_LEAST / count)
-    rows = sample.select("cls", "n", "lens", "toks").mapInArrow(starts, "words int, key long, n long").groupBy("words", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return tuple(np.array([r.key for r in rows if r.words == k], np.int64).astype(U) for k in (4, 16))
+    rows = sample.select("cls", "n", "lens", "toks").mapInArrow(starts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
+    return np.array([r.key for r in rows], np.int64).astype(U)
 
 
 def near_same_across(records: DataFrame) -> DataFrame:
@@ -362,12 +274,12 @@ def near_same_across(records: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RECORDS))
     classes = normal.groupBy("cls").agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"), F.max("ev").alias("e"), F.min("ev").alias("low"))
     classes = classes.select("cls", "n", "lens", "toks", F.col("e").alias("ev"), (~F.col("low")).alias("tr"))
-    hot, hotter = _hot_starts(normal, count)
-    found = written(classes.mapInArrow(_suffixes(parts, hot, hotter), "part int, entries binary").groupBy("part").applyInArrow(_partition(parts), FOUND), "p6-spans")
+    hot = _hot_starts(normal, count)
+    found = written(classes.mapInArrow(_suffixes(parts, hot), "part int, entries binary").groupBy("part").applyInArrow(_partition(parts), FOUND), "p6-spans")
     hits = found.where("a is not null").select("a", "b", "na", "nb", "hits")
-    left = found.where("hot_cls is not null").select(F.col("hot_cls").alias("cls"), "hot_pos", "hot_side")
+    left = found.where("hot_cls is not null").select(F.col("hot_cls").alias("cls"))
     if not left.isEmpty():
-        hits = hits.unionByName(_deeper_hits(spark, left, normal))
+        hits = hits.unionByName(_deeper_hits(left, classes))
     candidates = written(
         hits.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("na").alias("na"), F.max("nb").alias("nb")).where("16 * hits >= greatest(16, least(na, nb))").select("a", "b"), "p6-candidates"
     )

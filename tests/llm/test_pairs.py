@@ -228,3 +228,30 @@ def test_stock_sentences_do_not_count(spark):
     rows = spark.createDataFrame([("r", stock + " And nothing else of it is met in here.")], "row_id string, text string")
     assert leaks.leaked(its, rows).count() == 0
     assert leaks.leaked(its.where("item_id < 'i-2'"), rows).count() > 0
+
+
+def across(spark, ev, tr):
+    rows = [(f"e-{i}", True, t) for i, t in enumerate(ev)] + [(f"t-{i}", False, t) for i, t in enumerate(tr)]
+    return {tuple(r) for r in overlap.near_same_across(spark.createDataFrame(rows, "id string, ev boolean, text string")).collect()}
+
+
+def every_pair(ev, tr):
+    e, t = [parts(x) for x in ev], [parts(x) for x in tr]
+    return {(f"e-{i}", f"t-{j}") for i, a in enumerate(e) for j, b in enumerate(t) if wording.near_same(a, b)}
+
+
+def even_edits(words, edits, mark, shift=8):
+    """The words with so many of them replaced, evenly spread from a place on."""
+    out = list(words)
+    for k in range(edits):
+        out[k * (len(out) // edits) + shift % (len(out) // edits)] = f"zq{mark}x{k}"
+    return " ".join(out)
+
+
+def test_large_groups_of_near_copies_are_whole(spark):
+    """Copies of one wording, each with evenly spread edits of its own: every group of starts is over GROUP."""
+    rng = random.Random(21)
+    base = rng.choices(voc(rng), k=64)
+    ev, tr = ([even_edits(base, 4, f"{x}{i}", i) for i in range(40)] for x in "et")
+    want = every_pair(ev, tr)
+    assert len(want) == 1600 and across(spark, ev, tr) == want
