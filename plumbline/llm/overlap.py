@@ -245,7 +245,7 @@ def _compare(batches):
 
 
 def _hot_starts(records: DataFrame, count: int) -> np.ndarray:
-    """Starts of 4 words that so many records have that they are routed apart.
+    """Starts of 4 words that so many records (one of each class) have that they are routed apart.
 
     Measured on about SAMPLE records; at most 1/HOT_SHARE times the mean number of words each. They route and drop nothing:
     all records with such a start go to the same exact way.
@@ -270,11 +270,11 @@ def near_same_across(records: DataFrame) -> DataFrame:
     """Pairs (ev_id, tr_id) of the same or near-same text; records: id, ev (boolean: evaluation side), text."""
     spark = records.sparkSession
     normal = written(records.select(F.col("id").cast("string"), F.col("ev").cast("boolean"), F.col("text").cast("string")).where("text is not null and ev is not null and id is not null").mapInArrow(normalise, NORMAL), "p6-words")
-    count = normal.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RECORDS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-normal.count() // RECORDS))
     classes = normal.groupBy("cls").agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"), F.max("ev").alias("e"), F.min("ev").alias("low"))
     classes = classes.select("cls", "n", "lens", "toks", F.col("e").alias("ev"), (~F.col("low")).alias("tr"))
-    hot = _hot_starts(normal, count)
+    classes = written(classes, "p6-classes")
+    hot = _hot_starts(classes, classes.count())
     found = written(classes.mapInArrow(_suffixes(parts, hot), "part int, entries binary").groupBy("part").applyInArrow(_partition(parts), FOUND), "p6-spans")
     hits = found.where("a is not null").select("a", "b", "na", "nb", "hits")
     left = found.where("hot_cls is not null").select(F.col("hot_cls").alias("cls"))

@@ -255,3 +255,18 @@ def test_large_groups_of_near_copies_are_whole(spark):
     ev, tr = ([even_edits(base, 4, f"{x}{i}", i) for i in range(40)] for x in "et")
     want = every_pair(ev, tr)
     assert len(want) == 1600 and across(spark, ev, tr) == want
+
+
+def test_copies_of_one_text_are_one_class_and_keep_their_near_copies(spark, monkeypatch):
+    """A text held by many rows is no hot start, and a near copy whose own 16-word starts differ meets it."""
+    rng = random.Random(22)
+    v = voc(rng)
+    base = rng.choices(v, k=64)
+    ev = [even_edits(base, 4, "v")] + [" ".join(rng.choices(v, k=40)) for _ in range(10)]
+    tr = [" ".join(base)] * 60 + [" ".join(rng.choices(v, k=40)) for _ in range(20)]
+    monkeypatch.setattr(overlap, "HOT_LEAST", 50)
+    hot = []
+    real = overlap._hot_starts
+    monkeypatch.setattr(overlap, "_hot_starts", lambda *a: hot.append(real(*a)) or hot[-1])
+    want = every_pair(ev, tr)
+    assert len(want) == 60 and across(spark, ev, tr) == want and len(hot[0]) == 0
