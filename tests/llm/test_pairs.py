@@ -270,3 +270,13 @@ def test_copies_of_one_text_are_one_class_and_keep_their_near_copies(spark, monk
     monkeypatch.setattr(overlap, "_hot_starts", lambda *a: hot.append(real(*a)) or hot[-1])
     want = every_pair(ev, tr)
     assert len(want) == 60 and across(spark, ev, tr) == want and len(hot[0]) == 0
+
+
+def test_records_of_one_template_are_whole(spark, monkeypatch):
+    """Records that differ only in the last word, their starts routed as hot: longer prefixes are over every bound or unique."""
+    rng = random.Random(23)
+    base = " ".join(rng.choices(voc(rng), k=47))
+    ev, tr = [f"{base} qe{i}" for i in range(50)], [f"{base} qt{i}" for i in range(50)]
+    monkeypatch.setattr(overlap, "HOT_LEAST", 50)
+    want = every_pair(ev, tr)
+    assert len(want) == 2500 and across(spark, ev, tr) == want
