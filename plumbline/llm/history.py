@@ -21,13 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wording
+from . import bags, wording
 from .overlap import parts_of
 from .store import written
 
 SMALL, LARGE, TINY = 3, 12, 24
-COMMON = 48
-COVER, POOR = 0.2, 0.7
+COVER = 0.2
 RECORD = "id string, batch_no int, ok boolean, qkey long, hash string, wkey long, n int, lens binary, toks binary"
 
 
@@ -114,22 +113,6 @@ def _chunk_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["qkey", "skey", "n", "chunk", "wide", "size"])
 
 
-def chunk_table(nodes: DataFrame) -> DataFrame:
-    """The persistent table: qkey, skey, n, chunk, size. Chunks that too many states have give way to wider ones."""
-    rows = nodes.select("qkey", "skey", "n", "lens", "toks").mapInArrow(_chunk_rows, "qkey long, skey long, n int, chunk long, wide long, size int")
-    rows = written(rows, "p2-chunks")
-    common = rows.groupBy("chunk").count().where(F.col("count") > COMMON).select("chunk")
-    rare = rows.join(common, "chunk", "left_anti").select("qkey", "skey", "n", "chunk", "size")
-    wide = written(rows.join(common, "chunk", "left_semi").groupBy("qkey", "skey", "n", F.col("wide").alias("chunk")).agg(F.sum("size").cast("int").alias("size")), "p2-wide")
-    shared = wide.groupBy("chunk").count().where(F.col("count") > 1)
-    held = wide.join(shared.where(F.col("count") <= 20 * COMMON).select("chunk"), "chunk", "left_semi")
-    usable = rare.unionByName(held)
-    hot = wide.join(shared.where(F.col("count") > 20 * COMMON).select("chunk"), "chunk", "left_semi")
-    # a pair shares at least half of its words, so one of which a state keeps POOR usable still shares COVER of them
-    rich = usable.groupBy("qkey", "skey").agg(F.sum("size").alias("words"), F.max("n").alias("n")).where(F.col("words") >= POOR * F.col("n")).select("qkey", "skey")
-    return usable.unionByName(hot.join(rich, ["qkey", "skey"], "left_anti"))
-
-
 def _compare(batches):
     for batch in batches:
         c = {x: batch.column(x).to_pylist() for x in ("qkey", "a", "b", "la", "ta", "lb", "tb")}
@@ -145,14 +128,13 @@ def repeats(feedback: DataFrame) -> DataFrame:
     states = written(states, "p2-states")
     span = states.groupBy("qkey", "skey").agg(F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("first_ok"), F.max("batch_no").alias("last"))
     words = records.where("wkey is not null").groupBy(F.col("wkey").alias("skey")).agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"))
-    nodes = written(span.join(words, "skey"), "p2-nodes")
-    table = written(chunk_table(nodes).join(nodes.select("qkey", "skey", "first_ok", "last"), ["qkey", "skey"]), "p2-table")
-    old = table.where("first_ok is not null").select("qkey", "chunk", "size", F.col("skey").alias("a"), F.col("n").alias("na"), F.col("first_ok"))
-    new = table.select("qkey", "chunk", F.col("skey").alias("b"), F.col("n").alias("nb"), "last")
-    shared = old.join(new, ["qkey", "chunk"]).where("first_ok < last and a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
-    candidates = shared.groupBy("qkey", "a", "b").agg(F.sum("size").alias("words"), F.min(F.least("na", "nb")).alias("n")).where(F.col("words") >= COVER * F.col("n"))
-    side = lambda x: nodes.select("qkey", F.col("skey").alias(x), F.col("lens").alias(f"l{x}"), F.col("toks").alias(f"t{x}"))
-    near = candidates.select("qkey", "a", "b").join(side("a"), ["qkey", "a"]).join(side("b"), ["qkey", "b"]).mapInArrow(_compare, "qkey long, a long, b long")
+    nodes = written(span.join(words, "skey").withColumn("node", F.xxhash64("qkey", "skey")), "p2-nodes")
+    # a: accepted at some time, b: any; of one question
+    sides = nodes.select(F.col("node").alias("cls"), "n", F.col("first_ok").isNotNull().alias("ev"), F.lit(True).alias("tr"), F.col("qkey").alias("space"), "toks")
+    pairs = written(bags.possible_pairs(sides).select("a", "b"), "p2-pairs")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("qkey").alias(f"q{x}"), F.col("skey").alias(f"s{x}"), F.col("first_ok" if x == "a" else "last").alias(f"at_{x}"), F.col("lens").alias(f"l{x}"), F.col("toks").alias(f"t{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where("qa = qb and sa <> sb and at_a < at_b")
+    near = near.select(F.col("qa").alias("qkey"), F.col("sa").alias("a"), F.col("sb").alias("b"), "la", "ta", "lb", "tb").mapInArrow(_compare, "qkey long, a long, b long")
     earlier = states.where("ok").select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba"))
     later = states.select("qkey", F.col("skey").alias("b"), F.col("id").alias("later_id"), F.col("batch_no").alias("bb"))
     same = earlier.join(later.withColumnRenamed("b", "a"), ["qkey", "a"]).where("ba < bb").select("earlier_id", "later_id")

@@ -280,3 +280,25 @@ def test_records_of_one_template_are_whole(spark, monkeypatch):
     monkeypatch.setattr(overlap, "HOT_LEAST", 50)
     want = every_pair(ev, tr)
     assert len(want) == 2500 and across(spark, ev, tr) == want
+
+
+FEEDBACK = "id string, batch_no int, review struct<status: string>, question struct<type: string, instructions: string, options: array<string>, levels: array<string>>, state string, state_sha256 string"
+
+
+def in_two_batches(old, new):
+    """Accepted states of batch 1 and states of batch 2, of one question."""
+    q = ("noul", "Is it so?", None, None)
+    return [(f"a-{i}", 1, ("confirmed",), q, t, None) for i, t in enumerate(old)] + [(f"b-{i}", 2, None, q, t, None) for i, t in enumerate(new)]
+
+
+def repeated(old, new):
+    return {(f"a-{i}", f"b-{j}") for i, a in enumerate(map(parts, old)) for j, b in enumerate(map(parts, new)) if wording.near_same(a, b)}
+
+
+def test_repeats_with_much_history_are_whole(spark):
+    """Sixty states of one wording with evenly spread edits: all of their common chunks are common."""
+    rng = random.Random(31)
+    base = rng.choices(voc(rng), k=64)
+    old, new = ([even_edits(base, 4, f"{x}{i}", i) for i in range(60)] for x in "ab")
+    got = {tuple(r) for r in history.repeats(spark.createDataFrame(in_two_batches(old, new), FEEDBACK)).collect()}
+    assert got == repeated(old, new) and len(got) == 3600
