@@ -1,12 +1,10 @@
-"""Deduplicating new batches against all history by content-defined chunks.
+"""Deduplicating new batches against all history by words that no n/8 edits can take away.
 
-A state's words are cut where a rolling hash of the words falls on a boundary, so an edit moves no cut but its
-own. The chunk table (question, chunk, state, bytes) is kept; a new batch meets it by question and
-chunk, shared bytes are summed per pair of states, and pairs that cover at least COVER of the shorter one are
-decided by an exact comparison. Accepted records append their chunks. Chunks are made at two scales: a short
-chunk that more than COMMON states of a question have gives way to the long chunk around it, and a long chunk that more
-than 20 COMMON states have is kept only for states of which the other chunks cover less than POOR, so boilerplate does
-not multiply and no state is left without chunks; equal states are one row of the table from the start.
+Two near-same states of a question share one of the first n/8 + 1 of their words, rarest first (`bags`), so every pair
+that does is decided by an exact comparison, unless the lengths or the counts of words show that it can't be near-same. A
+repeated word is another entry each time, and short and long states are treated alike. The table of words (question,
+state, length, word) is kept; a new batch meets it by its n/8 + 1 words that are rarest in the history. Accepted records
+append their words. Equal states are one row of the table from the start.
 
 A null or redacted state takes that of another record with the same hash, in either order of arrival;
 without one, it matches by its hash alone. Null hashes, questions and batches: a record without hash and state matches
@@ -20,13 +18,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bags, wording
 from .overlap import parts_of
 from .store import written
 
-SMALL, LARGE, TINY = 3, 12, 24
-COVER = 0.2
 RECORD = "id string, batch_no int, ok boolean, qkey long, hash string, wkey long, n int, lens binary, toks binary"
 
 
@@ -79,38 +76,17 @@ def read_records(feedback: DataFrame) -> DataFrame:
     return rows.where("id is not null and batch_no is not null").mapInArrow(_records, RECORD)
 
 
-def chunks(words: np.ndarray, mean: int) -> list[tuple[int, int]]:
-    """Content-defined chunks of about mean words: a cut follows a word whose rolling hash is a multiple of mean."""
-    if mean <= 1 or len(words) < 2:
-        return [(i, i + 1) for i in range(len(words))]
-    roll = words.astype(np.int64) * 2654435761
-    roll[1:] = roll[1:] if mean <= SMALL else roll[1:] + words[:-1].astype(np.int64) * 40503
-    cut = np.flatnonzero((roll >> 9) % mean == 0) + 1
-    edges = np.unique(np.r_[0, cut, len(words)]).tolist()
-    return list(zip(edges[:-1], edges[1:]))
+def _word_rows(batches):
+    """qkey, skey, n, toks -> a row for each word with its key of `bags`: the second time a word stands in a state it is another."""
+    for batch in bags.slices(batches, 2):
+        q, k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        rec, key, _ = bags.entries_of(q, batch.column(3).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(q[rec], pa.int64()), pa.array(k[rec], pa.int64()), pa.array(n[rec], pa.int32()), pa.array(key.view(np.int64), pa.int64())], ["qkey", "skey", "n", "word"])
 
 
-def _chunk_rows(batches):
-    """qkey, skey, n, lens, toks -> a row for each small chunk: its key, the key of the large chunk around it, and its words."""
-    for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for q, s, n, lens, toks in zip(*(batch.column(c).to_pylist() for c in ("qkey", "skey", "n", "lens", "toks"))):
-            seen = set()
-            for p in parts_of(lens, toks):
-                small = chunks(p, 1 if n < TINY else SMALL)
-                large = chunks(p, LARGE)
-                k = 0
-                for a, b in small:
-                    while large[k][1] <= a:
-                        k += 1
-                    key = xxhash.xxh3_64_intdigest(p[a:b].tobytes(), q & 0xFFFFFFFF) >> 1
-                    wide = xxhash.xxh3_64_intdigest(p[large[k][0] : large[k][1]].tobytes(), (q ^ 1) & 0xFFFFFFFF) >> 1
-                    if key not in seen:
-                        seen.add(key)
-                        for column, value in zip(out, (q, s, n, key, wide, b - a)):
-                            column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["qkey", "skey", "n", "chunk", "wide", "size"])
+def word_table(nodes: DataFrame) -> DataFrame:
+    """The table that is kept: qkey, skey, n, word."""
+    return nodes.select("qkey", "skey", "n", "toks").mapInArrow(_word_rows, "qkey long, skey long, n int, word long")
 
 
 def _compare(batches):
@@ -143,15 +119,17 @@ def repeats(feedback: DataFrame) -> DataFrame:
 
 
 def append(path: str, batch: DataFrame) -> None:
-    """Add the records of a batch to the kept history: records with their wordings, and the chunks of those accepted."""
+    """Add the records of a batch to the kept history: records with their wordings, and the words of those accepted."""
     records = read_records(batch)
     records.write.mode("append").parquet(f"{path}/records")
     nodes = records.where("ok and wkey is not null").select("qkey", F.col("wkey").alias("skey"), "n", "lens", "toks").dropDuplicates(["qkey", "skey"])
-    nodes.mapInArrow(_chunk_rows, "qkey long, skey long, n int, chunk long, wide long, size int").write.mode("append").parquet(f"{path}/chunks")
+    word_table(nodes).write.mode("append").parquet(f"{path}/words")
 
 
 def against(path: str, batch: DataFrame) -> DataFrame:
-    """(earlier_id, later_id) of a new batch against the kept history, without reading the history's texts again: only chunks of the batch are looked up."""
+    """(earlier_id, later_id) of a new batch against the kept history, without reading the history's texts again: only the words of the batch are looked up.
+
+    A state of the batch shares all but n/8 of its words with a near-same one, so one of any n/8 + 1; the rarest in the history are taken."""
     spark = batch.sparkSession
     old = spark.read.parquet(f"{path}/records")
     new = written(read_records(batch), "p2-batch")
@@ -160,10 +138,13 @@ def against(path: str, batch: DataFrame) -> DataFrame:
     before, after = keyed(old).where("ok").select("qkey", "skey", F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba")), keyed(new).select("qkey", "skey", F.col("id").alias("later_id"), F.col("batch_no").alias("bb"))
     same = before.join(after, ["qkey", "skey"]).where("ba < bb").select("earlier_id", "later_id")
     words = lambda r, x: r.where("wkey is not null").select("qkey", F.col("wkey").alias(x), F.col("lens").alias(f"l{x}"), F.col("toks").alias(f"t{x}")).dropDuplicates(["qkey", x])
-    probes = new.where("wkey is not null").select("qkey", F.col("wkey").alias("skey"), "n", "lens", "toks").dropDuplicates(["qkey", "skey"]).mapInArrow(_chunk_rows, "qkey long, skey long, n int, chunk long, wide long, size int")
-    kept = spark.read.parquet(f"{path}/chunks").dropDuplicates(["qkey", "skey", "chunk"]).select("qkey", "chunk", "size", F.col("skey").alias("a"), F.col("n").alias("na"))
-    hits = probes.select("qkey", "chunk", F.col("skey").alias("b"), F.col("n").alias("nb")).join(kept, ["qkey", "chunk"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
-    pairs = hits.groupBy("qkey", "a", "b").agg(F.sum("size").alias("words"), F.min(F.least("na", "nb")).alias("n")).where(F.col("words") >= COVER * F.col("n")).select("qkey", "a", "b")
+    kept = spark.read.parquet(f"{path}/words").dropDuplicates(["qkey", "skey", "word"])
+    probes = written(word_table(new.where("wkey is not null").select("qkey", F.col("wkey").alias("skey"), "n", "lens", "toks").dropDuplicates(["qkey", "skey"])), "p2-probes")
+    often = kept.join(probes.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("qkey", "skey").orderBy(F.coalesce("often", F.lit(0)), "word"))
+    first = probes.join(often, "word", "left").withColumn("rank", rank).where("rank <= floor(n / 8) + 1").select("qkey", "word", F.col("skey").alias("b"), F.col("n").alias("nb"))
+    hits = first.join(kept.select("qkey", "word", F.col("skey").alias("a"), F.col("n").alias("na")), ["qkey", "word"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
+    pairs = hits.select("qkey", "a", "b").distinct()
     near = pairs.join(words(old, "a"), ["qkey", "a"]).join(words(new, "b"), ["qkey", "b"]).select("qkey", "a", "b", "la", "ta", "lb", "tb").mapInArrow(_compare, "qkey long, a long, b long")
     other = near.join(before.withColumnRenamed("skey", "a"), ["qkey", "a"]).join(after.withColumnRenamed("skey", "b"), ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id")
     return same.unionByName(other).where("earlier_id <> later_id").distinct()

@@ -302,3 +302,19 @@ def test_repeats_with_much_history_are_whole(spark):
     old, new = ([even_edits(base, 4, f"{x}{i}", i) for i in range(60)] for x in "ab")
     got = {tuple(r) for r in history.repeats(spark.createDataFrame(in_two_batches(old, new), FEEDBACK)).collect()}
     assert got == repeated(old, new) and len(got) == 3600
+
+
+def test_repeats_of_short_and_repetitive_states_are_whole(spark, tmp_path):
+    """23 against 24 words, and lines that stand many times with one word changed; also against kept history."""
+    rng = random.Random(32)
+    v = voc(rng)
+    texts = [rng.choices(v, k=24) for _ in range(60)]
+    lines = [rng.choices(v, k=3) * 20 for _ in range(10)]
+    old = [" ".join(t) for t in texts + lines]
+    new = [" ".join(t[:-1]) for t in texts] + [" ".join([*t[:30], "qq", *t[31:]]) for t in lines]
+    df = spark.createDataFrame(in_two_batches(old, new), FEEDBACK)
+    want = repeated(old, new)
+    assert len(want) == 70
+    history.append(str(tmp_path), df.where("batch_no = 1"))
+    assert {tuple(r) for r in history.against(str(tmp_path), df.where("batch_no = 2")).collect()} == want
+    assert {tuple(r) for r in history.repeats(df).collect()} == want
