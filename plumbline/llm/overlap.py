@@ -1,16 +1,20 @@
 """Records that are the same or almost the same across two sides (evaluation and training), by a suffix array.
 
-The words of all records are hashed and concatenated; every evaluation suffix and a regular sample of
-the training suffixes (each third start; each start in texts under 24 words) go to partitions by a hash of
-their first four words. A partition sorts its suffixes; where suffixes of both sides stand together, the records
-share a span. Groups of up to GROUP cross pairs are taken as they are. The records of larger ones (boilerplate, clusters
-of near copies) are compared with each other by the words that no n/8 edits can take away (`bags`), which leaves no
-near-same pair of them out. Spans are summed up to hits per pair of records. Of n words with
-at most one in eight changed at least n/8 sampled starts hit, so a pair needs n/16 of them; an exact comparison follows.
+The words of all records are hashed and concatenated. A suffix stands in the order of its words; of every evaluation suffix
+and of the training suffixes (each third start, or each start where values are short) AHEAD words are kept, and ranges
+of that order, with bounds from a sample, are the partitions. A partition sorts its suffixes; suffixes of both sides that stand
+together share a span as long as their common prefix. The spans of a pair are merged into the part of the evaluation
+record that they cover (a mask of 64 segments), summed over all partitions.
+
+How much must be covered is proved, not fitted: if at most e = n/8 words differ, the unchanged ones lie in at most e + v runs
+(v values), and runs too short for a start to be kept can only hold so many of them (`need`). Neighbourhoods of over GROUP cross
+pairs, and starts that very many records share (found on a sample, which only routes), aren't laid out as pairs: what they would have
+covered is subtracted from the need of the evaluation records in them, and records of which then nothing need be left, or whose values
+are too short for any start, are compared by the words that no n/8 edits can take away (`bags`), which leaves out nothing either.
+An exact comparison follows. Taken as given: apart from the edits, the borders of values lie alike in both records.
 
 Texts that are the same apart from differences of writing are one class from the start, so copies never
-meet each other; only the result lists their pairs. Starts that very many classes share (measured on a sample,
-which routes only) aren't gathered at all: their records are among those compared by `bags`.
+meet each other: `near_classes` gives pairs of classes and their members, and only the queries expand them.
 
 Null, empty and wordless states match nothing. Repeated rows count once. An empty side gives no rows.
 """
@@ -26,11 +30,14 @@ from pyspark.sql import functions as F
 from . import bags, wording
 from .store import written
 
-FIRST, STEP, SHORT, GROUP = 4, 3, 24, 128
+#: Words of a span at least, words kept of a suffix, the step of training starts, and cross pairs of a neighbourhood laid out.
+FIRST, AHEAD, STEP, GROUP = 4, 8, 3, 128
 #: Records of a partition of the suffix array.
-RECORDS = 6000
+RECORDS = 3000
 #: A start is routed if at least HOT_SHARE of the sampled records and by estimate HOT_LEAST records have it; SAMPLE bounds the sample.
-HOT_SHARE, HOT_LEAST, SAMPLE, SALTS = 1 / 500, 20_000, 20_000, 64
+HOT_SHARE, HOT_LEAST, SAMPLE = 1 / 500, 20_000, 20_000
+#: Sampled records for the bounds of the partitions (at least, and for each partition), and starts of each.
+BOUND_RECORDS, PER_PARTITION, BOUND_STARTS = 4000, 2, 64
 NORMAL = "id string, ev boolean, cls long, n int, lens binary, toks binary"
 U = np.uint64
 
@@ -67,12 +74,6 @@ def parts_of(lens: bytes, toks: bytes) -> list[np.ndarray]:
     return out
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (a ^ (b + U(0x9E3779B97F4A7C15))) * U(0xBF58476D1CE4E5B9)
-        return x ^ (x >> U(29))
-
-
 class Flat:
     """The values of many records one after another, with room between them, and the starts of their suffixes."""
 
@@ -96,13 +97,30 @@ class Flat:
         self.left = np.repeat(size, fits) - self.offset
         self.rec = np.repeat(np.array(rec, np.int64), fits)
         self.cls, self.ns = np.array(cls, np.int64), np.array(ns, np.int32)
-        key = np.zeros(len(self.at), U)
+        self.values = np.bincount(rec_of, minlength=len(cls)).astype(np.int64)
+        word = (self.flat.view(np.uint32) >> np.uint32(16)).astype(U)  # 16 bits a word: the order is that of the words
+        self.key, self.next = np.zeros(len(self.at), U), np.zeros(len(self.at), U)
         for k in range(FIRST):
-            key = _mix(key, self.flat[self.at + k].astype(np.int64).astype(U))
-        self.key = key
+            self.key = (self.key << U(16)) | word[self.at + k]
+            self.next = (self.next << U(16)) | word[self.at + FIRST + k]
+
+
+def need(n, v, dense):
+    """The words that must be covered in a pair whose longer text has n words, in v values: what is left when runs too short to have a start are full.
+
+    dense: each start of the training text is kept, else each third. Works on numbers, arrays and columns."""
+    e = n // 8 if not hasattr(n, "isNull") else F.floor(n / 8)
+    return n - 4 * e - 3 * (v - 1) if dense else n - 6 * e - 5 * (v - 1) - 2
+
 
+def least_need(n: np.ndarray, v: np.ndarray, dense: bool) -> np.ndarray:
+    """The need in the worst pair that a text of n words can have: with one as long, or with the next length at which one more word may differ."""
+    longer = 8 * (n // 8 + 1)
+    reached = longer - n <= longer // 8
+    return np.minimum(need(n, v, dense), np.where(reached, need(longer, v, dense), need(n, v, dense)))
 
-ENTRY = np.dtype([("key", U), ("cls", np.int64), ("n", np.int32), ("pos", np.int32), ("side", np.uint8)])
+
+ENTRY = np.dtype([("key", U), ("next", U), ("cls", np.int64), ("n", np.int32), ("pos", np.int32), ("v", np.int16), ("side", np.uint8), ("dense", np.uint8)])
 
 
 def slices(batches, words: int = 400_000):
@@ -115,33 +133,34 @@ def slices(batches, words: int = 400_000):
                 yield batch.slice(a, b - a)
 
 
-def _suffixes(parts: int, hot: np.ndarray):
-    """cls, n, lens, toks, ev, tr -> (partition, entries), one blob a partition and batch; from parts on partitions only pass on."""
+def _dense(n: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Whether each start of a training text is kept: sampled ones wouldn't be sure to cover FIRST words."""
+    return least_need(n, v, False) < FIRST
+
+
+def _suffixes(bounds: np.ndarray, hot: np.ndarray):
+    """cls, n, lens, toks, ev, tr -> (part, entries): one blob a range of the suffix order and batch, without the starts routed apart."""
 
     def run(batches):
         for batch in slices(batches):
             cls, ns, lens, toks, ev, tr = (batch.column(i).to_pylist() for i in range(6))
             f = Flat(cls, ns, lens, toks)
             ev, tr = np.array(ev, bool), np.array(tr, bool)
-            place = _place(f)
+            place, dense = _place(f), _dense(f.ns.astype(np.int64), f.values)
             blobs = []
             for side, has in ((1, ev), (0, tr)):
-                keep = has[f.rec] if len(f.rec) else np.zeros(0, bool)
+                keep = has[f.rec]
                 if not side:
-                    keep &= (f.ns[f.rec] < SHORT) | (f.offset % STEP == 0)
+                    keep &= dense[f.rec] | (f.offset % STEP == 0)
+                if len(hot):
+                    keep &= ~np.isin(f.key, hot)
                 pick = np.flatnonzero(keep)
-                e = np.zeros(len(pick), ENTRY)
-                r = f.rec[pick]
-                e["key"], e["cls"], e["n"], e["pos"], e["side"] = f.key[pick], f.cls[r], f.ns[r], place[pick], side
+                e, r = np.zeros(len(pick), ENTRY), f.rec[pick]
+                e["key"], e["next"], e["cls"], e["n"], e["pos"], e["side"] = f.key[pick], f.next[pick], f.cls[r], f.ns[r], place[pick], side
+                e["v"], e["dense"] = np.minimum(f.values[r], 32_767), dense[r]
                 blobs.append(e)
-                bags = [i for i in np.flatnonzero(has) if ns[i] < SHORT]
-                b = np.zeros(len(bags), ENTRY)
-                for k, i in enumerate(bags):  # short texts also by all their words in any order
-                    b[k]["key"] = xxhash.xxh3_64_intdigest(np.sort(np.frombuffer(toks[i], np.int32)).tobytes())
-                    b[k]["cls"], b[k]["n"], b[k]["pos"], b[k]["side"] = cls[i], ns[i], -1, side
-                blobs.append(b)
             e = np.concatenate(blobs)
-            to = np.where(np.isin(e["key"], hot), parts + e["cls"] % SALTS, ((e["key"] >> U(7)) % U(parts)).astype(np.int64))
+            to = np.searchsorted(bounds, e["key"], "right")
             order = np.argsort(to, kind="stable")
             e, to = e[order], to[order]
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
@@ -153,6 +172,43 @@ def _suffixes(parts: int, hot: np.ndarray):
     return run
 
 
+def mask_of(pos: np.ndarray, length: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The segments (64 of a text, or one a word) that a span touches, as bits."""
+    wide = np.maximum(n, 64).astype(np.int64)
+    lo = pos.astype(np.int64) * 64 // wide
+    hi = (np.minimum(pos + length, n).astype(np.int64) - 1) * 64 // wide
+    return (U(0xFFFFFFFFFFFFFFFF) >> (63 - (hi - lo)).astype(U)) << lo.astype(U)
+
+
+def _merged(keys: list[np.ndarray], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different key, and its masks as one."""
+    order = np.lexsort(keys[::-1])
+    if not len(order):
+        return order, masks
+    change = np.zeros(len(order), bool)
+    change[0] = True
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(change)
+    return order[first], np.bitwise_or.reduceat(masks[order], first)
+
+
+def _routed(hot: np.ndarray):
+    """cls, n, lens, toks, ev, tr -> per class and side what starts routed apart would have covered."""
+
+    def run(batches):
+        for batch in slices(batches):
+            cls, ns, lens, toks, ev, tr = (batch.column(i).to_pylist() for i in range(6))
+            f = Flat(cls, ns, lens, toks)
+            place, at = _place(f), np.flatnonzero(np.isin(f.key, hot))
+            one, mask = _merged([f.rec[at]], mask_of(place[at], np.full(len(at), AHEAD), f.ns[f.rec[at]]))
+            rec = f.rec[at[one]]
+            sides = [(i, m, s) for i, m in zip(rec.tolist(), mask.view(np.int64).tolist()) for s, has in ((True, ev), (False, tr)) if has[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _, _ in sides], pa.int64()), pa.array([s for _, _, s in sides], pa.bool_()), pa.array([m for _, m, _ in sides], pa.int64())], ["hot_cls", "hot_ev", "mask"])
+
+    return run
+
+
 def _place(f: Flat) -> np.ndarray:
     """The place of each start among the words of its record."""
     if not len(f.at):
@@ -169,13 +225,19 @@ def _all_of(first, ev, tr, live):
     return live[np.repeat(e_at, t_n)], live[t_at]
 
 
+def shared_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How long the common prefix of suffixes with the same FIRST words is, of AHEAD words kept."""
+    x = a ^ b
+    return FIRST + sum(((x >> U(16 * k)) == 0).astype(np.int32) for k in range(FIRST))
+
+
 def cross_pairs(e: np.ndarray):
-    """Places of pairs with a common start, and of the entries of the groups that are too large."""
-    cls, n, side = (np.ascontiguousarray(e[c]) for c in ("cls", "n", "side"))
+    """Of entries in suffix order: places of pairs with a common prefix, and of the entries in neighbourhoods too large, with the longest prefix each has there."""
+    cls, n, side, nxt = (np.ascontiguousarray(e[c]) for c in ("cls", "n", "side", "next"))
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if not len(e):
-        return out_a[0], out_b[0], out_a[0]
-    live = np.lexsort((side, e["key"]))
+        return out_a[0], out_b[0], out_a[0], np.zeros(0, np.int32)
+    live = np.lexsort((nxt, side, e["key"]))
     k = e["key"][live]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     size = np.diff(np.r_[first, len(k)])
@@ -190,51 +252,35 @@ def cross_pairs(e: np.ndarray):
             close = (8 * np.abs(n[a] - n[b]) <= np.maximum(n[a], n[b])) & (cls[a] != cls[b])
             out_a.append(a[close])
             out_b.append(b[close])
-    return np.concatenate(out_a), np.concatenate(out_b), live[np.repeat(pairs > GROUP, size)]
-
-
-#: Hits of a pair that is compared in any case.
-ENOUGH = 1 << 20
-FOUND = "a long, b long, na int, nb int, hits int, hot_cls long"
-
-
-def _table(cls, n, pos, a, b, live) -> pa.Table:
-    """Hits per pair within the partition, then the classes of the entries left over."""
-    both = np.stack([cls[a], cls[b]], 1) if len(a) else np.zeros((0, 2), np.int64)
-    order = np.lexsort((both[:, 1], both[:, 0]))
-    both, a, b = both[order], a[order], b[order]
-    first = np.flatnonzero(np.r_[True, np.any(both[1:] != both[:-1], 1)]) if len(both) else np.zeros(0, np.int64)
-    hits = np.diff(np.r_[first, len(both)]).astype(np.int32)
-    hits = np.where(pos[a[first]] < 0, ENOUGH, hits).astype(np.int32) if len(first) else hits
-    hot = np.unique(cls[live])
-    m, h = len(first), len(hot)
-    null = lambda k, t: pa.nulls(k, t)
+    order = np.lexsort((nxt, e["key"]))  # the suffix order; the longest prefix of a suffix is that with a neighbour
+    longest = np.zeros(len(e), np.int32)
+    if len(e) > 1:
+        lcp = np.where(e["key"][order][1:] == e["key"][order][:-1], shared_words(nxt[order][1:], nxt[order][:-1]), 0)
+        longest[order] = np.maximum(np.r_[0, lcp], np.r_[lcp, 0])
+    big = live[np.repeat(pairs > GROUP, size)]
+    return np.concatenate(out_a), np.concatenate(out_b), big, longest[big]
+
+
+FOUND = "a long, b long, na int, nb int, va int, vb int, dense int, mask long, hot_cls long, hot_ev boolean"
+
+
+def _partition(table: pa.Table) -> pa.Table:
+    """The pairs of a range of the suffix order with what their spans cover of the first; then what too large neighbourhoods would have covered."""
+    e = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
+    a, b, big, longest = cross_pairs(e)
+    at, mask = _merged([e["cls"][a], e["cls"][b]], mask_of(e["pos"][a], shared_words(e["next"][a], e["next"][b]), e["n"][a])) if len(a) else (a, np.zeros(0, U))
+    a, b = a[at], b[at]
+    hot, lost = _merged([e["cls"][big], e["side"][big]], mask_of(e["pos"][big], longest, e["n"][big])) if len(big) else (big, np.zeros(0, U))
+    hot = big[hot]
+    m, h = len(a), len(hot)
+    both = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(m, t), pa.array(y, t) if y is not None else pa.nulls(h, t)])
     return pa.table(
         {
-            "a": pa.concat_arrays([pa.array(both[first, 0], pa.int64()), null(h, pa.int64())]),
-            "b": pa.concat_arrays([pa.array(both[first, 1], pa.int64()), null(h, pa.int64())]),
-            "na": pa.concat_arrays([pa.array(n[a[first]], pa.int32()), null(h, pa.int32())]),
-            "nb": pa.concat_arrays([pa.array(n[b[first]], pa.int32()), null(h, pa.int32())]),
-            "hits": pa.concat_arrays([pa.array(hits, pa.int32()), null(h, pa.int32())]),
-            "hot_cls": pa.concat_arrays([null(m, pa.int64()), pa.array(hot, pa.int64())]),
+            "a": both(e["cls"][a], None, pa.int64()), "b": both(e["cls"][b], None, pa.int64()), "na": both(e["n"][a], None, pa.int32()), "nb": both(e["n"][b], None, pa.int32()),
+            "va": both(e["v"][a].astype(np.int32), None, pa.int32()), "vb": both(e["v"][b].astype(np.int32), None, pa.int32()), "dense": both(e["dense"][b].astype(np.int32), None, pa.int32()),
+            "mask": both(mask.view(np.int64), lost.view(np.int64), pa.int64()), "hot_cls": both(None, e["cls"][hot], pa.int64()), "hot_ev": both(None, e["side"][hot] == 1, pa.bool_()),
         }
-    )
-
-
-def _partition(parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
-        none = np.zeros(0, np.int64)
-        a, b, live = cross_pairs(e) if table.column("part")[0].as_py() < parts else (none, none, np.arange(len(e)))
-        return _table(*(np.ascontiguousarray(e[c]) for c in ("cls", "n", "pos")), a, b, live)
-
-    return run
-
-
-def _deeper_hits(left: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs among the classes of left-over starts (cls), each with hits enough: all that may be near-same."""
-    crowded = classes.join(left.distinct(), "cls", "left_semi").select("cls", "n", "ev", "tr", F.lit(0).cast("long").alias("space"), "toks")
-    return bags.possible_pairs(written(crowded, "p6-crowded")).withColumn("hits", F.lit(ENOUGH)).select("a", "b", "na", "nb", "hits")
+    )
 
 
 def _compare(batches):
@@ -244,56 +290,110 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array([cols[c][i] for i in keep], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
 
-def _hot_starts(records: DataFrame, count: int) -> np.ndarray:
-    """Starts of 4 words that so many records (one of each class) have that they are routed apart.
+def _hot_starts(classes: DataFrame, count: int) -> np.ndarray:
+    """Starts of FIRST words that so many records (one of each class) have that they are routed apart.
 
     Measured on about SAMPLE records; at most 1/HOT_SHARE times the mean number of words each. They route and drop nothing:
     all records with such a start go to the same exact way.
     """
     if count < HOT_LEAST:
         return np.zeros(0, U)
-    sample = records.sample(min(1.0, SAMPLE / max(count, 1)), seed=7) if count > SAMPLE else records
+    sample = classes.sample(min(1.0, SAMPLE / max(count, 1)), seed=7) if count > SAMPLE else classes
 
     def starts(batches):
         for batch in slices(batches):
             f = Flat(*(batch.column(i).to_pylist() for i in range(4)))
-            pairs = np.unique(np.stack([f.key.astype(np.int64), f.rec], 1), axis=0)
+            pairs = np.unique(np.stack([f.key.view(np.int64), f.rec], 1), axis=0)
             x, c = np.unique(pairs[:, 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(x[c > 1], pa.int64()), pa.array(c[c > 1], pa.int64())], ["key", "n"])
 
     least = min(count, SAMPLE) * max(HOT_SHARE, HOT_LEAST / count)
     rows = sample.select("cls", "n", "lens", "toks").mapInArrow(starts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
-    return np.array([r.key for r in rows], np.int64).astype(U)
+    return np.array([r.key for r in rows], np.int64).view(U)
 
 
-def near_same_across(records: DataFrame) -> DataFrame:
-    """Pairs (ev_id, tr_id) of the same or near-same text; records: id, ev (boolean: evaluation side), text."""
-    spark = records.sparkSession
-    normal = written(records.select(F.col("id").cast("string"), F.col("ev").cast("boolean"), F.col("text").cast("string")).where("text is not null and ev is not null and id is not null").mapInArrow(normalise, NORMAL), "p6-words")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-normal.count() // RECORDS))
-    classes = normal.groupBy("cls").agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"), F.max("ev").alias("e"), F.min("ev").alias("low"))
-    classes = classes.select("cls", "n", "lens", "toks", F.col("e").alias("ev"), (~F.col("low")).alias("tr"))
+def _bounds(classes: DataFrame, count: int, parts: int) -> np.ndarray:
+    """Bounds of the ranges of the suffix order, from at most BOUND_STARTS starts of each of a bounded number of records."""
+    wanted = max(BOUND_RECORDS, PER_PARTITION * parts)
+    sample = classes.sample(min(1.0, wanted / max(count, 1)), seed=9) if count > wanted else classes
+
+    def starts(batches):
+        for batch in slices(batches):
+            f = Flat(*(batch.column(i).to_pylist() for i in range(4)))
+            many = np.bincount(f.rec, minlength=batch.num_rows)
+            rank = np.arange(len(f.rec)) - np.repeat(np.cumsum(many) - many, many)
+            keep = rank % np.maximum(1, -(-many[f.rec] // BOUND_STARTS)) == 0
+            yield pa.RecordBatch.from_arrays([pa.array(f.key[keep].view(np.int64), pa.int64())], ["key"])
+
+    got = sample.select("cls", "n", "lens", "toks").mapInArrow(starts, "key long").toArrow()
+    keys = np.sort(got.column("key").to_numpy().view(U))
+    return np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if len(keys) else keys
+
+
+def _spans(classes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with what is covered, and per class and side what neighbourhoods too large and routed starts would have covered."""
+    spark = classes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RECORDS))
+    hot = _hot_starts(classes, count)
+    entries = classes.mapInArrow(_suffixes(_bounds(classes, count, parts), hot), "part int, entries binary")
+    # the number of partitions is stated, so that they are not put together to larger ones
+    found = written(entries.repartition(parts, "part").groupBy("part").applyInArrow(_partition, FOUND), "p6-spans")
+    lost = found.where("hot_cls is not null").select("hot_cls", "hot_ev", "mask")
+    if len(hot):
+        lost = lost.unionByName(classes.mapInArrow(_routed(hot), "hot_cls long, hot_ev boolean, mask long"))
+    spans = found.where("a is not null").groupBy("a", "b").agg(F.bit_or("mask").alias("mask"), *[F.max(c).alias(c) for c in ("na", "nb", "va", "vb", "dense")])
+    return spans, lost.groupBy(F.col("hot_cls").alias("cls"), F.col("hot_ev").alias("side")).agg(F.bit_or("mask").alias("lost"))
+
+
+def _worst(n, v, dense: bool):
+    """least_need as a column."""
+    longer = 8 * (F.floor(n / 8) + 1)
+    return F.least(need(n, v, dense), F.when(longer - n <= F.floor(longer / 8), need(longer, v, dense)).otherwise(need(n, v, dense)))
+
+
+def candidates_of(classes: DataFrame, count: int) -> DataFrame:
+    """a, b: every pair of an evaluation and a training class that may be near-same."""
+    spans, lost = _spans(classes, count)
+    lost = written(lost, "p6-lost")
+    words = lambda mask, n: F.bit_count(mask) * F.greatest(n, F.lit(64)) / 64
+    n, v = F.greatest("na", "nb"), F.greatest("va", "vb")
+    wanted = F.when(F.col("dense") == 1, need(n, v, True)).otherwise(need(n, v, False))
+    by_spans = spans.join(lost.where("side").select(F.col("cls").alias("a"), "lost"), "a", "left")
+    by_spans = by_spans.where(words(F.col("mask"), F.col("na")) >= F.greatest(F.lit(FIRST), wanted - F.coalesce(F.ceil(words(F.col("lost"), F.col("na"))), F.lit(0)))).select("a", "b")
+    # the rest: too short values, and evaluation records of which nothing need be covered outside the large neighbourhoods, with the training records in these
+    n, v = F.col("n"), F.octet_length("lens") / 4
+    thin = _worst(n, v, True) < FIRST + 5 + F.floor(n / 8)
+    left = lambda side, name: lost.where("side" if side else "not side").select("cls", F.col("lost").alias(name))
+    both = classes.join(left(True, "le"), "cls", "left").join(left(False, "lt"), "cls", "left")
+    bare = _worst(n, v, False) - F.ceil(words(F.col("le"), n)) < FIRST
+    both = both.select("cls", "n", (F.col("ev") & (thin | F.coalesce(bare, F.lit(False)))).alias("ev"), (F.col("tr") & (thin | F.col("lt").isNotNull())).alias("tr"), F.lit(0).cast("long").alias("space"), "toks")
+    rest = written(both.where("ev or tr"), "p6-rest")
+    if rest.agg(F.bool_or("ev")).first()[0]:
+        by_spans = by_spans.unionByName(bags.possible_pairs(rest).select("a", "b"))
+    return by_spans.distinct()
+
+
+def near_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (cls, id, ev) and pairs (a, b) of near-same classes, a with evaluation and b with training members; records: id, ev (boolean), text.
+
+    Records of one class have the same text; a class with members of both sides is no pair with itself."""
+    kept = records.select(F.col("id").cast("string"), F.col("ev").cast("boolean"), F.col("text").cast("string")).where("text is not null and ev is not null and id is not null")
+    normal = written(kept.mapInArrow(normalise, NORMAL), "p6-words")
+    classes = normal.groupBy("cls").agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"), F.max("ev").alias("ev"), (~F.min("ev")).alias("tr"))
     classes = written(classes, "p6-classes")
-    hot = _hot_starts(classes, classes.count())
-    found = written(classes.mapInArrow(_suffixes(parts, hot), "part int, entries binary").groupBy("part").applyInArrow(_partition(parts), FOUND), "p6-spans")
-    hits = found.where("a is not null").select("a", "b", "na", "nb", "hits")
-    left = found.where("hot_cls is not null").select(F.col("hot_cls").alias("cls"))
-    if not left.isEmpty():
-        hits = hits.unionByName(_deeper_hits(left, classes))
-    candidates = written(
-        hits.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("na").alias("na"), F.max("nb").alias("nb")).where("16 * hits >= greatest(16, least(na, nb))").select("a", "b"), "p6-candidates"
-    )
+    candidates = written(candidates_of(classes, classes.count()), "p6-candidates")
     wanted = candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))).distinct()
-    words = written(normal.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("lens").alias("l"), F.first("toks").alias("t")), "p6-compared")
-    near = (
-        candidates.join(words.select(F.col("cls").alias("a"), F.col("l").alias("la"), F.col("t").alias("ta")), "a")
-        .join(words.select(F.col("cls").alias("b"), F.col("l").alias("lb"), F.col("t").alias("tb")), "b")
-        .select("a", "b", "la", "ta", "lb", "tb")
-        .mapInArrow(_compare, "a long, b long")
-    )
-    ids = normal.select("cls", "id", "ev").distinct()
-    ev = ids.where("ev").select(F.col("cls").alias("a"), F.col("id").alias("ev_id"))
-    tr = ids.where("not ev").select(F.col("cls").alias("b"), F.col("id").alias("tr_id"))
+    words = written(classes.join(wanted, "cls", "left_semi").select("cls", F.col("lens").alias("l"), F.col("toks").alias("t")), "p6-compared")
+    side = lambda x: words.select(F.col("cls").alias(x), F.col("l").alias(f"l{x}"), F.col("t").alias(f"t{x}"))
+    near = candidates.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "ta", "lb", "tb").mapInArrow(_compare, "a long, b long")
+    return normal.select("cls", "id", "ev").distinct(), near
+
+
+def near_same_across(records: DataFrame) -> DataFrame:
+    """Pairs (ev_id, tr_id) of the same or near-same text, expanded from near_classes."""
+    members, near = near_classes(records)
+    ev = members.where("ev").select(F.col("cls").alias("a"), F.col("id").alias("ev_id"))
+    tr = members.where("not ev").select(F.col("cls").alias("b"), F.col("id").alias("tr_id"))
     same = ev.join(tr, ev["a"] == tr["b"]).select("ev_id", "tr_id")
     other = near.join(ev, "a").join(tr, "b").select("ev_id", "tr_id")
     return same.unionByName(other).distinct()

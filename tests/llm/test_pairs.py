@@ -115,8 +115,8 @@ def test_hot_starts_are_routed(spark, monkeypatch):
     monkeypatch.setattr(overlap, "HOT_LEAST", 50)
     monkeypatch.setattr(overlap, "GROUP", 4)
     routed = []
-    real = overlap._deeper_hits
-    monkeypatch.setattr(overlap, "_deeper_hits", lambda *a: (routed.append(1), real(*a))[1])
+    real = overlap.bags.possible_pairs
+    monkeypatch.setattr(overlap.bags, "possible_pairs", lambda *a: (routed.append(1), real(*a))[1])
     assert {tuple(r) for r in overlap.near_same_across(df).collect()} == usual and len(usual) >= 95 and routed
 
 
@@ -272,6 +272,46 @@ def test_copies_of_one_text_are_one_class_and_keep_their_near_copies(spark, monk
     assert len(want) == 60 and across(spark, ev, tr) == want and len(hot[0]) == 0
 
 
+@pytest.mark.parametrize("size, words, edits", [(20, 64, 8), (75, 64, 4), (75, 160, 10), (75, 160, 4), (12, 33, 4), (12, 100, 12)])
+def test_clusters_of_near_copies_are_whole(spark, size, words, edits):
+    """Near copies of one text with edits at random places, in clusters small and large."""
+    rng = random.Random(words + edits)
+    base = rng.choices(voc(rng), k=words)
+
+    def copy(mark):
+        out = list(base)
+        for k in rng.sample(range(words), edits if edits * 16 > words else edits // 2 + 1):
+            out[k] = f"zq{mark}x{k}"
+        return " ".join(out)
+
+    ev, tr = [copy(f"e{i}") for i in range(size)], [copy(f"t{i}") for i in range(size)]
+    if edits * 8 >= words - 7:  # of these only the pairs with the text itself are near-same
+        ev[0] = " ".join(base)
+    want = every_pair(ev, tr)
+    assert len(want) >= size and across(spark, ev, tr) == want
+
+
+def test_values_short_and_long_and_in_any_order_are_whole(spark):
+    """JSON records of two to twelve values, some of them of one word, under other field names."""
+    rng = random.Random(24)
+    v = voc(rng)
+    ev, tr = [], []
+    for i in range(120):
+        values = [rng.choices(v, k=rng.choice([1, 2, 3, 5, 12, 30])) for _ in range(rng.randint(2, 12))]
+        n = sum(map(len, values))
+        other = [list(x) for x in values]
+        for at in rng.sample(range(n), n // 8):
+            for x in other:
+                if at < len(x):
+                    x[at] = f"zq{i}x{at}"
+                    break
+                at -= len(x)
+        ev.append(json.dumps({f"k{j:02d}": " ".join(x) for j, x in enumerate(values)}))
+        tr.append(json.dumps({f"f{j:02d}": " ".join(x) for j, x in enumerate(other)}))
+    want = every_pair(ev, tr)
+    assert len(want) == 120 and across(spark, ev, tr) == want
+
+
 def test_records_of_one_template_are_whole(spark, monkeypatch):
     """Records that differ only in the last word, their starts routed as hot: longer prefixes are over every bound or unique."""
     rng = random.Random(23)
