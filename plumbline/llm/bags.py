@@ -58,6 +58,15 @@ def entries_of(space: np.ndarray, toks: list[bytes]) -> tuple[np.ndarray, np.nda
     return rec, mix(mix(word, times.astype(U)), space[rec].astype(U)), word
 
 
+def alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Places of the pairs of wordings that share all but n/8 of their words, in any order: others can't be near-same."""
+    none = np.zeros(len(a), np.int64)
+    (ra, ka, _), (rb, kb, _) = entries_of(none, a), entries_of(none, b)
+    shared = np.bincount(ra[np.isin(mix(ka, ra.astype(U)), mix(kb, rb.astype(U)), assume_unique=True)], minlength=len(a))
+    most = np.maximum(np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(a)))
+    return np.flatnonzero((most - shared <= most // 8) & (most > 0))
+
+
 def bucket_of(key: np.ndarray) -> np.ndarray:
     return (key & U(BUCKETS - 1)).astype(np.int64)
 

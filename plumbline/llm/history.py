@@ -1,10 +1,16 @@
-"""Deduplicating new batches against all history by words that no n/8 edits can take away.
+"""Deduplicating new batches against all history by content-defined chunks.
 
-Two near-same states of a question share one of the first n/8 + 1 of their words, rarest first (`bags`), so every pair
-that does is decided by an exact comparison, unless the lengths or the counts of words show that it can't be near-same. A
-repeated word is another entry each time, and short and long states are treated alike. The table of words (question,
-state, length, word) is kept; a new batch meets it by its n/8 + 1 words that are rarest in the history. Accepted records
-append their words. Equal states are one row of the table from the start.
+The words of a state are cut where a rolling hash (its window is the word just read) says so, into chunks of MEAN words on the
+mean; the end of a value ends a chunk. A changed, dropped or added word destroys two chunks at most, so of the c chunks of a state at least c - 2 e
+stand in every near-same one, with e = n/7 edits at most. A persistent table tells which states hold a chunk (a chunk met the second time in a state
+counts as another one). A new batch looks up the 2 e + BEYOND chunks of each state that are rarest in the table: all but 2 e of them are
+left in every near-same state. The few states with at most 2 e chunks are also kept and looked up word by word (e + BEYOND words), so short and
+repetitive states lose nothing either.
+
+The table yields how many bytes two states share. Pairs are decided by coverage: the shared bytes must be at least all but those of the
+2 e largest chunks, on both sides, which each near-same pair keeps; an exact comparison follows. Then the chunks of the accepted records are
+appended. `repeats` does the same for a whole table: it appends all batches and looks all up, and the batch
+numbers decide which comes first. Taken as given: apart from the edits, the borders of values lie alike in both states.
 
 A null or redacted state takes that of another record with the same hash, in either order of arrival;
 without one, it matches by its hash alone. Null hashes, questions and batches: a record without hash and state matches
@@ -13,18 +19,24 @@ nothing, a null question equals a null question, a record without batch_no takes
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import bags, wording
 from .overlap import parts_of
-from .store import written
+from .store import shared_folder, written
 
-RECORD = "id string, batch_no int, ok boolean, qkey long, hash string, wkey long, n int, lens binary, toks binary"
+RECORD = "id string, batch_no int, ok boolean, qkey long, hash string, wkey long, n int, lens binary, toks binary, sizes binary"
+#: Words of a chunk on the mean, and chunks that are looked up beyond those that edits can destroy.
+MEAN, BEYOND = 2, 4
+#: Shares of the table from which a bucket of chunks is salted, and rows of one salt.
+HOT, SALTED = 1000, 100_000
+U = np.uint64
 
 
 def question_key(question: dict | None) -> int:
@@ -50,7 +62,7 @@ def is_redacted(state: str | None) -> bool:
 def _records(batches):
     memo: dict = {}
     for batch in batches:
-        out: list[list] = [[] for _ in range(9)]
+        out: list[list] = [[] for _ in range(10)]
         cols = {c: batch.column(c).to_pylist() for c in ("id", "batch_no", "ok", "question", "state", "state_sha256")}
         for rid, b, ok, q, state, sha in zip(*cols.values()):
             qs = repr(q)
@@ -58,16 +70,20 @@ def _records(batches):
                 if len(memo) > 5000:
                     memo.clear()
                 memo[qs] = question_key(q)
-            parts = [] if is_redacted(state) else [wording.hashes(w) for w in wording.words(state)]
+            said = [] if is_redacted(state) else wording.words(state)
+            parts = [wording.hashes(w) for w in said]
             h = hash_key(sha)
             if not parts and h is None:
                 continue
             wkey = xxhash.xxh3_64_intdigest(b"".join(sorted(xxhash.xxh3_64_digest(p.tobytes()) for p in parts))) >> 1 if parts else None
-            row = (rid, b, bool(ok), memo[qs], h, wkey, sum(map(len, parts)), np.array([len(p) for p in parts], np.int32).tobytes() if parts else None, np.concatenate([(p >> 31).astype(np.int32) for p in parts]).tobytes() if parts else None)
+            row = (rid, b, bool(ok), memo[qs], h, wkey, sum(map(len, parts)), None, None, None)
+            if parts:
+                lens, toks = np.array([len(p) for p in parts], np.int32), np.concatenate([(p >> 31).astype(np.int32) for p in parts])
+                row = (*row[:7], lens.tobytes(), toks.tobytes(), bytes(min(255, len(x) if x.isascii() else len(x.encode())) for w in said for x in w))
             for column, value in zip(out, row):
                 column.append(value)
-        types = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "batch_no", "ok", "qkey", "hash", "wkey", "n", "lens", "toks"])
+        types = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "batch_no", "ok", "qkey", "hash", "wkey", "n", "lens", "toks", "sizes"])
 
 
 def read_records(feedback: DataFrame) -> DataFrame:
@@ -76,78 +92,212 @@ def read_records(feedback: DataFrame) -> DataFrame:
     return rows.where("id is not null and batch_no is not null").mapInArrow(_records, RECORD)
 
 
-def _word_rows(batches):
-    """qkey, skey, n, toks -> a row for each word with its key of `bags`: the second time a word stands in a state it is another."""
-    for batch in bags.slices(batches, 2):
-        q, k, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        rec, key, _ = bags.entries_of(q, batch.column(3).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(q[rec], pa.int64()), pa.array(k[rec], pa.int64()), pa.array(n[rec], pa.int32()), pa.array(key.view(np.int64), pa.int64())], ["qkey", "skey", "n", "word"])
+POWER = U(0xD1342543DE82EF95)
+#: Its inverse modulo 2^64: chunk hashes are differences of one running sum.
+INVERSE = U(pow(0xD1342543DE82EF95, -1, 1 << 64))
+
+
+def most_edits(n):
+    """The most words that may differ between a state of n words and a near-same one."""
+    return n // 7
+
+
+def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: list[bytes]):
+    """record, key, bytes and whether it is a single word, of every chunk of the states; keys differ by space and by how often a chunk was met in its state."""
+    word = np.frombuffer(b"".join(toks), np.int32).astype(np.int64).astype(U)
+    size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
+    many = np.array([len(t) // 4 for t in toks], np.int64)
+    rec = np.repeat(np.arange(len(toks)), many)
+    last = np.zeros(len(word), bool)
+    values = np.frombuffer(b"".join(lens), np.int32)
+    last[np.cumsum(values[values > 0]) - 1] = True
+    with np.errstate(over="ignore"):
+        roll = bags.mix(word, np.zeros(len(word), U))
+        end = np.flatnonzero(((roll >> U(20)) % U(MEAN) == 0) | last) + 1
+        begin = np.r_[0, end[:-1]] if len(end) else end
+        power = np.cumprod(np.r_[U(1), np.full(len(word), INVERSE)])
+        back = np.cumprod(np.r_[U(1), np.full(len(word), POWER)])
+        sums = np.r_[U(0), np.cumsum((roll | U(1)) * power[: len(word)])]
+        value = (sums[end] - sums[begin]) * back[begin]
+    weight = np.r_[0, np.cumsum(size)]
+    owner = rec[begin] if len(begin) else rec
+    few = np.bincount(owner, minlength=len(toks)) <= 2 * most_edits(many)
+    alone = np.flatnonzero(few[rec]) if len(rec) else rec
+    found_rec, found, found_size = np.r_[owner, rec[alone]], np.r_[value, word[alone]], np.r_[weight[end] - weight[begin], size[alone]]
+    single = np.r_[np.zeros(len(owner), bool), np.ones(len(alone), bool)]
+    order = np.lexsort((found, single, found_rec))
+    found_rec, found, found_size, single = found_rec[order], found[order], found_size[order], single[order]
+    change = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (found_rec[1:] != found_rec[:-1]) | (single[1:] != single[:-1])]) if len(found) else np.zeros(0, np.int64)
+    times = np.arange(len(found)) - np.repeat(change, np.diff(np.r_[change, len(found)]))
+    key = bags.mix(bags.mix(found, (times * 2 + single).astype(U)), space[found_rec].astype(U))
+    return found_rec, key, found_size, single
+
+
+def _of(batch, *columns: str):
+    return [batch.column(c).to_pylist() if pa.types.is_binary(batch.column(c).type) else batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _table_rows(batches):
+    """n, qkey, skey, lens, toks, sizes -> a row for each chunk."""
+    for batch in bags.slices(batches, 0):
+        n, q, k, lens, toks, sizes = _of(batch, "n", "qkey", "skey", "lens", "toks", "sizes")
+        rec, key, size, _ = chunks_of(q, lens, toks, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(k[rec], pa.int64()), pa.array(n[rec], pa.int32()), pa.array(size, pa.int32())], ["chunk", "a", "na", "bytes"])
 
 
-def word_table(nodes: DataFrame) -> DataFrame:
-    """The table that is kept: qkey, skey, n, word."""
-    return nodes.select("qkey", "skey", "n", "toks").mapInArrow(_word_rows, "qkey long, skey long, n int, word long")
+PROBES = pa.schema([("chunk", pa.int64()), ("salt", pa.int32()), ("qkey", pa.int64()), ("b", pa.int64()), ("nb", pa.int32()), ("single", pa.bool_()), ("hits", pa.int32()), ("least", pa.int32())])
+
+
+def _all_but_largest(group: np.ndarray, size: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """For each entry the bytes of its group (entries in order of groups) without those of the largest lost ones."""
+    order = np.lexsort((-size, group))
+    rank = np.arange(len(group)) - np.searchsorted(group[order], group[order], "left")
+    _, place = np.unique(group, return_inverse=True)
+    return np.bincount(place[order], np.where(rank < lost[order], 0, size[order]))[place].astype(np.int64) if len(group) else size
+
+
+def _lookups(counts: np.ndarray, salts: np.ndarray):
+    """n, qkey, skey, lens, toks, sizes -> the chunks of each state to look up, rarest first, once for each salt of the table."""
+
+    def run(batches):
+        for batch in bags.slices(batches, 0):
+            n, q, k, lens, toks, sizes = _of(batch, "n", "qkey", "skey", "lens", "toks", "sizes")
+            rec, key, size, single = chunks_of(q, lens, toks, sizes)
+            group = rec * 2 + single
+            bucket = bags.bucket_of(key)
+            order = np.lexsort((key, counts[bucket], group))
+            start = np.searchsorted(group[order], group[order], "left")
+            rank = np.arange(len(group)) - start
+            size_of = np.searchsorted(group[order], group[order], "right") - start
+            edits = most_edits(n[rec[order]].astype(np.int64))
+            lost = np.where(single[order], edits, 2 * edits)
+            keep = rank < lost + BEYOND
+            order, lost, taken = order[keep], lost[keep], np.minimum(size_of, lost + BEYOND)[keep]
+            # of those looked up so many, and so many bytes, are in each near-same state; a state with few chunks has one in others with more
+            hits = np.maximum(1, taken - lost)
+            least = _all_but_largest(group[order], size[order], lost)
+            keep = order
+            found = counts[bucket[keep]] > 0
+            keep, hits, least = keep[found], hits[found], least[found]
+            many = salts[bucket[keep]]
+            salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            keep, hits, least = (np.repeat(x, many) for x in (keep, hits, least))
+            r = rec[keep]
+            columns = (key[keep].view(np.int64), salt, q[r], k[r], n[r], single[keep], hits, least)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, PROBES)], schema=PROBES)
+
+    return run
 
 
 def _compare(batches):
+    """Decide by coverage: the shared bytes must be all but those of the chunks that n/8 edits can destroy, on both sides; then exactly."""
     for batch in batches:
-        c = {x: batch.column(x).to_pylist() for x in ("qkey", "a", "b", "la", "ta", "lb", "tb")}
-        keep = [i for i in range(batch.num_rows) if wording.near_same(parts_of(c["la"][i], c["ta"][i]), parts_of(c["lb"][i], c["tb"][i]))]
-        yield pa.RecordBatch.from_arrays([pa.array([c[x][i] for i in keep], pa.int64()) for x in ("qkey", "a", "b")], ["qkey", "a", "b"])
+        q, a, b, la, ta, za, lb, tb, zb = _of(batch, "qkey", "a", "b", "la", "ta", "za", "lb", "tb", "zb")
+        near = bags.alike(ta, tb)
+        none, sides = np.zeros(len(near), np.int64), []
+        lost = np.array([2 * (max(len(ta[i]), len(tb[i])) // 32) for i in near.tolist()], np.int64)
+        for lens, toks, sizes in ((la, ta, za), (lb, tb, zb)):
+            rec, key, size, single = chunks_of(none, *([x[i] for i in near.tolist()] for x in (lens, toks, sizes)))
+            sides.append((rec[~single], bags.mix(key[~single], rec[~single].astype(U)), size[~single]))
+        for (rec, key, size), (_, other, _) in (sides, sides[::-1]):
+            if len(near):
+                shared = np.bincount(rec, np.where(np.isin(key, other, assume_unique=True), size, 0), minlength=len(none))
+                least = np.zeros(len(none))
+                least[rec] = _all_but_largest(rec, size, lost[rec])
+                lost = np.where(shared >= least, lost, -1)
+        keep = [i for i, ok in zip(near.tolist(), lost.tolist()) if ok >= 0 and wording.near_same(parts_of(la[i], ta[i]), parts_of(lb[i], tb[i]))]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (q, a, b)], ["qkey", "a", "b"])
 
 
-def repeats(feedback: DataFrame) -> DataFrame:
-    """(earlier_id, later_id): the later record repeats, exactly or nearly, a record of an earlier batch that was accepted."""
-    records = written(read_records(feedback), "p2-records")
-    by_hash = records.where("hash is not null and wkey is not null").groupBy("hash").agg(F.min("wkey").alias("known"))
-    states = records.join(by_hash, "hash", "left").select("id", "batch_no", "ok", "qkey", F.coalesce("known", "wkey", F.xxhash64("hash")).alias("skey")).distinct()
-    states = written(states, "p2-states")
-    span = states.groupBy("qkey", "skey").agg(F.min(F.when(F.col("ok"), F.col("batch_no"))).alias("first_ok"), F.max("batch_no").alias("last"))
-    words = records.where("wkey is not null").groupBy(F.col("wkey").alias("skey")).agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"))
-    nodes = written(span.join(words, "skey").withColumn("node", F.xxhash64("qkey", "skey")), "p2-nodes")
-    # a: accepted at some time, b: any; of one question
-    sides = nodes.select(F.col("node").alias("cls"), "n", F.col("first_ok").isNotNull().alias("ev"), F.lit(True).alias("tr"), F.col("qkey").alias("space"), "toks")
-    pairs = written(bags.possible_pairs(sides).select("a", "b"), "p2-pairs")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("qkey").alias(f"q{x}"), F.col("skey").alias(f"s{x}"), F.col("first_ok" if x == "a" else "last").alias(f"at_{x}"), F.col("lens").alias(f"l{x}"), F.col("toks").alias(f"t{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where("qa = qb and sa <> sb and at_a < at_b")
-    near = near.select(F.col("qa").alias("qkey"), F.col("sa").alias("a"), F.col("sb").alias("b"), "la", "ta", "lb", "tb").mapInArrow(_compare, "qkey long, a long, b long")
-    earlier = states.where("ok").select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba"))
-    later = states.select("qkey", F.col("skey").alias("b"), F.col("id").alias("later_id"), F.col("batch_no").alias("bb"))
-    same = earlier.join(later.withColumnRenamed("b", "a"), ["qkey", "a"]).where("ba < bb").select("earlier_id", "later_id")
-    other = near.join(earlier, ["qkey", "a"]).join(later, ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id")
+NODE = ("n", "qkey", "skey", "lens", "toks", "sizes")
+
+
+def _nodes(records: DataFrame) -> DataFrame:
+    """The different states of each question."""
+    rest = [F.first(c).alias(c) for c in ("n", "lens", "toks", "sizes")]
+    return records.where("wkey is not null").groupBy("qkey", F.col("wkey").alias("skey")).agg(*rest).select(*NODE)
+
+
+def _lent(takers: DataFrame, lenders: DataFrame) -> DataFrame:
+    """The records without a state of their own, with that of another record with the same hash."""
+    state = F.min_by(F.struct("wkey", "n", "lens", "toks", "sizes"), "wkey")
+    of = lenders.where("hash is not null and wkey is not null").groupBy("hash").agg(state.alias("x"))
+    takers = takers.where("wkey is null and hash is not null").drop("wkey", "n", "lens", "toks", "sizes")
+    return takers.join(of, "hash").select("*", "x.*").select(*lenders.columns)
+
+
+def _keep(path: str, records: DataFrame) -> None:
+    """Append records, and the chunks of those states that an accepted record has, be it by its hash alone."""
+    spark = records.sparkSession
+    try:
+        old = spark.read.parquet(f"{path}/records")
+    except Exception as e:  # the first batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = spark.createDataFrame([], RECORD)
+    accepted = records.where("ok and wkey is not null")
+    both = old.unionByName(records)
+    lent = _lent(both.where("ok"), records).unionByName(_lent(records.where("ok"), old))
+    rows = written(_nodes(accepted.unionByName(lent)).mapInArrow(_table_rows, "chunk long, a long, na int, bytes int"), "p2-rows")
+    records.write.mode("append").parquet(f"{path}/records")
+    rows.write.mode("append").parquet(f"{path}/chunks")
+
+
+def _lookup(path: str, new: DataFrame, known_to_all: DataFrame) -> DataFrame:
+    """(earlier_id, later_id) of records against the kept history: only the chunks of the new ones are looked up."""
+    spark = new.sparkSession
+    old, kept = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/chunks")
+    known = known_to_all.where("hash is not null and wkey is not null").groupBy("hash").agg(F.min("wkey").alias("known"))
+    keyed = lambda r: r.join(known, "hash", "left").select("id", "batch_no", "ok", "qkey", F.coalesce("known", "wkey", F.xxhash64("hash")).alias("skey")).distinct()
+    before = written(keyed(old.where("ok")).select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba")), "p2-before")
+    after = written(keyed(new).select("qkey", F.col("skey").alias("b"), F.col("id").alias("later_id"), F.col("batch_no").alias("bb")), "p2-after")
+    same = before.join(after.withColumnRenamed("b", "a"), ["qkey", "a"]).where("ba < bb").select("earlier_id", "later_id")
+    # how often the chunks of the table are met, in buckets: BUCKETS numbers at most
+    got = kept.groupBy(F.col("chunk").bitwiseAND(bags.BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("rows")).toArrow()
+    counts = np.zeros(bags.BUCKETS, np.int64)
+    counts[got.column("bucket").to_numpy()] = got.column("rows").to_numpy()
+    hot = (counts > SALTED) & (counts * HOT >= counts.sum())  # at most HOT buckets
+    salts = np.where(hot, -(-counts // SALTED), 1)
+    nodes = written(_nodes(new.unionByName(_lent(new, old.unionByName(new)))), "p2-nodes")
+    probes = nodes.mapInArrow(_lookups(counts, salts), "chunk long, salt int, qkey long, b long, nb int, single boolean, hits int, least int")
+    at = np.flatnonzero(hot).tolist()
+    salt = F.lit(0)
+    if at:
+        of = F.create_map(*[F.lit(x) for b in at for x in (b, int(salts[b]))])
+        salt = F.pmod(F.xxhash64("a"), F.coalesce(of[F.col("chunk").bitwiseAND(bags.BUCKETS - 1).cast("int")], F.lit(1))).cast("int")
+    hits = probes.join(kept.withColumn("salt", salt), ["chunk", "salt"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
+    pairs = hits.groupBy("qkey", "a", "b", "single").agg(F.sum("bytes").alias("shared"), F.count("*").alias("met"), F.first("hits").alias("hits"), F.first("least").alias("least")).where("met >= hits and shared >= least")
+    pairs = pairs.select("qkey", "a", "b").distinct()
+    # only pairs of which the accepted one may come first
+    first, last = before.groupBy("qkey", "a").agg(F.min("ba").alias("first")), after.groupBy("qkey", "b").agg(F.max("bb").alias("last"))
+    pairs = written(pairs.join(first, ["qkey", "a"]).join(last, ["qkey", "b"]).where("first < last").select("qkey", "a", "b"), "p2-pairs")
+    texts = old.withColumn("a", F.col("wkey")).join(pairs.select("a").distinct(), "a", "left_semi").groupBy("a").agg(*[F.first(c).alias(f"{x}a") for c, x in (("lens", "l"), ("toks", "t"), ("sizes", "z"))])
+    late = nodes.select("qkey", F.col("skey").alias("b"), F.col("lens").alias("lb"), F.col("toks").alias("tb"), F.col("sizes").alias("zb"))
+    near = pairs.join(texts, "a").join(late, ["qkey", "b"]).select("qkey", "a", "b", "la", "ta", "za", "lb", "tb", "zb").mapInArrow(_compare, "qkey long, a long, b long")
+    other = near.join(before, ["qkey", "a"]).join(after, ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id")
     return same.unionByName(other).where("earlier_id <> later_id").distinct()
 
 
 def append(path: str, batch: DataFrame) -> None:
-    """Add the records of a batch to the kept history: records with their wordings, and the words of those accepted."""
-    records = read_records(batch)
-    records.write.mode("append").parquet(f"{path}/records")
-    nodes = records.where("ok and wkey is not null").select("qkey", F.col("wkey").alias("skey"), "n", "lens", "toks").dropDuplicates(["qkey", "skey"])
-    word_table(nodes).write.mode("append").parquet(f"{path}/words")
+    """Add the records of a batch to the kept history, and the chunks of those accepted."""
+    _keep(path, written(read_records(batch), "p2-batch"))
 
 
 def against(path: str, batch: DataFrame) -> DataFrame:
-    """(earlier_id, later_id) of a new batch against the kept history, without reading the history's texts again: only the words of the batch are looked up.
-
-    A state of the batch shares all but n/8 of its words with a near-same one, so one of any n/8 + 1; the rarest in the history are taken."""
-    spark = batch.sparkSession
-    old = spark.read.parquet(f"{path}/records")
+    """(earlier_id, later_id) of a new batch against the kept history, whose texts are read only where chunks were met."""
     new = written(read_records(batch), "p2-batch")
-    known = old.where("hash is not null and wkey is not null").select("hash", "wkey").unionByName(new.where("hash is not null and wkey is not null").select("hash", "wkey")).groupBy("hash").agg(F.min("wkey").alias("known"))
-    keyed = lambda r: r.join(known, "hash", "left").select("id", "batch_no", "ok", "qkey", F.coalesce("known", "wkey", F.xxhash64("hash")).alias("skey")).distinct()
-    before, after = keyed(old).where("ok").select("qkey", "skey", F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba")), keyed(new).select("qkey", "skey", F.col("id").alias("later_id"), F.col("batch_no").alias("bb"))
-    same = before.join(after, ["qkey", "skey"]).where("ba < bb").select("earlier_id", "later_id")
-    words = lambda r, x: r.where("wkey is not null").select("qkey", F.col("wkey").alias(x), F.col("lens").alias(f"l{x}"), F.col("toks").alias(f"t{x}")).dropDuplicates(["qkey", x])
-    kept = spark.read.parquet(f"{path}/words").dropDuplicates(["qkey", "skey", "word"])
-    probes = written(word_table(new.where("wkey is not null").select("qkey", F.col("wkey").alias("skey"), "n", "lens", "toks").dropDuplicates(["qkey", "skey"])), "p2-probes")
-    often = kept.join(probes.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
-    rank = F.row_number().over(Window.partitionBy("qkey", "skey").orderBy(F.coalesce("often", F.lit(0)), "word"))
-    first = probes.join(often, "word", "left").withColumn("rank", rank).where("rank <= floor(n / 8) + 1").select("qkey", "word", F.col("skey").alias("b"), F.col("n").alias("nb"))
-    hits = first.join(kept.select("qkey", "word", F.col("skey").alias("a"), F.col("n").alias("na")), ["qkey", "word"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
-    pairs = hits.select("qkey", "a", "b").distinct()
-    near = pairs.join(words(old, "a"), ["qkey", "a"]).join(words(new, "b"), ["qkey", "b"]).select("qkey", "a", "b", "la", "ta", "lb", "tb").mapInArrow(_compare, "qkey long, a long, b long")
-    other = near.join(before.withColumnRenamed("skey", "a"), ["qkey", "a"]).join(after.withColumnRenamed("skey", "b"), ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id")
-    return same.unionByName(other).where("earlier_id <> later_id").distinct()
+    old = batch.sparkSession.read.parquet(f"{path}/records")
+    return _lookup(path, new, old.select("hash", "wkey").unionByName(new.select("hash", "wkey")))
+
+
+def repeats(feedback: DataFrame) -> DataFrame:
+    """(earlier_id, later_id): the later record repeats, exactly or nearly, a record of an earlier batch that was accepted.
+
+    All batches are appended to a history of their own and looked up in it."""
+    path = f"{shared_folder(feedback.sparkSession)}/p2-history-{uuid.uuid4().hex}"
+    records = written(read_records(feedback), "p2-records")
+    _keep(path, records)
+    return _lookup(path, records, records)
 
 
 def repeated_feedback(feedback: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ together share a span as long as their common prefix. The spans of a pair are me
 record that they cover (a mask of 64 segments), summed over all partitions.
 
 How much must be covered is proved, not fitted: if at most e = n/8 words differ, the unchanged ones lie in at most e + v runs
-(v values), and runs too short for a start to be kept can only hold so many of them (`need`). Neighbourhoods of over GROUP cross
-pairs, and starts that very many records share (found on a sample, which only routes), aren't laid out as pairs: what they would have
-covered is subtracted from the need of the evaluation records in them, and records of which then nothing need be left, or whose values
-are too short for any start, are compared by the words that no n/8 edits can take away (`bags`), which leaves out nothing either.
+(v values), and runs too short for a start to be kept can only hold so many of them (`need`). A neighbourhood of over GROUP cross
+pairs is split by the longer prefix of AHEAD words. Records in those that are still too large, or whose short spans got lost by the split, and
+those with starts that very many records share (found on a sample, which only routes), may be covered less than was proved; they are also
+compared by the words that no n/8 edits can take away (`bags`), and so are those whose values are too short for any start, so nothing is left out.
 An exact comparison follows. Taken as given: apart from the edits, the borders of values lie alike in both records.
 
 Texts that are the same apart from differences of writing are one class from the start, so copies never
@@ -194,17 +194,14 @@ def _merged(keys: list[np.ndarray], masks: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _routed(hot: np.ndarray):
-    """cls, n, lens, toks, ev, tr -> per class and side what starts routed apart would have covered."""
+    """cls, n, lens, toks, ev, tr -> the classes, by side, with starts that are routed apart."""
 
     def run(batches):
         for batch in slices(batches):
             cls, ns, lens, toks, ev, tr = (batch.column(i).to_pylist() for i in range(6))
             f = Flat(cls, ns, lens, toks)
-            place, at = _place(f), np.flatnonzero(np.isin(f.key, hot))
-            one, mask = _merged([f.rec[at]], mask_of(place[at], np.full(len(at), AHEAD), f.ns[f.rec[at]]))
-            rec = f.rec[at[one]]
-            sides = [(i, m, s) for i, m in zip(rec.tolist(), mask.view(np.int64).tolist()) for s, has in ((True, ev), (False, tr)) if has[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i, _, _ in sides], pa.int64()), pa.array([s for _, _, s in sides], pa.bool_()), pa.array([m for _, m, _ in sides], pa.int64())], ["hot_cls", "hot_ev", "mask"])
+            sides = [(cls[i], s) for i in np.unique(f.rec[np.isin(f.key, hot)]).tolist() for s, has in ((True, ev), (False, tr)) if has[i]]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in sides], pa.int64()), pa.array([s for _, s in sides], pa.bool_())], ["hot_cls", "hot_ev"])
 
     return run
 
@@ -231,62 +228,66 @@ def shared_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return FIRST + sum(((x >> U(16 * k)) == 0).astype(np.int32) for k in range(FIRST))
 
 
+def _groups(keys: list[np.ndarray], side: np.ndarray, among: np.ndarray):
+    """Entries by equal keys, training entries first: their order, and of each group the first place and the numbers of either side."""
+    order = among[np.lexsort((side[among], *[k[among] for k in keys[::-1]]))]
+    change = np.zeros(len(order), bool)
+    change[:1] = True
+    for k in keys:
+        change[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(change)
+    size = np.diff(np.r_[first, len(order)])
+    ev = np.add.reduceat(side[order].astype(np.int64), first) if len(first) else size
+    return order, first, ev, size - ev
+
+
 def cross_pairs(e: np.ndarray):
-    """Of entries in suffix order: places of pairs with a common prefix, and of the entries in neighbourhoods too large, with the longest prefix each has there."""
-    cls, n, side, nxt = (np.ascontiguousarray(e[c]) for c in ("cls", "n", "side", "next"))
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if not len(e):
-        return out_a[0], out_b[0], out_a[0], np.zeros(0, np.int32)
-    live = np.lexsort((nxt, side, e["key"]))
-    k = e["key"][live]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    size = np.diff(np.r_[first, len(k)])
-    ev = np.add.reduceat(side[live].astype(np.int64), first)
-    tr = size - ev
-    pairs = ev * tr
-    small = (pairs > 0) & (pairs <= GROUP)
-    for lo in range(0, len(first), 4096):
-        g = np.flatnonzero(small[lo : lo + 4096]) + lo
-        if len(g):
-            a, b = _all_of(first[g], ev[g], tr[g], live)
-            close = (8 * np.abs(n[a] - n[b]) <= np.maximum(n[a], n[b])) & (cls[a] != cls[b])
-            out_a.append(a[close])
-            out_b.append(b[close])
-    order = np.lexsort((nxt, e["key"]))  # the suffix order; the longest prefix of a suffix is that with a neighbour
-    longest = np.zeros(len(e), np.int32)
-    if len(e) > 1:
-        lcp = np.where(e["key"][order][1:] == e["key"][order][:-1], shared_words(nxt[order][1:], nxt[order][:-1]), 0)
-        longest[order] = np.maximum(np.r_[0, lcp], np.r_[lcp, 0])
-    big = live[np.repeat(pairs > GROUP, size)]
-    return np.concatenate(out_a), np.concatenate(out_b), big, longest[big]
+    """Places of pairs of entries with a common prefix, and of the entries whose neighbourhood is too large to be laid out by its first words."""
+    cls, n, side, key, nxt = (np.ascontiguousarray(e[c]) for c in ("cls", "n", "side", "key", "next"))
+    out_a, out_b, big, among = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None, np.arange(len(e))
+    for keys in ([key], [key, nxt]):  # the longer prefix splits what is too large
+        order, first, ev, tr = _groups(keys, side, among)
+        pairs = ev * tr
+        small = (pairs > 0) & (pairs <= GROUP)
+        for lo in range(0, len(first), 4096):
+            g = np.flatnonzero(small[lo : lo + 4096]) + lo
+            if len(g):
+                a, b = _all_of(first[g], ev[g], tr[g], order)
+                close = (8 * np.abs(n[a] - n[b]) <= np.maximum(n[a], n[b])) & (cls[a] != cls[b])
+                out_a.append(a[close])
+                out_b.append(b[close])
+        among = order[np.repeat(pairs > GROUP, ev + tr)]
+        big = among if big is None else big
+    return np.concatenate(out_a), np.concatenate(out_b), big
 
 
 FOUND = "a long, b long, na int, nb int, va int, vb int, dense int, mask long, hot_cls long, hot_ev boolean"
 
 
 def _partition(table: pa.Table) -> pa.Table:
-    """The pairs of a range of the suffix order with what their spans cover of the first; then what too large neighbourhoods would have covered."""
+    """The pairs of a range of the suffix order with what their spans cover of the first; then the classes in too large neighbourhoods."""
     e = np.concatenate([np.frombuffer(x, ENTRY) for x in table.column("entries").to_pylist()])
-    a, b, big, longest = cross_pairs(e)
+    e = e[np.lexsort((e["next"], e["key"]))]
+    a, b, big = cross_pairs(e)
     at, mask = _merged([e["cls"][a], e["cls"][b]], mask_of(e["pos"][a], shared_words(e["next"][a], e["next"][b]), e["n"][a])) if len(a) else (a, np.zeros(0, U))
     a, b = a[at], b[at]
-    hot, lost = _merged([e["cls"][big], e["side"][big]], mask_of(e["pos"][big], longest, e["n"][big])) if len(big) else (big, np.zeros(0, U))
-    hot = big[hot]
+    hot = np.unique(e[["cls", "side"]][big])
     m, h = len(a), len(hot)
     both = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(m, t), pa.array(y, t) if y is not None else pa.nulls(h, t)])
     return pa.table(
         {
             "a": both(e["cls"][a], None, pa.int64()), "b": both(e["cls"][b], None, pa.int64()), "na": both(e["n"][a], None, pa.int32()), "nb": both(e["n"][b], None, pa.int32()),
             "va": both(e["v"][a].astype(np.int32), None, pa.int32()), "vb": both(e["v"][b].astype(np.int32), None, pa.int32()), "dense": both(e["dense"][b].astype(np.int32), None, pa.int32()),
-            "mask": both(mask.view(np.int64), lost.view(np.int64), pa.int64()), "hot_cls": both(None, e["cls"][hot], pa.int64()), "hot_ev": both(None, e["side"][hot] == 1, pa.bool_()),
+            "mask": both(mask.view(np.int64), None, pa.int64()), "hot_cls": both(None, hot["cls"], pa.int64()), "hot_ev": both(None, hot["side"] == 1, pa.bool_()),
         }
     )
 
 
 def _compare(batches):
+    """The near-same ones; most candidates are told apart by their words alone, all at once."""
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in ("a", "b", "la", "ta", "lb", "tb")}
-        keep = [i for i in range(batch.num_rows) if wording.near_same(parts_of(cols["la"][i], cols["ta"][i]), parts_of(cols["lb"][i], cols["tb"][i]))]
+        keep = [i for i in bags.alike(cols["ta"], cols["tb"]).tolist() if wording.near_same(parts_of(cols["la"][i], cols["ta"][i]), parts_of(cols["lb"][i], cols["tb"][i]))]
         yield pa.RecordBatch.from_arrays([pa.array([cols[c][i] for i in keep], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
 
@@ -331,18 +332,18 @@ def _bounds(classes: DataFrame, count: int, parts: int) -> np.ndarray:
 
 
 def _spans(classes: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs with what is covered, and per class and side what neighbourhoods too large and routed starts would have covered."""
+    """Pairs with what is covered, and the classes, by side, in neighbourhoods too large or with routed starts."""
     spark = classes.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // RECORDS))
     hot = _hot_starts(classes, count)
     entries = classes.mapInArrow(_suffixes(_bounds(classes, count, parts), hot), "part int, entries binary")
     # the number of partitions is stated, so that they are not put together to larger ones
     found = written(entries.repartition(parts, "part").groupBy("part").applyInArrow(_partition, FOUND), "p6-spans")
-    lost = found.where("hot_cls is not null").select("hot_cls", "hot_ev", "mask")
+    crowded = found.where("hot_cls is not null").select("hot_cls", "hot_ev")
     if len(hot):
-        lost = lost.unionByName(classes.mapInArrow(_routed(hot), "hot_cls long, hot_ev boolean, mask long"))
+        crowded = crowded.unionByName(classes.mapInArrow(_routed(hot), "hot_cls long, hot_ev boolean"))
     spans = found.where("a is not null").groupBy("a", "b").agg(F.bit_or("mask").alias("mask"), *[F.max(c).alias(c) for c in ("na", "nb", "va", "vb", "dense")])
-    return spans, lost.groupBy(F.col("hot_cls").alias("cls"), F.col("hot_ev").alias("side")).agg(F.bit_or("mask").alias("lost"))
+    return spans, crowded.groupBy(F.col("hot_cls").alias("cls")).agg(F.bool_or("hot_ev").alias("in_ev"), F.bool_or(~F.col("hot_ev")).alias("in_tr"))
 
 
 def _worst(n, v, dense: bool):
@@ -353,21 +354,17 @@ def _worst(n, v, dense: bool):
 
 def candidates_of(classes: DataFrame, count: int) -> DataFrame:
     """a, b: every pair of an evaluation and a training class that may be near-same."""
-    spans, lost = _spans(classes, count)
-    lost = written(lost, "p6-lost")
-    words = lambda mask, n: F.bit_count(mask) * F.greatest(n, F.lit(64)) / 64
+    spans, crowded = _spans(classes, count)
     n, v = F.greatest("na", "nb"), F.greatest("va", "vb")
     wanted = F.when(F.col("dense") == 1, need(n, v, True)).otherwise(need(n, v, False))
-    by_spans = spans.join(lost.where("side").select(F.col("cls").alias("a"), "lost"), "a", "left")
-    by_spans = by_spans.where(words(F.col("mask"), F.col("na")) >= F.greatest(F.lit(FIRST), wanted - F.coalesce(F.ceil(words(F.col("lost"), F.col("na"))), F.lit(0)))).select("a", "b")
-    # the rest: too short values, and evaluation records of which nothing need be covered outside the large neighbourhoods, with the training records in these
+    by_spans = spans.where(F.bit_count("mask") * F.greatest("na", F.lit(64)) / 64 >= F.greatest(F.lit(FIRST), wanted)).select("a", "b")
+    # the rest: too short values, and the records of neighbourhoods too large, evaluation ones with training ones
     n, v = F.col("n"), F.octet_length("lens") / 4
     thin = _worst(n, v, True) < FIRST + 5 + F.floor(n / 8)
-    left = lambda side, name: lost.where("side" if side else "not side").select("cls", F.col("lost").alias(name))
-    both = classes.join(left(True, "le"), "cls", "left").join(left(False, "lt"), "cls", "left")
-    bare = _worst(n, v, False) - F.ceil(words(F.col("le"), n)) < FIRST
-    both = both.select("cls", "n", (F.col("ev") & (thin | F.coalesce(bare, F.lit(False)))).alias("ev"), (F.col("tr") & (thin | F.col("lt").isNotNull())).alias("tr"), F.lit(0).cast("long").alias("space"), "toks")
-    rest = written(both.where("ev or tr"), "p6-rest")
+    both = classes.join(crowded, "cls", "left")
+    also = lambda c, side: F.col(c) & (thin | F.coalesce(side, F.lit(False)))
+    rest = both.select("cls", "n", also("ev", F.col("in_ev")).alias("ev"), also("tr", F.col("in_tr")).alias("tr"), F.lit(0).cast("long").alias("space"), "toks")
+    rest = written(rest.where("ev or tr"), "p6-rest")
     if rest.agg(F.bool_or("ev")).first()[0]:
         by_spans = by_spans.unionByName(bags.possible_pairs(rest).select("a", "b"))
     return by_spans.distinct()

@@ -146,6 +146,20 @@ def test_repeats_are_those_of_brute_force(spark, tmp_path):
     schema = "id string, batch_no int, status string, other string, question struct<type: string, instructions: string, options: array<string>, levels: array<string>>, state string, state_sha256 string"
     df = spark.createDataFrame(rows, schema).selectExpr("*", "if(status is null, null, named_struct('status', status)) as review")
     got = {tuple(r) for r in history.repeats(df).collect()}
+    want = repeats_by_hand(rows)
+    assert got == want and len(want) > 30
+    # batch by batch, against what was kept of the earlier ones: what is known when the batch arrives
+    path = str(tmp_path)
+    for b in range(1, 7):
+        batch = df.where(f"batch_no = {b}")
+        if b > 1:
+            arrived = [r for r in rows if r[1] is not None and r[1] <= b]
+            number = {r[0]: r[1] for r in arrived}
+            assert {tuple(r) for r in history.against(path, batch).collect()} == {p for p in repeats_by_hand(arrived) if number[p[1]] == b}
+        history.append(path, batch)
+
+
+def repeats_by_hand(rows):
     key = lambda q: history.question_key(dict(zip(("type", "instructions", "options", "levels"), q)) if q else None)
     known = {}
     for r in sorted(rows, key=lambda r: str(r)):
@@ -163,15 +177,7 @@ def test_repeats_are_those_of_brute_force(spark, tmp_path):
             sb = known.get(hb) if history.is_redacted(b[5]) else parts(b[5])
             if ha is not None and ha == hb or sa and sb and (wording.near_same(sa, sb) or sorted(map(bytes, sa)) == sorted(map(bytes, sb))):
                 want.add((a[0], b[0]))
-    assert got == want and len(want) > 30
-    # batch by batch, against what was kept of the earlier ones
-    path, stepwise = str(tmp_path), set()
-    for b in range(1, 7):
-        batch = df.where(f"batch_no = {b}")
-        if b > 1:
-            stepwise |= {tuple(r) for r in history.against(path, batch).collect()}
-        history.append(path, batch)
-    assert len(stepwise - want) == 0 and len(want - stepwise) <= 0.1 * len(want)
+    return want
 
 
 def test_repeats_of_nothing(spark):
@@ -358,3 +364,41 @@ def test_repeats_of_short_and_repetitive_states_are_whole(spark, tmp_path):
     history.append(str(tmp_path), df.where("batch_no = 1"))
     assert {tuple(r) for r in history.against(str(tmp_path), df.where("batch_no = 2")).collect()} == want
     assert {tuple(r) for r in history.repeats(df).collect()} == want
+
+
+@pytest.mark.parametrize("size, words, edits", [(20, 64, 8), (75, 64, 4), (75, 160, 10), (75, 160, 4), (40, 9, 1), (40, 26, 3)])
+def test_repeats_of_clusters_are_whole(spark, monkeypatch, size, words, edits):
+    """Near copies of one state with edits at random places; the table's frequent chunks are salted."""
+    monkeypatch.setattr(history, "SALTED", 50)
+    rng = random.Random(words * 7 + edits)
+    base = rng.choices(voc(rng), k=words)
+
+    def copy(mark):
+        out = list(base)
+        for k in rng.sample(range(words), edits):
+            out[k] = f"zq{mark}x{k}"
+        return " ".join(out)
+
+    old, new = [copy(f"e{i}") for i in range(size)], [copy(f"t{i}") for i in range(size)]
+    old[0] = " ".join(base)
+    got = {tuple(r) for r in history.repeats(spark.createDataFrame(in_two_batches(old, new), FEEDBACK)).collect()}
+    assert got == repeated(old, new) and len(got) >= size
+
+
+def test_chunks_survive_edits():
+    """Of the chunks of a state at most two for each changed, dropped or added word are not in the other one."""
+    rng = random.Random(33)
+    v = voc(rng, 300)
+    for _ in range(300):
+        words = rng.choices(v, k=rng.randint(1, 80))
+        edits = rng.randint(0, len(words) // 8)
+        other = list(words)
+        for _ in range(edits):
+            at = rng.randrange(len(other)) if other else 0
+            other[at : at + rng.choice([0, 1])] = rng.choice([[], [rng.choice(v)]])
+        sides = []
+        for w in (words, other):
+            toks = (wording.hashes(w) >> 31).astype(np.int32)
+            _, key, _, single = history.chunks_of(np.zeros(1, np.int64), [np.array([len(w)], np.int32).tobytes()], [toks.tobytes()], [bytes(map(len, w))])
+            sides.append(set(key[~single].tolist()))
+        assert len(sides[0] - sides[1]) <= 2 * edits and len(sides[1] - sides[0]) <= 2 * edits
