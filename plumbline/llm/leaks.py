@@ -1,14 +1,15 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
-The test items are few and fixed; their size is checked. Each of their places has a term: the two
-words from there, or in scripts without spaces the three characters. Of every window that must be found
-(RUN words, RUN_UNSPACED characters) the three rarest terms are anchors, and of every item as many of its
-rarest terms that four survive if one word in SHARE is changed. One scan of the training texts stores the
-postings (term, text, place) of the terms that are rare in the test items; of those the rarest by their training
-postings become the anchors. Postings meet the anchors by term, and the lists are intersected after
-subtracting the place in the item: three anchors of windows on one offset, or four within a band of offsets,
-make a text a candidate. Candidates are read again and compared exactly: a run of words outside stock sentences, or the whole
-wording with at most one word in SHARE changed.
+The index is stored and serves any number of item sets: each different training text is cut once into terms (the two
+words from a place on, in scripts without spaces three characters), and the postings (term, text, place) lie in buckets of terms as sorted runs,
+so neither a frequent term nor a bucket is ever gathered. Beside it stands which rows have which text.
+
+The test items are few and fixed; their size is checked. One look into the index counts the postings of all their terms. Of every window that
+must be found (RUN words, RUN_UNSPACED characters) the three rarest terms are anchors, and of every item as many of its
+rarest terms that up to four are left when one word in SHARE is changed; with an item so short that no term would be left every text is compared.
+A second look fetches the postings of the anchors; they are intersected after subtracting the place in the item: three anchors of
+windows on one offset, or those left of an item within a band of offsets, make a text a candidate. Candidates are read again and compared exactly:
+a run of words outside stock sentences, or the whole wording with at most one word in SHARE changed.
 
 Nulls and empty texts carry nothing; an item with fewer words than a run outside stock counts only as a
 whole. Repeated rows and passes count once; no items or no training rows give no result.
@@ -16,7 +17,8 @@ whole. Repeated rows and passes count once; no items or no training rows give no
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +32,36 @@ from .store import written
 RUN, RUN_UNSPACED, SHARE, STOCK = 16, 30, 8, 10
 #: Test items are held by every worker; more bytes of text than this are refused.
 MOST_BYTES = 256 << 20
+#: Surfaces for each bucket of the index, and postings of a run.
+SURFACES, POSTINGS = 40_000, 1_000_000
 
 
-def units(text: str | None) -> list[tuple[list[str], bool]]:
-    """The words of each value, by characters where a value is mostly of a script without spaces."""
-    out = []
+def _unspaced(word: str) -> bool:
+    return len(word) == 1 and word > "⺀"
+
+
+def units(text: str | None) -> tuple[list[tuple[list[str], bool]], list[list[str]]]:
+    """The words of each value, by characters where a value is mostly of a script without spaces; then the stretches of characters within the others."""
+    out, inside = [], []
     for w in wording.words(text):
-        unspaced = 2 * sum(len(x) == 1 and x > "⺀" for x in w) >= len(w)
-        out.append(([c for x in w for c in x] if unspaced else w, unspaced))
-    return out
+        mostly = 2 * sum(map(_unspaced, w)) >= len(w)
+        out.append(([c for x in w for c in x] if mostly else w, mostly))
+        if not mostly:
+            inside += _stretches_of(w)
+    return out, inside
+
+
+def _stretches_of(words: list[str]) -> list[list[str]]:
+    """The runs of at least three characters of scripts without spaces."""
+    found, run = [], []
+    for x in [*words, ""]:
+        if _unspaced(x):
+            run.append(x)
+        else:
+            if len(run) >= 3:
+                found.append(run)
+            run = []
+    return found
 
 
 def _terms(h: np.ndarray, unspaced: bool) -> np.ndarray:
@@ -46,20 +69,36 @@ def _terms(h: np.ndarray, unspaced: bool) -> np.ndarray:
 
 
 class Item:
-    """One test item: hashed words, which of them are stock, and its windows."""
+    """One test item: hashed words, the stretches outside stock, and its windows. within: stretches of characters inside values of words."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, bool, np.ndarray]]):
+    def __init__(self, parts: list[tuple[np.ndarray, bool, np.ndarray]], within: list[np.ndarray]):
         self.whole = np.concatenate([h for h, _, _ in parts])
         self.runs: set[int] = set()
-        self.free = []  # (place in the item, hashes, by characters) of each stretch without stock
+        self.free, self.all = [], []  # (place in the item, hashes, by characters) of each stretch without stock, and of each value
         at = 0
         for h, unspaced, stock in parts:
             edges = np.flatnonzero(np.diff(np.r_[1, stock.astype(np.int8), 1]))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
                 self.free.append((at + a, h[a:b], unspaced))
-                self.runs.update(wording.window_hashes(h[a:b], RUN_UNSPACED if unspaced else RUN).tolist())
+            self.all.append((at, h, unspaced))
+            at += len(h)
+        for h in within:  # behind the item's end, where no whole wording is looked for
+            self.free.append((at, h, True))
             at += len(h)
-        self.unspaced = any(u for _, u, _ in parts)
+        for _, h, unspaced in self.free:
+            self.runs.update(wording.window_hashes(h, RUN_UNSPACED if unspaced else RUN).tolist())
+
+    def terms(self) -> list[tuple[int, int]]:
+        """(place, term) of all values."""
+        return [(at + i, x) for at, h, u in self.all for i, x in enumerate(_terms(h, u).tolist())]
+
+    def spoiled(self) -> int:
+        """The terms that changing one word in SHARE can take away."""
+        return len(self.whole) // SHARE * (3 if any(u for _, _, u in self.all) else 2)
+
+    def short(self) -> bool:
+        """Whether no term would be sure to be left, so that every text is compared with it."""
+        return sum(max(0, len(h) - (2 if u else 1)) for _, h, u in self.all) <= self.spoiled()
 
 
 def read_items(items: DataFrame) -> dict[str, Item]:
@@ -68,6 +107,7 @@ def read_items(items: DataFrame) -> dict[str, Item]:
         raise ValueError("the test items are too large to be held by every worker; give them in several calls")
     rows = items.where("item_id is not null and state_str is not null").select("item_id", "state_str").distinct().collect()
     found: dict[str, list] = {}
+    within: dict[str, list] = defaultdict(list)
     seen: dict[tuple, set] = defaultdict(set)
     for r in rows:
         values = []
@@ -76,12 +116,13 @@ def read_items(items: DataFrame) -> dict[str, Item]:
             cut = [c for c in cut if c]
             if cut:
                 n = sum(map(len, cut))
-                unspaced = 2 * sum(len(x) == 1 and x > "⺀" for c in cut for x in c) >= n
+                unspaced = 2 * sum(_unspaced(x) for c in cut for x in c) >= n
                 values.append(([[ch for x in c for ch in x] if unspaced else c for c in cut], unspaced))
                 for c in cut:
                     seen[tuple("".join(c))].add(r.item_id)
         if values:
             found.setdefault(r.item_id, []).extend(values)
+            within[r.item_id] += [c for cut, unspaced in values if not unspaced for c in cut]
     out = {}
     for item, values in found.items():
         parts = []
@@ -90,7 +131,8 @@ def read_items(items: DataFrame) -> dict[str, Item]:
             stock = np.concatenate([np.full(len(c), len(seen[tuple("".join(c))]) >= STOCK) for c in cut])
             parts.append((h, unspaced, stock))
         if any(len(h) for h, _, s in parts if not s.all()):
-            out[item] = Item(parts)
+            inside = [wording.hashes(x) for c in within[item] if len(seen[tuple("".join(c))]) < STOCK for x in _stretches_of(c)]
+            out[item] = Item(parts, inside)
     return out
 
 
@@ -100,76 +142,108 @@ def _stretches(it: Item):
         yield RUN_UNSPACED - 2 if u else RUN - 1, [(at + i, x) for i, x in enumerate(_terms(h, u).tolist())]
 
 
-def _rarest(it: Item, df, per_window: int, per_item: int) -> tuple[set, set]:
-    """The places whose terms are the rarest of each window, and of the item beyond those that may be changed."""
-    rank = lambda p: (df[p[1]], p[1], p[0])
-    runs: set[tuple[int, int]] = set()
-    terms = []
-    for size, t in _stretches(it):
-        terms += t
-        for i in range(len(t) - size + 1):
-            runs.update(sorted(t[i : i + size], key=rank)[:per_window])
-    spoiled = (len(it.whole) // SHARE) * (3 if it.unspaced else 2)
-    return runs, set(sorted(terms, key=rank)[: spoiled + per_item])
-
+def all_terms(items: dict[str, Item]) -> np.ndarray:
+    """Every term of the items."""
+    found = {t for it in items.values() for _, t in it.terms()} | {t for it in items.values() for _, x in _stretches(it) for _, t in x}
+    return np.array(sorted(found), np.int64)
 
-def likely_terms(items: dict[str, Item]) -> np.ndarray:
-    """Terms of which to store postings: more than are needed, by how rare they are in the test items."""
-    df = Counter(t for it in items.values() for t in {t for _, x in _stretches(it) for _, t in x})
-    return np.unique(np.array([t for it in items.values() for places in _rarest(it, df, 5, 8) for _, t in places], np.int64))
 
-
-def anchors(items: dict[str, Item], df: dict[int, int], stored: np.ndarray) -> list[tuple[int, str, int, int, bool, bool]]:
-    """(term, item, place in the item, width of an offset band, of a window, of the item): the rarest by training postings."""
-    absent = 1 << 62
-    known = defaultdict(lambda: absent, {t: 0 for t in stored.tolist()}) | df
-    known = defaultdict(lambda: absent, known)
+def anchors(items: dict[str, Item], df: dict[int, int]) -> list[tuple[int, str, int, int, int, bool]]:
+    """(term, item, place in the item, width of an offset band, how many are needed, of the whole item): the rarest by training postings."""
+    rank = lambda p: (df.get(p[1], 0), p[1], p[0])
     out = []
     for name, it in items.items():
-        runs, near = _rarest(it, known, 3, 4)
+        runs: set[tuple[int, int]] = set()
+        for size, t in _stretches(it):
+            for i in range(len(t) - size + 1):
+                runs.update(sorted(t[i : i + size], key=rank)[:3])
+        out += [(t, name, p, 1, 3, False) for p, t in runs if t in df]
+        terms, spoiled = [] if it.short() else it.terms(), it.spoiled()
+        need = max(1, min(4, len(terms) - spoiled))
         band = max(4, len(it.whole) // SHARE + 1)
-        out += [(t, name, p, band, (p, t) in runs, (p, t) in near) for p, t in runs | near if known[t] < absent]
+        out += [(t, name, p, band, need, True) for p, t in sorted(terms, key=rank)[: spoiled + need] if t in df]
     return out
 
 
-def _postings(wanted: np.ndarray):
+INDEX = "bucket int, terms binary, texts binary, places binary"
+
+
+def _postings(buckets: int):
+    """th, text -> runs of postings sorted by term, one for each bucket; a text met again lately adds none."""
+
+    def runs(terms: list, texts: list, places: list):
+        t = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+        n = [len(x) for x in terms]
+        th, at = np.repeat(np.array(texts, np.int64), n), np.concatenate(places) if places else np.zeros(0, np.int32)
+        to = (t.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+        order = np.lexsort((t, to))
+        t, th, at, to = t[order], th[order], at[order], to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        ends = np.r_[cuts[1:], len(to)]
+        blobs = [[x[a:b].tobytes() for a, b in zip(cuts, ends)] for x in (t, th, at)]
+        return pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "terms", "texts", "places"])
+
     def scan(batches):
-        memo: dict[int, tuple] = {}
-        last: dict = {}
+        seen: set[int] = set()
+        terms, texts, places, held = [], [], [], 0
         for batch in batches:
-            rid, th, term, pos = [], [], [], []
-            for r, t, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "th", "text"))):
-                if last.get((r, t)):
+            for t, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
+                if t in seen:
                     continue
-                if len(last) > 50_000:
-                    last.clear()
-                last[r, t] = True
-                got = memo.get(t)
-                if got is None:
-                    at, terms, places = 0, [], []
-                    for w, unspaced in units(text):
-                        x = _terms(wording.hashes(w), unspaced)
-                        k = np.searchsorted(wanted, x)
-                        hit = np.flatnonzero(wanted[np.minimum(k, len(wanted) - 1)] == x)
-                        terms.append(x[hit])
-                        places.append(hit + at)
-                        at += len(w)
-                    got = (np.concatenate(terms), np.concatenate(places)) if terms else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[t] = got
-                if len(got[0]):
-                    rid += [r] * len(got[0])
-                    th += [t] * len(got[0])
-                    term.append(got[0])
-                    pos.append(got[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.string()), pa.array(th, pa.int64()), pa.array(np.concatenate(term) if term else [], pa.int64()), pa.array(np.concatenate(pos) if pos else [], pa.int32())], ["row_id", "th", "term", "pos"]
-            )
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(t)
+                at, of_text, of_place = 0, [], []
+                values, inside = units(text)
+                for w, unspaced in [*values, *((x, True) for x in inside)]:
+                    h = wording.hashes(w)
+                    of_text.append(_terms(h, unspaced))
+                    of_place.append(np.arange(at, at + len(of_text[-1]), dtype=np.int32))
+                    at += len(w)
+                if of_text:
+                    terms.append(np.concatenate(of_text))
+                    places.append(np.concatenate(of_place))
+                    texts.append(t)
+                    held += len(terms[-1])
+                if held > POSTINGS:
+                    yield runs(terms, texts, places)
+                    terms, texts, places, held = [], [], [], 0
+        yield runs(terms, texts, places)
 
     return scan
 
 
+def build_index(surfaces: DataFrame) -> DataFrame:
+    """The stored index of surfaces with columns th (a hash of the text) and text."""
+    spark = surfaces.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(surfaces.count() / SURFACES))
+    return written(surfaces.select("th", "text").mapInArrow(_postings(buckets), INDEX).repartition(buckets, "bucket"), "p5-index")
+
+
+def _found(wanted: np.ndarray, counts: bool):
+    """The postings of the wanted (sorted) terms, or how many there are of each."""
+
+    def look(batches):
+        total = np.zeros(len(wanted), np.int64)
+        for batch in batches:
+            for terms, texts, places in zip(*(batch.column(c).to_pylist() for c in ("terms", "texts", "places"))):
+                t = np.frombuffer(terms, np.int64)
+                low, high = np.searchsorted(t, wanted, "left"), np.searchsorted(t, wanted, "right")
+                n = high - low
+                total += n
+                if counts or not n.sum():
+                    continue
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t[at], pa.int64()), pa.array(np.frombuffer(texts, np.int64)[at], pa.int64()), pa.array(np.frombuffer(places, np.int32)[at], pa.int32())], ["term", "th", "pos"]
+                )
+        if counts:
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(wanted[some], pa.int64()), pa.array(total[some], pa.int64())], ["term", "n"])
+
+    return look
+
+
 def _carries(item: Item, h: np.ndarray, windows: set[int]) -> bool:
     if item.runs & windows:
         return True
@@ -178,56 +252,77 @@ def _carries(item: Item, h: np.ndarray, windows: set[int]) -> bool:
 
 def carried(text: str, names: list[str], items: dict[str, Item]) -> list[str]:
     """Those of the items whose wording a text carries."""
-    found = units(text)
+    found, inside = units(text)
     if not found:
         return []
-    h = [wording.hashes(w) for w, _ in found]
-    windows = {x for p, (_, u) in zip(h, found) for x in wording.window_hashes(p, RUN_UNSPACED if u else RUN).tolist()}
-    whole = np.concatenate(h)
+    h = [(wording.hashes(w), u) for w, u in found]
+    windows = {x for p, u in [*h, *((wording.hashes(w), True) for w in inside)] for x in wording.window_hashes(p, RUN_UNSPACED if u else RUN).tolist()}
+    whole = np.concatenate([p for p, _ in h])
     return [n for n in names if _carries(items[n], whole, windows)]
 
 
-def leaked(items: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """(item_id, row_id) of every surface (row_id, text) that carries wording of an item."""
+def search(index: DataFrame, items: dict[str, Item]) -> DataFrame:
+    """(item_id, th): texts of the index that may carry wording of an item."""
+    spark = index.sparkSession
+    counted = index.mapInArrow(_found(all_terms(items), True), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = {r.term: r.n for r in counted.collect()}  # at most as many rows as the items have terms
+    marks = anchors(items, df)
+    names, types = ("term", "item_id", "ipos", "band", "need", "in_item"), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+    table = spark.createDataFrame(pa.table({n: pa.array([m[i] for m in marks], t) for i, (n, t) in enumerate(zip(names, types))}))
+    postings = index.mapInArrow(_found(np.array(sorted({m[0] for m in marks}), np.int64), False), "term long, th long, pos int")
+    # the table has at most as many rows as the items, whose size is checked, have terms
+    meets = postings.join(F.broadcast(table), "term").withColumn("off", F.col("pos") - F.col("ipos"))
+    low = F.floor(F.col("off") / F.col("band"))
+    meets = meets.select("item_id", "th", "ipos", "need", "in_item", F.explode(F.when(F.col("in_item"), F.array(low, low + 1)).otherwise(F.array(low))).alias("at"))
+    return meets.groupBy("item_id", "th", "in_item", "at").agg(F.count_distinct("ipos").alias("n"), F.max("need").alias("need")).where("n >= need").select("item_id", "th").distinct()
+
+
+def leaked(items: DataFrame, surfaces: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(item_id, row_id) of every surface (row_id, text) that carries wording of an item; of: the row_ids that count."""
     spark = surfaces.sparkSession
     held = read_items(items)
-    empty = spark.createDataFrame([], "item_id string, row_id string")
     if not held:
-        return empty
-    wanted = likely_terms(held)
+        return spark.createDataFrame([], "item_id string, row_id string")
     source = surfaces.where("row_id is not null and text is not null").select("row_id", F.xxhash64("text").alias("th"), "text")
-    postings = written(source.mapInArrow(_postings(wanted), "row_id string, th long, term long, pos int"), "p5-postings")
-    df = {r.term: r.n for r in postings.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most as many rows as the items have words
-    marks = anchors(held, df, wanted)
-    names = ("term", "item_id", "ipos", "band", "in_run", "in_item")
-    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-    table = spark.createDataFrame(pa.table({n: pa.array([m[i] for m in marks], t) for i, (n, t) in enumerate(zip(names, types))}))
-    meets = postings.join(F.broadcast(table), "term").select("item_id", "row_id", "th", "ipos", (F.col("pos") - F.col("ipos")).alias("off"), "band", "in_run", "in_item")
-    # the windows ask for three anchors on one offset, the whole wording for four within a band
-    exact = F.when(F.col("in_run"), F.array(F.struct(F.lit(3).alias("need"), F.col("off").cast("long").alias("at")))).otherwise(F.array())
-    low = F.floor(F.col("off") / F.col("band"))
-    loose = F.when(F.col("in_item"), F.array(F.struct(F.lit(4).alias("need"), low.alias("at")), F.struct(F.lit(4).alias("need"), (low + 1).alias("at")))).otherwise(F.array())
-    meets = meets.select("item_id", "row_id", "th", "ipos", F.explode(F.concat(exact, loose)).alias("o")).select("item_id", "row_id", "th", "ipos", "o.need", "o.at")
-    candidates = meets.groupBy("item_id", "row_id", "th", "need", "at").agg(F.count_distinct("ipos").alias("n")).where("n >= need").groupBy("row_id", "th").agg(F.collect_set("item_id").alias("items"))
-    candidates = written(candidates, "p5-candidates")
-    shared = spark.sparkContext.broadcast(held)
-
-    def compare(batches):
-        its = shared.value
-        memo: dict = {}
+    return leaked_by(build_index(source), source, held, of)
+
+
+def leaked_by(index: DataFrame, source: DataFrame, held: dict[str, Item], of: DataFrame | None = None) -> DataFrame:
+    """The same with an index that is stored already; source: row_id, th, text."""
+    candidates = written(search(index, held), "p5-candidates")
+    rows = source.select("row_id", "th").join(candidates.select("th").distinct(), "th", "left_semi").distinct()
+    if of is not None:
+        rows = rows.join(of.select("row_id").distinct(), "row_id", "left_semi")
+    rows = written(rows, "p5-rows")
+    wanted = candidates.join(rows.select("th").distinct(), "th", "left_semi").groupBy("th").agg(F.collect_list("item_id").alias("items"))  # of items only
+    shared = source.sparkSession.sparkContext.broadcast(held)
+    near = source.select("th", "text").join(wanted, "th").mapInArrow(_compare(shared, None), "item_id string, th long")
+    short = sorted(n for n, it in held.items() if it.short())
+    if short:
+        near = near.unionByName(source.select("th", "text").mapInArrow(_compare(shared, short), "item_id string, th long"))
+        rows = source.select("row_id", "th") if of is None else source.select("row_id", "th").join(of.select("row_id").distinct(), "row_id", "left_semi")
+    return near.distinct().join(rows, "th").select("item_id", "row_id").distinct()
+
+
+def _compare(shared, names: list[str] | None):
+    """th, text (and items, where no names are given) -> item_id, th of the wordings that are carried; a text met again lately is skipped."""
+
+    def run(batches):
+        seen, items = set(), shared.value
         for batch in batches:
             a, b = [], []
-            for r, th, text, names in zip(*(batch.column(c).to_pylist() for c in ("row_id", "th", "text", "items"))):
-                key = (th, tuple(sorted(names)))
-                if key not in memo:
-                    if len(memo) > 5000:
-                        memo.clear()
-                    memo[key] = carried(text, names, its)
-                a += memo[key]
-                b += [r] * len(memo[key])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["item_id", "row_id"])
+            for k, (th, text) in enumerate(zip(batch.column("th").to_pylist(), batch.column("text").to_pylist())):
+                if th in seen:
+                    continue
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add(th)
+                got = carried(text, names or batch.column("items")[k].as_py(), items)
+                a += got
+                b += [th] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64())], ["item_id", "th"])
 
-    return source.join(candidates, ["row_id", "th"]).select("row_id", "th", "text", "items").mapInArrow(compare, "item_id string, row_id string").distinct()
+    return run
 
 
 def training_surfaces(rows: DataFrame, passes: DataFrame) -> DataFrame:
@@ -241,5 +336,4 @@ def training_surfaces(rows: DataFrame, passes: DataFrame) -> DataFrame:
 
 def item_leaks(items: DataFrame, rows: DataFrame, passes: DataFrame) -> DataFrame:
     """(item_id, row_id): row_id is a training row that carries wording of the item."""
-    found = leaked(items, training_surfaces(rows, passes))
-    return found.join(rows.where("split = 'train'").select("row_id").distinct(), "row_id", "left_semi").select("item_id", "row_id")
+    return leaked(items, training_surfaces(rows, passes), rows.where("split = 'train' and row_id is not null"))

@@ -17,8 +17,9 @@ Repeated documents give the same rows under each id; further columns are ignored
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,11 +122,18 @@ def segments(text: str):
         yield from map(tuple, out)
 
 
+#: All that can open or close a quotation or a bracket.
+PAIRING = re.compile("[\"'" + re.escape("".join(OPEN) + ")]）】」』»”“’›》〉］}") + "]")
+
+
 def _pairs(t: str) -> list[tuple[int, int, bool]]:
-    """Quotations and brackets that close again: (open, close, is a bracket), outer ones first."""
+    """Quotations and brackets that close again: (open, close, is a bracket), outer ones first. One pass, whatever the nesting."""
     out, stack = [], []
-    straight = -1
-    for i, c in enumerate(t):
+    opened: dict[str, list[int]] = {}  # closing character -> places in the stack of what it closes, some of them gone
+    ends: list[int] | None = None
+    straight, quoted = -1, -1
+    for found in PAIRING.finditer(t):
+        i, c = found.start(), found[0]
         if c == '"':
             if straight >= 0:
                 out.append((straight, i, False))
@@ -136,18 +144,24 @@ def _pairs(t: str) -> list[tuple[int, int, bool]]:
             o, _ = stack.pop()
             out.append((o, i, t[o] in BRACKETS))
         elif c in OPEN and c != "‘":
+            for x in OPEN[c]:
+                opened.setdefault(x, []).append(len(stack))
             stack.append((i, OPEN[c]))
         elif c in ")]）】」』»”":  # an inner one never closed
-            for k in range(len(stack) - 1, max(-1, len(stack) - 51), -1):
-                if c in stack[k][1]:
-                    o = stack[k][0]
-                    del stack[k:]
-                    out.append((o, i, t[o] in BRACKETS))
-                    break
+            places = opened.get(c, [])
+            while places and (places[-1] >= len(stack) or c not in stack[places[-1]][1]):
+                places.pop()
+            if places:
+                o = stack[places[-1]][0]
+                del stack[places.pop() :]
+                out.append((o, i, t[o] in BRACKETS))
         elif c in "'‘" and (i == 0 or t[i - 1] in EDGE + "([“") and i + 1 < len(t) and t[i + 1].isalpha():
-            m = QUOTE_END.search(t, i + 1, i + 2000)  # such quotations are short
-            if m and not any(o < m.start() and i < e for o, e, _ in out[-50:]):
-                out.append((i, m.start(), False))
+            if ends is None:
+                ends = [m.start() for m in QUOTE_END.finditer(t)]
+            k = bisect_right(ends, i)
+            if k < len(ends) and quoted <= i:
+                quoted = ends[k]
+                out.append((i, quoted, False))
     return sorted(out)
 
 
@@ -191,8 +205,17 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
     opens = [p[0] for p in pairs]
     thai = bool(THAI.search(t))
     danda = "।" in t
-    german = sum(w in GERMAN for w in WORD.findall(t.lower())) >= 2
+    reach = list(accumulate((p[1] for p in pairs), max))  # how far any of the first ones reaches
+    closing: dict[int, list[tuple[int, int, bool]]] = {}
+    for p in pairs:
+        closing.setdefault(p[1], []).append(p)
     out, start = [], 0
+    language: list[bool] = []
+
+    def german() -> bool:
+        if not language:
+            language.append(sum(w in GERMAN for w in WORD.findall(t.lower())) >= 2)
+        return language[0]
 
     def common(word: str) -> bool:
         w = word.lower()
@@ -208,8 +231,10 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
         word = WORD.match(t, n)
         return bool(word) and word[0].lower() in STARTERS and len(WORD.findall(t[start:n])) >= 6
 
-    def around(i: int) -> list[tuple[int, int, bool]]:
-        return [p for p in pairs[max(0, bisect_right(opens, i) - 40) : bisect_right(opens, i)] if p[0] < i < p[1]]
+    def inside(i: int, k: int) -> bool:
+        """Whether what is open at i closes at k or later."""
+        n = bisect_left(opens, i)
+        return n > 0 and reach[n - 1] >= k
 
     def full_stop(i: int, n: int, gap: bool) -> bool:
         """Of one stop at i before the character at n."""
@@ -248,7 +273,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
         if token.isdigit():
             if re.match(r"\d{1,2}\.(\s|$)", t[n : n + 4]) or len(token) <= 2 and re.search(r"\d\.\s?$", t[max(0, left - 4) : left]):
                 return False  # 2030. 5. 18.
-            if len(token) <= 2 and german and (nxt.isdigit() or (after and not common(after))):
+            if len(token) <= 2 and german() and (nxt.isdigit() or (after and not common(after))):
                 return False
             return not (len(token) <= 2 and nxt.isdigit() and re.match(r"\d{1,2}\. ?\d", t[n : n + 5]))
         key = re.sub(r"^[^\w]+", "", token).lower()
@@ -276,7 +301,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             return nxt in OPEN or nxt.isupper() and bool(after) and (common(after) or last not in ("jan", "feb", "sept", "uu"))
         if key == "no" and left == first(start):
             return not nxt.isdigit()
-        known = key in BEFORE or key in corpus.short or key in doc[0] and key not in corpus.common
+        known = key in doc[0] and key not in corpus.common or key in corpus.short or key in BEFORE
         if not known or key in ("no", "min", "max", "in", "art") and cased and not nxt.isdigit() and token[:1].isupper():
             return True if not known else not (nxt.isdigit()) and (key not in BEFORE or common(after) or nxt in OPEN)
         if nxt.isdigit():
@@ -304,13 +329,13 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             p = k
             while p < len(t) and t[p] in "   " and p - k < 2:
                 p += 1
-            if p < len(t) and t[p] in CLOSE and (closed := [x for x in around(i) if x[1] == p]) and (p == k or t[p] in "»”"):
+            if p < len(t) and t[p] in CLOSE and (closed := [x for x in closing.get(p, ()) if x[0] < i]) and (p == k or t[p] in "»”"):
                 outer, k = closed[0], p + 1
-            elif p == k and t[k] in "\"”»’」』" and t[k] in CLOSE and not around(i) and (k + 1 == len(t) or t[k + 1] in EDGE):
+            elif p == k and t[k] in "\"”»’」』" and t[k] in CLOSE and not inside(i, i + 1) and (k + 1 == len(t) or t[k + 1] in EDGE):
                 k += 1  # closes what opened in an earlier part
             else:
                 break
-        if any(x[1] >= k for x in around(i)):
+        if inside(i, max(k, i + 1)):
             return -1
         n = first(k)
         if n >= len(t):
@@ -383,7 +408,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
         if i < start:
             continue
         if space:
-            if around(i):
+            if inside(i, i + 1):
                 continue
             end = i
         else:

@@ -402,3 +402,44 @@ def test_chunks_survive_edits():
             _, key, _, single = history.chunks_of(np.zeros(1, np.int64), [np.array([len(w)], np.int32).tobytes()], [toks.tobytes()], [bytes(map(len, w))])
             sides.append(set(key[~single].tolist()))
         assert len(sides[0] - sides[1]) <= 2 * edits and len(sides[1] - sides[0]) <= 2 * edits
+
+
+def test_short_items_and_items_mostly_of_stock_are_found(spark):
+    """Items with fewer terms than a whole wording usually needs, carried word by word or with what may be changed."""
+    stock = "These are the general words that stand on the back of each and every one of our papers here."
+    items = [(f"s-{i}", f"{stock} {w}") for i, w in enumerate(" ".join(x) for x in zip("amber bold crisp dense eager frail grand harsh ivory jolly keen lofty".split(), ["otter"] * 12, "runs swims digs hides eats hunts naps sings dives barks plays waits".split()))]
+    items += [("f-4", "green tractors hum softly"), ("f-6", "the quiet engine turns over twice"), ("f-1", "xylograph"), ("f-v", '{"a": "yes", "b": "zymurgist", "c": "quoin"}')]
+    its = spark.createDataFrame(items, "item_id string, state_str string")
+    rows = [(f"r-{n}", f"before it stands much else and then {t if t[0] != '{' else 'yes zymurgist quoin'} and so on it goes") for n, t in items]
+    rows += [("r-none", "nothing of the kind is in this text about a tractor"), ("r-edit", f"well {stock.replace('general', 'usual')} amber otter runs away")]
+    got = {tuple(x) for x in leaks.leaked(its, spark.createDataFrame(rows, "row_id string, text string")).collect()}
+    # each row carries its own item; with two of 22 words changed it also carries those of the others that differ in two words only
+    held = leaks.read_items(its)
+    want = {(n, r) for r, t in rows for n in leaks.carried(t, list(held), held)}
+    assert got == want and {(n, f"r-{n}") for n, _ in items} <= got and ("s-0", "r-edit") in got and not any(r == "r-none" for _, r in got)
+
+
+def test_characters_within_words_are_found(spark):
+    """Thirty characters of an item within a text of many Latin words, against a plain search for substrings."""
+    rng = random.Random(12)
+    han = [chr(0x4E00 + i) for i in range(600)]
+    body = "".join(rng.choices(han, k=90))
+    latin = " ".join(rng.choices(voc(rng), k=70))
+    rows = [(f"r-{k}", f"{latin} {body[7 : 7 + k]} {latin}") for k in (12, 29, 30, 31, 60)]
+    its = spark.createDataFrame([("i", body)], "item_id string, state_str string")
+    want = {("i", r) for r, t in rows if any(body[k : k + 30] in t for k in range(61))}
+    got = {tuple(x) for x in leaks.leaked(its, spark.createDataFrame(rows, "row_id string, text string")).collect()}
+    assert got == want and len(want) == 3
+
+
+def test_index_serves_other_items(spark):
+    """The stored index is built once; a second set of items only looks into it."""
+    rng = random.Random(13)
+    v = voc(rng)
+    rows = [(f"r-{i}", " ".join(rng.choices(v, k=60))) for i in range(40)]
+    source = spark.createDataFrame(rows, "row_id string, text string").selectExpr("row_id", "xxhash64(text) as th", "text")
+    index = leaks.build_index(source)
+    for first in (3, 20):
+        its = spark.createDataFrame([(f"i-{i}", rows[i][1]) for i in range(first, first + 5)], "item_id string, state_str string")
+        got = {tuple(x) for x in leaks.leaked_by(index, source, leaks.read_items(its)).collect()}
+        assert got == {(f"i-{i}", f"r-{i}") for i in range(first, first + 5)}

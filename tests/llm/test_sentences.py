@@ -71,3 +71,31 @@ def test_operator(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     got = S.sentences(docs).join(docs, "doc_id").selectExpr("substring(text, start_char + 1, end_char - start_char) as s").collect()
     assert got and all(r.s == r.s.strip() and r.s for r in got)
+
+
+def test_nesting_has_no_bound():
+    """A quotation with many bracketed notes, deep brackets and many unclosed quotes."""
+    for notes in (3, 60, 500):
+        text = "“" + "He spoke [a short note]. " * notes + "It was so.” And then came the end."
+        assert [text[a:b] for a, b in S.split(text)][-1] == "And then came the end." and len(S.split(text)) == 2
+    assert len(S.split("(" * 5000 + "One. Two." + ")" * 5000)) == 1
+    assert len(S.split("“ " * 500 + "(" * 500 + "One. Two." + ")" * 500 + " Then three.")) <= 3
+    long = "'" + "word " * 3000 + "so,' he said. Then he left."
+    assert len(S.split(long)) == 2
+
+
+@pytest.mark.parametrize(
+    "known, text, n",
+    [
+        ("The zorb. value and the zorb. limit are set.", "We met at the zorb. Miller Hall again. It was late.", 2),
+        ("Der Klst. wert und die klst. grenze gelten.", "Er nahm die klst. Hansen sehr ernst. Dann ging er.", 2),
+        ("La vlmr. moyenne et la vlmr. basse sont là.", "Il donne la vlmr. Dupont du mois. Puis il part.", 2),
+        ("El trqn. medio y el trqn. bajo valen.", "Dio el trqn. Ruiz del mes. Luego salió.", 2),
+        ("Se hylk. arvo ja hylk. raja ovat tässä.", "Hän antoi hylk. Virtasen heti. Sitten hän lähti.", 2),
+    ],
+)
+def test_abbreviations_on_no_list(known, text, n):
+    """What the document itself shows before a lower-case word is an abbreviation before a capital too; without it, it isn't."""
+    both = f"{known}\n\n{text}"
+    assert sum(a >= len(known) for a, _ in S.split(both)) == n
+    assert len(S.split(text)) == n + 1
