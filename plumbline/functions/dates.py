@@ -37,3 +37,48 @@ def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def week_of_month(day: Column) -> Column:
     return F.floor((F.dayofmonth(day) - 1) / 7)
+
+
+def months_before(day: Column, months: Column) -> Column:
+    """A day from which exactly so many complete months have passed: the day before in that month, or the first."""
+    at = F.year(day) * 12 + F.month(day) - 1 - months
+    return F.make_date(F.floor(at / 12).cast("int"), (F.pmod(at, F.lit(12)) + 1).cast("int"), F.when(F.dayofmonth(day) == 1, 1).otherwise(F.dayofmonth(day) - 1))
+
+
+def styles(day: Column) -> dict[str, Column]:
+    """A date in each of the written styles."""
+    f = lambda p: F.date_format(day, p)
+    return {
+        "iso": f("yyyy-MM-dd"),
+        "us": f("MMMM d, yyyy"),
+        "uk": f("d MMMM yyyy"),
+        "abbr": f("MMM d, yyyy"),
+        "ord": F.concat(F.lit("the "), ordinal(F.dayofmonth(day)), F.lit(" of "), f("MMMM yyyy")),
+        "wd": f("EEEE, MMMM d, yyyy"),
+    }
+
+
+# The days of the week from Monday in Chinese.
+WEEKDAYS_ZH = ["星期一", "星期二", "星期三", "星期四", "星期五", "星期六", "星期日"]
+
+
+def styles_zh(day: Column) -> dict[str, Column]:
+    f = lambda p: F.date_format(day, p)
+    weekday = F.element_at(F.array(*map(F.lit, WEEKDAYS_ZH)), F.weekday(day) + 1)
+    return {
+        "ymd": f("yyyy年M月d日"),
+        "slash": f("yyyy/M/d"),
+        "noyear": f("M月d日"),
+        "zero": f("yyyy年MM月dd日"),
+        "wd": F.concat(f("yyyy年M月d日"), F.lit("（"), weekday, F.lit("）")),
+    }
+
+
+def holiday_list(days: Column) -> Column:
+    """The days in order, joined by commas."""
+    return F.array_join(F.array_sort(F.transform(days, lambda d: F.date_format(d, "yyyy-MM-dd"))), ", ")
+
+
+def holiday_list_zh(days: Column) -> Column:
+    """In the order of their written forms."""
+    return F.array_join(F.array_sort(F.transform(days, lambda d: F.date_format(d, "yyyy年M月d日"))), "、")

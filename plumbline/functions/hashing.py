@@ -19,8 +19,8 @@ def hex_number(digest: Column, digits: int) -> Column:
 
 
 def unit(*parts: Column) -> Column:
-    """A number in [0, 1) from the first 48 bits of the content hash, exact in double precision."""
-    return hex_number(content_hash(*parts), 12) / float(1 << 48)
+    """A number from 0 to 1: the first 64 bits of the content hash over 2^64."""
+    return F.conv(F.substring(content_hash(*parts), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / float(1 << 64)
 
 
 def is_val(row_id: Column, frac: int = 10) -> Column:

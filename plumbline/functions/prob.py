@@ -5,6 +5,8 @@ Ties go to the first index everywhere. Null arrays give null; an empty array has
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +98,52 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Terms of the series of erf; beyond ERF_FROM it is 1 to all digits that count.
+ERF_TERMS, ERF_FROM = 60, 4.5
+
+
+def erf_coefficients() -> list[float]:
+    """2^n / (1 3 5 ... (2 n + 1)): erf x = 2 / sqrt(pi) exp(-x^2) times the sum of these by x^(2 n + 1), all positive."""
+    out = [1.0]
+    for n in range(1, ERF_TERMS):
+        out.append(out[-1] * 2 / (2 * n + 1))
+    return out
+
+
+def erf(x: Column) -> Column:
+    """The error function to some 1e-12, from built-ins only."""
+    t, total_ = x * x, F.lit(0.0)
+    for c in reversed(erf_coefficients()):
+        total_ = total_ * t + c
+    inner = F.exp(-t) * x * total_ * (2 / math.sqrt(math.pi))
+    return F.when(F.abs(x) < ERF_FROM, inner).otherwise(F.signum(x))
+
+
+def gelu(x: Column) -> Column:
+    """The exact form, x times the normal distribution function."""
+    return x * 0.5 * (erf(x / math.sqrt(2)) + 1.0)
+
+
 def mlp(x: Column, w1: list[list[float]], b1: list[float], w2: list[float], b2: float) -> Column:
-    """Linear, GELU (tanh form), linear: a small head over a stored embedding; weights are literals."""
-    def gelu(h):
-        return h * 0.5 * (1.0 + F.tanh((h + F.pow(h, F.lit(3.0)) * 0.044715) * 0.7978845608028654))
+    """Linear, exact GELU, linear: a small head over a stored embedding; weights are literals."""
+    sums = F.array(*[dot(x, F.array(*map(F.lit, row))) + b for row, b in zip(w1, b1)])
+    return dot(F.transform(sums, gelu), F.array(*map(F.lit, w2))) + b2
+
+
+def scores_from(probs: Column, yes_no: Column) -> Column:
+    """Scores that give back probabilities: of yes against no as one log ratio (first entry: no, second: yes), else their logarithms."""
+    low = lambda p: F.log(F.greatest(p, F.lit(TINY)))
+    yes = F.get(probs, F.lit(1))
+    return F.when(yes_no, F.array(low(yes) - low(1 - yes))).otherwise(F.transform(probs, low))
+
+
+def polarity(logits: Column, positive: list[int], negative: list[int]) -> Column:
+    """Whether the entries for one polarity have more probability together than those for the other."""
+    top = F.array_max(logits)
+    mass = lambda ids: sum((F.exp(F.get(logits, F.lit(i)) - top) for i in ids), F.lit(0.0))
+    return mass(positive) > mass(negative)
+
 
-    hidden = F.array(*[gelu(dot(x, F.array(*map(F.lit, row))) + b) for row, b in zip(w1, b1)])
-    return dot(hidden, F.array(*map(F.lit, w2))) + b2
+def restricted(logits: Column, ids: list[int]) -> Column:
+    """The softmax over some entries only."""
+    return softmax(F.array(*[F.get(logits, F.lit(i)) for i in ids]))

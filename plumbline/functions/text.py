@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -59,6 +60,9 @@ def instructions_text(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S)
+
+
 @F.pandas_udf(T.StringType())
 def loose_json(text: pd.Series) -> pd.Series:
     """The JSON object in an answer that may be fenced or surrounded by prose; null if there is none."""
@@ -66,10 +70,8 @@ def loose_json(text: pd.Series) -> pd.Series:
     def one(x):
         if not x:
             return None
-        x = x.strip()
-        if x.startswith("```"):
-            x = x.strip("`").removeprefix("json")
-        for part in (x, x[x.find("{") : x.rfind("}") + 1]):
+        fenced = FENCE.search(x)
+        for part in (fenced[1] if fenced else x, x[x.find("{") : x.rfind("}") + 1]):
             try:
                 found = json.loads(part)
             except ValueError:
@@ -115,6 +117,21 @@ def letter_of(options: Column, value: Column) -> Column:
     return F.when(at > 0, F.char(F.lit(64) + at))
 
 
+@F.pandas_udf(T.StringType())
+def packed_json(text: pd.Series) -> pd.Series:
+    """A JSON object or array without white space, its fields in the order they stand; other text and null as they are."""
+
+    def one(x):
+        if not x or x.lstrip()[:1] not in ("{", "["):
+            return x
+        try:
+            return json.dumps(json.loads(x), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return x
+
+    return text.map(one)
+
+
 def compact_json(text: Column) -> Column:
     """A JSON text's < > & escaped as they are for a wire format that is embedded in HTML."""
     for c, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
@@ -128,6 +145,16 @@ def judge_prompt(state: Column, instructions: Column, meaning: Column) -> Column
     return F.concat(F.lit(lead + "\n\nState:\n"), state, F.lit("\n\nQuestion:\n"), instructions, F.coalesce(F.concat(F.lit("\n\nYes means: "), meaning), F.lit("")))
 
 
+def money(cents: Column, sign: str) -> Column:
+    """Cents as $12.05."""
+    return F.concat(F.lit(sign), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def mail_domain(sender: Column) -> Column:
+    """What stands after the first @; null if nothing does."""
+    return F.when(F.contains(sender, F.lit("@")), F.split_part(sender, F.lit("@"), F.lit(2)))
+
+
 def ordinal(n: Column) -> Column:
     """1st, 2nd, 3rd, 11th."""
     tail = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
@@ -139,6 +166,11 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
+def pass_cost(text: Column, with_image: Column) -> Column:
+    """Estimated tokens of a pass, a margin of 24, and 399 for an image."""
+    return estimated_tokens(text) + F.when(with_image, F.lit(399 + 24)).otherwise(F.lit(24))
+
+
 def clock(minutes: Column) -> Column:
     """Minutes of the day as HH:MM."""
     return F.concat(F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))

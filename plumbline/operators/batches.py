@@ -7,17 +7,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import hashing
+
 
 def pack(df: DataFrame, key: str, group: str, cost: str, budget: int, padded: bool = False, rows_per_group: int = 50_000) -> DataFrame:
     """key, group, batch, slot: in order of cost, a batch is closed before its sum (or, padded, its longest times its number) would pass the budget.
 
-    Groups are split by cost ranges, so a large group is never one task; batches restart in each split. An item over the
-    budget is a batch of its own. Null costs count as 0.
+    Groups are split by a hash of the key into parts of about rows_per_group rows, so a large group is never one task; batches restart in each
+    part (batch is the part times 2^32 and a number), so each leaves at most one batch that isn't full. The result depends on the rows alone, not on
+    partitions. An item over the budget is a batch of its own. Null costs count as 0.
     """
     base = df.select(F.col(key), F.col(group), F.coalesce(F.col(cost), F.lit(0)).cast("long").alias("cost"))
-    n = base.count()
-    splits = max(1, -(-n // rows_per_group))
-    spread = base.repartitionByRange(splits, group, "cost", key).withColumn("__part", F.spark_partition_id())
+    parts = max(1, -(-base.count() // rows_per_group))
+    spread = base.withColumn("__part", (hashing.hex_number(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 8) % parts).cast("int"))
     types = dict(base.dtypes)
 
     def fill(table: pa.Table) -> pa.Table:

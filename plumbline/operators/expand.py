@@ -17,6 +17,22 @@ def kept_options(row_id: Column, options: Column, label: Column, most: int, seed
     return F.when(few, places).otherwise(F.filter(places, lambda i: (i == label) | F.array_contains(chosen, i)))
 
 
+def seeded_subset(row_id: Column, options: Column, label: Column, most: int, seed: str) -> Column:
+    """Gold and the first others by a hash of row and place, in the order of the list: struct(options, gold), gold being the place among those kept."""
+    places = F.sequence(F.lit(0), F.size(options) - 1)
+    ranked = F.array_sort(F.transform(F.filter(places, lambda i: i != label), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), row_id, i.cast("string")), 256).alias("h"), i.alias("i"))))
+    chosen = F.slice(F.transform(ranked, lambda x: x["i"]), 1, most - 1)
+    kept = F.when(F.size(options) <= most, places).otherwise(F.filter(places, lambda i: (i == label) | F.array_contains(chosen, i)))
+    return F.struct(F.transform(kept, lambda i: F.element_at(options, i + 1)).alias("options"), (F.array_position(kept, label) - 1).cast("int").alias("gold"))
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with its match in right, a small table with a row for each key; a key that right lacks is an error."""
+    told = F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("(null)")))
+    joined = left.join(right.withColumn("__there", F.lit(True)), key, "left")
+    return joined.withColumn(key, F.when(F.col("__there"), F.col(key)).otherwise(F.raise_error(told))).drop("__there")
+
+
 def expand(rows: DataFrame, descriptions: DataFrame, levels: DataFrame, soft: DataFrame, most: int = 24, with_text: bool = True) -> DataFrame:
     """Passes: row_id, qtype, kind, key, pos, target, weight, gold, soft and text.
 
@@ -36,12 +52,12 @@ def expand(rows: DataFrame, descriptions: DataFrame, levels: DataFrame, soft: Da
     )
     one_hot = F.when(F.col("pos") == F.col("label"), 1.0).otherwise(0.0)
     options = base.where("primitive = 'choice' and size(options) > 0").withColumn("pos", F.explode(kept_options(F.col("row_id"), F.col("options"), F.col("label"), most)))
-    options = options.withColumn("key", F.element_at("options", F.col("pos") + 1)).join(F.broadcast(descriptions.select(F.col("name").alias("key"), "description")), "key", "left")
+    options = options.withColumn("key", F.element_at("options", F.col("pos") + 1)).join(descriptions.select(F.col("name").alias("key"), "description"), "key", "left")
     choice = options.select(
         "row_id", F.lit("choice").alias("qtype"), F.lit("choice_opt").alias("kind"), "key", F.col("pos").cast("int").alias("pos"), one_hot.alias("target"), F.lit(1.0).alias("weight"), "gold", F.lit(None).cast("double").alias("soft"),
         *([text.option_pass(F.col("state"), F.col("instructions"), F.col("key"), F.col("description")).alias("text")] if with_text else []),
     )
-    levelled = base.where("primitive = 'score'").join(F.broadcast(levels), "attribute").select("*", F.posexplode("levels").alias("pos", "level"))
+    levelled = base.where("primitive = 'score'").join(levels, "attribute").select("*", F.posexplode("levels").alias("pos", "level"))
     score = levelled.select(
         "row_id", F.lit("score").alias("qtype"), F.lit("score_lvl").alias("kind"), F.col("pos").cast("string").alias("key"), "pos", one_hot.alias("target"), F.lit(1.0).alias("weight"), "gold", F.lit(None).cast("double").alias("soft"),
         *([text.level_pass(F.col("state"), F.col("instructions"), F.col("pos"), F.size("levels"), F.col("level")).alias("text")] if with_text else []),

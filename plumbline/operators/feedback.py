@@ -41,11 +41,30 @@ def unknown(store: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def redact(store: DataFrame, keys: list[str]) -> DataFrame:
-    """States whose top-level keys of the list read <redacted>; other fields and the hash stay, plain texts too."""
-    fields = F.from_json("state", "map<string,string>")
-    hidden = F.transform_values(fields, lambda k, v: F.when(k.isin(keys), F.lit("<redacted>")).otherwise(v))
-    is_object = F.substring(F.ltrim("state"), 1, 1) == "{"
-    return store.withColumn("state", F.when(is_object & fields.isNotNull(), F.to_json(hidden)).otherwise(F.col("state")))
+    """Object states whose top-level keys of the list read <redacted>, privacy.redacted being set; all other values, the hash and plain texts stay."""
+    fields = F.from_json("state", "map<string,variant>")
+    hidden = F.transform_values(fields, lambda k, v: F.when(k.isin(keys), F.parse_json(F.lit('"<redacted>"'))).otherwise(v))
+    is_object = (F.substring(F.ltrim("state"), 1, 1) == "{") & F.try_parse_json("state").isNotNull()
+    privacy = F.coalesce(F.col("privacy"), F.lit(None).cast(store.schema["privacy"].dataType))
+    marked = F.when(privacy.isNull(), F.from_json(F.lit("{}"), store.schema["privacy"].dataType.json())).otherwise(privacy).withField("redacted", F.lit(True))
+    out = store.withColumn("__object", F.coalesce(is_object, F.lit(False)))
+    out = out.withColumn("state", F.when(F.col("__object"), F.to_json(hidden)).otherwise(F.col("state")))
+    return out.withColumn("privacy", F.when(F.col("__object"), marked).otherwise(F.col("privacy"))).drop("__object")
+
+
+def add(store: DataFrame, new: DataFrame) -> DataFrame:
+    """The store with new records; an id that is there already, or twice among the new ones, is an error."""
+    twice = new.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").unionByName(new.join(store.select("id"), "id", "left_semi").select("id"))
+    if bad := [r.id for r in twice.limit(5).collect()]:
+        raise ValueError(f"ids that are not unique: {bad}")
+    return store.unionByName(new, True)
+
+
+def review_strictly(store: DataFrame, decisions: DataFrame) -> DataFrame:
+    """review, but a decision on an id that is not in the store is an error."""
+    if bad := [r.id for r in unknown(store, decisions).limit(5).collect()]:
+        raise KeyError(f"no such records: {bad}")
+    return review(store, decisions)
 
 
 def prune(store: DataFrame, cutoff_ts: float) -> DataFrame:
@@ -53,6 +72,12 @@ def prune(store: DataFrame, cutoff_ts: float) -> DataFrame:
     return store.where((F.col("ts") >= cutoff_ts) | (F.coalesce(F.col("review.status"), F.lit("")) == "confirmed"))
 
 
+def removed(store: DataFrame, cutoff_ts: float) -> DataFrame:
+    """How many records prune keeps and how many it removes: kept, removed."""
+    stays = F.coalesce((F.col("ts") >= cutoff_ts) | (F.coalesce(F.col("review.status"), F.lit("")) == "confirmed"), F.lit(False))
+    return store.agg(F.coalesce(F.count_if(stays), F.lit(0)).alias("kept"), F.coalesce(F.count_if(~stays), F.lit(0)).alias("removed"))
+
+
 def export(store: DataFrame, respect_opt_out: bool = True) -> DataFrame:
     """Confirmed records as training rows; those who opted out are left out unless told otherwise."""
     kept = store.where("review.status = 'confirmed'")

@@ -18,10 +18,8 @@ def distinct_first(df: DataFrame, text: str, order: str) -> DataFrame:
 
 
 def dense_numbers(df: DataFrame, order: str, name: str, group: str | None = None) -> DataFrame:
-    """Numbers 0, 1, 2, ... in order, within groups or over all rows (then by buckets and their offsets, never in one task)."""
-    if group:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
-    return ranks.dense(df, order, name)
+    """Numbers 0, 1, 2, ... in order, within groups or over all rows: by buckets and their offsets, so neither all rows nor a large group is one task."""
+    return ranks.dense(df, order, name, *([group] if group else []))
 
 
 def first_n_per_group(df: DataFrame, group: str, order: str | list[Column], n: int) -> DataFrame:

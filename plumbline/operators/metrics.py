@@ -34,7 +34,9 @@ def composite(df: DataFrame) -> DataFrame:
     out = df.withColumn("intelligence", intelligence).withColumn("calibration", 100 * (1 - 2 * F.col("ece")))
     out = out.withColumn("speed", 80 - 10 * (F.log10(2 * F.col("p50")) + F.log10(2 * F.col("p95")))).withColumn("cost", 10 - 30 * F.log10("usd_per_1k"))
     low = F.least(F.lit(1.0), F.pow(F.col("intelligence") / 50, F.lit(2.0)))
-    return out.withColumn("composite", F.pow(F.col("intelligence") * F.col("calibration") * F.col("speed") * F.col("cost"), F.lit(0.25)) * low)
+    axes = [F.col(c) for c in ("intelligence", "calibration", "speed", "cost")]
+    mean = F.pow(axes[0] * axes[1] * axes[2] * axes[3], F.lit(0.25)) * low
+    return out.withColumn("composite", F.when(F.least(*axes) > 0, mean))  # an axis at or below 0 leaves no geometric mean
 
 
 def running_drop(df: DataFrame, group: str, step: str, acc: str, most: float = 0.10) -> DataFrame:

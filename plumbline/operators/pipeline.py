@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 MANIFEST = "ts double, stage string, status string, detail string"
 
 
+# Fixed value: the digest of a configuration is that of its JSON with sorted keys.
 def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
@@ -64,3 +65,47 @@ class Run:
 def latest_status(events: DataFrame, stage: str = "stage", ts: str = "ts", status: str = "status") -> DataFrame:
     """The last event of each stage, and how many there were."""
     return events.groupBy(stage).agg(F.max_by(status, ts).alias("status"), F.max(ts).alias("ts"), F.count("*").alias("events"))
+
+
+def first_and_latest(events: DataFrame, stage: str = "stage", ts: str = "ts", status: str = "status") -> DataFrame:
+    """The first and the last event of each stage."""
+    ends = [F.min_by(status, ts).alias("first"), F.min(ts).alias("first_ts"), F.max_by(status, ts).alias("last"), F.max(ts).alias("last_ts")]
+    return events.groupBy(stage).agg(*ends)
+
+
+def refuse_hits(pairs: DataFrame) -> None:
+    """Stops a run whose audit has any hit, naming some."""
+    if hits := pairs.limit(5).collect():
+        raise ValueError(f"held-out text in the training data: {[tuple(r) for r in hits]}")
+
+
+# The gates a configuration sets, each with its comparison.
+GATES = {"ece": ("<=",), **{k: (">", ">=") for k in ("synth3", "mnli", "ocnli", "synth2zh", "synth2")}}
+NEEDED = ("name", "base", "profile", "data", "train", "gates")
+
+
+def config_errors(config) -> list[str]:
+    """What is wrong with a configuration: missing parts, a name that is no slug, no base path, gates other than the known ones or with a wrong comparison or bar."""
+    if not isinstance(config, dict):
+        return ["the configuration must be an object"]
+    out = [f"missing key {k}" for k in NEEDED if k not in config]
+    name = config.get("name", "x")
+    if not isinstance(name, str) or not name.replace("-", "").replace("_", "").isalnum():
+        out.append("name must be a simple slug")
+    if "base" in config and not (isinstance(config["base"], dict) and "path" in config["base"]):
+        out.append("base.path is required")
+    for part in ("data", "train", "gates"):
+        if part in config and not isinstance(config[part], dict):
+            out.append(f"{part} must be an object")
+    gates = config.get("gates")
+    if isinstance(gates, dict):
+        if set(gates) != set(GATES):
+            out.append(f"gates must be exactly {sorted(GATES)}")
+        for k, gate in gates.items():
+            if not isinstance(gate, dict) or not {"cmp", "value"} <= set(gate):
+                out.append(f"gate {k} needs cmp and value")
+            elif k in GATES and gate["cmp"] not in GATES[k]:
+                out.append(f"gate {k} must be compared by {' or '.join(GATES[k])}")
+            elif isinstance(gate["value"], bool) or not isinstance(gate["value"], (int, float)):
+                out.append(f"gate {k} must have a numeric bar")
+    return out

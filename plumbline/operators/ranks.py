@@ -23,13 +23,17 @@ def bucket(df: DataFrame, order: str) -> Column:
     return F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(array, lambda b: F.col(order) >= b)))
 
 
-def dense(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Numbers 0, 1, 2, ... in order; nulls first."""
+def dense(df: DataFrame, order: str, name: str, *by: str) -> DataFrame:
+    """Numbers 0, 1, 2, ... in order, nulls first, over all rows or within groups (a null group is one)."""
     placed = df.withColumn("__bucket", bucket(df, order))
-    counts = placed.groupBy("__bucket").count()
-    before = counts.select("__bucket", (F.sum("count").over(Window.orderBy("__bucket")) - F.col("count")).alias("__before"))  # a row per bucket
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(order)) - 1
-    return placed.join(F.broadcast(before), "__bucket").withColumn(name, (local + F.col("__before")).cast("long")).drop("__bucket", "__before")
+    counts = placed.groupBy(*[F.col(b).alias(f"__{b}") for b in by], F.col("__bucket").alias("__b")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*([f"__{b}" for b in by] or [F.lit(0)])).orderBy("__b")  # a row per bucket
+    before = counts.select(*[f"__{b}" for b in by], "__b", (F.sum("__c").over(w) - F.col("__c")).alias("__before"))
+    local = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(order)) - 1
+    condition = F.col("__bucket") == F.col("__b")
+    for b in by:
+        condition = condition & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    return placed.withColumn("__local", local).join(before, condition).withColumn(name, (F.col("__local") + F.col("__before")).cast("long")).select(*df.columns, name)
 
 
 def nearest(df: DataFrame, value: str, q: float, *by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_more, q_rows, q_scores, q_store  # noqa: F401 (they register their queries)
+from . import q_build, q_more, q_rows, q_scores, q_search, q_shape, q_store  # noqa: F401 (they register their queries)
 from .registry import QUERIES, SQL
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashing, prob, text
-from plumbline.operators import ingest, search
+from plumbline.operators import ingest
 from plumbline.sources import records
 
-from .q_scores import NOULS, answers, answers_sql, nouls
-from .registry import CONFIDENCE, GROUPED, ROUNDED, ROWS, grouped, latest_rows, query, softmax_sql
+from .q_scores import answers, answers_sql
+from .registry import CONFIDENCE, GROUPED, ROUNDED, ROWS, grouped, latest_rows, query, softmax_sql, unit_sql
 
 
 @query(f"""with {GROUPED}, q_ as (select row_id, keys, {softmax_sql('z')} as pz, list_sort(keys) as shown from g_ where qtype = 'choice' and len(keys) between 2 and 26),
@@ -33,14 +33,6 @@ def mixed_cross_entropy(t):
     return g.groupBy("qtype").agg(F.round(F.avg(0.5 * soft + 0.5 * hard), 6).alias("loss"))
 
 
-@query(f"""with {NOULS}, w as (select unnest([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) as w), t_ as (select unnest([0.5, 1.0, 2.0]) as tau),
-x as (select w, tau, round(avg(power(1 / (1 + exp(-(n_.z * w + ln(p / (1 - p)) / tau * (1 - w)))) - t, 2)), 6) as brier from n_, w, t_ group by 1, 2) select w::double as w, tau::double as tau, brier from x order by brier, w, tau limit 8""")
-def grid_top8(t):
-    """The eight best blends of a small grid; every candidate is an aggregate of one scan."""
-    n = nouls(t).withColumn("y", F.log(F.col("p") / (1 - F.col("p"))))
-    return search.grid_scores(n, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], [0.5, 1.0, 2.0]).orderBy("brier", "w", "tau").limit(8)
-
-
 @query(f"""with {ROWS}, n as (select row_id, regexp_replace(row_id, '-[0-9]+$', '') as source_name, row_number() over (partition by regexp_replace(row_id, '-[0-9]+$', '') order by row_id) as rn from rows_),
 c as (select row_id, source_name, case when source_name in ('zhintent', 'fiscore') then 2 else 1 end as k from n where rn <= 40) select row_id, source_name, unnest(generate_series(1, k)) as copy from c""")
 def rebalanced_sources(t):
@@ -50,14 +42,15 @@ def rebalanced_sources(t):
     return ingest.oversample(cut, F.when(F.col("source_name").isin("zhintent", "fiscore"), 2).otherwise(1)).select("row_id", "source_name", F.col("copy").cast("long").alias("copy"))
 
 
-@query(f"""with {ROWS}, u as (select row_id, 'held' as part, state from rows_ where split = 'val' union all by name select row_id, 'replay' as part, state from rows_ where split = 'train' and cast('0x' || substr(sha256('replay' || chr(31) || row_id), 1, 12) as bigint) / 281474976710656.0 < 0.2)
-select row_id, part, sha256('order' || chr(31) || row_id) as rank, coalesce(length(state), 0) as chars from u""")
+@query(f"""with {ROWS}, u as (select row_id, 'held' as part, state from rows_ where split = 'val' union all by name select row_id, 'replay' as part, state from rows_ where split = 'train' and {unit_sql("'replay'", 'row_id')} < 0.2)
+select row_id, regexp_replace(row_id, '-[0-9]+$', '') as source_name, part, sha256('order' || chr(31) || row_id) as rank,
+  coalesce(length(state), 0) as chars from u""")
 def replay_mix(t):
     """Held-out rows beside a fixed fifth of the training rows, each with its place in a shuffle."""
     r = latest_rows(t)
     held = r.where("split = 'val'").withColumn("part", F.lit("held"))
     replay = r.where("split = 'train'").where(hashing.unit(F.lit("replay"), F.col("row_id")) < 0.2).withColumn("part", F.lit("replay"))
-    return held.unionByName(replay).select("row_id", "part", hashing.content_hash(F.lit("order"), F.col("row_id")).alias("rank"), F.coalesce(F.length("state"), F.lit(0)).cast("long").alias("chars"))
+    return held.unionByName(replay).select("row_id", records.source_name(F.col("row_id")).alias("source_name"), "part", hashing.content_hash(F.lit("order"), F.col("row_id")).alias("rank"), F.coalesce(F.length("state"), F.lit(0)).cast("long").alias("chars"))
 
 
 @query("""select item_id, qtype, case qtype when 'noul' then 1 when 'choice' then coalesce(len(options), 0) else 5 end as passes, sha256(concat_ws(chr(31), state_str, instructions)) as request_key from eval_items""")
@@ -68,7 +61,7 @@ def request_passes(t):
 
 
 @query("""with u as (select item_id, state_str, options, generate_subscripts(options, 1) - 1 as pos from eval_items where qtype = 'choice' and len(options) > 0),
-s as (select item_id, options, list((cast('0x' || substr(sha256(concat_ws(chr(31), 'mock', state_str, options[pos + 1])), 1, 12) as bigint) / 281474976710656.0 - 0.5) * 8 order by pos) as z from u group by item_id, options),
+s as (select item_id, options, list((""" + unit_sql("'mock'", "state_str", "options[pos + 1]") + """ - 0.5) * 8 order by pos) as z from u group by item_id, options),
 a_ as (select item_id, options, """ + softmax_sql("z") + " as p from s), " + ROUNDED.format("a_") + """ select item_id, options[list_position(r, list_max(r))] as choice, list_max(r) as p, """ + CONFIDENCE + " as confidence from r4_")
 def mock_answers(t):
     """Answers of a stand-in scorer that hashes state and option: equal content, equal answer."""
@@ -85,15 +78,6 @@ def committee_usage(t):
     return t("eval_items").select("item_id", (text.estimated_tokens(F.coalesce("state_str", F.lit(""))) + text.estimated_tokens(F.coalesce("instructions", F.lit("")))).alias("input_tokens"), (out * 2).alias("output_tokens"))
 
 
-@query(f"""with {NOULS}, m as (select avg(abs(p - soft)) as delta, avg(case when (p >= 0.5) = (soft >= 0.5) then 1.0 else 0.0 end) as agreement from n_ where soft is not null)
-select unnest(['delta', 'agreement', 'image']) as gate, unnest([coalesce(round(delta, 6) <= 0.35, true), coalesce(round(agreement, 6) >= 0.4, true), true]) as passed from m""")
-def fidelity_gates(t):
-    """A gate that was not measured passes."""
-    m = nouls(t).where("soft is not null").agg(F.round(F.avg(F.abs(F.col("p") - F.col("soft"))), 6).alias("delta"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("soft") >= 0.5)).cast("double")), 6).alias("agreement"))
-    gates = F.array(F.struct(F.lit("delta").alias("gate"), F.coalesce(F.col("delta") <= 0.35, F.lit(True)).alias("passed")), F.struct(F.lit("agreement").alias("gate"), F.coalesce(F.col("agreement") >= 0.4, F.lit(True)).alias("passed")), F.struct(F.lit("image").alias("gate"), F.lit(True).alias("passed")))
-    return m.select(F.explode(gates).alias("g")).select("g.gate", "g.passed")
-
-
 @query(f"""with {answers_sql()}, x as (select row_id, unnest(list_zip(keys, r)) as kr from r4_ where qtype = 'choice')
 select row_id, kr[1] as option, kr[2] as p from x where kr[2] > 0.01""")
 def shown_options(t):

@@ -137,12 +137,12 @@ def soft_label_join(t):
 @query(f"with {ROWS}, o as (select row_id, unnest(meta.options) as key from rows_ where primitive = 'choice') select o.key, d.description, count(*) as n from o left join option_desc d on o.key = d.name group by 1, 2")
 def option_descriptions(t):
     o = latest_rows(t).where("primitive = 'choice'").select(F.explode("meta.options").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    return o.join(F.broadcast(t("option_desc").withColumnRenamed("name", "key")), "key", "left").select("key", "description", "n")
+    return o.join(t("option_desc").withColumnRenamed("name", "key"), "key", "left").select("key", "description", "n")
 
 
 @query(f"with {ROWS} select r.row_id, r.meta.attribute as attribute, len(a.levels) as n_levels from rows_ r join attr_levels a on r.meta.attribute = a.attribute where r.primitive = 'score'")
 def attribute_levels(t):
-    return latest_rows(t).where("primitive = 'score'").select("row_id", "meta.attribute").join(F.broadcast(t("attr_levels")), "attribute").select("row_id", "attribute", F.size("levels").cast("long").alias("n_levels"))
+    return latest_rows(t).where("primitive = 'score'").select("row_id", "meta.attribute").join(t("attr_levels"), "attribute").select("row_id", "attribute", F.size("levels").cast("long").alias("n_levels"))
 
 
 KEPT = """case when cast('0x' || substr(sha256(row_id), 1, 8) as bigint) % 10 = 0 or len(options) <= {most} then true
@@ -164,10 +164,26 @@ def expand_passes(t):
     return expand.expand(latest_rows(t), t("option_desc"), t("attr_levels"), latest_soft(t), 4, False)
 
 
-@query()
+REST = "list_filter(json_keys(instructions), lambda k: k <> 'question')"
+PAIR = "to_json(k)::varchar || ': ' || json_extract(instructions, '$.\"' || k || '\"')::varchar"
+ASK = f"""case when substr(ltrim(instructions), 1, 1) <> '{{' or not json_valid(instructions) then instructions
+  else json_extract_string(instructions, '$.question') || case when len({REST}) > 0 then chr(10) || '{{' || array_to_string(list_transform({REST}, lambda k: {PAIR}), ', ') || '}}' else '' end end"""
+MEANT = "coalesce(concat_ws(' | ', 'true: ' || json_extract_string(criteria, '$.true'), 'false: ' || json_extract_string(criteria, '$.false')), '')"
+LINE = "chr(10) || chr(10) || '[{0}] ' || q || chr(10) || "
+
+
+@query(f"""with {ROWS}, t_ as (select *, {ASK} as q, {MEANT} as meant, meta.options as options, meta.attribute as attribute from rows_),
+o_ as (select *, unnest(options) as o from t_ where primitive = 'choice'),
+l_ as (select t_.*, a.levels, generate_subscripts(a.levels, 1) as pos from t_ join attr_levels a on t_.attribute = a.attribute where primitive = 'score'),
+e_ as (select row_id, null::varchar as key, state || chr(10) || chr(10) || '[noul] ' || q || case when meant <> '' then chr(10) || 'criteria - ' || meant else '' end || chr(10) || 'answer:' as text
+  from t_ where primitive = 'noul'
+union all select row_id, o, state || {LINE.format('choice')} 'option - ' || o || coalesce(': ' || description, '') || chr(10) || 'answer:' from o_ left join option_desc d on d.name = o
+union all select row_id, (pos - 1)::varchar, state || {LINE.format('score')} 'level ' || pos || ' of ' || len(levels) || ' - ' || levels[pos] || chr(10) || 'answer:' from l_)
+select row_id, key, sha256(text) as text_key, length(text) as chars from e_""")
 def expand_pass_texts(t):
-    """With the serialised text; checked against the stored passes in the tests."""
-    return expand.expand(latest_rows(t), t("option_desc"), t("attr_levels"), latest_soft(t), 255)
+    """Every option and level with its serialised text; a row without a state has a null text."""
+    e = expand.expand(latest_rows(t), t("option_desc"), t("attr_levels"), latest_soft(t), 255)
+    return e.select("row_id", "key", F.sha2("text", 256).alias("text_key"), F.length("text").cast("long").alias("chars"))
 
 
 @query(f"with {EXPAND} select qtype, kind, count(*) as passes, count(distinct row_id) as n_rows, sum(target) as targets from e_ where qtype <> 'noul' group by 1, 2")
@@ -194,8 +210,8 @@ select count(*) as keys, sum(case when a.a > 1 then 1 else 0 end)::bigint as rep
 def null_safe_key_join(t):
     p = t("passes")
     a = p.groupBy("row_id", "kind", "key").agg(F.count("*").alias("a"))
-    k = p.groupBy("row_id", "kind", F.col("key").alias("other")).agg(F.max("expanded_at").alias("last"))
-    j = a.join(k, ["row_id", "kind"]).where(F.col("key").eqNullSafe(F.col("other")))
+    k = p.groupBy(F.col("row_id").alias("r"), F.col("kind").alias("k"), F.col("key").alias("other")).agg(F.max("expanded_at").alias("last"))
+    j = a.join(k, (F.col("row_id") == F.col("r")) & (F.col("kind") == F.col("k")) & F.col("key").eqNullSafe(F.col("other")))
     return j.agg(F.count("*").alias("keys"), F.sum(F.when(F.col("a") > 1, 1).otherwise(0)).alias("repeated"))
 
 
@@ -233,10 +249,10 @@ def soft_label_aggregate(t):
     return s.select("row_id", "k_ok", F.round("p", 6).alias("p"), F.round("std", 6).alias("std"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.25), 1.0 - F.col("std"))), 6).alias("weight"))
 
 
-@query("""with v as (select vec_id, label, list_sum(list_transform(embedding[1:8], lambda x: x * 1.0)) as s from embeddings), n as (select *, row_number() over (partition by label order by s desc, vec_id) as rn from v)
+@query("""with v as (select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double)) as s from embeddings), n as (select *, row_number() over (partition by label order by s desc, vec_id) as rn from v)
 select label, vec_id, round(s, 3) as s from n where rn <= 3""")
 def top3_per_label(t):
-    v = t("embeddings").select("vec_id", "label", F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x).alias("s"))
+    v = t("embeddings").select("vec_id", "label", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("s"))
     return ingest.first_n_per_group(v, "label", [F.desc("s"), F.col("vec_id")], 3).select("label", "vec_id", F.round("s", 3).alias("s"))
 
 

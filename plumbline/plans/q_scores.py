@@ -196,33 +196,6 @@ def latency_percentiles(t):
     return a.join(b, "event_type")
 
 
-@query(f"""with {NOULS}, {bins_sql(10)}, e as (select sum(n * abs(conf - freq)) / sum(n) as ece from b_), k as (select avg(case when (p >= 0.5) = (t >= 0.5) then 1.0 else 0.0 end) as acc from n_),
-x as (select acc as easy, acc * 0.9 + 0.05 as standard, acc * 0.8 + 0.1 as hard, ece, 0.25 as p50, 10.5 as p95, 0.08 as usd from k, e),
-i as (select *, (0.14 * 100 * (easy - 0.2840277778) / (1 - 0.2840277778) + 0.28 * 100 * (standard - 0.3166666667) / (1 - 0.3166666667) + 0.30 * 100 * (hard - 0.3364393939) / (1 - 0.3364393939)) / 0.72 as intelligence,
-100 * (1 - 2 * ece) as calibration, 80 - 10 * (log10(2 * p50) + log10(2 * p95)) as speed, 10 - 30 * log10(usd) as cost from x)
-select round(intelligence, 4) as intelligence, round(calibration, 4) as calibration, round(speed, 4) as speed, round(cost, 4) as cost from i""")
-def composite_axes(t):
-    n = nouls(t)
-    k = n.agg(F.avg(((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double")).alias("acc")).crossJoin(metrics.ece(n, "p", "t", 10).select("ece"))  # one row each
-    x = k.select(F.col("acc").alias("easy"), (F.col("acc") * 0.9 + 0.05).alias("standard"), (F.col("acc") * 0.8 + 0.1).alias("hard"), "ece", F.lit(0.25).alias("p50"), F.lit(10.5).alias("p95"), F.lit(0.08).alias("usd_per_1k"))
-    return metrics.composite(x).select(*[F.round(c, 4).alias(c) for c in ("intelligence", "calibration", "speed", "cost")])
-
-
-@query(f"""with {NOULS}, w as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]) as w), t_ as (select unnest([0.5, 1.0, 2.0, 4.0]) as tau), b_ as (select unnest([-0.5, 0.0, 0.5]) as b), g as (select w, tau, b, w * 1000 + tau * 10 + b as ord from w, t_, b_),
-x as (select w, tau, b, ord, avg(power(1 / (1 + exp(-(n_.z * w + (ln(p / (1 - p)) + b) / tau * (1 - w)))) - t, 2)) as brier from n_, g group by 1, 2, 3, 4)
-select w::double as w, tau::double as tau, b::double as b, round(brier, 6) as brier from x order by round(brier, 12), ord limit 1""")
-def blend_grid(t):
-    """The blend with the least Brier score; ties go to the first of the grid."""
-    n = nouls(t).withColumn("y", F.log(F.col("p") / (1 - F.col("p"))))
-    return search.blend_grid(n, [0.0, 0.25, 0.5, 0.75, 1.0], [0.5, 1.0, 2.0, 4.0], [-0.5, 0.0, 0.5])
-
-
-@query()
-def temperature_fit(t):
-    """Golden-section search; a driver loop over aggregates."""
-    return search.fit_temperature(nouls(t).select("z", "t"))
-
-
 @query(f"with {NOULS}, c as (select unnest([0.5, 1.0, 1.5, 2.0, 3.0]) as tau), b as (select tau, least(14, floor(1 / (1 + exp(-z / tau)) * 15))::int as bin, avg(1 / (1 + exp(-z / tau))) as conf, avg(t) as freq, count(*) as n from n_, c group by 1, 2) select tau::double as tau, round(sum(n * abs(conf - freq)) / sum(n), 6) as ece from b group by 1")
 def temperature_landscape(t):
     return search.ece_by_temperature(nouls(t).select("z", "t"), [0.5, 1.0, 1.5, 2.0, 3.0], 15).select("tau", F.round("ece", 6).alias("ece"))
@@ -235,9 +208,10 @@ def _head_sql() -> str:
     units = []
     for row, b in zip(HEAD[0], HEAD[1]):
         units.append(f"list_sum(list_transform(list_zip(embedding, {row}), lambda x: x[1]::double * x[2]::double)) + {b}")
-    hidden = "[" + ", ".join(units) + "]"
-    gelu = "list_transform(h, lambda x: x * 0.5 * (1.0 + tanh((x + power(x, 3.0) * 0.044715) * 0.7978845608028654)))"
-    return f"with a as (select vec_id, {hidden} as h from embeddings), g as (select vec_id, {gelu} as h from a) select vec_id, round(h[1] * 1.0 + h[2] * -1.0 + h[3] * 0.5 + h[4] * 0.25 + 0.05, 4) as score from g"
+    series = f"list_sum(list_transform({prob.erf_coefficients()}, lambda c, i: c::double * pow(x / sqrt(2.0), 2 * (i - 1))))"
+    erf = f"case when abs(x / sqrt(2.0)) < {prob.ERF_FROM} then 2 / sqrt(pi()) * exp(-x * x / 2) * x / sqrt(2.0) * {series} else sign(x) end"
+    return f"""with a as (select vec_id, unnest([{', '.join(units)}]) as x, unnest({HEAD[2]}) as w from embeddings)
+select vec_id, round(sum(x * 0.5 * (1.0 + {erf}) * w) + {HEAD[3]}, 4) as score from a group by vec_id"""
 
 
 @query(_head_sql())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import dates, hashing, text
-from plumbline.operators import audit, batches, feedback, pipeline, validate
+from plumbline.operators import audit, batches, feedback, ingest, pipeline, validate
 from plumbline.sources import records
 
 from .registry import ROWS, latest_rows, query
@@ -30,12 +30,32 @@ def shingle_counts(t):
     return audit.shingle_rows(t("documents"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("shingles"))
 
 
-PAIRS = f"""train_ as (select * from row_examples where split = 'train'), {shingles_sql('eval_items', 'item_id', 'state_str')}, {shingles_sql('train_', 'row_id', 'state')},
-pairs_ as (select item_id, row_id, count(*) as shared from x_eval_items join x_train_ using (shingle) group by 1, 2)"""
+VALUES = "case when substr(ltrim(criteria), 1, 1) = '{' and json_valid(criteria) then array_to_string(list_transform(json_keys(criteria), lambda k: json_extract_string(criteria, '$.\"' || k || '\"')), ' ') else criteria end"
+PAIRS = f"""items_ as (select item_id, concat_ws(' ', nullif(state_str, ''), nullif(instructions, ''), nullif(array_to_string(options, ' '), '')) as surface from eval_items),
+train_ as (select row_id, concat_ws(' ', nullif(state, ''), nullif(instructions, ''), nullif(array_to_string(meta.options, ' '), ''), nullif(array_to_string(a.levels, ' '), ''),
+    nullif({VALUES}, '')) as surface from row_examples left join attr_levels a on meta.attribute = a.attribute where split in ('train', 'val')
+  union all select 'feedback-' || id, concat_ws(' ', nullif(state, ''), nullif(question.instructions, ''), nullif(array_to_string(question.options, ' '), ''),
+    nullif(array_to_string(question.levels, ' '), '')) from feedback_records),
+{shingles_sql('items_', 'item_id', 'surface')}, {shingles_sql('train_', 'row_id', 'surface')},
+pairs_ as (select item_id, row_id, count(*) as shared from x_items_ join x_train_ using (shingle) group by 1, 2)"""
+
+
+def item_surfaces(t):
+    return t("eval_items").select("item_id", text.surface(F.col("state_str"), F.col("instructions"), F.array_join("options", " ")).alias("surface"))
+
+
+def training_surfaces(t):
+    """All text of training and held-out rows and of feedback: state, instructions, options, levels, the values of criteria."""
+    criteria = F.transform(F.map_values(F.from_json("criteria", "map<string,string>")), lambda v: v)
+    values = F.when((F.substring(F.ltrim("criteria"), 1, 1) == "{") & F.try_parse_json("criteria").isNotNull(), F.array_join(criteria, " ")).otherwise(F.col("criteria"))
+    r = t("row_examples").where("split in ('train', 'val')").withColumn("attribute", F.col("meta.attribute")).join(t("attr_levels"), "attribute", "left")
+    rows = r.select("row_id", text.surface(F.col("state"), F.col("instructions"), F.array_join("meta.options", " "), F.array_join("levels", " "), values).alias("surface"))
+    q = text.surface(F.col("state"), F.col("question.instructions"), F.array_join("question.options", " "), F.array_join("question.levels", " "))
+    return rows.unionByName(t("feedback_records").select(F.concat(F.lit("feedback-"), "id").alias("row_id"), q.alias("surface")))
 
 
 def pairs(t):
-    return audit.overlap_pairs(t("eval_items"), "item_id", "state_str", t("row_examples").where("split = 'train'"), "row_id", "state")
+    return audit.overlap_pairs(item_surfaces(t), "item_id", "surface", training_surfaces(t), "row_id", "surface")
 
 
 @query(f"with {PAIRS} select * from pairs_")
@@ -50,12 +70,12 @@ def audit_summary(t):
 
 @query(f"with {PAIRS}, n as (select *, row_number() over (partition by item_id order by shared desc, row_id) as rn from pairs_) select item_id, row_id, shared from n where rn <= 3")
 def audit_top3(t):
-    best = pairs(t).groupBy("item_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("s"), "row_id"))), 1, 3).alias("x"))
-    return best.select("item_id", F.explode("x").alias("x")).select("item_id", "x.row_id", (-F.col("x.s")).alias("shared"))
+    return ingest.first_n_per_group(pairs(t), "item_id", [F.desc("shared"), F.col("row_id")], 3)
 
 
 @query(f"with {PAIRS} select count(*) = 0 as passed from pairs_")
 def audit_gate(t):
+    """Whether a run may go on; pipeline.refuse_hits stops it."""
     return pairs(t).agg((F.count("*") == 0).alias("passed"))
 
 
@@ -86,18 +106,24 @@ def wire_escapes(t):
     return t("feedback_records").where("state is not null").select("id", text.compact_json(F.col("state")).alias("wire"))
 
 
-@query()
+PARTS = "list_transform({0}, lambda k: to_json(k)::varchar || ': ' || to_json(json_extract_string(state, '$.\"' || k || '\"'))::varchar)"
+OBJECT = "substr(ltrim(state), 1, 1) = '{' and json_valid(state)"
+
+
+@query(f"""select id, sha256(case when {OBJECT} then '{{' || array_to_string({PARTS.format('list_sort(json_keys(state))')}, ', ') || '}}' else to_json(state)::varchar end) as sha, lower(state_sha256) as stored
+from feedback_records where state is not null""")
 def canonical_hashes(t):
-    """sha256 of the state's canonical JSON beside the stored one."""
+    """sha256 of the state's canonical JSON beside the stored one; the SQL knows objects of strings only, as all states here are."""
     f = t("feedback_records").where("state is not null")
     return f.select("id", F.sha2(text.canonical_json("state"), 256).alias("sha"), F.lower("state_sha256").alias("stored"))
 
 
-@query()
+@query(f"""select id, case when {OBJECT} then '{{' || array_to_string({PARTS.format('json_keys(state)')}, ', ') || '}}' end as parsed from feedback_records where state is not null""")
 def parsed_answers(t):
     """JSON objects out of fenced or surrounded text."""
     s = t("feedback_records").where("state is not null")
-    return s.select("id", text.loose_json(F.concat(F.lit("Answer:\n"), "state", F.lit("\nDone."))).alias("parsed"))
+    fenced = F.when(F.length("state") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), "state", F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("Answer:\n"), "state", F.lit("\nDone.")))
+    return s.select("id", text.loose_json(fenced).alias("parsed"))
 
 
 @query(f"""with {ROWS} select row_id, sha256('Give the probability that the answer is yes, as JSON with one field p between 0 and 1.' || chr(10) || chr(10) || 'State:' || chr(10) || state || chr(10) || chr(10) || 'Question:' || chr(10) || instructions
@@ -153,9 +179,11 @@ def feedback_validate(t):
     return store(t).select("id", F.array_join(feedback.errors(), ",").alias("errors"))
 
 
-@query("select id, count(*) as n from feedback_records group by id having count(*) > 1")
+@query(f"""with {FEEDBACK}, twice as (select id from f_ union all select id from f_ where batch_no = 1) select id, count(*) as n from twice group by id having count(*) > 1""")
 def feedback_duplicates(t):
-    return feedback.duplicates(t("feedback_records"))
+    """A store to which the first batch was appended once more: the ids that stand in it twice."""
+    s = store(t)
+    return feedback.duplicates(s.unionByName(s.where("batch_no = 1")))
 
 
 @query(f"""with {FEEDBACK} select 'kind' as dimension, kind as value, count(*) as n from f_ group by 2 union all select 'status', coalesce(review.status, 'none'), count(*) from f_ group by 2
@@ -205,10 +233,19 @@ def image_token_counts(t):
     return t("part").select("p_partkey", validate.image_tokens((F.col("p_partkey") % 4000 + 16).cast("double"), (F.col("p_size") * 40 + 16).cast("double")).alias("tokens"))
 
 
-@query()
+FULL = "r.total + o.cost > 16384"
+
+
+@query(f"""with recursive n as (select count(*) // 50001 + 1 as parts from passes),
+c as (select row_id, qtype, floor(length(coalesce(text, '')) / 4)::bigint + 24 as cost, cast('0x' || substr(sha256(row_id), 1, 8) as bigint) % parts as part from passes, n),
+o as (select *, row_number() over (partition by qtype, part order by cost, row_id) as rn from c),
+r as (select row_id, qtype, part, rn, cost, 0 as batch, 0 as slot, cost as total from o where rn = 1
+  union all select o.row_id, o.qtype, o.part, o.rn, o.cost, case when {FULL} then r.batch + 1 else r.batch end, case when {FULL} then 0 else r.slot + 1 end,
+    case when {FULL} then o.cost else r.total + o.cost end from r join o on o.qtype = r.qtype and o.part = r.part and o.rn = r.rn + 1)
+select row_id, qtype, cost, part * 4294967296 + batch as batch, slot from r""")
 def pack_batches(t):
     """Passes into batches of at most 16 384 estimated tokens, within a question type."""
-    p = t("passes").select("row_id", "qtype", (text.estimated_tokens(F.coalesce("text", F.lit(""))) + 24).alias("tokens"))
+    p = t("passes").select("row_id", "qtype", text.pass_cost(F.coalesce("text", F.lit("")), F.lit(False)).alias("tokens"))
     return batches.pack(p, "row_id", "qtype", "tokens", 16_384)
 
 

@@ -47,9 +47,16 @@ def grouped(t) -> DataFrame:
 
 
 ROWS = """rows_ as (select * exclude (rn) from (select *, row_number() over (partition by row_id order by ingested_at desc, snapshot_no desc) as rn from row_examples) where rn = 1)"""
-SCORED = """p_ as (select * exclude (rn) from (select *, row_number() over (partition by row_id, kind, key order by expanded_at desc) as rn from passes) where rn = 1),
-s_ as (select *, cast('0x' || substr(sha256(concat_ws(chr(31), 'demo', row_id, kind, key)), 1, 12) as bigint) / 281474976710656.0 as u,
-  cast('0x' || substr(sha256(concat_ws(chr(31), 'second', row_id, kind, key)), 1, 12) as bigint) / 281474976710656.0 as v from p_)"""
+
+
+def unit_sql(*parts: str) -> str:
+    """A number from 0 to 1 from the first 64 bits of a content hash."""
+    return f"cast('0x' || substr(sha256(concat_ws(chr(31), {', '.join(parts)})), 1, 16) as ubigint)::double / 18446744073709551616.0"
+
+
+SCORED = f"""p_ as (select * exclude (rn) from
+  (select *, row_number() over (partition by row_id, kind, key order by expanded_at desc) as rn from passes) where rn = 1),
+s_ as (select *, {unit_sql("'demo'", "row_id", "kind", "key")} as u, {unit_sql("'second'", "row_id", "kind", "key")} as v from p_)"""
 GROUPED = SCORED + """,
 g_ as (select row_id, qtype, list(key order by pos, key) as keys, list((u - 0.5) * 8 order by pos, key) as z, list((v - 0.5) * 6 order by pos, key) as y,
   list(target order by pos, key) as t, coalesce(list_position(list(target order by pos, key), 1.0), 0) - 1 as gold from s_ where qtype <> 'noul' group by row_id, qtype)"""

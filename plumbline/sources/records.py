@@ -19,6 +19,23 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str | T.Stru
     return df
 
 
+def with_ordinals(tables: list[DataFrame]) -> DataFrame:
+    """Tables of equal columns one after another, each row with the number of its table; none at all is an error."""
+    if not tables:
+        raise FileNotFoundError("no tables to put together")
+    out = None
+    for i, t in enumerate(tables):
+        t = t.withColumn("ordinal", F.lit(i))
+        out = t if out is None else out.unionByName(t, True)
+    return out
+
+
+def read_maps(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files that hold one JSON object each, as rows (key, value as JSON text); of equal keys that of the last file holds."""
+    files = [spark.read.option("wholetext", True).text(p).select(F.explode(F.from_json("value", "map<string,variant>"))) for p in paths]
+    return last_wins(with_ordinals([f.select("key", F.to_json("value").alias("value")) for f in files]), ["key"], "ordinal").drop("ordinal")
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object a line, null fields kept."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -37,6 +54,11 @@ def first_wins(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return picked.select(*keys, *[F.col("__first")[c].alias(c) for c in others]).select(*df.columns)
 
 
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order; 0 stands for all."""
+    return df.orderBy(order).limit(n) if n else df
+
+
 def not_yet(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows whose keys are not in done; null keys are equal (to resume an append)."""
     done = done.select(*keys).distinct()
