@@ -24,41 +24,56 @@ from .store import written
 WINDOW, MEAN, LONGEST, HOT, SALTS = 16, 256, 32_768, 1000, 32
 
 
-def chunk_ends(text: str) -> list[int]:
-    """Where the rolling hash cuts a text; the last is its length."""
-    n = len(text)
-    if n <= WINDOW:
-        return [n]
-    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(n - WINDOW + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(WINDOW):
-            h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ u[i : i + len(h)]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    ends = (np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + WINDOW).tolist()
-    out, last = [], 0
-    for e in [*ends, n]:
-        while e - last > LONGEST:
-            last += LONGEST
-            out.append(last)
-        if e > last:
-            out.append(e)
-            last = e
+def batch_ends(texts: list[str]) -> list[list[int]]:
+    """Where the rolling hash cuts each text; the last cut is its length. One pass over all texts; a window never reaches into another text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    start = np.cumsum(size) - size
+    u = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    hits = np.zeros(0, np.int64)
+    if len(u) >= WINDOW:
+        h = np.zeros(len(u) - WINDOW + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(WINDOW):
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h ^= u[i : i + len(h)]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        hits = np.flatnonzero((h >> np.uint64(40)) % np.uint64(MEAN) == 0) + WINDOW
+    owner = np.searchsorted(start, hits - 1, "right") - 1
+    inside = hits - start[owner] >= WINDOW if len(hits) else np.zeros(0, bool)
+    owner, ends = owner[inside], (hits - start[owner])[inside] if len(hits) else hits
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    out = []
+    for k, n in enumerate(size.tolist()):
+        found, last = [], 0
+        for e in [*ends[cuts[k] : cuts[k + 1]].tolist(), n]:
+            while e - last > LONGEST:
+                last += LONGEST
+                found.append(last)
+            if e > last:
+                found.append(e)
+                last = e
+        out.append(found or [n])
     return out
 
 
+def chunk_ends(text: str) -> list[int]:
+    return batch_ends([text])[0]
+
+
 def _cut(batches):
     for batch in batches:
         rows, ids, seq, key, chunk = [], [], [], [], []
-        for r, d, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        ends = [e for lo in range(0, len(texts), 256) for e in batch_ends(texts[lo : lo + 256])]
+        for r, d, text, cuts in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), texts, ends):
             at = 0
-            for k, e in enumerate(chunk_ends(text)):
+            for k, e in enumerate(cuts):
                 rows.append(r)
                 ids.append(d)
                 seq.append(k)
                 chunk.append(text[at:e])
-                key.append(xxhash.xxh3_128_digest(text[at:e].encode("utf-8", "surrogatepass")))
+                key.append(xxhash.xxh3_128_digest(chunk[-1].encode("utf-8", "surrogatepass")))
                 at = e
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(chunk, pa.string())], ["row", "doc_id", "seq", "key", "chunk"])
 
@@ -73,17 +88,32 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u2" if packed[:1] == b"2" else "<i4", offset=1).astype(np.int32)
 
 
+def edges(chunk: str) -> tuple[int, int] | None:
+    """The first and the last proven token boundary; the last is looked for from the end in steps."""
+    first = tokens.BOUNDARY.search(chunk)
+    if not first:
+        return None
+    back = 32
+    while True:
+        last = None
+        for last in tokens.BOUNDARY.finditer(chunk, max(0, len(chunk) - back)):
+            pass
+        if last or back >= len(chunk):
+            return first.start(), last.start()
+        back *= 4
+
+
 def encode_chunks(name: str, folder: str | None):
     def run(batches):
         encode = tokens.encoder(name, folder)
         for batch in batches:
             head, inner, tail = [], [], []
             for c in batch.column("chunk").to_pylist():
-                cuts = [m.start() for m in tokens.BOUNDARY.finditer(c)] if tokens.is_cuttable(name) else []
-                if cuts:
-                    head.append(c[: cuts[0]])
-                    inner.append(_pack(encode([c[cuts[0] : cuts[-1]]])[0]))
-                    tail.append(c[cuts[-1] :])
+                at = edges(c) if tokens.is_cuttable(name) else None
+                if at:
+                    head.append(c[: at[0]])
+                    inner.append(_pack(encode([c[at[0] : at[1]]])[0]))
+                    tail.append(c[at[1] :])
                 else:
                     head.append(c)
                     inner.append(None)

@@ -19,8 +19,6 @@ nothing, a null question equals a null question, a record without batch_no takes
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import bags, wording
 from .overlap import parts_of
-from .store import shared_folder, written
+from .store import fresh, written
 
 RECORD = "id string, batch_no int, ok boolean, qkey long, hash string, wkey long, n int, lens binary, toks binary, sizes binary"
 #: Words of a chunk on the mean, and chunks that are looked up beyond those that edits can destroy.
@@ -294,7 +292,7 @@ def repeats(feedback: DataFrame) -> DataFrame:
     """(earlier_id, later_id): the later record repeats, exactly or nearly, a record of an earlier batch that was accepted.
 
     All batches are appended to a history of their own and looked up in it."""
-    path = f"{shared_folder(feedback.sparkSession)}/p2-history-{uuid.uuid4().hex}"
+    path = fresh(feedback.sparkSession, "p2-history")
     records = written(read_records(feedback), "p2-records")
     _keep(path, records)
     return _lookup(path, records, records)

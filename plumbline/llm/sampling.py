@@ -9,7 +9,7 @@ The stratum is the source named by the row_id, which redelivery cannot change. N
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokens import source_of
@@ -38,6 +38,21 @@ def thresholds(spark, rates: dict[str, float] = RATES) -> DataFrame:
     return spark.createDataFrame([(s, int(min(1.0, max(0.0, r)) * RANGE)) for s, r in rates.items()], "stratum string, threshold long")
 
 
+def kept_thresholds(spark: SparkSession, path: str, rates: dict[str, float] = RATES) -> DataFrame:
+    """The table of thresholds at path after raising it to the rates; a stratum whose rate was lowered keeps its threshold. Each call adds what it raised."""
+    wanted = thresholds(spark, rates)
+    try:
+        kept = spark.read.schema("stratum string, threshold long").parquet(path)
+    except Exception as e:  # the first call
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        kept = spark.createDataFrame([], "stratum string, threshold long")
+    known = kept.groupBy("stratum").agg(F.max("threshold").alias("kept"))
+    raised = wanted.join(known, "stratum", "left").where("kept is null or threshold > kept").select("stratum", "threshold")
+    raised.coalesce(1).write.mode("append").parquet(path)
+    return raise_thresholds(spark.read.schema("stratum string, threshold long").parquet(path), wanted)
+
+
 def stable_sample(rows: DataFrame, kept: DataFrame | None = None, rates: dict[str, float] = RATES, default_rate: float = DEFAULT_RATE, salt: str = SALT) -> DataFrame:
     """row_id, stratum, key_hash, threshold. The table of thresholds has a row per stratum, so it is small."""
     table = raise_thresholds(kept, thresholds(rows.sparkSession, rates))

@@ -19,12 +19,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import cached_property
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Of a longer run without white space only so many characters before a stop are looked at: it is no abbreviation, and the work stays linear.
+LONG = 1000
 #: A word type counts as corpus evidence if it holds at least 1/SHARE of the tokens of its kind.
 SHARE = 50_000
 
@@ -60,9 +63,12 @@ NOSPACE = re.compile("[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff
 THAI = re.compile("[฀-๿]")
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 MARKER = re.compile(r"[ \t ]*(?:([•‣◦▪●○·*–—-])[ \t ]+|(\(?(?:\d{1,3}|[a-z]|[ivx]{1,5})\)|\d{1,3}\.)[ \t ]+)\S")
+SPACE = re.compile("[" + re.escape(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85") + "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
 QUOTE_END = re.compile(r"(?<=[,.!?…])['’](?=[\s,.;:)\]]|$)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-DOTTED = re.compile(r"(?<![\w.])((?:[^\W\d_]\.[  ]?)*[^\W\d_]+)\.(?=([  \t\r\n]+)(\S)|[,;:])")
+NAMED = re.compile(r"([A-Z][^\W\d_]*)! (?=[a-z]+\b)")
+DOTTED = re.compile(r"\.(?=([\u00a0\u202f \t\r\n]+)(\S)|[,;:])")
+BEFORE_STOP = re.compile(r"(?<![\w.])((?:[^\W\d_]\.[\u00a0\u202f ]?)*[^\W\d_]+)$")
 EDGE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　﻿"
 REPORT_ZH = re.compile("^[^，。！？；：,;:]{0,30}[问問说說道答喊叫嚷写寫曰]")
 
@@ -74,13 +80,13 @@ def _abbreviation_key(word: str) -> str:
 
 def _cased(block: str) -> bool:
     """Whether case says something: the block has both, or is too short to tell."""
-    upper = any(c.isupper() for c in block)
-    lower = any(c.islower() for c in block)
-    return upper and lower or (not upper and not lower)
+    return (block.lower() != block) == (block.upper() != block)
 
 
 def blocks(text: str) -> list[list[tuple[int, int]]]:
     """The lines of each block between blank lines, as places in the text."""
+    if not LINE.search(text):
+        return [[(0, len(text))]] if text.strip(EDGE) else []
     lines, at = [], 0
     for m in LINE.finditer(text):
         lines.append((at, m.start()))
@@ -165,6 +171,27 @@ def _pairs(t: str) -> list[tuple[int, int, bool]]:
     return sorted(out)
 
 
+def _dotted(block: str):
+    """Each word (or letters with stops between them) before a full stop that white space or a comma follows, as a type, and the match of the stop."""
+    for m in DOTTED.finditer(block):
+        at = m.start()
+        if not at or not block[at - 1].isalpha():
+            continue
+        space = block.rfind(" ", 0, at)
+        if space > 0 and block[space - 1] != "." and (plain := block[space + 1 : at]).isalpha():
+            yield plain.lower(), m
+            continue
+        back = 32
+        while True:
+            low = max(0, at - back)
+            word = BEFORE_STOP.search(block[low:at])
+            if not low or back > LONG or word and word.start() > 8:
+                break
+            back *= 4
+        if word:
+            yield _abbreviation_key(word[1]), m
+
+
 class Evidence:
     """What the corpus says of word types; all sets are bounded by SHARE."""
 
@@ -172,19 +199,32 @@ class Evidence:
         self.short, self.common, self.named = set(short), set(common), set(named)
 
 
-def _evidence(text: str) -> tuple[set, set, set]:
-    """Of one document: abbreviations, words met in lower case, words whose ! ends nothing."""
-    short, common, named = set(), set(), set()
-    for lines in blocks(text):
-        block = text[lines[0][0] : lines[-1][1]]
-        if not _cased(block):
-            continue
-        for m in DOTTED.finditer(block):
-            if _goes_on(block, m):
-                short.add(_abbreviation_key(m[1]))
-        common.update(w for w in WORD.findall(block) if w.islower())
-        named.update(m[1].lower() for m in re.finditer(r"([A-Z][^\W\d_]*)! (?=[a-z]+\b)", block))
-    return short, common, named
+class Document:
+    """What one document says of word types; each part is found when first asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def blocks(self) -> list[str]:
+        """The blocks whose case says something."""
+        found = (self.text[lines[0][0] : lines[-1][1]] for lines in blocks(self.text))
+        return [b for b in found if _cased(b)]
+
+    @cached_property
+    def short(self) -> set[str]:
+        """Abbreviations: types met before a stop after which the sentence goes on."""
+        return {key for b in self.blocks for key, m in _dotted(b) if _goes_on(b, m)}
+
+    @cached_property
+    def common(self) -> set[str]:
+        """Words met in lower case; a word that is not among them may be a proper name."""
+        return {w for b in self.blocks for w in set(WORD.findall(b)) if w.islower()}
+
+    @cached_property
+    def named(self) -> set[str]:
+        """Words whose ! ends nothing."""
+        return {m[1].lower() for b in self.blocks if "! " in b for m in NAMED.finditer(b)}
 
 
 def _camel(t: str, n: int) -> bool:
@@ -195,16 +235,17 @@ def _camel(t: str, n: int) -> bool:
 
 def _goes_on(block: str, m: re.Match) -> bool:
     """Whether the sentence goes on after a stop: a comma or a lower-case word follows, and no list item."""
-    if m[3] is None:
+    if m[2] is None:
         return True
-    return m[3].islower() and not _camel(block, m.start(3)) and not (("\n" in m[2] or "\r" in m[2]) and MARKER.match(block, m.start(3)))
+    return m[2].islower() and not _camel(block, m.start(2)) and not (("\n" in m[1] or "\r" in m[1]) and MARKER.match(block, m.start(2)))
 
 
-def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) -> list[tuple[int, int]]:
+def _split(t: str, cased: bool, doc: Document, corpus: Evidence) -> list[tuple[int, int]]:
     pairs = _pairs(t)
     opens = [p[0] for p in pairs]
     thai = bool(THAI.search(t))
     danda = "।" in t
+    edges = [-1, *(m.start() for m in SPACE.finditer(t))]  # before the first word, and every white space
     reach = list(accumulate((p[1] for p in pairs), max))  # how far any of the first ones reaches
     closing: dict[int, list[tuple[int, int, bool]]] = {}
     for p in pairs:
@@ -219,7 +260,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
 
     def common(word: str) -> bool:
         w = word.lower()
-        return w in doc[1] or w in corpus.common
+        return w in corpus.common or w in doc.common
 
     def first(s: int) -> int:
         while s < len(t) and t[s] in EDGE:
@@ -239,9 +280,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
     def full_stop(i: int, n: int, gap: bool) -> bool:
         """Of one stop at i before the character at n."""
         nxt = t[n]
-        left = i
-        while left > 0 and t[left - 1] not in EDGE and i - left < 40:
-            left -= 1
+        left = max(edges[bisect_right(edges, i - 1) - 1] + 1, i - LONG)
         token = t[left:i].lstrip("([{\"'“„«‘（¿¡-–—")
         if (m := NOSPACE.findall(token)) and token[-1:] != m[-1]:
             token = token[token.rindex(m[-1]) + 1 :]
@@ -301,7 +340,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             return nxt in OPEN or nxt.isupper() and bool(after) and (common(after) or last not in ("jan", "feb", "sept", "uu"))
         if key == "no" and left == first(start):
             return not nxt.isdigit()
-        known = key in doc[0] and key not in corpus.common or key in corpus.short or key in BEFORE
+        known = key in doc.short and key not in corpus.common or key in corpus.short or key in BEFORE
         if not known or key in ("no", "min", "max", "in", "art") and cased and not nxt.isdigit() and token[:1].isupper():
             return True if not known else not (nxt.isdigit()) and (key not in BEFORE or common(after) or nxt in OPEN)
         if nxt.isdigit():
@@ -393,7 +432,7 @@ def _split(t: str, cased: bool, doc: tuple[set, set, set], corpus: Evidence) ->
             return -1
         if not cased and mark == "!":
             w = re.search(r"([^\W\d_]+)$", t[max(0, i - 30) : i])
-            if w and (w[1].lower() in corpus.named or w[1].lower() in doc[2]):
+            if w and (w[1].lower() in corpus.named or w[1].lower() in doc.named):
                 return -1
         return k
 
@@ -424,7 +463,7 @@ def split(text: str | None, corpus: Evidence | None = None) -> list[tuple[int, i
     """The places of a text's sentences, in order, without white space at their edges."""
     if not text or not text.strip(EDGE):
         return []
-    corpus, doc, out = corpus or Evidence(), _evidence(text), []
+    corpus, doc, out = corpus or Evidence(), Document(text), []
     for s, e, item in segments(text):
         t = text[s:e]
         for a, b in [(0, len(t))] if item else _split(t, _cased(t), doc, corpus):
@@ -440,19 +479,20 @@ def _count(batches):
     """Partial counts of word types: kind d before a stop that ends nothing, s before any stop, l lower case, n with a ! inside."""
     for batch in batches:
         counts: Counter = Counter()
+        words: Counter = Counter()
         for text in batch.column("text").to_pylist():
             for lines in blocks(text or ""):
                 block = text[lines[0][0] : lines[-1][1]]
                 if not _cased(block):
                     continue
-                for m in DOTTED.finditer(block):
-                    key = _abbreviation_key(m[1])
-                    if len(key) <= 12:
-                        counts["s", key] += 1
-                        if _goes_on(block, m):
-                            counts["d", key] += 1
-                counts.update(("l", w) for w in WORD.findall(block) if w.islower() and len(w) <= 30)
-                counts.update(("n", m[1].lower()) for m in re.finditer(r"([A-Z][^\W\d_]*)! (?=[a-z]+\b)", block))
+                for key, m in _dotted(block):
+                    counts["s", key] += 1
+                    if _goes_on(block, m):
+                        counts["d", key] += 1
+                words.update(WORD.findall(block))
+                if "! " in block:
+                    counts.update(("n", m[1].lower()) for m in NAMED.finditer(block))
+        counts.update({("l", w): n for w, n in words.items() if w.islower()})
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "word", "n"]

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,10 +26,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the application ends, or by clear()."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place)  # what isn't there yet can't be marked for deletion
+    fs.deleteOnExit(place)
+    _tables.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that was written so far; results that have not been stored elsewhere can't be read any more. Returns how many tables."""
+    n = len(_tables)
+    while _tables:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return n
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{fresh(spark, name)}/table"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ Null and empty texts hold 0 tokens. Repeated rows are counted as often as they s
 from __future__ import annotations
 
 import base64
+import math
 import os
 import re
 from collections import Counter
@@ -18,6 +19,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Where the vocabulary files lie; they are never copied.
 FOLDER = os.environ.get("PLUMBLINE_TOKENIZERS", "/opt/tokenizers")
@@ -27,7 +29,8 @@ OVERSIZED, PART = 65_536, 16_384
 # Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Fixed value: places where that pattern always ends one token and begins another.
-BOUNDARY = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿА-яぁ-ゖァ-ヺ一-龥가-힣])(?=[ \n.,!?;:()、。，！？「」“”])")
+LETTERS = "0-9A-Za-zÀ-ÖØ-öø-ÿΑ-ΡΣ-Ωα-ωА-яא-תء-غف-يअ-हक़-ॡก-ะาำเ-ๆぁ-ゖァ-ヺ一-龥가-힣"
+BOUNDARY = re.compile(rf"(?<=[{LETTERS}])(?=[ \n.,!?;:()،؟।॥、。，！？「」“”])")
 _loaded: dict = {}
 
 
@@ -87,35 +90,76 @@ def parts(text: str, size: int = PART) -> list[str]:
 
 SCRIPTS = {  # fixed values: the letters of one script, and the language most written in it
     "ja": re.compile("[ぁ-ヿ]"), "zh": re.compile("[一-鿿]"), "ko": re.compile("[가-힣]"), "th": re.compile("[ก-๛]"),
-    "ar": re.compile("[ء-ي]"), "hi": re.compile("[ऀ-ॿ]"), "ru": re.compile("[А-яЁё]"),
+    "ar": re.compile("[ء-ي]"), "hi": re.compile("[ऀ-ॿ]"), "ru": re.compile("[А-яЁё]"), "el": re.compile("[Α-ω]"), "he": re.compile("[א-ת]"),
 }
-FUNCTION_WORDS = {  # fixed values
-    "en": "the of and to in is was that for it on as by with not from are this be or an at which a".split(),
-    "fi": "ja on ei se että oli kun ovat mutta jos niin tai myös ennen joka hän voi ole vaikka".split(),
-    "de": "der die das und ist nicht ein eine zu den mit von dem im auf für am kam wer".split(),
-    "fr": "le la les de et est un une des du au pour dans que qui avant sur selon".split(),
-    "es": "el la los de y es un una en que por con para del al según quién".split(),
-}
-_LANG = {w: k for k, ws in FUNCTION_WORDS.items() for w in ws if sum(w in x for x in FUNCTION_WORDS.values()) == 1}
-
-
-def guess_language(text: str | None) -> str:
-    """The language of a text by its script, of Latin ones by function words; und if neither tells."""
-    if not text:
-        return "und"
-    if not text.isascii():
-        n = {k: len(p.findall(text)) for k, p in SCRIPTS.items()}
-        if n["ja"] and n["ja"] * 4 >= n["zh"]:
-            n["ja"] += n["zh"]
-        k = max(n, key=n.get)
-        if n[k] * 3 >= len(text) - text.count(" "):
-            return k
-    hits = Counter(_LANG[w] for w in text.lower().split() if w in _LANG)
-    return hits.most_common(1)[0][0] if hits else "und"
-
-
-def count_texts(texts: DataFrame, keys: list[str], text_col: str = "text", tokenizer: str = DEFAULT, folder: str | None = None, split_at: str | None = None) -> DataFrame:
-    """keys, n_tokens, guessed: the exact number of tokens of every row's text. keys must tell the rows apart or be summed over.
+#: Labelled documents that the language model is fitted on at most, words kept for each language, and the least share of the sample a language must have.
+FITTED, WORDS, LEAST_SHARE = 20_000, 2_000, 0.005
+WORD = re.compile(r"[぀-ヿ㐀-鿿가-힣ก-๛]|[^\W\d_]+")
+
+
+class Languages:
+    """Word counts by language as a naive Bayes classifier; by script where no word is known."""
+
+    def __init__(self, counts: dict[str, dict[str, int]]):
+        self.names = sorted(counts)
+        kinds = len({w for c in counts.values() for w in c}) or 1
+        totals = [sum(counts[k].values()) + 0.5 * kinds for k in self.names]
+        self.unknown = [math.log(0.5 / n) for n in totals]
+        self.gain: dict[str, list[tuple[int, float]]] = {}
+        for i, k in enumerate(self.names):
+            for w, n in counts[k].items():
+                self.gain.setdefault(w, []).append((i, math.log((n + 0.5) / totals[i]) - self.unknown[i]))
+
+    def of(self, text: str | None) -> str:
+        """The most likely language; und if neither words nor script tell. Empty and null texts are und."""
+        if not text:
+            return "und"
+        score, known = [0.0] * len(self.names), 0
+        for w, n in Counter(WORD.findall(text.lower())).items():
+            if w in self.gain:
+                known += n
+                for i, g in self.gain[w]:
+                    score[i] += n * g
+        if not known:
+            return by_script(text)
+        return self.names[max(range(len(score)), key=lambda i: score[i] + known * self.unknown[i])]
+
+
+def by_script(text: str) -> str:
+    found = {k: len(p.findall(text)) for k, p in SCRIPTS.items()} if not text.isascii() else {}
+    if found.get("ja", 0) * 4 >= max(1, found.get("zh", 0)):
+        found["ja"] += found["zh"]
+    k = max(found, key=found.get, default="")
+    return k if k and found[k] * 3 >= len(text) - text.count(" ") else "und"
+
+
+def _words_by_language(batches):
+    for batch in batches:
+        counts: dict[str, Counter] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            counts.setdefault(lang, Counter()).update(set(WORD.findall(text.lower())))
+        rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+
+
+def fit_languages(documents: DataFrame) -> Languages:
+    """Fitted on at most about FITTED documents that state a language; no such documents give a model that goes by scripts alone."""
+    labelled = documents.select(language(F.col("lang"), F.lit(None).cast("string")).alias("lang"), "text").where("lang is not null and text is not null and text <> ''")
+    have = labelled.count()
+    some = labelled.sample(FITTED / have, seed=5) if have > FITTED else labelled
+    counts = some.mapInArrow(_words_by_language, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = some.groupBy("lang").agg(F.count("*").alias("rows"))
+    kept = [r.lang for r in rows.where(F.col("rows") >= max(2, LEAST_SHARE * min(have, FITTED))).collect()]  # at most 1 / LEAST_SHARE languages
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.where(F.col("lang").isin(kept)).withColumn("rank", rank).where(F.col("rank") <= WORDS).collect()
+    found: dict[str, dict[str, int]] = {k: {} for k in kept}
+    for r in top:
+        found[r.lang][r.word] = r.n
+    return Languages(found)
+
+
+def count_texts(texts: DataFrame, keys: list[str], text_col: str = "text", tokenizer: str = DEFAULT, folder: str | None = None, split_at: str | None = None, languages: Languages | None = None) -> DataFrame:
+    """keys, n_tokens, guessed: the exact number of tokens of every row's text, and its language if a model is given. keys must tell the rows apart or be summed over.
 
     split_at: a string before which texts may be cut too (a line break after a mark), so that what many texts share is counted once per worker.
     """
@@ -124,8 +168,11 @@ def count_texts(texts: DataFrame, keys: list[str], text_col: str = "text", token
     source = texts.select(*keys, F.col(text_col).alias("__text"))
     large = F.length("__text") > OVERSIZED if is_cuttable(tokenizer) else F.lit(False)
 
+    shared = texts.sparkSession.sparkContext.broadcast(languages)  # at most WORDS / LEAST_SHARE words
+
     def count(batches):
         encode = encoder(tokenizer, folder)
+        model = shared.value
         memo: dict[str, tuple[int, str]] = {}
 
         def of(part: str) -> tuple[int, str]:
@@ -133,7 +180,7 @@ def count_texts(texts: DataFrame, keys: list[str], text_col: str = "text", token
             if got is None:
                 if len(memo) > 4000:
                     memo.clear()
-                got = memo[part] = (len(encode([part])[0]), guess_language(part))
+                got = memo[part] = (len(encode([part])[0]), model.of(part) if model else "und")
             return got
 
         for batch in batches:
@@ -192,10 +239,11 @@ def source_of(row_id):
 
 def token_counts(passes: DataFrame, documents: DataFrame, tokenizer: str = DEFAULT, folder: str | None = None) -> DataFrame:
     """One row per text: origin, row_id, kind, key, pos, doc_id, source, lang, domain, n_tokens."""
-    p = count_texts(passes.select("row_id", "kind", "key", "pos", "text"), ["row_id", "kind", "key", "pos"], "text", tokenizer, folder, "\n\n[")
-    d = count_texts(documents.select("doc_id", "source", "lang", "domain", "text"), ["doc_id", "source", "lang", "domain"], "text", tokenizer, folder)
+    model = fit_languages(documents)
+    p = count_texts(passes.select("row_id", "kind", "key", "pos", "text"), ["row_id", "kind", "key", "pos"], "text", tokenizer, folder, "\n\n[", model)
+    d = count_texts(documents.select("doc_id", "source", "lang", "domain", "text"), ["doc_id", "source", "lang", "domain"], "text", tokenizer, folder, None, model)
     none = lambda t, n: F.lit(None).cast(t).alias(n)
-    p = p.select(F.lit("passes").alias("origin"), "row_id", "kind", "key", "pos", none("long", "doc_id"), F.coalesce(source_of(F.col("row_id")), F.lit("unknown")).alias("source"), F.col("guessed").alias("lang"), F.lit("examples").alias("domain"), "n_tokens")
+    p = p.select(F.lit("passes").alias("origin"), "row_id", "kind", "key", "pos", none("long", "doc_id"), F.coalesce(source_of(F.col("row_id")), F.lit("unknown")).alias("source"), F.col("guessed").alias("lang"), F.lit("unknown").alias("domain"), "n_tokens")
     d = d.select(F.lit("documents").alias("origin"), none("string", "row_id"), none("string", "kind"), none("string", "key"), none("int", "pos"), "doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), language(F.col("lang"), F.col("guessed")).alias("lang"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "n_tokens")
     return p.unionByName(d)
 
