@@ -2,8 +2,9 @@
 
 Document-centred disambiguation: what a full stop means is first asked of the document itself (is the
 word before it met elsewhere in the document before a lower-case word or a comma, is the word after it
-met in lower case), then of the corpus (the same counts over all documents), then of a short list of
-well-known abbreviations. Terminators, line breaks and spaces follow the script.
+met in lower case, else it may be a proper name), then of the corpus (what follows the stops of a word over all documents, and
+whether a short word ever stands without one), and only where neither tells of a list of well-known abbreviations.
+Terminators, line breaks and spaces follow the script.
 
 Two passes over the texts. The first sums word counts (partial sums per batch, then one small shuffle
 of word types). Only types that hold at least one part in ``SHARE`` of the counted tokens are kept as
@@ -26,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 #: Of a longer run without white space only so many characters before a stop are looked at: it is no abbreviation, and the work stays linear.
 LONG = 1000
+#: Letters of a type that is an abbreviation by hardly ever standing without a stop.
+SHORT = 6
 #: A word type counts as corpus evidence if it holds at least 1/SHARE of the tokens of its kind.
 SHARE = 50_000
 
-# Abbreviations known beforehand, used where neither document nor corpus tells.
+# Abbreviations known beforehand, the last resort where neither document nor corpus tells.
 # Those that stand before what they belong to and so never end a sentence:
 BEFORE = set(
     "mr mrs ms dr ee prof st mt no nos fig figs sec ch vol pp cf vs e.g i.e approx min max ca gen col lt sgt rev hon capt "
@@ -68,7 +73,8 @@ QUOTE_END = re.compile(r"(?<=[,.!?…])['’](?=[\s,.;:)\]]|$)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 NAMED = re.compile(r"([A-Z][^\W\d_]*)! (?=[a-z]+\b)")
 DOTTED = re.compile(r"\.(?=([\u00a0\u202f \t\r\n]+)(\S)|[,;:])")
-BEFORE_STOP = re.compile(r"(?<![\w.])((?:[^\W\d_]\.[\u00a0\u202f ]?)*[^\W\d_]+)$")
+MARKS = "\u0900-\u0903\u093a-\u094f"  # Devanagari vowel signs, which are no letters
+BEFORE_STOP = re.compile(rf"(?<![\w.{MARKS}])((?:[^\W\d_]\.[\u00a0\u202f ]?)*(?:[^\W\d_][{MARKS}]*)+)$")
 EDGE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85                 　﻿"
 REPORT_ZH = re.compile("^[^，。！？；：,;:]{0,30}[问問说說道答喊叫嚷写寫曰]")
 
@@ -175,7 +181,7 @@ def _dotted(block: str):
     """Each word (or letters with stops between them) before a full stop that white space or a comma follows, as a type, and the match of the stop."""
     for m in DOTTED.finditer(block):
         at = m.start()
-        if not at or not block[at - 1].isalpha():
+        if not at or not (block[at - 1].isalpha() or "\u0900" <= block[at - 1] <= "\u094f"):
             continue
         space = block.rfind(" ", 0, at)
         if space > 0 and block[space - 1] != "." and (plain := block[space + 1 : at]).isalpha():
@@ -476,7 +482,8 @@ def split(text: str | None, corpus: Evidence | None = None) -> list[tuple[int, i
 
 
 def _count(batches):
-    """Partial counts of word types: kind d before a stop that ends nothing, s before any stop, l lower case, n with a ! inside."""
+    """Partial counts of word types: kind s before any stop, d before a stop after which the sentence goes on, g before a stop and a digit,
+    a (short types) in any form, l in lower case, n with a ! inside."""
     for batch in batches:
         counts: Counter = Counter()
         words: Counter = Counter()
@@ -489,28 +496,48 @@ def _count(batches):
                     counts["s", key] += 1
                     if _goes_on(block, m):
                         counts["d", key] += 1
+                    elif m[2].isdigit():
+                        counts["g", key] += 1
                 words.update(WORD.findall(block))
                 if "! " in block:
                     counts.update(("n", m[1].lower()) for m in NAMED.finditer(block))
-        counts.update({("l", w): n for w, n in words.items() if w.islower()})
+        for w, n in words.items():
+            if w.islower():
+                counts["l", w] = n
+            if len(w) <= SHORT:
+                counts["a", w.lower()] += n
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "word", "n"]
         )
 
 
+def abbreviations(by: dict[str, dict[str, int]]) -> set[str]:
+    """The types that the corpus shows to be abbreviations: the sentence often goes on after their stop; or a number often follows it; or, being
+    short, they hardly ever stand without a stop."""
+    out = set()
+    for w, stops in by["s"].items():
+        on, number, lower, whole = by["d"].get(w, 0), by["g"].get(w, 0), by["l"].get(w, 0), by["a"].get(w, stops)
+        if on >= 3 and 4 * on >= stops and 2 * stops >= lower:
+            out.add(w)
+        elif on + number >= 5 and 2 * (on + number) >= stops and 2 * stops >= lower:
+            out.add(w)
+        elif stops >= 20 and len(w) <= SHORT and w in by["a"] and 20 * stops >= 19 * whole:
+            out.add(w)
+    return out
+
+
 def corpus_evidence(documents: DataFrame) -> Evidence:
-    """The counts of all documents, reduced to the types that hold at least 1/SHARE of their kind (so at most 4 SHARE rows)."""
-    counts = (
-        documents.select("text").where(F.col("text").isNotNull()).mapInArrow(_count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    ).persist()
+    """The counts of all documents, reduced to the types that hold at least 1/SHARE of their kind (so at most 6 SHARE rows)."""
+    texts = documents.select("text").where(F.col("text").isNotNull())
+    counts = written(texts.mapInArrow(_count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "p9-counts")
     totals = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(*[x for k in "sdln" for x in (F.lit(k), F.lit(max(2, totals.get(k, 0) // SHARE)))])
+    least = F.create_map(*[x for k in "sdglan" for x in (F.lit(k), F.lit(max(2, totals.get(k, 0) // SHARE)))])
     rows = counts.where(F.col("n") >= least[F.col("kind")]).collect()
-    counts.unpersist()
-    by = {k: {r.word: r.n for r in rows if r.kind == k} for k in "sdln"}
-    short = {w for w, n in by["d"].items() if n >= 3 and 4 * n >= by["s"].get(w, n) and 2 * by["s"].get(w, n) >= by["l"].get(w, 0)}
-    return Evidence(short, by["l"], by["n"])
+    by: dict[str, dict[str, int]] = {k: {} for k in "sdglan"}
+    for r in rows:
+        by[r.kind][r.word] = r.n
+    return Evidence(abbreviations(by), by["l"], by["n"])
 
 
 def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,3 +99,13 @@ def test_abbreviations_on_no_list(known, text, n):
     both = f"{known}\n\n{text}"
     assert sum(a >= len(known) for a, _ in S.split(both)) == n
     assert len(S.split(text)) == n + 1
+
+
+def test_the_corpus_tells_what_no_list_knows(spark, monkeypatch):
+    """Invented abbreviations before numbers and names, in documents that don't show them otherwise; both lists are emptied."""
+    monkeypatch.setattr(S, "BEFORE", set())
+    monkeypatch.setattr(S, "EITHER", set())
+    kinds = [("The load is zorb. {n} here.", 0), ("Der Wert klst. {n} gilt.", 0), ("La part vlmr. {n} reste.", 0), ("El tipo trqn. {n} vale.", 0), ("Arvo hylk. {n} on hyvä.", 0), ("मूल्य टी. {n} है।", 0)]
+    rows = [(i, kinds[i % 6][0].format(n=i) + (" It was late. The day went on." if i % 6 == 0 else "")) for i in range(180)]
+    got = S.sentences(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").count().collect()
+    assert {r.doc_id % 6: r["count"] for r in got} == {0: 3, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1} and len({(r.doc_id % 6, r["count"]) for r in got}) == 6
