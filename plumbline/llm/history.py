@@ -1,16 +1,17 @@
 """Deduplicating new batches against all history by content-defined chunks.
 
 The words of a state are cut where a rolling hash (its window is the word just read) says so, into chunks of MEAN words on the
-mean; the end of a value ends a chunk. A changed, dropped or added word destroys two chunks at most, so of the c chunks of a state at least c - 2 e
-stand in every near-same one, with e = n/7 edits at most. A persistent table tells which states hold a chunk (a chunk met the second time in a state
-counts as another one). A new batch looks up the 2 e + BEYOND chunks of each state that are rarest in the table: all but 2 e of them are
-left in every near-same state. The few states with at most 2 e chunks are also kept and looked up word by word (e + BEYOND words), so short and
+mean, whatever the borders of values. A changed, dropped or added word destroys two chunks at most, and where values stand in another order each
+border destroys one on either side; so of the c chunks of a state at least c - d stand in every near-same one: d = 2 e with e = n/7 edits at
+most, and 2 v - 1 more if it has v > 1 values. A persistent table tells which states hold a chunk (a chunk met the second time in a state
+counts as another one). A new batch looks up the d + BEYOND chunks of each state that are rarest in the table: all but d of them are
+left in every near-same state. The few states with at most d chunks are also kept and looked up word by word (e + BEYOND words), so short and
 repetitive states lose nothing either.
 
 The table yields how many bytes two states share. Pairs are decided by coverage: the shared bytes must be at least all but those of the
-2 e largest chunks, on both sides, which each near-same pair keeps; an exact comparison follows. Then the chunks of the accepted records are
+d largest chunks, on both sides, which each near-same pair keeps; an exact comparison follows. Then the chunks of the accepted records are
 appended. `repeats` does the same for a whole table: it appends all batches and looks all up, and the batch
-numbers decide which comes first. Taken as given: apart from the edits, the borders of values lie alike in both states.
+numbers decide which comes first. Taken as given: no state has more than one value more than the other.
 
 A null or redacted state takes that of another record with the same hash, in either order of arrival;
 without one, it matches by its hash alone. Null hashes, questions and batches: a record without hash and state matches
@@ -100,6 +101,15 @@ def most_edits(n):
     return n // 7
 
 
+def destroyed(edits, values):
+    """The most chunks of a state that so many edits and another order of its values can destroy."""
+    return 2 * edits + np.where(values > 1, 2 * values - 1, 0)
+
+
+def values_of(lens: list[bytes]) -> np.ndarray:
+    return np.array([len(x) // 4 for x in lens], np.int64)
+
+
 def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: list[bytes]):
     """record, key, bytes and whether it is a single word, of every chunk of the states; keys differ by space and by how often a chunk was met in its state."""
     word = np.frombuffer(b"".join(toks), np.int32).astype(np.int64).astype(U)
@@ -107,8 +117,7 @@ def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: li
     many = np.array([len(t) // 4 for t in toks], np.int64)
     rec = np.repeat(np.arange(len(toks)), many)
     last = np.zeros(len(word), bool)
-    values = np.frombuffer(b"".join(lens), np.int32)
-    last[np.cumsum(values[values > 0]) - 1] = True
+    last[np.cumsum(many[many > 0]) - 1] = True
     with np.errstate(over="ignore"):
         roll = bags.mix(word, np.zeros(len(word), U))
         end = np.flatnonzero(((roll >> U(20)) % U(MEAN) == 0) | last) + 1
@@ -119,7 +128,7 @@ def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: li
         value = (sums[end] - sums[begin]) * back[begin]
     weight = np.r_[0, np.cumsum(size)]
     owner = rec[begin] if len(begin) else rec
-    few = np.bincount(owner, minlength=len(toks)) <= 2 * most_edits(many)
+    few = np.bincount(owner, minlength=len(toks)) <= destroyed(most_edits(many), values_of(lens))
     alone = np.flatnonzero(few[rec]) if len(rec) else rec
     found_rec, found, found_size = np.r_[owner, rec[alone]], np.r_[value, word[alone]], np.r_[weight[end] - weight[begin], size[alone]]
     single = np.r_[np.zeros(len(owner), bool), np.ones(len(alone), bool)]
@@ -168,7 +177,7 @@ def _lookups(counts: np.ndarray, salts: np.ndarray):
             rank = np.arange(len(group)) - start
             size_of = np.searchsorted(group[order], group[order], "right") - start
             edits = most_edits(n[rec[order]].astype(np.int64))
-            lost = np.where(single[order], edits, 2 * edits)
+            lost = np.where(single[order], edits, destroyed(edits, values_of(lens)[rec[order]]))
             keep = rank < lost + BEYOND
             order, lost, taken = order[keep], lost[keep], np.minimum(size_of, lost + BEYOND)[keep]
             # of those looked up so many, and so many bytes, are in each near-same state; a state with few chunks has one in others with more
@@ -193,7 +202,8 @@ def _compare(batches):
         q, a, b, la, ta, za, lb, tb, zb = _of(batch, "qkey", "a", "b", "la", "ta", "za", "lb", "tb", "zb")
         near = bags.alike(ta, tb)
         none, sides = np.zeros(len(near), np.int64), []
-        lost = np.array([2 * (max(len(ta[i]), len(tb[i])) // 32) for i in near.tolist()], np.int64)
+        edits = np.array([max(len(ta[i]), len(tb[i])) // 32 for i in near.tolist()], np.int64)
+        lost = destroyed(edits, np.maximum(values_of([la[i] for i in near.tolist()]), values_of([lb[i] for i in near.tolist()])))
         for lens, toks, sizes in ((la, ta, za), (lb, tb, zb)):
             rec, key, size, single = chunks_of(none, *([x[i] for i in near.tolist()] for x in (lens, toks, sizes)))
             sides.append((rec[~single], bags.mix(key[~single], rec[~single].astype(U)), size[~single]))

@@ -93,8 +93,9 @@ class Item:
         return [(at + i, x) for at, h, u in self.all for i, x in enumerate(_terms(h, u).tolist())]
 
     def spoiled(self) -> int:
-        """The terms that changing one word in SHARE can take away."""
-        return len(self.whole) // SHARE * (3 if any(u for _, _, u in self.all) else 2)
+        """The terms that changing one word in SHARE, and a border of values for each value, can take away."""
+        wide = 3 if any(u for _, _, u in self.all) else 2
+        return len(self.whole) // SHARE * wide + (wide - 1) * len(self.all)
 
     def short(self) -> bool:
         """Whether no term would be sure to be left, so that every text is compared with it."""

@@ -7,11 +7,11 @@ together share a span as long as their common prefix. The spans of a pair are me
 record that they cover (a mask of 64 segments), summed over all partitions.
 
 How much must be covered is proved, not fitted: if at most e = n/8 words differ, the unchanged ones lie in at most e + v runs
-(v values), and runs too short for a start to be kept can only hold so many of them (`need`). A neighbourhood of over GROUP cross
+(v - 1 being the borders of values in both records, wherever they lie), and runs too short for a start to be kept can only hold so many of them (`need`). A neighbourhood of over GROUP cross
 pairs is split by the longer prefix of AHEAD words. Records in those that are still too large, or whose short spans got lost by the split, and
 those with starts that very many records share (found on a sample, which only routes), may be covered less than was proved; they are also
 compared by the words that no n/8 edits can take away (`bags`), and so are those whose values are too short for any start, so nothing is left out.
-An exact comparison follows. Taken as given: apart from the edits, the borders of values lie alike in both records.
+An exact comparison follows. Taken as given: neither record has more than one value more than the other.
 
 Texts that are the same apart from differences of writing are one class from the start, so copies never
 meet each other: `near_classes` gives pairs of classes and their members, and only the queries expand them.
@@ -106,7 +106,7 @@ class Flat:
 
 
 def need(n, v, dense):
-    """The words that must be covered in a pair whose longer text has n words, in v values: what is left when runs too short to have a start are full.
+    """The words that must be covered in a pair whose longer text has n words, with v - 1 borders of values in both: what is left when runs too short to have a start are full.
 
     dense: each start of the training text is kept, else each third. Works on numbers, arrays and columns."""
     e = n // 8 if not hasattr(n, "isNull") else F.floor(n / 8)
@@ -135,7 +135,7 @@ def slices(batches, words: int = 400_000):
 
 def _dense(n: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Whether each start of a training text is kept: sampled ones wouldn't be sure to cover FIRST words."""
-    return least_need(n, v, False) < FIRST
+    return least_need(n, 2 * v, False) < FIRST
 
 
 def _suffixes(bounds: np.ndarray, hot: np.ndarray):
@@ -355,11 +355,11 @@ def _worst(n, v, dense: bool):
 def candidates_of(classes: DataFrame, count: int) -> DataFrame:
     """a, b: every pair of an evaluation and a training class that may be near-same."""
     spans, crowded = _spans(classes, count)
-    n, v = F.greatest("na", "nb"), F.greatest("va", "vb")
+    n, v = F.greatest("na", "nb"), F.col("va") + F.col("vb") - 1
     wanted = F.when(F.col("dense") == 1, need(n, v, True)).otherwise(need(n, v, False))
     by_spans = spans.where(F.bit_count("mask") * F.greatest("na", F.lit(64)) / 64 >= F.greatest(F.lit(FIRST), wanted)).select("a", "b")
     # the rest: too short values, and the records of neighbourhoods too large, evaluation ones with training ones
-    n, v = F.col("n"), F.octet_length("lens") / 4
+    n, v = F.col("n"), F.octet_length("lens") / 2
     thin = _worst(n, v, True) < FIRST + 5 + F.floor(n / 8)
     both = classes.join(crowded, "cls", "left")
     also = lambda c, side: F.col(c) & (thin | F.coalesce(side, F.lit(False)))

@@ -306,7 +306,13 @@ def test_values_short_and_long_and_in_any_order_are_whole(spark):
         values = [rng.choices(v, k=rng.choice([1, 2, 3, 5, 12, 30])) for _ in range(rng.randint(2, 12))]
         n = sum(map(len, values))
         other = [list(x) for x in values]
-        for at in rng.sample(range(n), n // 8):
+        moved = rng.random() < 0.5 and len(other) > 1
+        if moved:  # a border that lies elsewhere, and no edits
+            at = rng.randrange(len(other) - 1)
+            both = other[at] + other[at + 1]
+            cut = rng.randint(1, len(both) - 1) if len(both) > 1 else 1
+            other[at : at + 2] = [both[:cut], both[cut:]] if both[cut:] else [both]
+        for at in [] if moved else rng.sample(range(n), n // 8):
             for x in other:
                 if at < len(x):
                     x[at] = f"zq{i}x{at}"
@@ -443,3 +449,26 @@ def test_index_serves_other_items(spark):
         its = spark.createDataFrame([(f"i-{i}", rows[i][1]) for i in range(first, first + 5)], "item_id string, state_str string")
         got = {tuple(x) for x in leaks.leaked_by(index, source, leaks.read_items(its)).collect()}
         assert got == {(f"i-{i}", f"r-{i}") for i in range(first, first + 5)}
+
+
+def test_repeats_with_values_in_other_places_are_whole(spark):
+    """States of several values whose borders lie elsewhere or whose fields have other names, and so another order."""
+    rng = random.Random(35)
+    v = voc(rng)
+    old, new = [], []
+    for i in range(80):
+        values = [rng.choices(v, k=rng.choice([3, 9, 25])) for _ in range(rng.randint(2, 4))]
+        other = [list(x) for x in values]
+        if i % 2:
+            both = other[0] + other[1]
+            cut = rng.randint(1, len(both) - 1)
+            other[:2] = [both[:cut], both[cut:]]
+        else:
+            at = rng.randrange(len(other[0]))
+            other[0][at] = f"zq{i}"
+        names = [f"k{j}" for j in range(len(values))]
+        old.append(json.dumps({k: " ".join(x) for k, x in zip(names, values)}))
+        new.append(json.dumps({k: " ".join(x) for k, x in zip(names if i % 2 else reversed(names), other)}))
+    want = repeated(old, new)
+    got = {tuple(r) for r in history.repeats(spark.createDataFrame(in_two_batches(old, new), FEEDBACK)).collect()}
+    assert got == want and len(want) > 70
