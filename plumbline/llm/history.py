@@ -2,8 +2,8 @@
 
 The words of a state are cut where a rolling hash (its window is the word just read) says so, into chunks of MEAN words on the
 mean, whatever the borders of values. A changed, dropped or added word destroys two chunks at most, and where values stand in another order each
-border destroys one on either side; so of the c chunks of a state at least c - d stand in every near-same one: d = 2 e with e = n/7 edits at
-most, and 2 v - 1 more if it has v > 1 values. A persistent table tells which states hold a chunk (a chunk met the second time in a state
+border destroys the one that lies across it, and so do the ends; so of the c chunks of a state at least c - d stand in every near-same one:
+d = 2 e, with e = n/7 edits at most, and v + 1 more if it has v > 1 values. A persistent table tells which states hold a chunk (a chunk met the second time in a state
 counts as another one). A new batch looks up the d + BEYOND chunks of each state that are rarest in the table: all but d of them are
 left in every near-same state. The few states with at most d chunks are also kept and looked up word by word (e + BEYOND words), so short and
 repetitive states lose nothing either.
@@ -11,7 +11,7 @@ repetitive states lose nothing either.
 The table yields how many bytes two states share. Pairs are decided by coverage: the shared bytes must be at least all but those of the
 d largest chunks, on both sides, which each near-same pair keeps; an exact comparison follows. Then the chunks of the accepted records are
 appended. `repeats` does the same for a whole table: it appends all batches and looks all up, and the batch
-numbers decide which comes first. Taken as given: no state has more than one value more than the other.
+numbers decide which comes first. Taken as given: where the order of values differs, no value of the one is divided in the other.
 
 A null or redacted state takes that of another record with the same hash, in either order of arrival;
 without one, it matches by its hash alone. Null hashes, questions and batches: a record without hash and state matches
@@ -103,7 +103,7 @@ def most_edits(n):
 
 def destroyed(edits, values):
     """The most chunks of a state that so many edits and another order of its values can destroy."""
-    return 2 * edits + np.where(values > 1, 2 * values - 1, 0)
+    return 2 * edits + np.where(values > 1, values + 1, 0)
 
 
 def values_of(lens: list[bytes]) -> np.ndarray:

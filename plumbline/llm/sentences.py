@@ -483,7 +483,7 @@ def split(text: str | None, corpus: Evidence | None = None) -> list[tuple[int, i
 
 def _count(batches):
     """Partial counts of word types: kind s before any stop, d before a stop after which the sentence goes on, g before a stop and a digit,
-    a (short types) in any form, l in lower case, n with a ! inside."""
+    c before a stop and a capital whose word the block also has in lower case, a (short types) in any form, l in lower case, n with a ! inside."""
     for batch in batches:
         counts: Counter = Counter()
         words: Counter = Counter()
@@ -492,13 +492,16 @@ def _count(batches):
                 block = text[lines[0][0] : lines[-1][1]]
                 if not _cased(block):
                     continue
+                found = Counter(WORD.findall(block))
                 for key, m in _dotted(block):
                     counts["s", key] += 1
+                    if m[2] and m[2].isupper() and (after := WORD.match(block, m.start(2))) and after[0].lower() in found:
+                        counts["c", key] += 1
                     if _goes_on(block, m):
                         counts["d", key] += 1
                     elif m[2].isdigit():
                         counts["g", key] += 1
-                words.update(WORD.findall(block))
+                words.update(found)
                 if "! " in block:
                     counts.update(("n", m[1].lower()) for m in NAMED.finditer(block))
         for w, n in words.items():
@@ -514,7 +517,7 @@ def _count(batches):
 
 def abbreviations(by: dict[str, dict[str, int]]) -> set[str]:
     """The types that the corpus shows to be abbreviations: the sentence often goes on after their stop; or a number often follows it; or, being
-    short, they hardly ever stand without a stop."""
+    short, they hardly ever stand without a stop and what follows may be a name."""
     out = set()
     for w, stops in by["s"].items():
         on, number, lower, whole = by["d"].get(w, 0), by["g"].get(w, 0), by["l"].get(w, 0), by["a"].get(w, stops)
@@ -522,19 +525,19 @@ def abbreviations(by: dict[str, dict[str, int]]) -> set[str]:
             out.add(w)
         elif on + number >= 5 and 2 * (on + number) >= stops and 2 * stops >= lower:
             out.add(w)
-        elif stops >= 20 and len(w) <= SHORT and w in by["a"] and 20 * stops >= 19 * whole:
+        elif stops >= 20 and len(w) <= SHORT and w in by["a"] and 20 * stops >= 19 * whole and 20 * by["c"].get(w, 0) <= stops:
             out.add(w)
     return out
 
 
 def corpus_evidence(documents: DataFrame) -> Evidence:
-    """The counts of all documents, reduced to the types that hold at least 1/SHARE of their kind (so at most 6 SHARE rows)."""
+    """The counts of all documents, reduced to the types that hold at least 1/SHARE of their kind (so at most 7 SHARE rows)."""
     texts = documents.select("text").where(F.col("text").isNotNull())
     counts = written(texts.mapInArrow(_count, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "p9-counts")
     totals = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(*[x for k in "sdglan" for x in (F.lit(k), F.lit(max(2, totals.get(k, 0) // SHARE)))])
+    least = F.create_map(*[x for k in "sdgclan" for x in (F.lit(k), F.lit(max(2, totals.get(k, 0) // SHARE)))])
     rows = counts.where(F.col("n") >= least[F.col("kind")]).collect()
-    by: dict[str, dict[str, int]] = {k: {} for k in "sdglan"}
+    by: dict[str, dict[str, int]] = {k: {} for k in "sdgclan"}
     for r in rows:
         by[r.kind][r.word] = r.n
     return Evidence(abbreviations(by), by["l"], by["n"])

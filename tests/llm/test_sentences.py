@@ -106,6 +106,6 @@ def test_the_corpus_tells_what_no_list_knows(spark, monkeypatch):
     monkeypatch.setattr(S, "BEFORE", set())
     monkeypatch.setattr(S, "EITHER", set())
     kinds = [("The load is zorb. {n} on and on.", 0), ("Der Wert klst. {n} gilt.", 0), ("La part vlmr. {n} reste.", 0), ("El tipo trqn. {n} vale.", 0), ("Arvo hylk. {n} on hyvä.", 0), ("मूल्य टी. {n} है।", 0)]
-    rows = [(i, kinds[i % 6][0].format(n=i) + (" It was late here so far. The day is late. The day went on here." if i % 6 == 0 else "")) for i in range(180)]
+    rows = [(i, kinds[i % 6][0].format(n=i) + (" It was late here so far. The end of it is late. It went on to the day here." if i % 6 == 0 else "")) for i in range(180)]
     got = S.sentences(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").count().collect()
     assert {(r.doc_id % 6, r["count"]) for r in got} == {(0, 4), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)}
