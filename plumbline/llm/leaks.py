@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text: a distributed positional inverted index.
 
 The index is stored and serves any number of item sets: each different training text is cut once into terms (the two
-words from a place on, in scripts without spaces three characters), and the postings (term, text, place) lie in buckets of terms as sorted runs,
-so neither a frequent term nor a bucket is ever gathered. Beside it stands which rows have which text.
+words from a place on, in scripts without spaces three characters), and the postings (term, text, place) lie in runs sorted by term, written
+where the texts were read: nothing is shuffled, and no frequent term is ever gathered. A look into the index is a binary search in each run.
 
 The test items are few and fixed; their size is checked. One look into the index counts the postings of all their terms. Of every window that
 must be found (RUN words, RUN_UNSPACED characters) the three rarest terms are anchors, and of every item as many of its
@@ -17,7 +17,6 @@ whole. Repeated rows and passes count once; no items or no training rows give no
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -32,8 +31,8 @@ from .store import written
 RUN, RUN_UNSPACED, SHARE, STOCK = 16, 30, 8, 10
 #: Test items are held by every worker; more bytes of text than this are refused.
 MOST_BYTES = 256 << 20
-#: Surfaces for each bucket of the index, and postings of a run.
-SURFACES, POSTINGS = 40_000, 1_000_000
+#: Postings of a run.
+POSTINGS = 200_000
 
 
 def _unspaced(word: str) -> bool:
@@ -166,59 +165,48 @@ def anchors(items: dict[str, Item], df: dict[int, int]) -> list[tuple[int, str,
     return out
 
 
-INDEX = "bucket int, terms binary, texts binary, places binary"
-
-
-def _postings(buckets: int):
-    """th, text -> runs of postings sorted by term, one for each bucket; a text met again lately adds none."""
-
-    def runs(terms: list, texts: list, places: list):
-        t = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        n = [len(x) for x in terms]
-        th, at = np.repeat(np.array(texts, np.int64), n), np.concatenate(places) if places else np.zeros(0, np.int32)
-        to = (t.view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
-        order = np.lexsort((t, to))
-        t, th, at, to = t[order], th[order], at[order], to[order]
-        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
-        ends = np.r_[cuts[1:], len(to)]
-        blobs = [[x[a:b].tobytes() for a, b in zip(cuts, ends)] for x in (t, th, at)]
-        return pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "terms", "texts", "places"])
-
-    def scan(batches):
-        seen: set[int] = set()
-        terms, texts, places, held = [], [], [], 0
-        for batch in batches:
-            for t, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
-                if t in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(t)
-                at, of_text, of_place = 0, [], []
-                values, inside = units(text)
-                for w, unspaced in [*values, *((x, True) for x in inside)]:
-                    h = wording.hashes(w)
-                    of_text.append(_terms(h, unspaced))
-                    of_place.append(np.arange(at, at + len(of_text[-1]), dtype=np.int32))
-                    at += len(w)
-                if of_text:
-                    terms.append(np.concatenate(of_text))
-                    places.append(np.concatenate(of_place))
-                    texts.append(t)
-                    held += len(terms[-1])
-                if held > POSTINGS:
-                    yield runs(terms, texts, places)
-                    terms, texts, places, held = [], [], [], 0
-        yield runs(terms, texts, places)
-
-    return scan
+INDEX = "terms binary, texts binary, places binary"
+
+
+def _run(terms: list, texts: list, places: list) -> pa.RecordBatch:
+    t = np.concatenate(terms) if terms else np.zeros(0, np.int64)
+    th = np.repeat(np.array(texts, np.int64), [len(x) for x in terms])
+    at = np.concatenate(places) if places else np.zeros(0, np.int32)
+    order = np.argsort(t, kind="stable")
+    return pa.RecordBatch.from_arrays([pa.array([x[order].tobytes()], pa.binary()) for x in (t, th, at)], ["terms", "texts", "places"])
+
+
+def _postings(batches):
+    """th, text -> runs of postings sorted by term; a text met again lately adds none."""
+    seen: set[int] = set()
+    terms, texts, places, held = [], [], [], 0
+    for batch in batches:
+        for t, text in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist()):
+            if t in seen:
+                continue
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.add(t)
+            at, of_text, of_place = 0, [], []
+            values, inside = units(text)
+            for w, unspaced in [*values, *((x, True) for x in inside)]:
+                of_text.append(_terms(wording.hashes(w), unspaced))
+                of_place.append(np.arange(at, at + len(of_text[-1]), dtype=np.int32))
+                at += len(w)
+            if of_text:
+                terms.append(np.concatenate(of_text))
+                places.append(np.concatenate(of_place))
+                texts.append(t)
+                held += len(terms[-1])
+            if held > POSTINGS:
+                yield _run(terms, texts, places)
+                terms, texts, places, held = [], [], [], 0
+    yield _run(terms, texts, places)
 
 
 def build_index(surfaces: DataFrame) -> DataFrame:
     """The stored index of surfaces with columns th (a hash of the text) and text."""
-    spark = surfaces.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(surfaces.count() / SURFACES))
-    return written(surfaces.select("th", "text").mapInArrow(_postings(buckets), INDEX).repartition(buckets, "bucket"), "p5-index")
+    return written(surfaces.select("th", "text").mapInArrow(_postings, INDEX), "p5-index")
 
 
 def _found(wanted: np.ndarray, counts: bool):

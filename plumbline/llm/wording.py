@@ -203,12 +203,16 @@ def arrange(parts: list[np.ndarray], other: np.ndarray) -> list[np.ndarray]:
 
 
 def near_same(a: list[np.ndarray], b: list[np.ndarray], share: int = 8) -> bool:
-    """Whether at most one word in share differs, over the values, whatever the order of the fields."""
+    """Whether at most one word in share differs, over the values, whatever the order of the fields; the same whichever text comes first."""
     la, lb = sum(map(len, a)), sum(map(len, b))
     most = max(la, lb) // share
     if not la or not lb or abs(la - lb) > most:
         return False
-    whole_a, whole_b = np.concatenate(a), np.concatenate(b)
+    return _arranged(a, b, most) or (len(a) > 1 or len(b) > 1) and _arranged(b, a, most)
+
+
+def _arranged(a: list[np.ndarray], b: list[np.ndarray], most: int) -> bool:
+    whole_b = np.concatenate(b)
     for x in arrange(a, whole_b):
         for y in arrange(b, x):
             if distance(x, y, most) <= most:
