@@ -42,7 +42,9 @@ def week_of_month(day: Column) -> Column:
 def months_before(day: Column, months: Column) -> Column:
     """A day from which exactly so many complete months have passed: the day before in that month, or the first."""
     at = F.year(day) * 12 + F.month(day) - 1 - months
-    return F.make_date(F.floor(at / 12).cast("int"), (F.pmod(at, F.lit(12)) + 1).cast("int"), F.when(F.dayofmonth(day) == 1, 1).otherwise(F.dayofmonth(day) - 1))
+    return F.make_date(
+        F.floor(at / 12).cast("int"), (F.pmod(at, F.lit(12)) + 1).cast("int"), F.when(F.dayofmonth(day) == 1, 1).otherwise(F.dayofmonth(day) - 1)
+    )
 
 
 def styles(day: Column) -> dict[str, Column]:

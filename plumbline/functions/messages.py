@@ -52,7 +52,10 @@ def field(name: Column, instructions: Column, found: Column) -> Column:
         found,
         lambda c: F.concat(F.lit('{"code":'), quoted(c["code"]), F.lit(',"value":'), value(c), F.lit(',"description":'), quoted(c["description"]), F.lit("}")),
     )
-    return F.concat(F.lit('{"name":'), quoted(name), F.lit(',"description":'), quoted(content(instructions)), F.lit(',"choices":['), F.array_join(each, ","), F.lit("]}"))
+    return F.concat(
+        F.lit('{"name":'), quoted(name), F.lit(',"description":'), quoted(content(instructions)), F.lit(',"choices":['), F.array_join(each, ","),
+        F.lit("]}")
+    )
 
 
 def message(state: Column, name: Column, schema: Column) -> Column:

@@ -94,11 +94,17 @@ def noul_pass(state: Column, instructions: Column, criteria: Column) -> Column:
 
 
 def option_pass(state: Column, instructions: Column, option: Column, description: Column) -> Column:
-    return F.concat(state, F.lit("\n\n[choice] "), instructions, F.lit("\noption - "), option, F.coalesce(F.concat(F.lit(": "), description), F.lit("")), F.lit("\nanswer:"))
+    return F.concat(
+        state, F.lit("\n\n[choice] "), instructions, F.lit("\noption - "), option, F.coalesce(F.concat(F.lit(": "), description), F.lit("")),
+        F.lit("\nanswer:")
+    )
 
 
 def level_pass(state: Column, instructions: Column, pos: Column, n: Column, level: Column) -> Column:
-    return F.concat(state, F.lit("\n\n[score] "), instructions, F.lit("\nlevel "), (pos + 1).cast("string"), F.lit(" of "), n.cast("string"), F.lit(" - "), level, F.lit("\nanswer:"))
+    return F.concat(
+        state, F.lit("\n\n[score] "), instructions, F.lit("\nlevel "), (pos + 1).cast("string"), F.lit(" of "), n.cast("string"), F.lit(" - "), level,
+        F.lit("\nanswer:")
+    )
 
 
 def surface(*parts: Column) -> Column:
@@ -142,7 +148,10 @@ def compact_json(text: Column) -> Column:
 def judge_prompt(state: Column, instructions: Column, meaning: Column) -> Column:
     """A prompt that asks a teacher for the probability of yes."""
     lead = "Give the probability that the answer is yes, as JSON with one field p between 0 and 1."
-    return F.concat(F.lit(lead + "\n\nState:\n"), state, F.lit("\n\nQuestion:\n"), instructions, F.coalesce(F.concat(F.lit("\n\nYes means: "), meaning), F.lit("")))
+    return F.concat(
+        F.lit(lead + "\n\nState:\n"), state, F.lit("\n\nQuestion:\n"), instructions,
+        F.coalesce(F.concat(F.lit("\n\nYes means: "), meaning), F.lit(""))
+    )
 
 
 def money(cents: Column, sign: str) -> Column:

@@ -27,7 +27,11 @@ def overlap_pairs(items: DataFrame, item_id: str, item_text: str, train: DataFra
     a = shingle_rows(items, item_id, item_text, n).distinct()
     b = shingle_rows(train, train_id, train_text, n).join(a.select("h").distinct(), "h", "left_semi")
     often = a.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")  # of the items, a small fixed table
-    a = a.join(often.withColumn("stock", F.lit(True)), "h", "left").withColumn("salt", F.explode(F.when(F.col("stock"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    b = b.join(often.withColumn("stock", F.lit(True)), "h", "left").withColumn("salt", F.when(F.col("stock"), F.pmod(F.xxhash64(train_id), F.lit(SALTS)).cast("int")).otherwise(0)).drop("stock")
+    a = a.join(often.withColumn("stock", F.lit(True)), "h", "left").withColumn(
+        "salt", F.explode(F.when(F.col("stock"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    )
+    b = b.join(often.withColumn("stock", F.lit(True)), "h", "left").withColumn(
+        "salt", F.when(F.col("stock"), F.pmod(F.xxhash64(train_id), F.lit(SALTS)).cast("int")).otherwise(0)
+    ).drop("stock")
     j = b.join(a.drop("stock").withColumnRenamed("shingle", "other"), ["h", "salt"]).where("shingle = other")
     return j.select(item_id, train_id, "h", "shingle").distinct().groupBy(item_id, train_id).agg(F.count("*").alias("shared"))

@@ -36,6 +36,11 @@ def pack(df: DataFrame, key: str, group: str, cost: str, budget: int, padded: bo
             slot.append(count)
             count += 1
         part = table.column("__part")[0].as_py() if table.num_rows else 0
-        return pa.table({key: table.column(key), group: table.column(group), "cost": table.column("cost"), "batch": pa.array([(part << 32) + b for b in batch], pa.int64()), "slot": pa.array(slot, pa.int32())})
+        return pa.table(
+            {
+                key: table.column(key), group: table.column(group), "cost": table.column("cost"),
+                "batch": pa.array([(part << 32) + b for b in batch], pa.int64()), "slot": pa.array(slot, pa.int32())
+            }
+        )
 
     return spread.groupBy(group, "__part").applyInArrow(fill, f"`{key}` {types[key]}, `{group}` {types[group]}, cost long, batch long, slot int")

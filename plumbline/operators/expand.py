@@ -11,7 +11,12 @@ from plumbline.functions import hashing, text
 def kept_options(row_id: Column, options: Column, label: Column, most: int, seed: str = "options") -> Column:
     """The places of the options to expand: all for held-out rows and short lists, else gold and the first distractors by a hash of row and place."""
     places = F.sequence(F.lit(0), F.size(options) - 1)
-    ranked = F.array_sort(F.transform(F.filter(places, lambda i: i != F.coalesce(label, F.lit(-1))), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), row_id, i.cast("string")), 256).alias("h"), i.alias("i"))))
+    ranked = F.array_sort(
+        F.transform(
+            F.filter(places, lambda i: i != F.coalesce(label, F.lit(-1))),
+            lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), row_id, i.cast("string")), 256).alias("h"), i.alias("i"))
+        )
+    )
     chosen = F.slice(F.transform(ranked, lambda x: x["i"]), 1, most - 1)
     few = hashing.is_val(row_id) | (F.size(options) <= most)
     return F.when(few, places).otherwise(F.filter(places, lambda i: (i == label) | F.array_contains(chosen, i)))
@@ -20,7 +25,12 @@ def kept_options(row_id: Column, options: Column, label: Column, most: int, seed
 def seeded_subset(row_id: Column, options: Column, label: Column, most: int, seed: str) -> Column:
     """Gold and the first others by a hash of row and place, in the order of the list: struct(options, gold), gold being the place among those kept."""
     places = F.sequence(F.lit(0), F.size(options) - 1)
-    ranked = F.array_sort(F.transform(F.filter(places, lambda i: i != label), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), row_id, i.cast("string")), 256).alias("h"), i.alias("i"))))
+    ranked = F.array_sort(
+        F.transform(
+            F.filter(places, lambda i: i != label),
+            lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(seed), row_id, i.cast("string")), 256).alias("h"), i.alias("i"))
+        )
+    )
     chosen = F.slice(F.transform(ranked, lambda x: x["i"]), 1, most - 1)
     kept = F.when(F.size(options) <= most, places).otherwise(F.filter(places, lambda i: (i == label) | F.array_contains(chosen, i)))
     return F.struct(F.transform(kept, lambda i: F.element_at(options, i + 1)).alias("options"), (F.array_position(kept, label) - 1).cast("int").alias("gold"))
@@ -40,19 +50,28 @@ def expand(rows: DataFrame, descriptions: DataFrame, levels: DataFrame, soft: Da
     are small fixed tables; options without a description stand alone, score rows without levels are an error in
     the data and give no passes. Null labels give null gold and all-zero one-hot targets.
     """
-    base = rows.select("row_id", "primitive", "state", "instructions", "criteria", F.col("label").cast("double").alias("gold"), "label", "meta.options", "meta.attribute")
+    base = rows.select(
+        "row_id", "primitive", "state", "instructions", "criteria", F.col("label").cast("double").alias("gold"), "label", "meta.options",
+        "meta.attribute"
+    )
     if with_text:
         base = base.withColumn("instructions", text.instructions_text("instructions"))
     val = hashing.is_val(F.col("row_id"))
     noul = base.where("primitive = 'noul'").join(soft.select("row_id", "p", F.col("weight").alias("w")), "row_id", "left")
     noul = noul.select(
         "row_id", F.lit("noul").alias("qtype"), F.lit("noul").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"),
-        F.when(~val & F.col("p").isNotNull(), F.col("p")).otherwise(F.col("gold")).alias("target"), F.when(~val, F.coalesce("w", F.lit(1.0))).otherwise(1.0).alias("weight"), "gold", F.col("p").alias("soft"),
+        F.when(
+            ~val & F.col("p").isNotNull(), F.col("p")
+        ).otherwise(F.col("gold")).alias("target"), F.when(~val, F.coalesce("w", F.lit(1.0))).otherwise(1.0).alias("weight"), "gold", F.col("p").alias("soft"),
         *([text.noul_pass(F.col("state"), F.col("instructions"), F.col("criteria")).alias("text")] if with_text else []),
     )
     one_hot = F.when(F.col("pos") == F.col("label"), 1.0).otherwise(0.0)
-    options = base.where("primitive = 'choice' and size(options) > 0").withColumn("pos", F.explode(kept_options(F.col("row_id"), F.col("options"), F.col("label"), most)))
-    options = options.withColumn("key", F.element_at("options", F.col("pos") + 1)).join(descriptions.select(F.col("name").alias("key"), "description"), "key", "left")
+    options = base.where("primitive = 'choice' and size(options) > 0").withColumn(
+        "pos", F.explode(kept_options(F.col("row_id"), F.col("options"), F.col("label"), most))
+    )
+    options = options.withColumn("key", F.element_at("options", F.col("pos") + 1)).join(
+        descriptions.select(F.col("name").alias("key"), "description"), "key", "left"
+    )
     choice = options.select(
         "row_id", F.lit("choice").alias("qtype"), F.lit("choice_opt").alias("kind"), "key", F.col("pos").cast("int").alias("pos"), one_hot.alias("target"), F.lit(1.0).alias("weight"), "gold", F.lit(None).cast("double").alias("soft"),
         *([text.option_pass(F.col("state"), F.col("instructions"), F.col("key"), F.col("description")).alias("text")] if with_text else []),

@@ -98,5 +98,9 @@ def stats(store: DataFrame) -> DataFrame:
     """Counts by kind, by review status, by model, and over all: dimension, value, n."""
     s = store.select("kind", F.coalesce("review.status", F.lit("none")).alias("status"), "served_as")
     s = s.groupBy("kind", "status", "served_as").count()
-    pick = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("kind", F.col("kind")), ("status", F.col("status")), ("served_as", F.col("served_as")), ("all", F.lit("all")))]))
+    pick = F.explode(
+        F.array(
+            *[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("kind", F.col("kind")), ("status", F.col("status")), ("served_as", F.col("served_as")), ("all", F.lit("all")))]
+        )
+    )
     return s.select(pick.alias("x"), "count").groupBy("x.dimension", "x.value").agg(F.sum("count").alias("n"))

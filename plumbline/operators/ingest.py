@@ -26,7 +26,9 @@ def first_n_per_group(df: DataFrame, group: str, order: str | list[Column], n: i
     """The first n rows of each group. Large groups are cut down in salted parts before one window ends it."""
     order = [F.col(order)] if isinstance(order, str) else order
     salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]), F.lit(64))
-    partial = df.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order))).where(F.col("__rn") <= n)
+    partial = df.withColumn("__salt", salt).withColumn(
+        "__rn", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order))
+    ).where(F.col("__rn") <= n)
     return partial.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__rn") <= n).drop("__salt", "__rn")
 
 

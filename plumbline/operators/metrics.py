@@ -13,7 +13,9 @@ def bin_of(p: Column, bins: int) -> Column:
 
 def reliability(df: DataFrame, p: str, t: str, bins: int, *by: str) -> DataFrame:
     """Per non-empty bin: mean probability, mean target, count."""
-    return df.where(F.col(p).isNotNull() & F.col(t).isNotNull()).groupBy(*by, bin_of(F.col(p), bins).alias("bin")).agg(F.avg(p).alias("conf"), F.avg(t).alias("freq"), F.count("*").alias("n"))
+    return df.where(F.col(p).isNotNull() & F.col(t).isNotNull()).groupBy(*by, bin_of(F.col(p), bins).alias("bin")).agg(
+        F.avg(p).alias("conf"), F.avg(t).alias("freq"), F.count("*").alias("n")
+    )
 
 
 def ece(df: DataFrame, p: str, t: str, bins: int, *by: str) -> DataFrame:

@@ -33,7 +33,9 @@ def dense(df: DataFrame, order: str, name: str, *by: str) -> DataFrame:
     condition = F.col("__bucket") == F.col("__b")
     for b in by:
         condition = condition & F.col(b).eqNullSafe(F.col(f"__{b}"))
-    return placed.withColumn("__local", local).join(before, condition).withColumn(name, (F.col("__local") + F.col("__before")).cast("long")).select(*df.columns, name)
+    return placed.withColumn("__local", local).join(before, condition).withColumn(
+        name, (F.col("__local") + F.col("__before")).cast("long")
+    ).select(*df.columns, name)
 
 
 def nearest(df: DataFrame, value: str, q: float, *by: str) -> DataFrame:
@@ -45,8 +47,12 @@ def nearest(df: DataFrame, value: str, q: float, *by: str) -> DataFrame:
     placed = counts.withColumn("__bucket", bucket(df.select(value), value))
     sums = placed.groupBy(*by, "__bucket").agg(F.sum("__c").alias("__s"))
     w = Window.partitionBy(*(by or [F.lit(0)]))  # a row per bucket
-    sums = sums.withColumn("__upto", F.sum("__s").over(w.orderBy("__bucket"))).withColumn("__n", F.sum("__s").over(w)).withColumn("__at", F.floor(F.col("__n") * q))
-    hit = sums.where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__s") <= F.col("__at"))).select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__bucket").alias("__b"), (F.col("__upto") - F.col("__s")).alias("__before"), "__at")
+    sums = sums.withColumn(
+        "__upto", F.sum("__s").over(w.orderBy("__bucket"))
+    ).withColumn("__n", F.sum("__s").over(w)).withColumn("__at", F.floor(F.col("__n") * q))
+    hit = sums.where((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__s") <= F.col("__at"))).select(
+        *[F.col(b).alias(f"__{b}") for b in by], F.col("__bucket").alias("__b"), (F.col("__upto") - F.col("__s")).alias("__before"), "__at"
+    )
     condition = F.col("__bucket") == F.col("__b")
     for b in by:
         condition = condition & F.col(b).eqNullSafe(F.col(f"__{b}"))

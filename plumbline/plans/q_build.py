@@ -41,7 +41,9 @@ n_ as (select *, row_number() over (order by doc_id) - 1 as i from f_ where nth
 select {rows_sql("'claims-' || i", 'noul', "to_json({'claim': claim, 'evidence': evidence})", "'Is `claim` supported by `evidence`?'", 'case when label = 0 then 1 else 0 end',
     SIDES.format('the claim is supported by the evidence', 'the claim is contradicted by or unrelated to the evidence'))} from n_ where i < 300""")
 def build_claims(t):
-    source = t("documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("claim"), F.col("source").alias("evidence"), (F.col("doc_id") % 2).alias("label"))
+    source = t("documents").select(
+        F.col("doc_id").alias("ord"), F.col("text").alias("claim"), F.col("source").alias("evidence"), (F.col("doc_id") % 2).alias("label")
+    )
     return shown(builders.build("claims", source, 300))
 
 
@@ -76,7 +78,9 @@ select {rows_sql("'emotions-' || i", 'choice', "to_json({'comment': text})", "'W
 from l_ where i < 150""")
 def build_emotions(t):
     none = F.array().cast("array<bigint>")
-    source = t("documents").select(F.col("doc_id").alias("ord"), "text", F.when(F.col("doc_id") % 4 == 0, none).otherwise(F.array(F.col("doc_id") % 3, F.lit(1))).alias("labels"))
+    source = t("documents").select(
+        F.col("doc_id").alias("ord"), "text", F.when(F.col("doc_id") % 4 == 0, none).otherwise(F.array(F.col("doc_id") % 3, F.lit(1))).alias("labels")
+    )
     return shown(builders.build("emotions", source, 150, names=["joy", "anger", "calm"]))
 
 
@@ -110,7 +114,10 @@ def merged_maps(t):
     return records.read_maps(spark, [f"{folder}/0", f"{folder}/1"]).select("key", F.get_json_object("value", "$").alias("value"))
 
 
-@query("select id, batch_no, received_at from feedback_records where batch_no > 2 union all select id, 0, received_at from feedback_records where batch_no <= 2")
+@query(
+    "select id, batch_no, received_at from feedback_records where batch_no > 2 union all select id, 0, received_at from feedback_records where "
+    "batch_no <= 2"
+)
 def staged_rewrite(t):
     """A table replaced by what was made of it."""
     f = t("feedback_records").select("id", "batch_no", "received_at")
@@ -133,7 +140,9 @@ def sharded_checkpoint(t):
 @query(f"""with {ROWS} select row_id || '.bin' as name, octet_length(encode(state)) as bytes from rows_ where state is not null and primitive = 'score'""")
 def files_once(t):
     """Content under a name, written once: the second and third call add nothing."""
-    r = latest_rows(t).where("state is not null and primitive = 'score'").select(F.concat("row_id", F.lit(".bin")).alias("name"), F.encode("state", "utf-8").alias("content"))
+    r = latest_rows(t).where("state is not null and primitive = 'score'").select(
+        F.concat("row_id", F.lit(".bin")).alias("name"), F.encode("state", "utf-8").alias("content")
+    )
     path = places.fresh_folder(r.sparkSession, "files")
     for part in (r, r, r.where("length(content) > 100")):
         sinks.write_files_once(part, path)
@@ -163,7 +172,9 @@ def verdict_history(t):
     spark = t("region").sparkSession
     path = places.fresh_folder(spark, "verdicts")
     for run, value in (("first", 0.5), ("second", 0.9)):
-        gates = spark.createDataFrame([("acc", value, ">=", 0.8)], "name string, value double, cmp string, bar double").withColumn("passed", F.col("value") >= F.col("bar"))
+        gates = spark.createDataFrame(
+            [("acc", value, ">=", 0.8)], "name string, value double, cmp string, bar double"
+        ).withColumn("passed", F.col("value") >= F.col("bar"))
         kept = sinks.keep_verdict(gates, path, run)
     return kept.select("run", "all_pass", F.when(F.col("run") == "first", 1).otherwise(2).cast("long").alias("nth"))
 

@@ -19,7 +19,10 @@ def teacher_letters(t):
     g = grouped(t).where("qtype = 'choice' and size(keys) between 2 and 26").withColumn("p", prob.softmax(F.col("z"))).withColumn("shown", F.array_sort("keys"))
     p = F.transform("shown", lambda k: F.element_at("p", F.array_position("keys", k).cast("int")))
     g = g.select("row_id", p.alias("p")).select("row_id", F.transform("p", lambda x: x / prob.total(F.col("p"))).alias("p"))
-    return g.select("row_id", F.array_join(F.transform("p", lambda x, i: F.concat(F.char(F.lit(65) + i), F.lit("="), F.format_string("%.4f", x))), ",").alias("letters"))
+    return g.select(
+        "row_id",
+        F.array_join(F.transform("p", lambda x, i: F.concat(F.char(F.lit(65) + i), F.lit("="), F.format_string("%.4f", x))), ",").alias("letters")
+    )
 
 
 @query(f"""with {GROUPED}, a_ as (select *, {softmax_sql('y')} as q, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) as norm from g_ where gold >= 0)
@@ -39,7 +42,9 @@ def rebalanced_sources(t):
     """At most 40 rows of a source, small sources twice."""
     r = latest_rows(t).select("row_id", records.source_name(F.col("row_id")).alias("source_name"))
     cut = ingest.first_n_per_group(r, "source_name", "row_id", 40)
-    return ingest.oversample(cut, F.when(F.col("source_name").isin("zhintent", "fiscore"), 2).otherwise(1)).select("row_id", "source_name", F.col("copy").cast("long").alias("copy"))
+    return ingest.oversample(
+        cut, F.when(F.col("source_name").isin("zhintent", "fiscore"), 2).otherwise(1)
+    ).select("row_id", "source_name", F.col("copy").cast("long").alias("copy"))
 
 
 @query(f"""with {ROWS}, u as (select row_id, 'held' as part, state from rows_ where split = 'val' union all by name select row_id, 'replay' as part, state from rows_ where split = 'train' and {unit_sql("'replay'", 'row_id')} < 0.2)
@@ -50,14 +55,19 @@ def replay_mix(t):
     r = latest_rows(t)
     held = r.where("split = 'val'").withColumn("part", F.lit("held"))
     replay = r.where("split = 'train'").where(hashing.unit(F.lit("replay"), F.col("row_id")) < 0.2).withColumn("part", F.lit("replay"))
-    return held.unionByName(replay).select("row_id", records.source_name(F.col("row_id")).alias("source_name"), "part", hashing.content_hash(F.lit("order"), F.col("row_id")).alias("rank"), F.coalesce(F.length("state"), F.lit(0)).cast("long").alias("chars"))
+    return held.unionByName(replay).select(
+        "row_id", records.source_name(F.col("row_id")).alias("source_name"), "part",
+        hashing.content_hash(F.lit("order"), F.col("row_id")).alias("rank"), F.coalesce(F.length("state"), F.lit(0)).cast("long").alias("chars")
+    )
 
 
 @query("""select item_id, qtype, case qtype when 'noul' then 1 when 'choice' then coalesce(len(options), 0) else 5 end as passes, sha256(concat_ws(chr(31), state_str, instructions)) as request_key from eval_items""")
 def request_passes(t):
     """How many passes a request needs: one, one per option, or one per level."""
     n = F.when(F.col("qtype") == "noul", 1).when(F.col("qtype") == "choice", F.coalesce(F.size("options"), F.lit(0))).otherwise(5)
-    return t("eval_items").select("item_id", "qtype", n.cast("long").alias("passes"), hashing.content_hash(F.col("state_str"), F.col("instructions")).alias("request_key"))
+    return t("eval_items").select(
+        "item_id", "qtype", n.cast("long").alias("passes"), hashing.content_hash(F.col("state_str"), F.col("instructions")).alias("request_key")
+    )
 
 
 @query("""with u as (select item_id, state_str, options, generate_subscripts(options, 1) - 1 as pos from eval_items where qtype = 'choice' and len(options) > 0),
@@ -68,14 +78,21 @@ def mock_answers(t):
     i = t("eval_items").where("qtype = 'choice' and size(options) > 0")
     z = F.transform("options", lambda o: (hashing.unit(F.lit("mock"), F.col("state_str"), o) - 0.5) * 8)
     a = i.select("item_id", "options", prob.softmax(z).alias("p")).withColumn("r", prob.rounded(F.col("p")))
-    return a.select("item_id", F.element_at("options", prob.first_top(F.col("r")) + 1).alias("choice"), F.array_max("r").alias("p"), prob.confidence(F.col("r")).alias("confidence"))
+    return a.select(
+        "item_id", F.element_at("options", prob.first_top(F.col("r")) + 1).alias("choice"), F.array_max("r").alias("p"),
+        prob.confidence(F.col("r")).alias("confidence")
+    )
 
 
 @query("""select item_id, length(coalesce(state_str, '')) // 4 + length(coalesce(instructions, '')) // 4 as input_tokens, 2 * (length(coalesce(gold, '')) // 4 + 10) as output_tokens from eval_items""")
 def committee_usage(t):
     """Input counted once, outputs of both members summed."""
     out = text.estimated_tokens(F.coalesce("gold", F.lit(""))) + 10
-    return t("eval_items").select("item_id", (text.estimated_tokens(F.coalesce("state_str", F.lit(""))) + text.estimated_tokens(F.coalesce("instructions", F.lit("")))).alias("input_tokens"), (out * 2).alias("output_tokens"))
+    return t("eval_items").select(
+        "item_id",
+        (text.estimated_tokens(F.coalesce("state_str", F.lit(""))) + text.estimated_tokens(F.coalesce("instructions", F.lit("")))).alias("input_tokens"),
+        (out * 2).alias("output_tokens")
+    )
 
 
 @query(f"""with {answers_sql()}, x as (select row_id, unnest(list_zip(keys, r)) as kr from r4_ where qtype = 'choice')

@@ -23,10 +23,15 @@ def rows_last_wins(t):
 
 @query(f"select distinct row_id, {VAL.format('row_id')} as is_val, coalesce(split = 'val', false) as stated from row_examples where row_id is not null")
 def split_is_val(t):
-    return t("row_examples").where("row_id is not null").select("row_id", hashing.is_val(F.col("row_id")).alias("is_val"), F.coalesce(F.col("split") == "val", F.lit(False)).alias("stated")).distinct()
+    return t("row_examples").where("row_id is not null").select(
+        "row_id", hashing.is_val(F.col("row_id")).alias("is_val"), F.coalesce(F.col("split") == "val", F.lit(False)).alias("stated")
+    ).distinct()
 
 
-@query(f"with r as (select distinct row_id from row_examples) select {NAME} as source_name, {VAL.format('row_id')} as is_val, count(*) as n from r group by 1, 2")
+@query(
+    f"with r as (select distinct row_id from row_examples) select {NAME} as source_name, {VAL.format('row_id')} as is_val, count(*) as n from r "
+    f"group by 1, 2"
+)
 def split_counts(t):
     r = ingest.split(t("row_examples").select("row_id").distinct())
     return r.groupBy(records.source_name(F.col("row_id")).alias("source_name"), "is_val").agg(F.count("*").alias("n"))
@@ -37,7 +42,10 @@ def distinct_val_rows(t):
     return t("row_examples").where(hashing.is_val(F.col("row_id"))).agg(F.count_distinct("row_id").alias("val_rows"))
 
 
-@query("select count(*) as shared from (select row_id from row_examples where split = 'train' intersect select row_id from row_examples where split in ('val', 'gate'))")
+@query(
+    "select count(*) as shared from (select row_id from row_examples where split = 'train' intersect select row_id from row_examples where "
+    "split in ('val', 'gate'))"
+)
 def splits_disjoint(t):
     r = t("row_examples")
     return r.where("split = 'train'").select("row_id").intersect(r.where("split in ('val', 'gate')").select("row_id")).agg(F.count("*").alias("shared"))
@@ -53,7 +61,10 @@ def prefix_exclusion(t):
     return latest_rows(t).where(~(F.col("row_id").startswith("zh") | F.col("row_id").startswith("policysynth"))).select("row_id")
 
 
-@query(f"with {ROWS}, n as (select row_id, {NAME} as source_name, row_number() over (partition by {NAME} order by row_id) as rn from rows_) select row_id, source_name from n where rn <= 5")
+@query(
+    f"with {ROWS}, n as (select row_id, {NAME} as source_name, row_number() over (partition by {NAME} order by row_id) as rn from rows_) select "
+    f"row_id, source_name from n where rn <= 5"
+)
 def first_n_per_source(t):
     r = latest_rows(t).select("row_id", records.source_name(F.col("row_id")).alias("source_name"))
     return ingest.first_n_per_group(r, "source_name", "row_id", 5)
@@ -93,7 +104,9 @@ def label_remap(t):
 
 @query(f"with {ROWS} select row_id, meta.options[1] as first_option, len(meta.options) as n_options from rows_ where len(meta.options) > 0")
 def first_option(t):
-    return latest_rows(t).where("size(meta.options) > 0").select("row_id", F.element_at("meta.options", 1).alias("first_option"), F.size("meta.options").cast("long").alias("n_options"))
+    return latest_rows(t).where("size(meta.options) > 0").select(
+        "row_id", F.element_at("meta.options", 1).alias("first_option"), F.size("meta.options").cast("long").alias("n_options")
+    )
 
 
 @query("select doc_id, substr(text, 1, 1200) as text, length(text) > 1200 as was_cut from documents where text is not null")
@@ -111,15 +124,23 @@ def union_sources(t):
     return u.groupBy("origin").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(f"with {ROWS} select r.row_id from rows_ r where r.primitive = 'noul' and not exists (select 1 from soft_labels s where s.row_id = r.row_id and s.p is not null)")
+@query(
+    f"with {ROWS} select r.row_id from rows_ r where r.primitive = 'noul' and not exists (select 1 from soft_labels s where s.row_id = r.row_id "
+    f"and s.p is not null)"
+)
 def resume_unlabelled(t):
     rows = latest_rows(t).where("primitive = 'noul'").select("row_id")
     return records.not_yet(rows, t("soft_labels").where("p is not null"), ["row_id"])
 
 
-@query(f"with {ROWS} select row_id, concat_ws(' ', nullif(state, ''), nullif(instructions, ''), nullif(array_to_string(meta.options, ' '), ''), nullif(meta.attribute, '')) as surface from rows_")
+@query(
+    f"with {ROWS} select row_id, concat_ws(' ', nullif(state, ''), nullif(instructions, ''), nullif(array_to_string(meta.options, ' '), ''), "
+    f"nullif(meta.attribute, '')) as surface from rows_"
+)
 def criteria_surface(t):
-    return latest_rows(t).select("row_id", text.surface(F.col("state"), F.col("instructions"), F.array_join("meta.options", " "), F.col("meta.attribute")).alias("surface"))
+    return latest_rows(t).select(
+        "row_id", text.surface(F.col("state"), F.col("instructions"), F.array_join("meta.options", " "), F.col("meta.attribute")).alias("surface")
+    )
 
 
 SOFT = "soft_ as (select * exclude (rn) from (select *, row_number() over (partition by row_id order by scored_at desc) as rn from soft_labels) where rn = 1)"
@@ -134,15 +155,23 @@ def soft_label_join(t):
     return latest_rows(t).where("primitive = 'noul'").select("row_id").join(latest_soft(t).select("row_id", "p", "weight"), "row_id", "left")
 
 
-@query(f"with {ROWS}, o as (select row_id, unnest(meta.options) as key from rows_ where primitive = 'choice') select o.key, d.description, count(*) as n from o left join option_desc d on o.key = d.name group by 1, 2")
+@query(
+    f"with {ROWS}, o as (select row_id, unnest(meta.options) as key from rows_ where primitive = 'choice') select o.key, d.description, count(*) "
+    f"as n from o left join option_desc d on o.key = d.name group by 1, 2"
+)
 def option_descriptions(t):
     o = latest_rows(t).where("primitive = 'choice'").select(F.explode("meta.options").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     return o.join(t("option_desc").withColumnRenamed("name", "key"), "key", "left").select("key", "description", "n")
 
 
-@query(f"with {ROWS} select r.row_id, r.meta.attribute as attribute, len(a.levels) as n_levels from rows_ r join attr_levels a on r.meta.attribute = a.attribute where r.primitive = 'score'")
+@query(
+    f"with {ROWS} select r.row_id, r.meta.attribute as attribute, len(a.levels) as n_levels from rows_ r join attr_levels a on r.meta.attribute "
+    f"= a.attribute where r.primitive = 'score'"
+)
 def attribute_levels(t):
-    return latest_rows(t).where("primitive = 'score'").select("row_id", "meta.attribute").join(t("attr_levels"), "attribute").select("row_id", "attribute", F.size("levels").cast("long").alias("n_levels"))
+    return latest_rows(t).where("primitive = 'score'").select("row_id", "meta.attribute").join(t("attr_levels"), "attribute").select(
+        "row_id", "attribute", F.size("levels").cast("long").alias("n_levels")
+    )
 
 
 KEPT = """case when cast('0x' || substr(sha256(row_id), 1, 8) as bigint) % 10 = 0 or len(options) <= {most} then true
@@ -186,7 +215,10 @@ def expand_pass_texts(t):
     return e.select("row_id", "key", F.sha2("text", 256).alias("text_key"), F.length("text").cast("long").alias("chars"))
 
 
-@query(f"with {EXPAND} select qtype, kind, count(*) as passes, count(distinct row_id) as n_rows, sum(target) as targets from e_ where qtype <> 'noul' group by 1, 2")
+@query(
+    f"with {EXPAND} select qtype, kind, count(*) as passes, count(distinct row_id) as n_rows, sum(target) as targets from e_ where qtype <> "
+    f"'noul' group by 1, 2"
+)
 def option_subset_counts(t):
     e = expand.expand(latest_rows(t), t("option_desc"), t("attr_levels"), latest_soft(t), 4, False).where("qtype <> 'noul'")
     return e.groupBy("qtype", "kind").agg(F.count("*").alias("passes"), F.count_distinct("row_id").alias("n_rows"), F.sum("target").alias("targets"))
@@ -196,10 +228,17 @@ def option_subset_counts(t):
 coalesce(list_position(list(target order by pos, key), 1.0), 0)::bigint - 1 as gold from p_ group by row_id, qtype""")
 def regroup_passes(t):
     g = expand.regroup(latest_passes(t))
-    return g.select("row_id", "qtype", F.array_join(F.transform("keys", lambda k: F.coalesce(k, F.lit(""))), "|").alias("keys"), F.aggregate("target", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("targets"), (F.array_position("target", 1.0) - 1).alias("gold"))
+    return g.select(
+        "row_id", "qtype", F.array_join(F.transform("keys", lambda k: F.coalesce(k, F.lit(""))), "|").alias("keys"),
+        F.aggregate("target", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))).alias("targets"),
+        (F.array_position("target", 1.0) - 1).alias("gold")
+    )
 
 
-@query(f"with {ROWS}, k as (select row_id, case when row_id like 'zh%' then 3 when row_id like 'fiscore%' then 2 else 1 end as k from rows_) select row_id, unnest(generate_series(1, k)) as copy from k")
+@query(
+    f"with {ROWS}, k as (select row_id, case when row_id like 'zh%' then 3 when row_id like 'fiscore%' then 2 else 1 end as k from rows_) select "
+    f"row_id, unnest(generate_series(1, k)) as copy from k"
+)
 def oversample_sources(t):
     k = F.when(F.col("row_id").startswith("zh"), 3).when(F.col("row_id").startswith("fiscore"), 2).otherwise(1)
     return ingest.oversample(latest_rows(t).select("row_id"), k).select("row_id", F.col("copy").cast("long").alias("copy"))
@@ -220,7 +259,9 @@ select coalesce(o.name, d.name) as name, o.name is not null as used, d.name is n
 def key_set_difference(t):
     o = latest_rows(t).where("primitive = 'choice'").select(F.explode("meta.options").alias("name")).distinct().withColumn("u", F.lit(True))
     d = t("option_desc").select("name").distinct().withColumn("d", F.lit(True))
-    return o.join(d, "name", "full").where("u is null or d is null").select("name", F.col("u").isNotNull().alias("used"), F.col("d").isNotNull().alias("described"))
+    return o.join(d, "name", "full").where("u is null or d is null").select(
+        "name", F.col("u").isNotNull().alias("used"), F.col("d").isNotNull().alias("described")
+    )
 
 
 @query("select doc_id, sha256('order-7' || chr(31) || doc_id) as rank from documents")
@@ -231,13 +272,18 @@ def shuffle_by_hash(t):
 @query(f"""with {ROWS} select {NAME} as source_name, primitive, count(*) as n, avg(case when primitive = 'noul' then label end) as positive_rate, avg(strlen(state)) as mean_state_bytes from rows_ group by 1, 2""")
 def summary_counters(t):
     r = latest_rows(t)
-    return r.groupBy(records.source_name(F.col("row_id")).alias("source_name"), "primitive").agg(F.count("*").alias("n"), F.avg(F.when(F.col("primitive") == "noul", F.col("label"))).alias("positive_rate"), F.avg(F.octet_length("state")).alias("mean_state_bytes"))
+    return r.groupBy(records.source_name(F.col("row_id")).alias("source_name"), "primitive").agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("primitive") == "noul", F.col("label"))).alias("positive_rate"),
+        F.avg(F.octet_length("state")).alias("mean_state_bytes")
+    )
 
 
 @query(f"""with {ROWS}, o as (select meta.options[label + 1] as option, row_id from rows_ where primitive = 'choice' and label is not null),
 n as (select *, row_number() over (partition by option order by row_id) as rn from o where option is not null) select option, string_agg(row_id, ',' order by row_id) as examples from n where rn <= 5 group by option""")
 def examples_per_option(t):
-    r = latest_rows(t).where("primitive = 'choice' and label is not null").select(F.get(F.col("meta.options"), F.col("label")).alias("option"), "row_id").where("option is not null")
+    r = latest_rows(t).where("primitive = 'choice' and label is not null").select(
+        F.get(F.col("meta.options"), F.col("label")).alias("option"), "row_id"
+    ).where("option is not null")
     first = ingest.first_n_per_group(r, "option", "row_id", 5)
     return first.groupBy("option").agg(F.array_join(F.sort_array(F.collect_list("row_id")), ",").alias("examples"))
 
@@ -246,7 +292,10 @@ def examples_per_option(t):
 select row_id, k_ok, round(p, 6) as p, round(std, 6) as std, round(least(1.0, greatest(0.25, 1.0 - std)), 6) as weight from s where k_ok > 0""")
 def soft_label_aggregate(t):
     s = t("soft_labels").where("p between 0 and 1").groupBy("row_id").agg(F.count("*").alias("k_ok"), F.avg("p").alias("p"), F.stddev_pop("p").alias("std"))
-    return s.select("row_id", "k_ok", F.round("p", 6).alias("p"), F.round("std", 6).alias("std"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.25), 1.0 - F.col("std"))), 6).alias("weight"))
+    return s.select(
+        "row_id", "k_ok", F.round("p", 6).alias("p"), F.round("std", 6).alias("std"),
+        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.25), 1.0 - F.col("std"))), 6).alias("weight")
+    )
 
 
 @query("""with v as (select vec_id, label, list_sum(list_transform(embedding, lambda x: x::double)) as s from embeddings), n as (select *, row_number() over (partition by label order by s desc, vec_id) as rn from v)

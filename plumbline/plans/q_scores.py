@@ -14,7 +14,10 @@ from .registry import CONFIDENCE, GROUPED, ROUNDED, SCORED, grouped, query, scor
 
 def nouls(t):
     """Held-out style noul predictions: p of the mock score, t the gold label."""
-    return scored(t).where("qtype = 'noul' and gold is not null").select("row_id", records.source_name(F.col("row_id")).alias("source_name"), (F.col("u") * 0.9 + 0.05).alias("p"), F.col("gold").alias("t"), "soft", "weight", "z")
+    return scored(t).where("qtype = 'noul' and gold is not null").select(
+        "row_id", records.source_name(F.col("row_id")).alias("source_name"), (F.col("u") * 0.9 + 0.05).alias("p"), F.col("gold").alias("t"), "soft",
+        "weight", "z"
+    )
 
 
 NOULS = SCORED + ", n_ as (select row_id, regexp_replace(row_id, '-[0-9]+$', '') as source_name, u * 0.9 + 0.05 as p, gold as t, soft, weight, (u - 0.5) * 8 as z from s_ where qtype = 'noul' and gold is not null)"
@@ -50,18 +53,32 @@ select e_.source_name, round(ece, 6) as ece, n, round(acc, 6) as acc from e_ joi
 def subset_metrics(t):
     n = nouls(t)
     acc = n.groupBy("source_name").agg(F.avg(((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double")).alias("acc"))
-    return metrics.ece(n, "p", "t", 15, "source_name").join(acc, "source_name").select("source_name", F.round("ece", 6).alias("ece"), "n", F.round("acc", 6).alias("acc"))
+    return metrics.ece(n, "p", "t", 15, "source_name").join(acc, "source_name").select(
+        "source_name", F.round("ece", 6).alias("ece"), "n", F.round("acc", 6).alias("acc")
+    )
 
 
-@query(f"with {NOULS} select round(avg(power(p - t, 2)), 6) as brier, round(avg(case when (p >= 0.5) = (t >= 0.5) then 1.0 else 0.0 end), 6) as accuracy from n_")
+@query(
+    f"with {NOULS} select round(avg(power(p - t, 2)), 6) as brier, round(avg(case when (p >= 0.5) = (t >= 0.5) then 1.0 else 0.0 end), 6) as "
+    f"accuracy from n_"
+)
 def brier_and_accuracy(t):
-    return nouls(t).agg(F.round(F.avg(F.pow(F.col("p") - F.col("t"), F.lit(2.0))), 6).alias("brier"), F.round(F.avg(((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double")), 6).alias("accuracy"))
+    return nouls(t).agg(
+        F.round(F.avg(F.pow(F.col("p") - F.col("t"), F.lit(2.0))), 6).alias("brier"),
+        F.round(F.avg(((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double")), 6).alias("accuracy")
+    )
 
 
-@query(f"with {NOULS} select row_id, round(case when p >= 0.5 then p else 1 - p end, 6) as conf, (p >= 0.5) = (t >= 0.5) as correct, p >= 0.5 as at_least, p > 0.5 as above from n_")
+@query(
+    f"with {NOULS} select row_id, round(case when p >= 0.5 then p else 1 - p end, 6) as conf, (p >= 0.5) = (t >= 0.5) as correct, p >= 0.5 as "
+    f"at_least, p > 0.5 as above from n_"
+)
 def top_label(t):
     p = F.col("p")
-    return nouls(t).select("row_id", F.round(F.when(p >= 0.5, p).otherwise(1 - p), 6).alias("conf"), ((p >= 0.5) == (F.col("t") >= 0.5)).alias("correct"), (p >= 0.5).alias("at_least"), (p > 0.5).alias("above"))
+    return nouls(t).select(
+        "row_id", F.round(F.when(p >= 0.5, p).otherwise(1 - p), 6).alias("conf"), ((p >= 0.5) == (F.col("t") >= 0.5)).alias("correct"),
+        (p >= 0.5).alias("at_least"), (p > 0.5).alias("above")
+    )
 
 
 @query(f"with {NOULS} select round(avg(abs(p - soft)), 6) as mean_abs_dp, count(*) as n from n_ where soft is not null")
@@ -74,9 +91,14 @@ def weighted_bce(t):
     return nouls(t).agg(F.round(F.avg(F.coalesce("weight", F.lit(1.0)) * prob.bce_with_logits(F.col("z"), F.col("t"))), 6).alias("loss"))
 
 
-@query(f"with {NOULS} select row_id, round(1 / (1 + exp(-z)), 6) as p, round(ln(least(1 - 1e-9, greatest(1e-9, p)) / (1 - least(1 - 1e-9, greatest(1e-9, p)))), 6) as back, round(p, 4) as noul from n_")
+@query(
+    f"with {NOULS} select row_id, round(1 / (1 + exp(-z)), 6) as p, round(ln(least(1 - 1e-9, greatest(1e-9, p)) / (1 - least(1 - 1e-9, "
+    f"greatest(1e-9, p)))), 6) as back, round(p, 4) as noul from n_"
+)
 def noul_answer(t):
-    return nouls(t).select("row_id", F.round(prob.sigmoid(F.col("z")), 6).alias("p"), F.round(prob.logit(F.col("p")), 6).alias("back"), F.round("p", 4).alias("noul"))
+    return nouls(t).select(
+        "row_id", F.round(prob.sigmoid(F.col("z")), 6).alias("p"), F.round(prob.logit(F.col("p")), 6).alias("back"), F.round("p", 4).alias("noul")
+    )
 
 
 def answers(t, temperature: float = 1.0):
@@ -95,28 +117,49 @@ def joined(xs):
 JOINED = "array_to_string(list_transform(r, lambda x: printf('%.4f', x)), ',')"
 
 
-@query(f"with {answers_sql(0.8)} select row_id, {JOINED} as probabilities, keys[list_position(r, list_max(r))] as choice, {CONFIDENCE} as confidence from r4_ where qtype = 'choice'")
+@query(
+    f"with {answers_sql(0.8)} select row_id, {JOINED} as probabilities, keys[list_position(r, list_max(r))] as choice, {CONFIDENCE} as "
+    f"confidence from r4_ where qtype = 'choice'"
+)
 def choice_answer(t):
     a = answers(t, 0.8).where("qtype = 'choice'")
-    return a.select("row_id", joined(F.col("r")).alias("probabilities"), F.element_at("keys", prob.first_top(F.col("r")) + 1).alias("choice"), prob.confidence(F.col("r")).alias("confidence"))
+    return a.select(
+        "row_id", joined(F.col("r")).alias("probabilities"), F.element_at("keys", prob.first_top(F.col("r")) + 1).alias("choice"),
+        prob.confidence(F.col("r")).alias("confidence")
+    )
 
 
-@query(f"with {answers_sql()} select row_id, {JOINED} as probabilities, round(list_sum(list_transform(r, lambda x, i: x * (i - 1))), 4) as score, {CONFIDENCE} as confidence from r4_ where qtype = 'score'")
+@query(
+    f"with {answers_sql()} select row_id, {JOINED} as probabilities, round(list_sum(list_transform(r, lambda x, i: x * (i - 1))), 4) as score, "
+    f"{CONFIDENCE} as confidence from r4_ where qtype = 'score'"
+)
 def score_answer(t):
     a = answers(t).where("qtype = 'score'")
-    return a.select("row_id", joined(F.col("r")).alias("probabilities"), F.round(prob.expectation(F.col("r")), 4).alias("score"), prob.confidence(F.col("r")).alias("confidence"))
+    return a.select(
+        "row_id", joined(F.col("r")).alias("probabilities"), F.round(prob.expectation(F.col("r")), 4).alias("score"),
+        prob.confidence(F.col("r")).alias("confidence")
+    )
 
 
-@query(f"with {answers_sql()} select qtype, count(*) as n, max(abs(list_sum(list_transform(r, lambda x: x::decimal(10, 4))) - 1))::double as off from r4_ group by 1")
+@query(
+    f"with {answers_sql()} select qtype, count(*) as n, max(abs(list_sum(list_transform(r, lambda x: x::decimal(10, 4))) - 1))::double as off "
+    f"from r4_ group by 1"
+)
 def exact_sum(t):
-    a = answers(t).select("qtype", F.aggregate(F.transform("r", lambda x: x.cast("decimal(10,4)")), F.lit(0).cast("decimal(20,4)"), lambda s, x: (s + x).cast("decimal(20,4)")).alias("s"))
+    a = answers(t).select(
+        "qtype",
+        F.aggregate(F.transform("r", lambda x: x.cast("decimal(10,4)")), F.lit(0).cast("decimal(20,4)"), lambda s, x: (s + x).cast("decimal(20,4)")).alias("s")
+    )
     return a.groupBy("qtype").agg(F.count("*").alias("n"), F.max(F.abs(F.col("s") - 1).cast("double")).alias("off"))
 
 
 SQL_BLEND = "list_transform(list_zip(z, y), lambda x: x[1] * 0.6 + (x[2] + 0.25) / 2.0 * 0.4)"
 
 
-@query(f"with {GROUPED}, c_ as (select row_id, qtype, gold, {SQL_BLEND} as b from g_), a_ as (select *, {softmax_sql('b')} as p from c_) select row_id, qtype, list_position(p, list_max(p)) - 1 as top, round(list_max(p), 6) as p from a_")
+@query(
+    f"with {GROUPED}, c_ as (select row_id, qtype, gold, {SQL_BLEND} as b from g_), a_ as (select *, {softmax_sql('b')} as p from c_) select "
+    f"row_id, qtype, list_position(p, list_max(p)) - 1 as top, round(list_max(p), 6) as p from a_"
+)
 def blend_readout(t):
     g = grouped(t).withColumn("p", prob.softmax(prob.blend(F.col("z"), F.col("y"), 0.6, 2.0, 0.25)))
     return g.select("row_id", "qtype", prob.first_top(F.col("p")).alias("top"), F.round(F.array_max("p"), 6).alias("p"))
@@ -133,28 +176,44 @@ def merged(t):
 @query(f"with {MERGED} select row_id, qtype, {JOINED} as probabilities, keys[list_position(r, list_max(r))] as choice, {CONFIDENCE} as confidence from r4_")
 def committee_merge(t):
     m = merged(t)
-    return m.select("row_id", "qtype", joined(F.col("r")).alias("probabilities"), F.element_at("keys", prob.first_top(F.col("r")) + 1).alias("choice"), prob.confidence(F.col("r")).alias("confidence"))
+    return m.select(
+        "row_id", "qtype", joined(F.col("r")).alias("probabilities"), F.element_at("keys", prob.first_top(F.col("r")) + 1).alias("choice"),
+        prob.confidence(F.col("r")).alias("confidence")
+    )
 
 
-@query(f"with {MERGED} select qtype, round(avg(list_sum(list_transform(list_zip(pa, pb), lambda x: abs(x[1] - x[2]))) / 2), 6) as tv, round(avg(case when list_position(pa, list_max(pa)) = list_position(pb, list_max(pb)) then 1.0 else 0.0 end), 6) as agreement from r4_ group by 1")
+@query(
+    f"with {MERGED} select qtype, round(avg(list_sum(list_transform(list_zip(pa, pb), lambda x: abs(x[1] - x[2]))) / 2), 6) as tv, "
+    f"round(avg(case when list_position(pa, list_max(pa)) = list_position(pb, list_max(pb)) then 1.0 else 0.0 end), 6) as agreement from r4_ "
+    f"group by 1"
+)
 def tv_distance_and_agreement(t):
     m = merged(t)
     same = (prob.first_top(F.col("pa")) == prob.first_top(F.col("pb"))).cast("double")
     return m.groupBy("qtype").agg(F.round(F.avg(prob.distance_tv(F.col("pa"), F.col("pb"))), 6).alias("tv"), F.round(F.avg(same), 6).alias("agreement"))
 
 
-@query(f"with {answers_sql()} select qtype, round(avg(case when list_position(z, list_max(z)) - 1 = gold then 1.0 else 0.0 end), 6) as acc, count(*) as n from r4_ where gold >= 0 group by 1")
+@query(
+    f"with {answers_sql()} select qtype, round(avg(case when list_position(z, list_max(z)) - 1 = gold then 1.0 else 0.0 end), 6) as acc, "
+    f"count(*) as n from r4_ where gold >= 0 group by 1"
+)
 def top1_accuracy(t):
     a = grouped(t).where("gold >= 0")
     return a.groupBy("qtype").agg(F.round(F.avg((prob.first_top(F.col("z")) == F.col("gold")).cast("double")), 6).alias("acc"), F.count("*").alias("n"))
 
 
-@query(f"with {answers_sql()} select round(avg(abs(list_sum(list_transform(p, lambda x, i: x * (i - 1))) - gold)), 6) as mae from r4_ where qtype = 'score' and gold >= 0")
+@query(
+    f"with {answers_sql()} select round(avg(abs(list_sum(list_transform(p, lambda x, i: x * (i - 1))) - gold)), 6) as mae from r4_ where qtype = "
+    f"'score' and gold >= 0"
+)
 def expectation_mae(t):
     return answers(t).where("qtype = 'score' and gold >= 0").agg(F.round(F.avg(F.abs(prob.expectation(F.col("p")) - F.col("gold"))), 6).alias("mae"))
 
 
-@query(f"with {answers_sql()} select qtype, round(avg(list_sum(list_transform(p, lambda x, i: power(x - case when i - 1 = gold then 1.0 else 0.0 end, 2)))), 6) as brier from r4_ where gold >= 0 group by 1")
+@query(
+    f"with {answers_sql()} select qtype, round(avg(list_sum(list_transform(p, lambda x, i: power(x - case when i - 1 = gold then 1.0 else 0.0 "
+    f"end, 2)))), 6) as brier from r4_ where gold >= 0 group by 1"
+)
 def brier_multiclass(t):
     return answers(t).where("gold >= 0").groupBy("qtype").agg(F.round(F.avg(prob.brier_multi(F.col("p"), F.col("gold"))), 6).alias("brier"))
 
@@ -170,15 +229,28 @@ CELLS = f"""{GROUPED}, u_ as (select regexp_replace(row_id, '-[0-9]+$', '') as f
 union all select regexp_replace(row_id, '-[0-9]+$', ''), 'noul', case when (u * 0.9 + 0.05 >= 0.5) = (gold >= 0.5) then 1.0 else 0.0 end from s_ where qtype = 'noul' and gold is not null)"""
 
 
-@query(f"with {CELLS} select family, qtype, grouping(family)::int as over_families, grouping(qtype)::int as over_types, count(*) as n, round(avg(ok), 6) as acc from u_ group by grouping sets ((family, qtype), (family), ())")
+@query(
+    f"with {CELLS} select family, qtype, grouping(family)::int as over_families, grouping(qtype)::int as over_types, count(*) as n, "
+    f"round(avg(ok), 6) as acc from u_ group by grouping sets ((family, qtype), (family), ())"
+)
 def metrics_grouping_sets(t):
-    g = grouped(t).where("gold >= 0").select(records.source_name(F.col("row_id")).alias("family"), "qtype", (prob.first_top(F.col("z")) == F.col("gold")).cast("double").alias("ok"))
-    n = nouls(t).select(F.col("source_name").alias("family"), F.lit("noul").alias("qtype"), ((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double").alias("ok"))
+    g = grouped(t).where("gold >= 0").select(
+        records.source_name(F.col("row_id")).alias("family"), "qtype", (prob.first_top(F.col("z")) == F.col("gold")).cast("double").alias("ok")
+    )
+    n = nouls(t).select(
+        F.col("source_name").alias("family"), F.lit("noul").alias("qtype"), ((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double").alias("ok")
+    )
     u = g.unionByName(n)
-    return u.groupingSets([("family", "qtype"), ("family",), ()], "family", "qtype").agg(F.grouping("family").cast("int").alias("over_families"), F.grouping("qtype").cast("int").alias("over_types"), F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("acc"))
+    return u.groupingSets([("family", "qtype"), ("family",), ()], "family", "qtype").agg(
+        F.grouping("family").cast("int").alias("over_families"), F.grouping("qtype").cast("int").alias("over_types"), F.count("*").alias("n"),
+        F.round(F.avg("ok"), 6).alias("acc")
+    )
 
 
-@query(f"with {CELLS}, c as (select qtype, avg(ok) as acc, count(*) as n from u_ group by 1) select round(sum(acc * n) / sum(n), 6) as pooled, sum(n)::bigint as n from c")
+@query(
+    f"with {CELLS}, c as (select qtype, avg(ok) as acc, count(*) as n from u_ group by 1) select round(sum(acc * n) / sum(n), 6) as pooled, "
+    f"sum(n)::bigint as n from c"
+)
 def pooled_accuracy(t):
     """Over rows, not passes, of all primitives."""
     g = grouped(t).where("gold >= 0").select("qtype", (prob.first_top(F.col("z")) == F.col("gold")).cast("double").alias("ok"))
@@ -196,7 +268,11 @@ def latency_percentiles(t):
     return a.join(b, "event_type")
 
 
-@query(f"with {NOULS}, c as (select unnest([0.5, 1.0, 1.5, 2.0, 3.0]) as tau), b as (select tau, least(14, floor(1 / (1 + exp(-z / tau)) * 15))::int as bin, avg(1 / (1 + exp(-z / tau))) as conf, avg(t) as freq, count(*) as n from n_, c group by 1, 2) select tau::double as tau, round(sum(n * abs(conf - freq)) / sum(n), 6) as ece from b group by 1")
+@query(
+    f"with {NOULS}, c as (select unnest([0.5, 1.0, 1.5, 2.0, 3.0]) as tau), b as (select tau, least(14, floor(1 / (1 + exp(-z / tau)) * "
+    f"15))::int as bin, avg(1 / (1 + exp(-z / tau))) as conf, avg(t) as freq, count(*) as n from n_, c group by 1, 2) select tau::double as tau, "
+    f"round(sum(n * abs(conf - freq)) / sum(n), 6) as ece from b group by 1"
+)
 def temperature_landscape(t):
     return search.ece_by_temperature(nouls(t).select("z", "t"), [0.5, 1.0, 1.5, 2.0, 3.0], 15).select("tau", F.round("ece", 6).alias("ece"))
 
@@ -231,7 +307,9 @@ def gate_verdict(t):
     n = nouls(t)
     a = metrics.ece(n, "p", "t", 10).select(F.lit("noul_ece").alias("name"), F.col("ece").alias("value"))
     b = n.agg(F.avg(((F.col("p") >= 0.5) == (F.col("t") >= 0.5)).cast("double")).alias("value")).select(F.lit("noul_acc").alias("name"), "value")
-    gates = n.sparkSession.createDataFrame([("noul_ece", "<=", 0.10), ("noul_acc", ">=", 0.45), ("image_acc", ">=", 0.90)], "name string, cmp string, bar double")
+    gates = n.sparkSession.createDataFrame(
+        [("noul_ece", "<=", 0.10), ("noul_acc", ">=", 0.45), ("image_acc", ">=", 0.90)], "name string, cmp string, bar double"
+    )
     return metrics.verdicts(a.unionByName(b), gates).select("name", "cmp", "bar", F.round("value", 6).alias("value"), "passed")
 
 
@@ -239,7 +317,9 @@ def gate_verdict(t):
 select event_type, day, round(acc, 6) as acc, round(best, 6) as best, best - acc > 5.0 as abort from b""")
 def abort_rule(t):
     d = t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("acc"))
-    return metrics.running_drop(d, "event_type", "day", "acc", 5.0).select("event_type", "day", F.round("acc", 6).alias("acc"), F.round("best", 6).alias("best"), "abort")
+    return metrics.running_drop(d, "event_type", "day", "acc", 5.0).select(
+        "event_type", "day", F.round("acc", 6).alias("acc"), F.round("best", 6).alias("best"), "abort"
+    )
 
 
 @query("""with s as (select unnest(generate_series(0, 99)) as step) select step, round(case when step < 10 then (step + 1) / 10.0 else 0.05 + 0.95 * 0.5 * (1 + cos(pi() * (step - 10) / 90.0)) end, 6) as lr from s""")
@@ -248,7 +328,11 @@ def learning_rates(t):
     return s.select("step", F.round(search.learning_rate(F.col("step"), 10, 100), 6).alias("lr"))
 
 
-@query(f"with {GROUPED}, x as (select row_id, qtype, unnest(list_zip(keys, z)) as kz from g_), n as (select row_id, qtype, kz[1] as key, kz[2] as z, row_number() over (partition by row_id, qtype order by kz[2] desc) as rn from x) select row_id, qtype, key, rn as place from n where rn <= 3")
+@query(
+    f"with {GROUPED}, x as (select row_id, qtype, unnest(list_zip(keys, z)) as kz from g_), n as (select row_id, qtype, kz[1] as key, kz[2] as "
+    f"z, row_number() over (partition by row_id, qtype order by kz[2] desc) as rn from x) select row_id, qtype, key, rn as place from n where rn "
+    f"<= 3"
+)
 def top3_options(t):
     g = grouped(t).select("row_id", "qtype", F.explode(F.arrays_zip("keys", "z")).alias("x"))
     w = Window.partitionBy("row_id", "qtype").orderBy(F.desc("x.z"))

@@ -108,7 +108,9 @@ def family_report(t):
         (F.grouping("tier") * 2 + F.grouping("qtype")).cast("long").alias("grain"), F.avg("conf").alias("c"), F.avg("ok").alias("f"), F.count("*").alias("n")
     )
     return b.groupBy("tier", "qtype", "grain").agg(
-        F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("f")) / F.sum("n"), 6).alias("acc"), F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("f"))) / F.sum("n"), 6).alias("ece")
+        F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("f")) / F.sum("n"), 6).alias("acc"), F.round(
+            F.sum(F.col("n") * F.abs(F.col("c") - F.col("f"))) / F.sum("n"), 6
+        ).alias("ece")
     )
 
 
@@ -189,22 +191,38 @@ x_ as (select *, round(case when least(intel, 100 * (1 - 2 * ece)) > 0 then pow(
   end, 6) as score from i_)"""
 
 
-@query(f"with {SWEPT} select w, tau, b, score, round(intel, 6) as intel, round(ece, 6) as ece from x_ order by score desc nulls last, round(intel, 6) desc, round(ece, 6) desc, w desc, tau desc, b desc limit 8")
+@query(
+    f"with {SWEPT} select w, tau, b, score, round(intel, 6) as intel, round(ece, 6) as ece from x_ order by score desc nulls last, round(intel, "
+    f"6) desc, round(ece, 6) desc, w desc, tau desc, b desc limit 8"
+)
 def landscape_top8(t):
     """392 blends by the composite they give, speed and cost being fixed; the tuple orders from the score down."""
-    n = nouls(t).withColumn("y", F.log(F.col("p") / (1 - F.col("p")))).withColumn("tier", F.element_at(F.array(*map(F.lit, metrics.CHANCE)), F.length("row_id") % 3 + 1))
+    n = nouls(t).withColumn("y", F.log(F.col("p") / (1 - F.col("p")))).withColumn(
+        "tier", F.element_at(F.array(*map(F.lit, metrics.CHANCE)), F.length("row_id") % 3 + 1)
+    )
     w, tau, b = search.candidates(*SWEEP)
     q = prob.sigmoid(F.col("z") * w + (F.col("y") + b) / tau * (1 - w))
     each = search.each_candidate(n, *SWEEP).withColumn("q", q)
     each = each.select("i", "tier", F.greatest("q", 1 - F.col("q")).alias("conf"), ((F.col("q") >= 0.5) == (F.col("t") >= 0.5)).cast("double").alias("ok"))
-    bins = each.groupBy("i", "tier", metrics.bin_of(F.col("conf"), 10).alias("bin")).agg(F.sum("conf").alias("c"), F.sum("ok").alias("f"), F.count("*").alias("n"))
-    whole = bins.groupBy("i", "bin").agg(F.sum("c").alias("c"), F.sum("f").alias("f"), F.sum("n").alias("n"), *[F.sum(F.when(F.col("tier") == k, F.col("f"))).alias(f"f_{k}") for k in metrics.CHANCE], *[F.sum(F.when(F.col("tier") == k, F.col("n"))).alias(f"n_{k}") for k in metrics.CHANCE])
+    bins = each.groupBy("i", "tier", metrics.bin_of(F.col("conf"), 10).alias("bin")).agg(
+        F.sum("conf").alias("c"), F.sum("ok").alias("f"), F.count("*").alias("n")
+    )
+    whole = bins.groupBy("i", "bin").agg(
+        F.sum("c").alias("c"), F.sum("f").alias("f"), F.sum("n").alias("n"),
+        *[F.sum(F.when(F.col("tier") == k, F.col("f"))).alias(f"f_{k}") for k in metrics.CHANCE],
+        *[F.sum(F.when(F.col("tier") == k, F.col("n"))).alias(f"n_{k}") for k in metrics.CHANCE]
+    )
     acc = [F.coalesce(F.sum(f"f_{k}") / F.sum(f"n_{k}"), F.lit(0.0)).alias(k) for k in metrics.CHANCE]
     x = whole.groupBy("i").agg((F.sum(F.abs(F.col("c") - F.col("f"))) / F.sum("n")).alias("ece"), *acc)
-    intel = sum((100 * (F.col(k) - metrics.CHANCE[k]) / (1 - metrics.CHANCE[k]) * f for k, f in metrics.TIER_WEIGHT.items()), F.lit(0.0)) / sum(metrics.TIER_WEIGHT.values())
+    intel = sum(
+        (100 * (F.col(k) - metrics.CHANCE[k]) / (1 - metrics.CHANCE[k]) * f for k, f in metrics.TIER_WEIGHT.items()), F.lit(0.0)
+    ) / sum(metrics.TIER_WEIGHT.values())
     x = x.withColumn("intel", intel).withColumn("calibration", 100 * (1 - 2 * F.col("ece")))
     score = F.pow(F.col("intel") * F.col("calibration") * 70.0 * 40.0, F.lit(0.25)) * F.least(F.lit(1.0), F.pow(F.col("intel") / 50, F.lit(2.0)))
-    x = x.select(w.alias("w"), tau.alias("tau"), b.alias("b"), F.round(F.when(F.least("intel", "calibration") > 0, score), 6).alias("score"), F.round("intel", 6).alias("intel"), F.round("ece", 6).alias("ece"))
+    x = x.select(
+        w.alias("w"), tau.alias("tau"), b.alias("b"), F.round(F.when(F.least("intel", "calibration") > 0, score), 6).alias("score"),
+        F.round("intel", 6).alias("intel"), F.round("ece", 6).alias("ece")
+    )
     return x.orderBy(*[F.desc(c) for c in ("score", "intel", "ece", "w", "tau", "b")]).limit(8)
 
 
@@ -216,7 +234,10 @@ d{k}_ as (select i, low, high, round(sum(n * abs(conf - freq)) / sum(n), 12) as
 r{k}_ as (select ece, low + i * (high - low) / 32 as mid, greatest(low, low + (i - 1) * (high - low) / 32) as lo, least(high, low + (i + 1) * (high - low) / 32) as hi from d{k}_)"""
 
 
-@query(f"with {NOULS}, {_round_sql(1, 'ln(0.05)', 'ln(8.0)', '')}, {_round_sql(2, 'lo', 'hi', 'r1_,')}, {_round_sql(3, 'lo', 'hi', 'r2_,')} select round(exp(mid), 4) as temperature, round(ece, 6) as ece from r3_")
+@query(
+    f"with {NOULS}, {_round_sql(1, 'ln(0.05)', 'ln(8.0)', '')}, {_round_sql(2, 'lo', 'hi', 'r1_,')}, {_round_sql(3, 'lo', 'hi', 'r2_,')} select "
+    f"round(exp(mid), 4) as temperature, round(ece, 6) as ece from r3_"
+)
 def temperature_fit(t):
     """The temperature of least calibration error, in three scans of 33 points each."""
     return search.fit_temperature(nouls(t).select("z", "t"))
@@ -245,16 +266,25 @@ def fidelity_gates(t):
     mark = lambda c: records.source_name(F.col(c)).alias("src")
     none = F.lit(None).cast("double")
     n = scored(t).where("qtype = 'noul' and soft is not null and gold is not null").withColumn("p", F.col("u") * 0.9 + 0.05)
-    n = n.select(mark("row_id"), F.greatest("p", 1 - F.col("p")).alias("conf"), ((F.col("p") > 0.5) == (F.col("soft") > 0.5)).alias("agree"), ((F.col("p") > 0.5) == (F.col("gold") >= 0.5)).alias("right"), F.abs(F.col("p") - F.col("soft")).alias("dp"), none.alias("tv"))
+    n = n.select(
+        mark("row_id"), F.greatest("p", 1 - F.col("p")).alias("conf"), ((F.col("p") > 0.5) == (F.col("soft") > 0.5)).alias("agree"),
+        ((F.col("p") > 0.5) == (F.col("gold") >= 0.5)).alias("right"), F.abs(F.col("p") - F.col("soft")).alias("dp"), none.alias("tv")
+    )
     g = grouped(t).where("gold >= 0").withColumn("pa", prob.softmax(F.col("z"))).withColumn("pb", prob.softmax(F.col("y")))
     top = prob.first_top(F.col("pa"))
-    g = g.select(mark("row_id"), F.array_max("pa").alias("conf"), (top == prob.first_top(F.col("pb"))).alias("agree"), (top == F.col("gold")).alias("right"), none.alias("dp"), prob.distance_tv(F.col("pa"), F.col("pb")).alias("tv"))
+    g = g.select(
+        mark("row_id"), F.array_max("pa").alias("conf"), (top == prob.first_top(F.col("pb"))).alias("agree"), (top == F.col("gold")).alias("right"),
+        none.alias("dp"), prob.distance_tv(F.col("pa"), F.col("pb")).alias("tv")
+    )
     u = n.unionByName(g).withColumn("ok", F.col("agree").cast("double"))
     r = lambda c: F.round(F.avg(c), 4)
     by = u.groupBy("src").agg(r("ok").alias("agreement"), r("dp").alias("dp"), r("tv").alias("tv"), r(F.col("right").cast("double")).alias("acc"))
     every = lambda c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(True))), F.lit(True))
     floor = lambda src, bar: F.coalesce(F.max(F.when(F.col("src") == src, F.col("acc"))) >= bar, F.lit(True))
-    one = by.agg(every(F.col("agreement") >= 0.9).alias("agreement_all"), every(F.col("dp") <= 0.1).alias("dp_noul_all"), every(F.col("tv") <= 0.15).alias("tv_all"), floor("nlipair", 0.8).alias("nli_floor"), floor("policysynth", 0.85).alias("synth_floor"))
+    one = by.agg(
+        every(F.col("agreement") >= 0.9).alias("agreement_all"), every(F.col("dp") <= 0.1).alias("dp_noul_all"),
+        every(F.col("tv") <= 0.15).alias("tv_all"), floor("nlipair", 0.8).alias("nli_floor"), floor("policysynth", 0.85).alias("synth_floor")
+    )
     ece = metrics.ece(u, "conf", "ok", 10).select(F.coalesce(F.round("ece", 4) <= 0.1, F.lit(True)).alias("ece"))
     errors = t("eval_items").agg((F.count(F.when(F.col("gold").isNull(), 1)) == 0).alias("no_errors"))
     names = ["no_errors", "agreement_all", "dp_noul_all", "tv_all", "nli_floor", "synth_floor", "ece"]

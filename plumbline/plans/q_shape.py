@@ -52,12 +52,19 @@ def committee_pairing(t):
     g = grouped(t)
     a = g.select("row_id", "qtype", F.posexplode(F.arrays_zip("keys", prob.softmax(F.col("z")).alias("p"))).alias("pos", "x"))
     a = a.select("row_id", "qtype", "pos", F.col("x.keys").alias("key"), F.col("x.p").alias("p"))
-    b = g.select("row_id", F.explode(F.arrays_zip(F.reverse("keys").alias("keys"), F.reverse(prob.softmax(F.col("y"))).alias("q"))).alias("x")).select("row_id", "x.*").withColumnRenamed("keys", "key")
-    m = a.join(b, ["row_id", "key"]).groupBy("row_id", "qtype").agg(F.sort_array(F.collect_list(F.struct("pos", "key", ((F.col("p") + F.col("q")) / 2).alias("m")))).alias("x"))
+    b = g.select(
+        "row_id", F.explode(F.arrays_zip(F.reverse("keys").alias("keys"), F.reverse(prob.softmax(F.col("y"))).alias("q"))).alias("x")
+    ).select("row_id", "x.*").withColumnRenamed("keys", "key")
+    m = a.join(b, ["row_id", "key"]).groupBy("row_id", "qtype").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "key", ((F.col("p") + F.col("q")) / 2).alias("m")))).alias("x")
+    )
     m = m.select("row_id", "qtype", F.col("x.key").alias("keys"), prob.rounded(F.col("x.m")).alias("r"))
     score = F.when(F.col("qtype") == "score", F.round(prob.expectation(F.col("r")), 4))
     choice = F.element_at("keys", prob.first_top(F.col("r")) + 1)
-    return m.select("row_id", "qtype", joined(F.col("r")).alias("probabilities"), choice.alias("choice"), score.alias("score"), prob.confidence(F.col("r")).alias("confidence"))
+    return m.select(
+        "row_id", "qtype", joined(F.col("r")).alias("probabilities"), choice.alias("choice"), score.alias("score"),
+        prob.confidence(F.col("r")).alias("confidence")
+    )
 
 
 @query(f"""with {SCORED}, a_ as (select row_id, u * 0.9 + 0.05 as p, v * 0.9 + 0.05 as q from s_ where qtype = 'noul') select row_id, round((p + q) / 2, 4) as noul from a_""")
@@ -67,7 +74,10 @@ def committee_noul(t):
     return s.select("row_id", F.round(((F.col("u") * 0.9 + 0.05) + (F.col("v") * 0.9 + 0.05)) / 2, 4).alias("noul"))
 
 
-@query(f"with {ROWS} select primitive, count(*) as n, count(*) filter (where a.levels is null) as missing from rows_ r left join attr_levels a on r.meta.attribute = a.attribute where primitive = 'score' group by 1")
+@query(
+    f"with {ROWS} select primitive, count(*) as n, count(*) filter (where a.levels is null) as missing from rows_ r left join attr_levels a on "
+    f"r.meta.attribute = a.attribute where primitive = 'score' group by 1"
+)
 def attributes_missing(t):
     """Score rows whose attribute has no levels; expand.matched refuses such rows."""
     a = t("attr_levels").select("attribute", F.lit(True).alias("there"))
@@ -79,7 +89,9 @@ def attributes_missing(t):
 from s_ where qtype <> 'noul' window w as (partition by row_id, kind)""")
 def group_softmax(t):
     """The softmax over a row's passes without gathering them."""
-    s = scored(t).where("qtype <> 'noul'").withColumn("top", F.max("z").over(Window.partitionBy("row_id", "kind"))).withColumn("e", F.exp(F.col("z") - F.col("top")))
+    s = scored(t).where("qtype <> 'noul'").withColumn(
+        "top", F.max("z").over(Window.partitionBy("row_id", "kind"))
+    ).withColumn("e", F.exp(F.col("z") - F.col("top")))
     return s.select("row_id", "kind", "key", F.round(F.col("e") / F.sum("e").over(Window.partitionBy("row_id", "kind")), 6).alias("p"))
 
 
@@ -108,10 +120,15 @@ c_ as (select row_id, state, instructions, list(options[pos + 1] order by pos) a
   where len(options) <= 4 or pos = label or rank <= 3 group by row_id, state, instructions, label)"""
 
 
-@query(f"with {ROWS}, {SUBSET} select row_id, array_to_string(kept, '|') as options, list_position(kept, options[label + 1])::int - 1 as gold, n as had from c_")
+@query(
+    f"with {ROWS}, {SUBSET} select row_id, array_to_string(kept, '|') as options, list_position(kept, options[label + 1])::int - 1 as gold, n as "
+    f"had from c_"
+)
 def seeded_subset(t):
     """Gold and three others chosen by a hash, in their order, with the place of gold among them."""
-    r = latest_rows(t).where("primitive = 'choice' and size(meta.options) > 0 and label is not null").select("row_id", "label", F.col("meta.options").alias("o"))
+    r = latest_rows(t).where(
+        "primitive = 'choice' and size(meta.options) > 0 and label is not null"
+    ).select("row_id", "label", F.col("meta.options").alias("o"))
     s = r.select("row_id", expand.seeded_subset(F.col("row_id"), F.col("o"), F.col("label"), 4, "teach").alias("s"), F.size("o").cast("long").alias("had"))
     return s.select("row_id", F.array_join("s.options", "|").alias("options"), "s.gold", "had")
 
@@ -154,7 +171,10 @@ def decision_messages(t):
     """The message for each item's question, as a runner renders it."""
     i = item_candidates(t).where("c is not null")
     schema = F.concat(F.lit("["), messages.field(F.col("item_id"), F.col("instructions"), F.col("c")), F.lit("]"))
-    return i.select("item_id", F.sha2(messages.message(F.col("state_str"), F.col("item_id"), schema), 256).alias("message"), F.size("c").cast("long").alias("candidates"))
+    return i.select(
+        "item_id", F.sha2(messages.message(F.col("state_str"), F.col("item_id"), schema), 256).alias("message"),
+        F.size("c").cast("long").alias("candidates")
+    )
 
 
 @query(f"""with {CANDIDATES} select item_id, qtype as kind, case when qtype = 'noul' then gold::int when qtype = 'score' then case when gold::int < 3 then gold::int end
@@ -175,7 +195,9 @@ def lettered_prompts(t):
     """Prompts with lettered options and the token that answers them."""
     r = latest_rows(t).where("primitive in ('noul', 'choice') and label is not null")
     prompt = messages.lettered_prompt(F.col("state"), F.col("primitive"), F.col("instructions"), F.col("criteria"), F.col("meta.options"))
-    return r.select("row_id", F.sha2(prompt, 256).alias("prompt"), messages.answer_token(F.col("primitive"), F.col("label")).alias("answer")).where("prompt is not null")
+    return r.select(
+        "row_id", F.sha2(prompt, 256).alias("prompt"), messages.answer_token(F.col("primitive"), F.col("label")).alias("answer")
+    ).where("prompt is not null")
 
 
 @query("""select id, case when substr(ltrim(state), 1, 1) in ('{', '[') and json_valid(state) then json(state)::varchar else state end as packed from feedback_records where state is not null""")
@@ -190,8 +212,12 @@ select primitive, q_.name, case primitive when 'choice' then d.description end a
 def wire_questions(t):
     """Rows as the questions a client would send: the parts of their criteria with their meanings."""
     r = latest_rows(t).join(t("attr_levels").select("attribute", "levels"), F.col("meta.attribute") == F.col("attribute"), "left")
-    parts = F.when(F.col("primitive") == "choice", F.col("meta.options")).when(F.col("primitive") == "score", F.col("levels")).otherwise(F.array(F.lit(None).cast("string")))
-    q = r.select("primitive", "criteria", F.explode(parts).alias("name")).groupBy("primitive", "name").agg(F.count("*").alias("n"), F.count("criteria").alias("with_criteria"))
+    parts = F.when(
+        F.col("primitive") == "choice", F.col("meta.options")
+    ).when(F.col("primitive") == "score", F.col("levels")).otherwise(F.array(F.lit(None).cast("string")))
+    q = r.select("primitive", "criteria", F.explode(parts).alias("name")).groupBy("primitive", "name").agg(
+        F.count("*").alias("n"), F.count("criteria").alias("with_criteria")
+    )
     q = q.join(t("option_desc").select("name", "description"), "name", "left")
     return q.select("primitive", "name", F.when(F.col("primitive") == "choice", F.col("description")).alias("meaning"), "n", "with_criteria")
 
@@ -207,12 +233,20 @@ ASKED = """q_ as (select item_id, 'noul' as kind, null::varchar as key, 0 as pos
 def asked(t):
     """Questions as passes: item_id, kind, key, pos, text."""
     i, (s, q) = t("eval_items"), (F.col("state_str"), F.col("instructions"))
-    noul = i.where("qtype = 'noul'").select("item_id", F.lit("noul").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"), text.noul_pass(s, q, F.lit(None).cast("string")).alias("text"))
+    noul = i.where("qtype = 'noul'").select(
+        "item_id", F.lit("noul").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("pos"),
+        text.noul_pass(s, q, F.lit(None).cast("string")).alias("text")
+    )
     c = i.where("qtype = 'choice'").select("item_id", "state_str", "instructions", F.posexplode("options").alias("pos", "key"))
     c = c.join(t("option_desc").select(F.col("name").alias("key"), "description"), "key", "left")
     choice = c.select("item_id", F.lit("choice_opt").alias("kind"), "key", "pos", text.option_pass(s, q, F.col("key"), F.col("description")).alias("text"))
-    v = i.where("qtype = 'score'").select("item_id", "state_str", "instructions", F.posexplode(F.array(*map(F.lit, ("low", "middling", "high")))).alias("pos", "level"))
-    score = v.select("item_id", F.lit("score_lvl").alias("kind"), F.col("pos").cast("string").alias("key"), "pos", text.level_pass(s, q, F.col("pos"), F.lit(3), F.col("level")).alias("text"))
+    v = i.where("qtype = 'score'").select(
+        "item_id", "state_str", "instructions", F.posexplode(F.array(*map(F.lit, ("low", "middling", "high")))).alias("pos", "level")
+    )
+    score = v.select(
+        "item_id", F.lit("score_lvl").alias("kind"), F.col("pos").cast("string").alias("key"), "pos",
+        text.level_pass(s, q, F.col("pos"), F.lit(3), F.col("level")).alias("text")
+    )
     return noul.unionByName(choice).unionByName(score)
 
 
@@ -227,7 +261,10 @@ def added_question_changes_nothing(t):
     """Each pass scored among all questions and among those of one type alone: how many scores differ."""
     z = lambda df, name: df.select("item_id", "kind", "key", hashing.unit(F.lit("mock"), "text").alias(name))
     alone = asked(lambda n: t(n).where("qtype = 'noul'") if n == "eval_items" else t(n))
-    both = z(asked(t), "a").join(z(alone, "b").withColumnsRenamed({"item_id": "i", "kind": "k", "key": "o"}), (F.col("item_id") == F.col("i")) & (F.col("kind") == F.col("k")) & F.col("key").eqNullSafe(F.col("o")))
+    both = z(asked(t), "a").join(
+        z(alone, "b").withColumnsRenamed({"item_id": "i", "kind": "k", "key": "o"}),
+        (F.col("item_id") == F.col("i")) & (F.col("kind") == F.col("k")) & F.col("key").eqNullSafe(F.col("o"))
+    )
     return both.agg(F.count_if(F.col("a") != F.col("b")).alias("changed"))
 
 
@@ -241,13 +278,23 @@ from (select *, unnest(meta.options) as o, generate_subscripts(meta.options, 1)
 select row_id, image, kind, key, pos::int as pos, sha256(text) as text_key, floor(length(text) / 4)::bigint + 399 + 24 as cost from q_""")
 def image_passes(t):
     """Rows with an image: a placeholder stands for it in the state, each pass carries it, and its tokens count."""
-    r = latest_rows(t).where("state is not null").select("row_id", "primitive", "meta.options", F.concat(F.lit('{"image": "<attached>", "note": '), messages.json_string(F.col("state")), F.lit("}")).alias("s"))
+    r = latest_rows(t).where("state is not null").select(
+        "row_id", "primitive", "meta.options",
+        F.concat(F.lit('{"image": "<attached>", "note": '), messages.json_string(F.col("state")), F.lit("}")).alias("s")
+    )
     none = F.lit(None).cast("string")
-    noul = r.where("primitive = 'noul'").select("row_id", F.lit("noul").alias("kind"), none.alias("key"), F.lit(0).alias("pos"), text.noul_pass(F.col("s"), F.lit("Is it so?"), none).alias("text"))
+    noul = r.where("primitive = 'noul'").select(
+        "row_id", F.lit("noul").alias("kind"), none.alias("key"), F.lit(0).alias("pos"),
+        text.noul_pass(F.col("s"), F.lit("Is it so?"), none).alias("text")
+    )
     c = r.where("primitive = 'choice'").select("row_id", "s", F.posexplode("options").alias("pos", "key"))
-    choice = c.select("row_id", F.lit("choice_opt").alias("kind"), "key", "pos", text.option_pass(F.col("s"), F.lit("Which one?"), F.col("key"), none).alias("text"))
+    choice = c.select(
+        "row_id", F.lit("choice_opt").alias("kind"), "key", "pos", text.option_pass(F.col("s"), F.lit("Which one?"), F.col("key"), none).alias("text")
+    )
     image = F.concat(F.lit("img/"), "row_id", F.lit(".png")).alias("image")
-    return noul.unionByName(choice).select("row_id", image, "kind", "key", "pos", F.sha2("text", 256).alias("text_key"), text.pass_cost(F.col("text"), F.lit(True)).alias("cost"))
+    return noul.unionByName(choice).select(
+        "row_id", image, "kind", "key", "pos", F.sha2("text", 256).alias("text_key"), text.pass_cost(F.col("text"), F.lit(True)).alias("cost")
+    )
 
 
 @query(f"""select item_id, round(0.05 + 0.9 * {unit_sql("'mock'", "'noul'", "state_str", "substr(sha256('png' || item_id), 1, 16)", "instructions")}, 4) as noul,
@@ -271,7 +318,10 @@ def bounded_images(t):
 b as (select p_partkey, case when w * h > 16777216 then floor(w * sqrt(16777216.0::double / (w * h))) else w end as w, case when w * h > 16777216 then floor(h * sqrt(16777216.0::double / (w * h))) else h end as h from s)
 select p_partkey, (ceil(ceil(w / 16.0) / 2) * 2 * ceil(ceil(h / 16.0) / 2) * 2 / 4)::bigint as tokens from b""")
 def large_image_tokens(t):
-    return t("part").select("p_partkey", validate.image_tokens((F.col("p_partkey") % 3000 + 4000).cast("double"), (F.col("p_size") * 60 + 2500).cast("double")).alias("tokens"))
+    return t("part").select(
+        "p_partkey",
+        validate.image_tokens((F.col("p_partkey") % 3000 + 4000).cast("double"), (F.col("p_size") * 60 + 2500).cast("double")).alias("tokens")
+    )
 
 
 # ---- dates and formats
@@ -314,7 +364,10 @@ def formats(t):
     """Money, the time of day, the domain of a sender."""
     k = F.col("p_partkey")
     sender = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("desk@"), F.lower("p_brand"), F.lit(".example"))).otherwise(F.lit("no sender"))
-    return t("part").select("p_partkey", text.money(k * 7, "$").alias("usd"), text.money(k * 3, "¥").alias("cny"), text.clock(k % 1440).alias("at"), text.mail_domain(sender).alias("domain"))
+    return t("part").select(
+        "p_partkey", text.money(k * 7, "$").alias("usd"), text.money(k * 3, "¥").alias("cny"), text.clock(k % 1440).alias("at"),
+        text.mail_domain(sender).alias("domain")
+    )
 
 
 # ---- readouts
@@ -325,8 +378,13 @@ where qtype = 'score') select row_id, array_to_string(list_transform(keys, lambd
     "with ", f"with {ROWS}, rows_of as (select row_id, meta.attribute as attribute from rows_), ", 1))
 def score_legend(t):
     """Score answers with what each level stands for."""
-    a = answers(t).where("qtype = 'score'").select("row_id", "keys", "r").join(latest_rows(t).select("row_id", "meta.attribute"), "row_id").join(t("attr_levels"), "attribute")
-    parts = F.transform("keys", lambda k, i: F.concat(k, F.lit(": "), F.element_at("levels", k.cast("int") + 1), F.lit(" "), F.format_string("%.4f", F.element_at("r", i + 1))))
+    a = answers(t).where("qtype = 'score'").select("row_id", "keys", "r").join(
+        latest_rows(t).select("row_id", "meta.attribute"), "row_id"
+    ).join(t("attr_levels"), "attribute")
+    parts = F.transform(
+        "keys", lambda k,
+        i: F.concat(k, F.lit(": "), F.element_at("levels", k.cast("int") + 1), F.lit(" "), F.format_string("%.4f", F.element_at("r", i + 1)))
+    )
     return a.select("row_id", F.array_join(parts, "; ").alias("legend"))
 
 
@@ -367,13 +425,19 @@ def token_readouts(t):
     e = F.transform("embedding", lambda x: x.cast("double") * 10)
     v = t("embeddings").select("vec_id", e.alias("e"))
     p = prob.restricted(F.col("e"), [0, 5, 9, 30])
-    return v.select("vec_id", F.round(F.get("e", F.lit(3)) - F.get("e", F.lit(5)), 6).alias("verbalizer"), prob.polarity(F.col("e"), [1, 7], [2, 8]).alias("positive"), prob.first_top(p).alias("letter"), F.round(F.array_max(p), 6).alias("p"))
+    return v.select(
+        "vec_id", F.round(F.get("e", F.lit(3)) - F.get("e", F.lit(5)), 6).alias("verbalizer"),
+        prob.polarity(F.col("e"), [1, 7], [2, 8]).alias("positive"), prob.first_top(p).alias("letter"), F.round(F.array_max(p), 6).alias("p")
+    )
 
 
 # ---- contract, feedback and manifests
 
 BODY = """b_ as (select item_id, cast(substr(item_id, 6) as int) % 12 as k from eval_items)"""
-ERRORS = ["null", "'state'", "'model'", "'questions'", "'questions.q.type'", "'questions.q.instructions'", "'questions.q.criteria'", "'questions.q.criteria'", "'questions.q.criteria.0'", "'questions.q.criteria.true'", "'questions.q'", "'body'"]
+ERRORS = [
+    "null", "'state'", "'model'", "'questions'", "'questions.q.type'", "'questions.q.instructions'", "'questions.q.criteria'",
+    "'questions.q.criteria'", "'questions.q.criteria.0'", "'questions.q.criteria.true'", "'questions.q'", "'body'"
+]
 
 
 @query(f"with {BODY} select item_id, [{', '.join(ERRORS)}][k + 1] as error from b_")
@@ -404,19 +468,27 @@ union all select id, state, coalesce(privacy.redacted, false) from f_ where stat
 def feedback_redact_whole(t):
     """The whole state after redaction, field by field: only the named field is another."""
     s = store(t).where("state is not null")
-    hidden = feedback.redact(s, ["note"]).select("id", "state", F.coalesce("privacy.redacted", F.lit(False)).alias("redacted"), F.try_parse_json("state").isNotNull().alias("j"))
+    hidden = feedback.redact(s, ["note"]).select(
+        "id", "state", F.coalesce("privacy.redacted", F.lit(False)).alias("redacted"), F.try_parse_json("state").isNotNull().alias("j")
+    )
     parsed = F.from_json("state", "map<string,variant>")
     fields = F.transform(F.array_sort(F.map_keys(parsed)), lambda k: F.concat(k, F.lit("="), F.to_json(F.element_at(parsed, k))))
     is_object = (F.substring(F.ltrim("state"), 1, 1) == "{") & F.col("j")
     return hidden.select("id", F.when(is_object, F.array_join(fields, ";")).otherwise(F.col("state")).alias("fields"), "redacted")
 
 
-@query(f"with {FEEDBACK} select count(*) filter (where coalesce(ts >= 1738000000.0 or coalesce(review.status, '') = 'confirmed', false)) as kept, count(*) filter (where not coalesce(ts >= 1738000000.0 or coalesce(review.status, '') = 'confirmed', false)) as removed from f_")
+@query(
+    f"with {FEEDBACK} select count(*) filter (where coalesce(ts >= 1738000000.0 or coalesce(review.status, '') = 'confirmed', false)) as kept, "
+    f"count(*) filter (where not coalesce(ts >= 1738000000.0 or coalesce(review.status, '') = 'confirmed', false)) as removed from f_"
+)
 def feedback_removed(t):
     """How many records pruning keeps and removes."""
     return feedback.removed(store(t), 1738000000.0)
 
 
-@query("select event_type as stage, min_by(event_id, ts) as first, min(ts) as first_ts, max_by(event_id, ts) as last, max(ts) as last_ts from events group by 1")
+@query(
+    "select event_type as stage, min_by(event_id, ts) as first, min(ts) as first_ts, max_by(event_id, ts) as last, max(ts) as last_ts from "
+    "events group by 1"
+)
 def manifest_first_and_latest(t):
     return pipeline.first_and_latest(t("events"), "event_type", "ts", "event_id").withColumnRenamed("event_type", "stage")

@@ -47,9 +47,14 @@ def item_surfaces(t):
 def training_surfaces(t):
     """All text of training and held-out rows and of feedback: state, instructions, options, levels, the values of criteria."""
     criteria = F.transform(F.map_values(F.from_json("criteria", "map<string,string>")), lambda v: v)
-    values = F.when((F.substring(F.ltrim("criteria"), 1, 1) == "{") & F.try_parse_json("criteria").isNotNull(), F.array_join(criteria, " ")).otherwise(F.col("criteria"))
+    values = F.when(
+        (F.substring(F.ltrim("criteria"), 1, 1) == "{") & F.try_parse_json("criteria").isNotNull(), F.array_join(criteria, " ")
+    ).otherwise(F.col("criteria"))
     r = t("row_examples").where("split in ('train', 'val')").withColumn("attribute", F.col("meta.attribute")).join(t("attr_levels"), "attribute", "left")
-    rows = r.select("row_id", text.surface(F.col("state"), F.col("instructions"), F.array_join("meta.options", " "), F.array_join("levels", " "), values).alias("surface"))
+    rows = r.select(
+        "row_id",
+        text.surface(F.col("state"), F.col("instructions"), F.array_join("meta.options", " "), F.array_join("levels", " "), values).alias("surface")
+    )
     q = text.surface(F.col("state"), F.col("question.instructions"), F.array_join("question.options", " "), F.array_join("question.levels", " "))
     return rows.unionByName(t("feedback_records").select(F.concat(F.lit("feedback-"), "id").alias("row_id"), q.alias("surface")))
 
@@ -63,12 +68,21 @@ def audit_pairs(t):
     return pairs(t)
 
 
-@query(f"with {PAIRS} select count(*) as pairs, count(distinct item_id) as items, count(distinct row_id) as train_rows, sum(shared)::bigint as hits from pairs_")
+@query(
+    f"with {PAIRS} select count(*) as pairs, count(distinct item_id) as items, count(distinct row_id) as train_rows, sum(shared)::bigint as hits "
+    f"from pairs_"
+)
 def audit_summary(t):
-    return pairs(t).agg(F.count("*").alias("pairs"), F.count_distinct("item_id").alias("items"), F.count_distinct("row_id").alias("train_rows"), F.sum("shared").alias("hits"))
+    return pairs(t).agg(
+        F.count("*").alias("pairs"), F.count_distinct("item_id").alias("items"), F.count_distinct("row_id").alias("train_rows"),
+        F.sum("shared").alias("hits")
+    )
 
 
-@query(f"with {PAIRS}, n as (select *, row_number() over (partition by item_id order by shared desc, row_id) as rn from pairs_) select item_id, row_id, shared from n where rn <= 3")
+@query(
+    f"with {PAIRS}, n as (select *, row_number() over (partition by item_id order by shared desc, row_id) as rn from pairs_) select item_id, "
+    f"row_id, shared from n where rn <= 3"
+)
 def audit_top3(t):
     return ingest.first_n_per_group(pairs(t), "item_id", [F.desc("shared"), F.col("row_id")], 3)
 
@@ -81,15 +95,23 @@ def audit_gate(t):
 
 @query("select doc_id, sha256(concat_ws(chr(31), source, text)) as content_hash, floor(length(coalesce(text, '')) / 4)::bigint as estimated from documents")
 def content_hashes(t):
-    return t("documents").select("doc_id", hashing.content_hash(F.col("source"), F.col("text")).alias("content_hash"), text.estimated_tokens(F.coalesce("text", F.lit(""))).alias("estimated"))
+    return t("documents").select(
+        "doc_id", hashing.content_hash(F.col("source"), F.col("text")).alias("content_hash"),
+        text.estimated_tokens(F.coalesce("text", F.lit(""))).alias("estimated")
+    )
 
 
 @query("select sha256(text) as cache_key, count(*) as n, min(row_id) as first_row from passes where text is not null group by 1")
 def pass_cache_keys(t):
-    return t("passes").where("text is not null").groupBy(F.sha2("text", 256).alias("cache_key")).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+    return t("passes").where("text is not null").groupBy(F.sha2("text", 256).alias("cache_key")).agg(
+        F.count("*").alias("n"), F.min("row_id").alias("first_row")
+    )
 
 
-@query(f"with {ROWS} select row_id, coalesce(concat_ws(' | ', 'true: ' || json_extract_string(criteria, '$.true'), 'false: ' || json_extract_string(criteria, '$.false')), '') as pair from rows_ where criteria is not null")
+@query(
+    f"with {ROWS} select row_id, coalesce(concat_ws(' | ', 'true: ' || json_extract_string(criteria, '$.true'), 'false: ' || "
+    f"json_extract_string(criteria, '$.false')), '') as pair from rows_ where criteria is not null"
+)
 def criteria_pairs(t):
     return latest_rows(t).where("criteria is not null").select("row_id", text.criteria_pair(F.col("criteria")).alias("pair"))
 
@@ -122,7 +144,9 @@ def canonical_hashes(t):
 def parsed_answers(t):
     """JSON objects out of fenced or surrounded text."""
     s = t("feedback_records").where("state is not null")
-    fenced = F.when(F.length("state") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), "state", F.lit("\n```\nDone."))).otherwise(F.concat(F.lit("Answer:\n"), "state", F.lit("\nDone.")))
+    fenced = F.when(
+        F.length("state") % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), "state", F.lit("\n```\nDone."))
+    ).otherwise(F.concat(F.lit("Answer:\n"), "state", F.lit("\nDone.")))
     return s.select("id", text.loose_json(fenced).alias("parsed"))
 
 
@@ -130,7 +154,9 @@ def parsed_answers(t):
 || coalesce(chr(10) || chr(10) || 'Yes means: ' || json_extract_string(criteria, '$.true'), '')) as prompt_key from rows_ where primitive = 'noul' and state is not null""")
 def teacher_prompts(t):
     r = latest_rows(t).where("primitive = 'noul' and state is not null")
-    return r.select("row_id", F.sha2(text.judge_prompt(F.col("state"), F.col("instructions"), F.get_json_object("criteria", "$.true")), 256).alias("prompt_key"))
+    return r.select(
+        "row_id", F.sha2(text.judge_prompt(F.col("state"), F.col("instructions"), F.get_json_object("criteria", "$.true")), 256).alias("prompt_key")
+    )
 
 
 @query("""select o_orderkey, (o_orderdate::date + interval 3 month)::date as plus3, (year(o_orderdate::date + 100) - year(o_orderdate)) * 12 + month(o_orderdate::date + 100) - month(o_orderdate) - case when day(o_orderdate::date + 100) < day(o_orderdate) then 1 else 0 end as months,
@@ -138,14 +164,19 @@ floor((day(o_orderdate) - 1) / 7)::bigint as week, monthname(o_orderdate) || ' '
 from orders""")
 def date_functions(t):
     d = F.to_date("o_orderdate")
-    return t("orders").select("o_orderkey", dates.month_add(d, F.lit(3)).alias("plus3"), dates.months_complete(d, F.date_add(d, 100)).cast("long").alias("months"), dates.week_of_month(d).alias("week"), dates.long_date(d).alias("long_form"))
+    return t("orders").select(
+        "o_orderkey", dates.month_add(d, F.lit(3)).alias("plus3"), dates.months_complete(d, F.date_add(d, 100)).cast("long").alias("months"),
+        dates.week_of_month(d).alias("week"), dates.long_date(d).alias("long_form")
+    )
 
 
 @query("""with o as (select o_orderkey, o_orderdate::date as d, o_orderkey % 12 as n from orders where o_orderkey is not null),
 c as (select o_orderkey, d, n, case when n = 0 then d else list_filter(generate_series(d + 1, d + (2 * n + 12)::int, interval 1 day), lambda x: isodow(x) < 6 and x::date not in (date '1995-12-25', date '1996-01-01'))[n]::date end as due from o) select o_orderkey, due from c""")
 def business_days(t):
     holidays = F.array(F.lit("1995-12-25").cast("date"), F.lit("1996-01-01").cast("date"))
-    return t("orders").where("o_orderkey is not null").select("o_orderkey", dates.business_day_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 12).cast("int"), holidays).alias("due"))
+    return t("orders").where("o_orderkey is not null").select(
+        "o_orderkey", dates.business_day_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 12).cast("int"), holidays).alias("due")
+    )
 
 
 @query("""select o_orderpriority, count(*) as n, sum(case when greatest(o_orderdate::date, l_shipdate::date) <= least(o_orderdate::date + 60, l_shipdate::date + 10) then 1 else 0 end)::bigint as overlapping
@@ -154,7 +185,9 @@ def window_overlap(t):
     """Orders' first 60 days against the 10 days after shipping."""
     o, s = F.to_date("o_orderdate"), F.to_date("l_shipdate")
     j = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return j.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.when(dates.overlaps(o, F.date_add(o, 60), s, F.date_add(s, 10)), 1).otherwise(0)).alias("overlapping"))
+    return j.groupBy("o_orderpriority").agg(
+        F.count("*").alias("n"), F.sum(F.when(dates.overlaps(o, F.date_add(o, 60), s, F.date_add(s, 10)), 1).otherwise(0)).alias("overlapping")
+    )
 
 
 FEEDBACK = "f_ as (select * exclude (rn) from (select *, row_number() over (partition by id order by received_at desc) as rn from feedback_records) where rn = 1)"
@@ -213,10 +246,15 @@ def feedback_redact(t):
     return hidden.select("id", note.isNotNull().alias("had_note"), note.alias("note"), F.get_json_object("state", "$.plan").alias("plan"))
 
 
-@query(f"with {FEEDBACK} select id, case when review.status = 'pending' and batch_no <= 3 then 'rejected' else review.status end as status, case when review.status = 'pending' and batch_no <= 3 then 'stale' else review.note end as note from f_")
+@query(
+    f"with {FEEDBACK} select id, case when review.status = 'pending' and batch_no <= 3 then 'rejected' else review.status end as status, case "
+    f"when review.status = 'pending' and batch_no <= 3 then 'stale' else review.note end as note from f_"
+)
 def feedback_review(t):
     s = store(t)
-    d = s.where("review.status = 'pending' and batch_no <= 3").select("id", F.lit("rejected").alias("status"), F.lit("sweep").alias("reviewer"), F.lit("stale").alias("note"), F.lit(0.0).alias("reviewed_ts"))
+    d = s.where("review.status = 'pending' and batch_no <= 3").select(
+        "id", F.lit("rejected").alias("status"), F.lit("sweep").alias("reviewer"), F.lit("stale").alias("note"), F.lit(0.0).alias("reviewed_ts")
+    )
     return feedback.review(s, d).select("id", "review.status", "review.note")
 
 
@@ -225,12 +263,18 @@ when qtype = 'choice' and coalesce(len(options), -1) not between 2 and 255 then
 when qtype = 'score' and coalesce(len(options), 5) not between 2 and 10 then 'criteria' end as error_field from eval_items""")
 def request_validate(t):
     five = F.array(*[F.lit(str(i)) for i in range(5)])
-    return t("eval_items").select("item_id", validate.first_error(F.col("state_str"), F.col("qtype"), F.col("instructions"), F.col("options"), F.coalesce("options", five)).alias("error_field"))
+    return t("eval_items").select(
+        "item_id",
+        validate.first_error(F.col("state_str"), F.col("qtype"), F.col("instructions"), F.col("options"), F.coalesce("options", five)).alias("error_field")
+    )
 
 
 @query("""select p_partkey, (ceil(ceil((p_partkey % 4000 + 16) / 16.0) / 2) * 2 * ceil(ceil((p_size * 40 + 16) / 16.0) / 2) * 2 / 4)::bigint as tokens from part""")
 def image_token_counts(t):
-    return t("part").select("p_partkey", validate.image_tokens((F.col("p_partkey") % 4000 + 16).cast("double"), (F.col("p_size") * 40 + 16).cast("double")).alias("tokens"))
+    return t("part").select(
+        "p_partkey",
+        validate.image_tokens((F.col("p_partkey") % 4000 + 16).cast("double"), (F.col("p_size") * 40 + 16).cast("double")).alias("tokens")
+    )
 
 
 FULL = "r.total + o.cost > 16384"
@@ -251,10 +295,15 @@ def pack_batches(t):
 
 @query("select event_type as stage, max_by(event_id, ts) as last_event, max(ts) as ts, count(*) as events from events group by 1")
 def manifest_status(t):
-    return pipeline.latest_status(t("events"), "event_type", "ts", "event_id").select(F.col("event_type").alias("stage"), F.col("status").alias("last_event"), "ts", "events")
+    return pipeline.latest_status(t("events"), "event_type", "ts", "event_id").select(
+        F.col("event_type").alias("stage"), F.col("status").alias("last_event"), "ts", "events"
+    )
 
 
-@query("select avg(n) as tokens_per_decision, round(avg(n) * 1000 * 0.14 / 1e6, 9) as usd_per_1k from (select floor(length(text) / 4) as n from passes where text is not null and length(text) >= 4)")
+@query(
+    "select avg(n) as tokens_per_decision, round(avg(n) * 1000 * 0.14 / 1e6, 9) as usd_per_1k from (select floor(length(text) / 4) as n from "
+    "passes where text is not null and length(text) >= 4)"
+)
 def token_cost(t):
     n = t("passes").where("text is not null and length(text) >= 4").select(text.estimated_tokens(F.col("text")).alias("n"))
     return n.agg(F.avg("n").alias("tokens_per_decision"), F.round(F.avg("n") * 1000 * 0.14 / 1e6, 9).alias("usd_per_1k"))
@@ -265,4 +314,7 @@ select y, sum(case when v > before then 1 else 0 end)::bigint as up, sum(case wh
 def trend_counts(t):
     o = t("orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy").alias("y")).agg(F.sum("o_totalprice").alias("v"))
     b = o.withColumn("before", F.lag("v").over(Window.partitionBy("o_custkey").orderBy("y"))).where("before is not null")
-    return b.groupBy("y").agg(F.sum(F.when(F.col("v") > F.col("before"), 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("v") < F.col("before"), 1).otherwise(0)).alias("down"))
+    return b.groupBy("y").agg(
+        F.sum(F.when(F.col("v") > F.col("before"), 1).otherwise(0)).alias("up"),
+        F.sum(F.when(F.col("v") < F.col("before"), 1).otherwise(0)).alias("down")
+    )

@@ -43,7 +43,10 @@ def grouped(t) -> DataFrame:
     """Per choice or score row: keys, scores, second scores and targets in the order of their places, and the gold place (-1 if none)."""
     s = scored(t).where("qtype <> 'noul'").withColumn("v", hashing.unit(F.lit("second"), "row_id", "kind", "key"))
     g = s.groupBy("row_id", "qtype").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "z", "v", "target", "weight"))).alias("x"))
-    return g.select("row_id", "qtype", F.col("x.key").alias("keys"), F.col("x.z").alias("z"), F.transform("x.v", lambda v: (v - 0.5) * 6).alias("y"), F.col("x.target").alias("t"), (F.array_position("x.target", 1.0) - 1).cast("int").alias("gold"))
+    return g.select(
+        "row_id", "qtype", F.col("x.key").alias("keys"), F.col("x.z").alias("z"), F.transform("x.v", lambda v: (v - 0.5) * 6).alias("y"),
+        F.col("x.target").alias("t"), (F.array_position("x.target", 1.0) - 1).cast("int").alias("gold")
+    )
 
 
 ROWS = """rows_ as (select * exclude (rn) from (select *, row_number() over (partition by row_id order by ingested_at desc, snapshot_no desc) as rn from row_examples) where rn = 1)"""

@@ -28,7 +28,9 @@ def builder(f):
 def _rows(df: DataFrame, row_id: Column, primitive: str, state: Column, instructions: Column, label: Column, criteria: Column | None = None, options: Column | None = None, attribute: Column | None = None) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     return df.select(
-        row_id.alias("row_id"), F.lit(primitive).alias("primitive"), F.to_json(state, {"ignoreNullFields": "false"}).alias("state"), instructions.alias("instructions"),
+        row_id.alias("row_id"), F.lit(primitive).alias("primitive"), F.to_json(
+            state, {"ignoreNullFields": "false"}
+        ).alias("state"), instructions.alias("instructions"),
         (none("string") if criteria is None else criteria).alias("criteria"), label.cast("int").alias("label"),
         (none("array<string>") if options is None else options).alias("options"), (none("string") if attribute is None else attribute).alias("attribute"),
     )
@@ -58,7 +60,10 @@ def claims(df: DataFrame, n: int, name: str = "claims") -> DataFrame:
     first = t.groupBy("claim").agg(F.min_by(F.struct("ord", "evidence", "label"), "ord").alias("x")).select("claim", "x.*")
     kept = ingest.dense_numbers(first, "ord", "i").where(F.col("i") < n)
     sides = _sides("the claim is supported by the evidence", "the claim is contradicted by or unrelated to the evidence")
-    return _rows(kept, _id(name, F.col("i")), "noul", F.struct("claim", "evidence"), F.lit("Is `claim` supported by `evidence`?"), F.when(F.col("label") == 0, 1).otherwise(0), sides)
+    return _rows(
+        kept, _id(name, F.col("i")), "noul", F.struct("claim", "evidence"), F.lit("Is `claim` supported by `evidence`?"),
+        F.when(F.col("label") == 0, 1).otherwise(0), sides
+    )
 
 
 @builder
@@ -74,7 +79,10 @@ def entailment(df: DataFrame, n: int, name: str = "entailment") -> DataFrame:
 def intents(df: DataFrame, n: int, names: list[str], name: str = "intents") -> DataFrame:
     """Queries with an intent number: the dictionary of names goes with every row."""
     options = F.array(*map(F.lit, names))
-    return _rows(df.where(F.col("ord") < n), _id(name, F.col("ord")), "choice", F.struct(F.col("text").alias("query")), F.lit("What is the customer's intent?"), F.col("label"), options=options)
+    return _rows(
+        df.where(F.col("ord") < n), _id(name, F.col("ord")), "choice", F.struct(F.col("text").alias("query")),
+        F.lit("What is the customer's intent?"), F.col("label"), options=options
+    )
 
 
 @builder
@@ -83,14 +91,20 @@ def ratings(df: DataFrame, n: int, attributes: list[str], name: str = "ratings")
     t = df.where(F.col("ord") < n).select("ord", "prompt", F.substring("response", 1, RESPONSE_CHARS).alias("response"), *attributes)
     t = ingest.unpivot(t, ["ord", "prompt", "response"], attributes, "attr", "rating")
     ask = F.concat(F.lit("How would you rate `response` on "), "attr", F.lit("?"))
-    return _rows(t, F.concat(_id(name, F.col("ord")), F.lit("-"), "attr"), "score", F.struct("prompt", "response"), ask, F.col("rating"), attribute=F.col("attr"))
+    return _rows(
+        t, F.concat(_id(name, F.col("ord")), F.lit("-"), "attr"), "score", F.struct("prompt", "response"), ask, F.col("rating"),
+        attribute=F.col("attr")
+    )
 
 
 @builder
 def emotions(df: DataFrame, n: int, names: list[str], name: str = "emotions") -> DataFrame:
     """Comments with lists of labels: rows without any are dropped, the first label holds; n of what is left, numbered anew."""
     kept = ingest.dense_numbers(df.where("size(labels) > 0"), "ord", "i").where(F.col("i") < n)
-    return _rows(kept, _id(name, F.col("i")), "choice", F.struct(F.col("text").alias("comment")), F.lit("Which emotion does `comment` most express?"), F.element_at("labels", 1), options=F.array(*map(F.lit, names)))
+    return _rows(
+        kept, _id(name, F.col("i")), "choice", F.struct(F.col("text").alias("comment")), F.lit("Which emotion does `comment` most express?"),
+        F.element_at("labels", 1), options=F.array(*map(F.lit, names))
+    )
 
 
 @builder
@@ -98,7 +112,10 @@ def entailment_zh(df: DataFrame, n: int, name: str = "entailment_zh") -> DataFra
     """Chinese premise and hypothesis (label text, - = none): the first n that have a label, under their place in the source."""
     kept = ingest.dense_numbers(df.where("label <> '-'"), "ord", "i").where(F.col("i") < n)
     ask = F.concat(F.lit("前提是否蕴含以下假设？假设："), "hypothesis")
-    return _rows(kept, _id(name, F.col("ord")), "noul", F.struct("premise"), ask, F.when(F.col("label") == "entailment", 1).otherwise(0), _sides("前提蕴含该假设", "前提不蕴含该假设"))
+    return _rows(
+        kept, _id(name, F.col("ord")), "noul", F.struct("premise"), ask, F.when(F.col("label") == "entailment", 1).otherwise(0),
+        _sides("前提蕴含该假设", "前提不蕴含该假设")
+    )
 
 
 def build(name: str, df: DataFrame, n: int, **options) -> DataFrame:

@@ -95,6 +95,11 @@ VERDICT = "ts double, run string, all_pass boolean, gates string"
 def keep_verdict(gates: DataFrame, path: str, run: str) -> DataFrame:
     """Append the verdict of gates (name, value, cmp, bar, passed); earlier ones stay. Returns all, latest first."""
     spark = gates.sparkSession
-    row = gates.agg(F.bool_and("passed").alias("all_pass"), F.to_json(F.array_sort(F.collect_list(F.struct("name", "value", "cmp", "bar", "passed")))).alias("gates"))  # a row for each gate
-    row.select(F.lit(time.time()).alias("ts"), F.lit(run).alias("run"), F.coalesce("all_pass", F.lit(True)).alias("all_pass"), "gates").write.mode("append").json(path)
+    row = gates.agg(  # a row for each gate
+        F.bool_and("passed").alias("all_pass"),
+        F.to_json(F.array_sort(F.collect_list(F.struct("name", "value", "cmp", "bar", "passed")))).alias("gates")
+    )
+    row.select(
+        F.lit(time.time()).alias("ts"), F.lit(run).alias("run"), F.coalesce("all_pass", F.lit(True)).alias("all_pass"), "gates"
+    ).write.mode("append").json(path)
     return spark.read.schema(VERDICT).json(path).orderBy(F.desc("ts"))

@@ -13,7 +13,9 @@ def unique_records(stream: DataFrame, ts_col: str = "received_at", delay: str =
 
 def counts(stream: DataFrame, ts_col: str = "received_at", delay: str = "1 day", width: str = "1 day") -> DataFrame:
     """Records per window and kind."""
-    return stream.withWatermark(ts_col, delay).groupBy(F.window(ts_col, width), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "kind", "n")
+    return stream.withWatermark(ts_col, delay).groupBy(F.window(ts_col, width), "kind").agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("start"), "kind", "n"
+    )
 
 
 def append_new(stream: DataFrame, path: str, checkpoint: str):

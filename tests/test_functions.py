@@ -75,7 +75,10 @@ def test_ece(spark):
 
 
 def test_composite(spark):
-    row = spark.createDataFrame([(1.0, 0.93056, 0.55856, 0.098432, 0.255743, 10.632219, 561.593 * 1000 * 0.14 / 1e6)], "easy double, standard double, hard double, ece double, p50 double, p95 double, usd_per_1k double")
+    row = spark.createDataFrame(
+        [(1.0, 0.93056, 0.55856, 0.098432, 0.255743, 10.632219, 561.593 * 1000 * 0.14 / 1e6)],
+        "easy double, standard double, hard double, ece double, p50 double, p95 double, usd_per_1k double"
+    )
     r = metrics.composite(row).first()
     for got, want in ((r.intelligence, 68.3286), (r.calibration, 80.3137), (r.speed, 69.6351), (r.cost, 43.1335), (r.composite, 63.7175)):
         assert abs(got - want) < 2e-3
@@ -112,11 +115,15 @@ def test_hash_split(spark):
 
 
 def test_json_text(spark):
-    df = spark.createDataFrame([('{"b": 1, "a": "ä"}',), ("plain",), (None,), ("",)], "t string").select(text.canonical_json("t").alias("c"), text.loose_json("t").alias("l"))
+    df = spark.createDataFrame([('{"b": 1, "a": "ä"}',), ("plain",), (None,), ("",)], "t string").select(
+        text.canonical_json("t").alias("c"), text.loose_json("t").alias("l")
+    )
     got = df.collect()
     assert got[0].c == '{"a": "ä", "b": 1}' and got[1].c == '"plain"' and got[2].c is None
     assert json.loads(got[0].l)["b"] == 1 and got[1].l is None and got[3].l is None
-    fenced = spark.createDataFrame([('```json\n{"p": 1}\n```',), ('So: {"p": 2} indeed',), ("[1]",)], "t string").select(text.loose_json("t").alias("l")).collect()
+    fenced = spark.createDataFrame(
+        [('```json\n{"p": 1}\n```',), ('So: {"p": 2} indeed',), ("[1]",)], "t string"
+    ).select(text.loose_json("t").alias("l")).collect()
     assert [r.l for r in fenced] == ['{"p": 1}', '{"p": 2}', None]
 
 

@@ -12,8 +12,12 @@ def test_expanded_texts_equal_the_stored_passes(spark, data):
     """Stored passes that were made from the row as it now stands carry exactly the text that we serialise."""
     t = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
     rows = records.last_wins(t("row_examples"), ["row_id"], "ingested_at", "snapshot_no")
-    ours = expand.expand(rows, t("option_desc"), t("attr_levels"), records.last_wins(t("soft_labels"), ["row_id"], "scored_at"), 255).select("row_id", "kind", "key", "text")
-    stored = records.last_wins(t("passes"), ["row_id", "kind", "key"], "expanded_at").select("row_id", "kind", F.col("key").alias("k"), F.col("text").alias("stored"))
+    ours = expand.expand(
+        rows, t("option_desc"), t("attr_levels"), records.last_wins(t("soft_labels"), ["row_id"], "scored_at"), 255
+    ).select("row_id", "kind", "key", "text")
+    stored = records.last_wins(t("passes"), ["row_id", "kind", "key"], "expanded_at").select(
+        "row_id", "kind", F.col("key").alias("k"), F.col("text").alias("stored")
+    )
     j = ours.join(stored, ["row_id", "kind"]).where(F.col("key").eqNullSafe(F.col("k"))).join(rows.select("row_id", "state"), "row_id")
     alike = j.where(F.col("stored").startswith(F.concat("state", F.lit("\n\n["))))
     n, other = alike.count(), alike.where("text <> stored").select("text", "stored").limit(1).collect()
@@ -22,7 +26,10 @@ def test_expanded_texts_equal_the_stored_passes(spark, data):
 
 def test_expand_keeps_gold_and_caps(spark):
     rows = spark.createDataFrame(
-        [("a-1", "choice", "s", "i", None, 3, (["o%d" % i for i in range(9)], None)), ("a-2", "noul", "s", "i", '{"true": "x"}', 1, (None, None)), ("a-3", "score", "s", "i", None, 2, (None, "tone")), ("a-4", "choice", None, None, None, None, (None, None))],
+        [
+            ("a-1", "choice", "s", "i", None, 3, (["o%d" % i for i in range(9)], None)), ("a-2", "noul", "s", "i", '{"true": "x"}', 1, (None, None)),
+            ("a-3", "score", "s", "i", None, 2, (None, "tone")), ("a-4", "choice", None, None, None, None, (None, None))
+        ],
         "row_id string, primitive string, state string, instructions string, criteria string, label int, meta struct<options: array<string>, attribute: string>",
     )
     desc = spark.createDataFrame([("o3", "third")], "name string, description string")
@@ -73,7 +80,10 @@ def test_jsonl(spark, tmp_path):
 
 
 def record(**change):
-    base = dict(id="f1", ts=1.0, kind="correction", served_as="m", question=("choice", "i", ["a", "b"], None), state='{"plan": "x", "region": "y"}', state_sha256="0" * 64, feedback=("b", None), privacy=(False, 30, False), review=("pending", None, None, None), license="l")
+    base = dict(
+        id="f1", ts=1.0, kind="correction", served_as="m", question=("choice", "i", ["a", "b"], None), state='{"plan": "x", "region": "y"}',
+        state_sha256="0" * 64, feedback=("b", None), privacy=(False, 30, False), review=("pending", None, None, None), license="l"
+    )
     return tuple((base | change).values())
 
 
@@ -81,10 +91,15 @@ SCHEMA = "id string, ts double, kind string, served_as string, question struct<t
 
 
 def test_feedback_flow(spark):
-    store = spark.createDataFrame([record(), record(id="f2", kind="nonsense", state=None), record(id="f3", privacy=(False, 30, True)), record(id="f4", state="plain")], SCHEMA)
+    store = spark.createDataFrame(
+        [record(), record(id="f2", kind="nonsense", state=None), record(id="f3", privacy=(False, 30, True)), record(id="f4", state="plain")], SCHEMA
+    )
     errors = {r.id: r.e for r in store.select("id", feedback.errors().alias("e")).collect()}
     assert errors["f1"] == [] and errors["f2"] == ["kind"]
-    d = spark.createDataFrame([("f1", "confirmed", "me", "ok", 2.0), ("f3", "confirmed", "me", "ok", 2.0), ("zz", "confirmed", "me", "", 2.0)], "id string, status string, reviewer string, note string, reviewed_ts double")
+    d = spark.createDataFrame(
+        [("f1", "confirmed", "me", "ok", 2.0), ("f3", "confirmed", "me", "ok", 2.0), ("zz", "confirmed", "me", "", 2.0)],
+        "id string, status string, reviewer string, note string, reviewed_ts double"
+    )
     reviewed = feedback.review(store, d)
     assert [r.id for r in feedback.unknown(store, d).collect()] == ["zz"]
     assert [(r.row_id, r.label) for r in feedback.export(reviewed).collect()] == [("feedback-f1", 1)]
@@ -97,11 +112,16 @@ def test_feedback_flow(spark):
 
 
 def test_batches(spark):
-    df = spark.createDataFrame([(f"r{i}", "q", (i * 37) % 90 + 1) for i in range(500)] + [("big", "q", 5000), ("none", "q", None)], "row_id string, qtype string, tokens long")
+    df = spark.createDataFrame(
+        [(f"r{i}", "q", (i * 37) % 90 + 1) for i in range(500)] + [("big", "q", 5000), ("none", "q", None)],
+        "row_id string, qtype string, tokens long"
+    )
     got = batches.pack(df, "row_id", "qtype", "tokens", 1000, rows_per_group=200)
     per = got.groupBy("batch").agg(F.sum("cost").alias("s"), F.count("*").alias("n")).collect()
     assert sum(r.n for r in per) == 502 and all(r.s <= 1000 or r.n == 1 for r in per)
-    padded = batches.pack(df.where("tokens < 1000"), "row_id", "qtype", "tokens", 1000, True).groupBy("batch").agg((F.max("cost") * F.count("*")).alias("s")).collect()
+    padded = batches.pack(
+        df.where("tokens < 1000"), "row_id", "qtype", "tokens", 1000, True
+    ).groupBy("batch").agg((F.max("cost") * F.count("*")).alias("s")).collect()
     assert all(r.s <= 1000 for r in padded)
 
 
@@ -132,7 +152,10 @@ def test_search(spark):
 
 
 def test_validate(spark):
-    rows = [("s", "choice", "i", ["a"], None), ("s", "choice", "i", ["a", ""], None), ("s", "score", "i", None, ["1"] * 11), (None, "noul", "i", None, None), ("s", "what", "i", None, None), ("s", "noul", "", None, None), ("s", "noul", "i", None, None)]
+    rows = [
+        ("s", "choice", "i", ["a"], None), ("s", "choice", "i", ["a", ""], None), ("s", "score", "i", None, ["1"] * 11),
+        (None, "noul", "i", None, None), ("s", "what", "i", None, None), ("s", "noul", "", None, None), ("s", "noul", "i", None, None)
+    ]
     df = spark.createDataFrame(rows, "state string, kind string, instructions string, options array<string>, levels array<string>")
     got = [r.e for r in df.select(validate.first_error(*map(F.col, df.columns)).alias("e")).collect()]
     assert got == ["criteria", "criteria.option", "criteria", "state", "type", "instructions", None]

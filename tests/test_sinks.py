@@ -40,7 +40,9 @@ def test_files_reports_and_verdicts(spark, tmp_path):
     assert sinks.markdown(spark.sql("select 'x|y' as a, 0.5D as b, null as c"), "T").splitlines()[-1] == "| x\\|y | 0.5000 | n/a |"
     with pytest.raises(ValueError):
         sinks.markdown(spark.range(20), "T", 10)
-    gates = spark.createDataFrame([("acc", 0.9, ">=", 0.8, True), ("ece", 0.2, "<=", 0.1, False)], "name string, value double, cmp string, bar double, passed boolean")
+    gates = spark.createDataFrame(
+        [("acc", 0.9, ">=", 0.8, True), ("ece", 0.2, "<=", 0.1, False)], "name string, value double, cmp string, bar double, passed boolean"
+    )
     sinks.keep_verdict(gates, str(tmp_path / "v"), "one")
     kept = sinks.keep_verdict(gates.where("passed"), str(tmp_path / "v"), "two").collect()
     assert [(r.run, r.all_pass) for r in kept] == [("two", True), ("one", False)]
@@ -70,7 +72,10 @@ def test_builders(spark):
 
 
 def test_strict_stores(spark):
-    store = spark.createDataFrame([("a", 1.0, None, None), ("b", None, None, None)], "id string, ts double, review struct<status: string, reviewer: string, note: string, reviewed_ts: double>, state string")
+    store = spark.createDataFrame(
+        [("a", 1.0, None, None), ("b", None, None, None)],
+        "id string, ts double, review struct<status: string, reviewer: string, note: string, reviewed_ts: double>, state string"
+    )
     new = store.where("id = 'a'")
     with pytest.raises(ValueError):
         feedback.add(store, new)
@@ -103,7 +108,9 @@ def test_matched_refuses_what_is_missing(spark):
 def test_audit_refuses_hits(spark):
     words = " ".join(f"w{i}" for i in range(12))
     items = spark.createDataFrame([("i1", words), ("i2", words), ("i3", None), ("i4", "too short")], "item_id string, t string")
-    train = spark.createDataFrame([("r1", f"so {words} and"), ("r1", f"so {words} and"), ("r2", None), ("r3", "w0 w1 w2 w3 w4 w5 w6 x")], "row_id string, t string")
+    train = spark.createDataFrame(
+        [("r1", f"so {words} and"), ("r1", f"so {words} and"), ("r2", None), ("r3", "w0 w1 w2 w3 w4 w5 w6 x")], "row_id string, t string"
+    )
     pairs = audit.overlap_pairs(items, "item_id", "t", train, "row_id", "t")
     assert sorted(tuple(r) for r in pairs.collect()) == [("i1", "r1", 5), ("i2", "r1", 5)]
     with pytest.raises(ValueError, match="held-out"):
@@ -113,7 +120,10 @@ def test_audit_refuses_hits(spark):
 
 
 def test_configurations():
-    good = {"name": "run-1", "base": {"path": "p"}, "profile": "x", "data": {}, "train": {}, "gates": {k: {"cmp": c[-1], "value": 0.5} for k, c in pipeline.GATES.items()}}
+    good = {
+        "name": "run-1", "base": {"path": "p"}, "profile": "x", "data": {}, "train": {},
+        "gates": {k: {"cmp": c[-1], "value": 0.5} for k, c in pipeline.GATES.items()}
+    }
     assert pipeline.config_errors(good) == []
     assert pipeline.config_errors([]) and pipeline.config_errors({}) and pipeline.config_errors(good | {"name": "a b"}) and pipeline.config_errors(good | {"base": {}})
     assert pipeline.config_errors(good | {"gates": good["gates"] | {"ece": {"cmp": ">=", "value": 1}}})
@@ -130,34 +140,51 @@ def test_exact_gelu_and_erf(spark):
 def test_dates_and_formats(spark):
     r = spark.sql("select date'2024-03-01' as a, date'2024-03-15' as b, date'2024-01-31' as c")
     s = r.select(*[v.alias(k) for k, v in dates.styles(F.col("c")).items()], dates.styles_zh(F.col("c"))["wd"].alias("zh")).first()
-    assert (s.iso, s.us, s.uk, s.abbr, s.ord, s.wd, s.zh) == ("2024-01-31", "January 31, 2024", "31 January 2024", "Jan 31, 2024", "the 31st of January 2024", "Wednesday, January 31, 2024", "2024年1月31日（星期三）")
+    assert (s.iso, s.us, s.uk, s.abbr, s.ord, s.wd, s.zh) == (
+        "2024-01-31", "January 31, 2024", "31 January 2024", "Jan 31, 2024", "the 31st of January 2024", "Wednesday, January 31, 2024",
+        "2024年1月31日（星期三）"
+    )
     m = r.select(*[dates.months_complete(dates.months_before(F.col(c), F.lit(n)), F.col(c)).alias(f"{c}{n}") for c in "ab" for n in (0, 1, 2, 14)]).first()
     assert all(m[f"{c}{n}"] == n for c in "ab" for n in (0, 1, 2, 14))
     assert r.select(dates.holiday_list_zh(F.array("a", "b", "c")).alias("x")).first().x == "2024年1月31日、2024年3月15日、2024年3月1日"
-    f = spark.sql("select 1205 as c, 'a@b.c' as m, 'none' as n").select(text.money(F.col("c"), "$").alias("c"), text.mail_domain(F.col("m")).alias("m"), text.mail_domain(F.col("n")).alias("n")).first()
+    f = spark.sql("select 1205 as c, 'a@b.c' as m, 'none' as n").select(
+        text.money(F.col("c"), "$").alias("c"), text.mail_domain(F.col("m")).alias("m"), text.mail_domain(F.col("n")).alias("n")
+    ).first()
     assert tuple(f) == ("$12.05", "b.c", None)
 
 
 def test_messages(spark):
-    r = spark.sql("select '{\"b\": 1, \"a\": \"<x>\"}' as s, 'plain' as p, array('x', 'y') as o, cast(null as string) as c, map('x', 'the x') as d, array('l') as l")
+    r = spark.sql(
+        "select '{\"b\": 1, \"a\": \"<x>\"}' as s, 'plain' as p, array('x', 'y') as o, cast(null as string) as c, map('x', 'the x') as d, array('l') as l"
+    )
     c = messages.candidates(F.lit("choice"), F.col("c"), F.col("o"), F.col("d"), F.col("l"))
     got = r.select(messages.content(F.col("s")).alias("s"), messages.content(F.col("p")).alias("p"), c.alias("c"), messages.kind_of(c).alias("k"), messages.letter_index(c, F.lit("y")).alias("i"), messages.letter_index(c, F.lit("q")).alias("none"),
                    messages.candidates(F.lit("score"), F.col("c"), F.col("o"), F.col("d"), F.col("l")).alias("few")).first()
     assert got.s == '{"b":1,"a":"\\u003cx\\u003e"}' and got.p == "plain" and [tuple(x) for x in got.c] == [("A", "x", "the x"), ("B", "y", "y")]
     assert got.k == "choice" and got.i == 1 and got.none is None and got.few is None
-    whole = r.select(messages.message(F.col("p"), F.lit("q1"), F.concat(F.lit("["), messages.field(F.lit("q1"), F.lit("So?"), c), F.lit("]"))).alias("m")).first().m
+    whole = r.select(
+        messages.message(F.col("p"), F.lit("q1"), F.concat(F.lit("["), messages.field(F.lit("q1"), F.lit("So?"), c), F.lit("]"))).alias("m")
+    ).first().m
     assert whole == '{"context":"plain","schema":[{"name":"q1","description":"So?","choices":[{"code":"A","value":"x","description":"the x"},{"code":"B","value":"y","description":"y"}]}]}\n\nRequested field: "q1"'
-    long = r.select(messages.lettered_prompt(F.col("p"), F.lit("choice"), F.lit("Q"), F.col("c"), F.array_repeat(F.lit("z"), 17)).alias("m"), messages.lettered_prompt(F.col("p"), F.lit("choice"), F.lit("Q"), F.col("c"), F.col("o")).alias("n")).first()
+    long = r.select(
+        messages.lettered_prompt(F.col("p"), F.lit("choice"), F.lit("Q"), F.col("c"), F.array_repeat(F.lit("z"), 17)).alias("m"),
+        messages.lettered_prompt(F.col("p"), F.lit("choice"), F.lit("Q"), F.col("c"), F.col("o")).alias("n")
+    ).first()
     assert long.m is None and long.n == "plain\n\n[choice] Q\nA. x\nB. y\nanswer:"
 
 
 def test_ranks_within_groups(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), (None, 7), (None, None), ("b", 2), ("a", 2)], "g string, v int")
-    assert sorted((str(r.g), str(r.v), r.n) for r in ranks.dense(df, "v", "n", "g").collect()) == sorted([("a", "1", 0), ("a", "2", 1), ("a", "3", 2), ("None", "None", 0), ("None", "7", 1), ("b", "2", 0)])
+    assert sorted((str(r.g), str(r.v), r.n) for r in ranks.dense(df, "v", "n", "g").collect()) == sorted(
+        [("a", "1", 0), ("a", "2", 1), ("a", "3", 2), ("None", "None", 0), ("None", "7", 1), ("b", "2", 0)]
+    )
     assert ingest.dense_numbers(df.where("false"), "v", "n", "g").count() == 0
 
 
 def test_request_errors(spark):
-    bodies = [None, "", "[]", "{}", '{"state": "s"}', '{"state": "s", "model": "m", "questions": {"": {}}}', '{"state": [], "model": "m", "questions": {"q": {"type": "noul", "instructions": {}}}}']
+    bodies = [
+        None, "", "[]", "{}", '{"state": "s"}', '{"state": "s", "model": "m", "questions": {"": {}}}',
+        '{"state": [], "model": "m", "questions": {"q": {"type": "noul", "instructions": {}}}}'
+    ]
     got = [r.e for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(validate.request_error("b").alias("e")).collect()]
     assert got == ["body", "body", "body", "state", "model", "questions", None]
