@@ -152,7 +152,9 @@ def _table_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(k[rec], pa.int64()), pa.array(n[rec], pa.int32()), pa.array(size, pa.int32())], ["chunk", "a", "na", "bytes"])
 
 
-PROBES = pa.schema([("chunk", pa.int64()), ("salt", pa.int32()), ("qkey", pa.int64()), ("b", pa.int64()), ("nb", pa.int32()), ("single", pa.bool_()), ("hits", pa.int32()), ("least", pa.int32())])
+PROBES = pa.schema([("chunk", pa.int64()), ("salt", pa.int32()), ("b", pa.int64()), ("nb", pa.int32()), ("need", pa.int64())])
+#: A number of hits and a number of bytes in one long: the bytes stand below this bit.
+BYTES = 40
 
 
 def _all_but_largest(group: np.ndarray, size: np.ndarray, lost: np.ndarray) -> np.ndarray:
@@ -164,11 +166,11 @@ def _all_but_largest(group: np.ndarray, size: np.ndarray, lost: np.ndarray) -> n
 
 
 def _lookups(counts: np.ndarray, salts: np.ndarray):
-    """n, qkey, skey, lens, toks, sizes -> the chunks of each state to look up, rarest first, once for each salt of the table."""
+    """n, qkey, node, lens, toks, sizes -> the chunks of each state to look up, rarest first, once for each salt of the table."""
 
     def run(batches):
         for batch in bags.slices(batches, 0):
-            n, q, k, lens, toks, sizes = _of(batch, "n", "qkey", "skey", "lens", "toks", "sizes")
+            n, q, node, lens, toks, sizes = _of(batch, "n", "qkey", "node", "lens", "toks", "sizes")
             rec, key, size, single = chunks_of(q, lens, toks, sizes)
             group = rec * 2 + single
             bucket = bags.bucket_of(key)
@@ -190,7 +192,7 @@ def _lookups(counts: np.ndarray, salts: np.ndarray):
             salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             keep, hits, least = (np.repeat(x, many) for x in (keep, hits, least))
             r = rec[keep]
-            columns = (key[keep].view(np.int64), salt, q[r], k[r], n[r], single[keep], hits, least)
+            columns = (key[keep].view(np.int64), salt, node[r], n[r], (single[keep].astype(np.int64) << 61) | (hits << BYTES) | least)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, PROBES)], schema=PROBES)
 
     return run
@@ -266,16 +268,20 @@ def _lookup(path: str, new: DataFrame, known_to_all: DataFrame) -> DataFrame:
     counts[got.column("bucket").to_numpy()] = got.column("rows").to_numpy()
     hot = (counts > SALTED) & (counts * HOT >= counts.sum())  # at most HOT buckets
     salts = np.where(hot, -(-counts // SALTED), 1)
-    nodes = written(_nodes(new.unionByName(_lent(new, old.unionByName(new)))), "p2-nodes")
-    probes = nodes.mapInArrow(_lookups(counts, salts), "chunk long, salt int, qkey long, b long, nb int, single boolean, hits int, least int")
+    nodes = written(_nodes(new.unionByName(_lent(new, old.unionByName(new)))).withColumn("node", F.xxhash64("qkey", "skey")), "p2-nodes")
+    probes = nodes.mapInArrow(_lookups(counts, salts), "chunk long, salt int, b long, nb int, need long")
     at = np.flatnonzero(hot).tolist()
     salt = F.lit(0)
     if at:
         of = F.create_map(*[F.lit(x) for b in at for x in (b, int(salts[b]))])
         salt = F.pmod(F.xxhash64("a"), F.coalesce(of[F.col("chunk").bitwiseAND(bags.BUCKETS - 1).cast("int")], F.lit(1))).cast("int")
     hits = probes.join(kept.withColumn("salt", salt), ["chunk", "salt"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
-    pairs = hits.groupBy("qkey", "a", "b", "single").agg(F.sum("bytes").alias("shared"), F.count("*").alias("met"), F.first("hits").alias("hits"), F.first("least").alias("least")).where("met >= hits and shared >= least")
-    pairs = pairs.select("qkey", "a", "b").distinct()
+    # hits and bytes are summed in one number, and what is needed of both is part of the key, so that rows are short
+    met = hits.groupBy("a", "b", "need").agg(F.sum(F.col("bytes") + F.lit(1 << BYTES)).alias("met"))
+    low = F.lit((1 << BYTES) - 1)
+    count = F.shiftright(F.col("need"), BYTES).bitwiseAND((1 << (61 - BYTES)) - 1)
+    enough = (F.shiftright(F.col("met"), BYTES) >= count) & (F.col("met").bitwiseAND(low) >= F.col("need").bitwiseAND(low))
+    pairs = met.where(enough).select("a", F.col("b").alias("node")).distinct().join(nodes.select("node", "qkey", F.col("skey").alias("b")), "node")
     # only pairs of which the accepted one may come first
     first, last = before.groupBy("qkey", "a").agg(F.min("ba").alias("first")), after.groupBy("qkey", "b").agg(F.max("bb").alias("last"))
     pairs = written(pairs.join(first, ["qkey", "a"]).join(last, ["qkey", "b"]).where("first < last").select("qkey", "a", "b"), "p2-pairs")
