@@ -137,11 +137,11 @@ BIASES = [1.0 + 0.25 * i for i in range(15)]
 
 
 def blend_rows(t):
-    """Rows of each question type: scores z of the one member and y of the other, and the gold place."""
+    """Rows with scores z of the one member and y of the other and the gold place: arrays of several options, and single numbers of noul."""
     g = grouped(t).where("gold >= 0").select("qtype", "z", "y", F.col("gold").cast("double").alias("gold"))
     n = scored(t).where("qtype = 'noul' and gold is not null")
     second = (hashing.unit(F.lit("second"), "row_id", "kind", "key") - 0.5) * 6
-    return g, n.select("qtype", F.array("z").alias("z"), F.array(second).alias("y"), "gold")
+    return g, n.select("qtype", "z", second.alias("y"), "gold")
 
 
 GRID = f"""{GROUPED}, r_ as (select qtype, z, y, gold::double as gold from g_ where gold >= 0
@@ -158,10 +158,10 @@ o_ as (select *, row_number() over (partition by qtype order by brier, w, tau, b
 @query(f"with {GRID} select qtype, w, tau, b, round(brier, 6) as brier from o_ where rn = 1")
 def blend_grid(t):
     """For each question type the blend with the least Brier score: 2520 candidates for noul, 168 for the others; the first of equal ones holds."""
-    blend = F.zip_with("z", "y", lambda h, v: h * F.col("w") + (v + F.col("b")) / F.col("tau") * (1.0 - F.col("w")))
     several, single = blend_rows(t)
-    multi = search.blend_grid(several, prob.brier_multi(prob.softmax(blend), F.col("gold")), WEIGHTS, TAUS, [0.0])
-    noul = search.blend_grid(single, F.pow(prob.sigmoid(F.get(blend, F.lit(0))) - F.col("gold"), F.lit(2.0)), WEIGHTS, TAUS, BIASES)
+    multi = search.blend_grid_of_groups(several, WEIGHTS, TAUS)
+    p = prob.sigmoid(F.col("z") * F.col("w") + (F.col("y") + F.col("b")) / F.col("tau") * (1.0 - F.col("w")))
+    noul = search.blend_grid(single, F.pow(p - F.col("gold"), F.lit(2.0)), WEIGHTS, TAUS, BIASES)
     return multi.unionByName(noul)
 
 

@@ -188,3 +188,27 @@ def test_request_errors(spark):
     ]
     got = [r.e for r in spark.createDataFrame([(b,) for b in bodies], "b string").select(validate.request_error("b").alias("e")).collect()]
     assert got == ["body", "body", "body", "state", "model", "questions", None]
+
+
+def test_grid_of_groups(spark):
+    """Against a plain loop; empty and null arrays and rows without gold are left out."""
+    import random
+
+    from plumbline.operators import search
+
+    rng = random.Random(4)
+    rows = [("choice", [rng.gauss(0, 2) for _ in range(k)], [rng.gauss(0, 2) for _ in range(k)], float(rng.randrange(k))) for k in (1, 2, 3, 5) * 30]
+    schema = "qtype string, z array<double>, y array<double>, gold double"
+    df = spark.createDataFrame(rows + [("choice", [], [], 0.0), ("choice", None, None, 0.0), ("choice", [1.0], [1.0], -1.0), ("choice", [1.0], [1.0], None)], schema)
+    best = search.blend_grid_of_groups(df, [0.0, 0.5, 1.0], [0.5, 2.0]).collect()
+
+    def brier(w, tau):
+        out = 0.0
+        for _, z, y, gold in rows:
+            e = [math.exp(a * w + b / tau * (1 - w)) for a, b in zip(z, y)]
+            out += sum((x / sum(e) - (i == gold)) ** 2 for i, x in enumerate(e))
+        return round(out / len(rows), 12)
+
+    least = min(((brier(w, tau), i, w, tau) for i, (w, tau) in enumerate((w, tau) for w in (0.0, 0.5, 1.0) for tau in (0.5, 2.0))))
+    assert [(r.qtype, r.w, r.tau, r.brier) for r in best] == [("choice", least[2], least[3], round(least[0], 6))]
+    assert search.blend_grid_of_groups(df.where("false"), [0.0], [1.0]).count() == 0
