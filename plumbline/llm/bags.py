@@ -159,7 +159,9 @@ def _entries(parts: int, counts: np.ndarray, both: np.ndarray, p: np.ndarray, q:
             e, to = e[order], to[order]
             cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
             ends = np.r_[cuts[1:], len(to)]
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts], pa.int32()), pa.array([e[x:y].tobytes() for x, y in zip(cuts, ends)], pa.binary())], ["part", "entries"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[cuts], pa.int32()), pa.array([e[x:y].tobytes() for x, y in zip(cuts, ends)], pa.binary())], ["part", "entries"]
+            )
 
     return run
 

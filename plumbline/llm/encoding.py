@@ -75,7 +75,10 @@ def _cut(batches):
                 chunk.append(text[at:e])
                 key.append(xxhash.xxh3_128_digest(chunk[-1].encode("utf-8", "surrogatepass")))
                 at = e
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(chunk, pa.string())], ["row", "doc_id", "seq", "key", "chunk"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array(chunk, pa.string())],
+            ["row", "doc_id", "seq", "key", "chunk"]
+        )
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -118,7 +121,10 @@ def encode_chunks(name: str, folder: str | None):
                     head.append(c)
                     inner.append(None)
                     tail.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(head, pa.string()), pa.array(inner, pa.binary()), pa.array(tail, pa.string())], ["key", "head", "inner", "tail"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(head, pa.string()), pa.array(inner, pa.binary()), pa.array(tail, pa.string())],
+                ["key", "head", "inner", "tail"]
+            )
 
     return run
 
@@ -141,14 +147,23 @@ def assemble(pieces: list[tuple[str, bytes | None, str | None]], encode) -> np.n
 def encode_corpus(documents: DataFrame, tokenizer: str = tokens.DEFAULT, folder: str | None = None) -> DataFrame:
     """doc_id, ids (array of int) of every document."""
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = written(source.where("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut, "row long, doc_id long, seq int, key binary, chunk string"), "p7-chunks")
+    chunks = written(
+        source.where("text is not null and text <> ''").withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+            _cut, "row long, doc_id long, seq int, key binary, chunk string"
+        ),
+        "p7-chunks"
+    )
     total = chunks.count()
     hot = chunks.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, -(-total // HOT))).select("key", F.lit(True).alias("hot"))
-    coded = chunks.groupBy("key").agg(F.first("chunk").alias("chunk")).mapInArrow(encode_chunks(tokenizer, folder), "key binary, head string, inner binary, tail string")
+    coded = chunks.groupBy("key").agg(F.first("chunk").alias("chunk")).mapInArrow(
+        encode_chunks(tokenizer, folder), "key binary, head string, inner binary, tail string"
+    )
     salted = lambda df, salt: df.join(F.broadcast(hot), "key", "left").withColumn("salt", salt).drop("hot")
     places = salted(chunks.select("row", "doc_id", "seq", "key"), F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     coded = salted(coded, F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    whole = places.join(coded, ["key", "salt"]).groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "head", "inner", "tail"))).alias("pieces"))
+    whole = places.join(coded, ["key", "salt"]).groupBy("row", "doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "head", "inner", "tail"))).alias("pieces")
+    )
 
     def join(batches):
         encode = tokens.encoder(tokenizer, folder)
@@ -156,7 +171,9 @@ def encode_corpus(documents: DataFrame, tokenizer: str = tokens.DEFAULT, folder:
             ids = [assemble([(p["head"], p["inner"], p["tail"]) for p in pieces], encode) for pieces in batch.column("pieces").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["doc_id", "ids"]
+            )
 
     none = source.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return whole.mapInArrow(join, "doc_id long, ids array<int>").unionByName(none)

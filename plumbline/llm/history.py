@@ -42,7 +42,10 @@ def question_key(question: dict | None) -> int:
     """Of type, instructions, levels and options, the options in any order."""
     q = question or {}
     flat = lambda x: " ".join(w for v in wording.words(x) for w in v)
-    parts = [flat(q.get("type")), flat(q.get("instructions")), "\x1f".join(map(flat, q.get("levels") or [])), "\x1f".join(sorted(map(flat, q.get("options") or [])))]
+    parts = [
+        flat(q.get("type")), flat(q.get("instructions")), "\x1f".join(map(flat, q.get("levels") or [])),
+        "\x1f".join(sorted(map(flat, q.get("options") or [])))
+    ]
     return xxhash.xxh3_64_intdigest("\x1e".join(parts)) >> 1
 
 
@@ -82,12 +85,17 @@ def _records(batches):
             for column, value in zip(out, row):
                 column.append(value)
         types = (pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "batch_no", "ok", "qkey", "hash", "wkey", "n", "lens", "toks", "sizes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(out, types)], ["id", "batch_no", "ok", "qkey", "hash", "wkey", "n", "lens", "toks", "sizes"]
+        )
 
 
 def read_records(feedback: DataFrame) -> DataFrame:
     """Records with their question and wording as keys; those accepted (review.status confirmed) are ok."""
-    rows = feedback.select("id", F.col("batch_no").cast("int").alias("batch_no"), F.coalesce(F.lower(F.trim("review.status")) == "confirmed", F.lit(False)).alias("ok"), "question", "state", "state_sha256")
+    rows = feedback.select(
+        "id", F.col("batch_no").cast("int").alias("batch_no"), F.coalesce(F.lower(F.trim("review.status")) == "confirmed", F.lit(False)).alias("ok"),
+        "question", "state", "state_sha256"
+    )
     return rows.where("id is not null and batch_no is not null").mapInArrow(_records, RECORD)
 
 
@@ -134,7 +142,9 @@ def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: li
     single = np.r_[np.zeros(len(owner), bool), np.ones(len(alone), bool)]
     order = np.lexsort((found, single, found_rec))
     found_rec, found, found_size, single = found_rec[order], found[order], found_size[order], single[order]
-    change = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (found_rec[1:] != found_rec[:-1]) | (single[1:] != single[:-1])]) if len(found) else np.zeros(0, np.int64)
+    change = np.flatnonzero(
+        np.r_[True, (found[1:] != found[:-1]) | (found_rec[1:] != found_rec[:-1]) | (single[1:] != single[:-1])]
+    ) if len(found) else np.zeros(0, np.int64)
     times = np.arange(len(found)) - np.repeat(change, np.diff(np.r_[change, len(found)]))
     key = bags.mix(bags.mix(found, (times * 2 + single).astype(U)), space[found_rec].astype(U))
     return found_rec, key, found_size, single
@@ -149,7 +159,10 @@ def _table_rows(batches):
     for batch in bags.slices(batches, 0):
         n, q, k, lens, toks, sizes = _of(batch, "n", "qkey", "skey", "lens", "toks", "sizes")
         rec, key, size, _ = chunks_of(q, lens, toks, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(k[rec], pa.int64()), pa.array(n[rec], pa.int32()), pa.array(size, pa.int32())], ["chunk", "a", "na", "bytes"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64), pa.int64()), pa.array(k[rec], pa.int64()), pa.array(n[rec], pa.int32()), pa.array(size, pa.int32())],
+            ["chunk", "a", "na", "bytes"]
+        )
 
 
 PROBES = pa.schema([("chunk", pa.int64()), ("salt", pa.int32()), ("b", pa.int64()), ("nb", pa.int32()), ("need", pa.int64())])
@@ -258,8 +271,12 @@ def _lookup(path: str, new: DataFrame, known_to_all: DataFrame) -> DataFrame:
     spark = new.sparkSession
     old, kept = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/chunks")
     known = known_to_all.where("hash is not null and wkey is not null").groupBy("hash").agg(F.min("wkey").alias("known"))
-    keyed = lambda r: r.join(known, "hash", "left").select("id", "batch_no", "ok", "qkey", F.coalesce("known", "wkey", F.xxhash64("hash")).alias("skey")).distinct()
-    before = written(keyed(old.where("ok")).select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba")), "p2-before")
+    keyed = lambda r: r.join(known, "hash", "left").select(
+        "id", "batch_no", "ok", "qkey", F.coalesce("known", "wkey", F.xxhash64("hash")).alias("skey")
+    ).distinct()
+    before = written(
+        keyed(old.where("ok")).select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba")), "p2-before"
+    )
     after = written(keyed(new).select("qkey", F.col("skey").alias("b"), F.col("id").alias("later_id"), F.col("batch_no").alias("bb")), "p2-after")
     same = before.join(after.withColumnRenamed("b", "a"), ["qkey", "a"]).where("ba < bb").select("earlier_id", "later_id")
     # how often the chunks of the table are met, in buckets: BUCKETS numbers at most
@@ -285,9 +302,13 @@ def _lookup(path: str, new: DataFrame, known_to_all: DataFrame) -> DataFrame:
     # only pairs of which the accepted one may come first
     first, last = before.groupBy("qkey", "a").agg(F.min("ba").alias("first")), after.groupBy("qkey", "b").agg(F.max("bb").alias("last"))
     pairs = written(pairs.join(first, ["qkey", "a"]).join(last, ["qkey", "b"]).where("first < last").select("qkey", "a", "b"), "p2-pairs")
-    texts = old.withColumn("a", F.col("wkey")).join(pairs.select("a").distinct(), "a", "left_semi").groupBy("a").agg(*[F.first(c).alias(f"{x}a") for c, x in (("lens", "l"), ("toks", "t"), ("sizes", "z"))])
+    texts = old.withColumn("a", F.col("wkey")).join(pairs.select("a").distinct(), "a", "left_semi").groupBy("a").agg(
+        *[F.first(c).alias(f"{x}a") for c, x in (("lens", "l"), ("toks", "t"), ("sizes", "z"))]
+    )
     late = nodes.select("qkey", F.col("skey").alias("b"), F.col("lens").alias("lb"), F.col("toks").alias("tb"), F.col("sizes").alias("zb"))
-    near = pairs.join(texts, "a").join(late, ["qkey", "b"]).select("qkey", "a", "b", "la", "ta", "za", "lb", "tb", "zb").mapInArrow(_compare, "qkey long, a long, b long")
+    near = pairs.join(texts, "a").join(late, ["qkey", "b"]).select(
+        "qkey", "a", "b", "la", "ta", "za", "lb", "tb", "zb"
+    ).mapInArrow(_compare, "qkey long, a long, b long")
     other = near.join(before, ["qkey", "a"]).join(after, ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id")
     return same.unionByName(other).where("earlier_id <> later_id").distinct()
 

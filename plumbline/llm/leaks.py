@@ -224,7 +224,10 @@ def _found(wanted: np.ndarray, counts: bool):
                     continue
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(t[at], pa.int64()), pa.array(np.frombuffer(texts, np.int64)[at], pa.int64()), pa.array(np.frombuffer(places, np.int32)[at], pa.int32())], ["term", "th", "pos"]
+                    [
+                        pa.array(t[at], pa.int64()), pa.array(np.frombuffer(texts, np.int64)[at], pa.int64()),
+                        pa.array(np.frombuffer(places, np.int32)[at], pa.int32())
+                    ], ["term", "th", "pos"]
                 )
         if counts:
             some = np.flatnonzero(total)
@@ -262,8 +265,12 @@ def search(index: DataFrame, items: dict[str, Item]) -> DataFrame:
     # the table has at most as many rows as the items, whose size is checked, have terms
     meets = postings.join(F.broadcast(table), "term").withColumn("off", F.col("pos") - F.col("ipos"))
     low = F.floor(F.col("off") / F.col("band"))
-    meets = meets.select("item_id", "th", "ipos", "need", "in_item", F.explode(F.when(F.col("in_item"), F.array(low, low + 1)).otherwise(F.array(low))).alias("at"))
-    return meets.groupBy("item_id", "th", "in_item", "at").agg(F.count_distinct("ipos").alias("n"), F.max("need").alias("need")).where("n >= need").select("item_id", "th").distinct()
+    meets = meets.select(
+        "item_id", "th", "ipos", "need", "in_item", F.explode(F.when(F.col("in_item"), F.array(low, low + 1)).otherwise(F.array(low))).alias("at")
+    )
+    return meets.groupBy("item_id", "th", "in_item", "at").agg(
+        F.count_distinct("ipos").alias("n"), F.max("need").alias("need")
+    ).where("n >= need").select("item_id", "th").distinct()
 
 
 def leaked(items: DataFrame, surfaces: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -319,7 +326,9 @@ def training_surfaces(rows: DataFrame, passes: DataFrame) -> DataFrame:
     train = rows.where("split = 'train'").select("row_id", F.explode(F.array("state", "instructions")).alias("text"))
     mark = F.concat(F.lit("\n\n["), F.coalesce("qtype", F.lit("")), F.lit("] "))
     cut = passes.select("row_id", "text", mark.alias("mark")).withColumn("tail", F.expr("substring_index(text, mark, -1)"))
-    halves = F.when(F.col("text").contains(F.col("mark")), F.array(F.expr("left(text, length(text) - length(tail) - length(mark))"), F.col("tail"))).otherwise(F.array("text"))
+    halves = F.when(
+        F.col("text").contains(F.col("mark")), F.array(F.expr("left(text, length(text) - length(tail) - length(mark))"), F.col("tail"))
+    ).otherwise(F.array("text"))
     return train.unionByName(cut.select("row_id", F.explode(halves).alias("text")))
 
 

@@ -35,7 +35,9 @@ def records(passes: DataFrame, most_weight: float = MOST_WEIGHT) -> DataFrame:
     w = F.col("x.weight")
     weight = F.when(w.isNull() | F.isnan(w) | (w < 0) | (w > most_weight), F.lit(1.0)).otherwise(w)
     u = F.pmod(F.xxhash64(F.lit(SEED), "row_id", "kind", "key"), F.lit(1 << 52)) / float(1 << 52)
-    return latest.select("row_id", "kind", "key", F.col("x.pos").alias("pos"), source_of(F.col("row_id")).alias("source"), weight.alias("weight"), u.alias("u")).where("weight > 0")
+    return latest.select(
+        "row_id", "kind", "key", F.col("x.pos").alias("pos"), source_of(F.col("row_id")).alias("source"), weight.alias("weight"), u.alias("u")
+    ).where("weight > 0")
 
 
 def poisson_steps(mean: float, cap: int) -> list[float]:
@@ -63,8 +65,14 @@ def rates(base: DataFrame, targets: DataFrame, total: float | None = None) -> li
     """Per target: available weight, wanted weight and the steps of its distribution. targets is a small fixed table."""
     if targets.count() > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets can't be held by every worker")
-    rows = {r.source: r for r in targets.where("source is not null").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeat").alias("cap")).collect()}
-    hist = base.where(F.col("source").isin(list(rows))).groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("weight").alias("w")).collect() if rows else []
+    rows = {
+        r.source: r for r in targets.where("source is not null").groupBy(F.lower(F.trim("source")).alias("source")).agg(
+            F.max("target_share").alias("share"), F.max("max_repeat").alias("cap")
+        ).collect()
+    }
+    hist = base.where(F.col("source").isin(list(rows))).groupBy(
+        "source", F.floor(F.col("u") * BINS).cast("int").alias("bin")
+    ).agg(F.sum("weight").alias("w")).collect() if rows else []
     weights = {s: [0.0] * BINS for s in rows}
     for r in hist:
         weights[r.source][r.bin] += r.w
@@ -91,7 +99,14 @@ def rates(base: DataFrame, targets: DataFrame, total: float | None = None) -> li
                 else:
                     hi = mid
             steps = poisson_steps(hi, cap)
-        out.append({"source": s, "target_share": r.share, "max_repeat": r.cap, "available_weight": have[s], "wanted_weight": wanted, "steps": steps, "full_share": reach[s] / sum(reach.values()) if sum(reach.values()) else 0.0, "full_held_back": bool(asked[s] > 0 and reach[s] < asked[s] / (share or 1.0) * full * (1 - 1e-12) or asked[s] > 0 and not have[s]), "held_back": bool(have[s] == 0 and wanted > 0 or wanted > cap * have[s] * (1 + 1e-12))})
+        out.append(
+            {
+                "source": s, "target_share": r.share, "max_repeat": r.cap, "available_weight": have[s], "wanted_weight": wanted, "steps": steps,
+                "full_share": reach[s] / sum(reach.values()) if sum(reach.values()) else 0.0,
+                "full_held_back": bool(asked[s] > 0 and reach[s] < asked[s] / (share or 1.0) * full * (1 - 1e-12) or asked[s] > 0 and not have[s]),
+                "held_back": bool(have[s] == 0 and wanted > 0 or wanted > cap * have[s] * (1 + 1e-12))
+            }
+        )
     return out
 
 
@@ -118,13 +133,21 @@ def shares(passes: DataFrame, targets: DataFrame, total: float | None = None, mo
     names = [f.split()[0] for f in PLAN.split(", ")]
     steps = spark.createDataFrame([tuple(r[k] for k in names) for r in plan], PLAN)
     copies = F.expr("size(filter(steps, s -> u > s))")
-    got = base.join(F.broadcast(steps.select("source", "steps")), "source").groupBy("source").agg(F.sum(F.col("weight") * copies).alias("w"), F.sum(copies).alias("records"))
+    got = base.join(F.broadcast(steps.select("source", "steps")), "source").groupBy("source").agg(
+        F.sum(F.col("weight") * copies).alias("w"), F.sum(copies).alias("records")
+    )
     got = got.select("source", F.coalesce("w", F.lit(0.0)).alias("actual_weight"), F.coalesce("records", F.lit(0)).alias("records"))
     rows = {r.source: r for r in got.collect()}  # a row for each target
     whole = math.fsum(r.actual_weight for r in rows.values())
     out = [
-        (r["source"], r["target_share"], r["max_repeat"], r["available_weight"], r["wanted_weight"], w, n, w / whole if whole else 0.0, r["held_back"], r["full_share"], r["full_held_back"])
+        (
+            r["source"], r["target_share"], r["max_repeat"], r["available_weight"], r["wanted_weight"], w, n, w / whole if whole else 0.0,
+            r["held_back"], r["full_share"], r["full_held_back"]
+        )
         for r in plan
         for w, n in [(rows[r["source"]].actual_weight, rows[r["source"]].records) if r["source"] in rows else (0.0, 0)]
     ]
-    return spark.createDataFrame(out, "source string, target_share double, max_repeat int, available_weight double, wanted_weight double, actual_weight double, records long, actual_share double, held_back boolean, full_share double, full_held_back boolean")
+    return spark.createDataFrame(
+        out,
+        "source string, target_share double, max_repeat int, available_weight double, wanted_weight double, actual_weight double, records long, actual_share double, held_back boolean, full_share double, full_held_back boolean"
+    )

@@ -63,7 +63,10 @@ def normalise(batches):
             if got:
                 for column, value in zip(out, (rid, ev, *got)):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "ev", "cls", "n", "lens", "toks"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(out, (pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+            ["id", "ev", "cls", "n", "lens", "toks"]
+        )
 
 
 def parts_of(lens: bytes, toks: bytes) -> list[np.ndarray]:
@@ -273,12 +276,18 @@ def _partition(table: pa.Table) -> pa.Table:
     a, b = a[at], b[at]
     hot = np.unique(e[["cls", "side"]][big])
     m, h = len(a), len(hot)
-    both = lambda x, y, t: pa.concat_arrays([pa.array(x, t) if x is not None else pa.nulls(m, t), pa.array(y, t) if y is not None else pa.nulls(h, t)])
+    both = lambda x, y, t: pa.concat_arrays(
+        [pa.array(x, t) if x is not None else pa.nulls(m, t), pa.array(y, t) if y is not None else pa.nulls(h, t)]
+    )
     return pa.table(
         {
             "a": both(e["cls"][a], None, pa.int64()), "b": both(e["cls"][b], None, pa.int64()), "na": both(e["n"][a], None, pa.int32()), "nb": both(e["n"][b], None, pa.int32()),
-            "va": both(e["v"][a].astype(np.int32), None, pa.int32()), "vb": both(e["v"][b].astype(np.int32), None, pa.int32()), "dense": both(e["dense"][b].astype(np.int32), None, pa.int32()),
-            "mask": both(mask.view(np.int64), None, pa.int64()), "hot_cls": both(None, hot["cls"], pa.int64()), "hot_ev": both(None, hot["side"] == 1, pa.bool_()),
+            "va": both(e["v"][a].astype(np.int32), None, pa.int32()), "vb": both(e["v"][b].astype(np.int32), None, pa.int32()), "dense": both(
+                e["dense"][b].astype(np.int32), None, pa.int32()
+            ),
+            "mask": both(
+                mask.view(np.int64), None, pa.int64()
+            ), "hot_cls": both(None, hot["cls"], pa.int64()), "hot_ev": both(None, hot["side"] == 1, pa.bool_()),
         }
     )
 
@@ -287,7 +296,11 @@ def _compare(batches):
     """The near-same ones; most candidates are told apart by their words alone, all at once."""
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in ("a", "b", "la", "ta", "lb", "tb")}
-        keep = [i for i in bags.alike(cols["ta"], cols["tb"]).tolist() if wording.near_same(parts_of(cols["la"][i], cols["ta"][i]), parts_of(cols["lb"][i], cols["tb"][i]))]
+        keep = [
+            i for i in bags.alike(cols["ta"], cols["tb"]).tolist() if wording.near_same(
+                parts_of(cols["la"][i], cols["ta"][i]), parts_of(cols["lb"][i], cols["tb"][i])
+            )
+        ]
         yield pa.RecordBatch.from_arrays([pa.array([cols[c][i] for i in keep], pa.int64()) for c in ("a", "b")], ["a", "b"])
 
 
@@ -374,9 +387,13 @@ def near_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (cls, id, ev) and pairs (a, b) of near-same classes, a with evaluation and b with training members; records: id, ev (boolean), text.
 
     Records of one class have the same text; a class with members of both sides is no pair with itself."""
-    kept = records.select(F.col("id").cast("string"), F.col("ev").cast("boolean"), F.col("text").cast("string")).where("text is not null and ev is not null and id is not null")
+    kept = records.select(
+        F.col("id").cast("string"), F.col("ev").cast("boolean"), F.col("text").cast("string")
+    ).where("text is not null and ev is not null and id is not null")
     normal = written(kept.mapInArrow(normalise, NORMAL), "p6-words")
-    classes = normal.groupBy("cls").agg(F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"), F.max("ev").alias("ev"), (~F.min("ev")).alias("tr"))
+    classes = normal.groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("lens").alias("lens"), F.first("toks").alias("toks"), F.max("ev").alias("ev"), (~F.min("ev")).alias("tr")
+    )
     classes = written(classes, "p6-classes")
     candidates = written(candidates_of(classes, classes.count()), "p6-candidates")
     wanted = candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))).distinct()

@@ -104,7 +104,12 @@ def _pack(table: pa.Table) -> pa.Table:
     box = np.zeros(len(n), np.int64)
     some = n > 0
     box[some] = best_two_fit(n[some], cap)
-    return pa.table({"window_name": pa.array([name] * len(n), pa.string()), "container_id": pa.array((np.int64(group) << 32) + box, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int32()), "n_tokens": pa.array(n, pa.int32())})
+    return pa.table(
+        {
+            "window_name": pa.array([name] * len(n), pa.string()), "container_id": pa.array((np.int64(group) << 32) + box, pa.int64()),
+            "doc_id": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int32()), "n_tokens": pa.array(n, pa.int32())
+        }
+    )
 
 
 def fill_containers(items: DataFrame, windows: DataFrame) -> DataFrame:
@@ -112,11 +117,15 @@ def fill_containers(items: DataFrame, windows: DataFrame) -> DataFrame:
     items = written(items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n")), "p8-items")
     total = items.agg(F.sum("n").alias("n")).first().n or 0
     groups = max(1, -(-total // GROUP_TOKENS))
-    caps = windows.where("capacity_tokens > 0 and window_name is not null").select("window_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
+    caps = windows.where("capacity_tokens > 0 and window_name is not null").select(
+        "window_name", F.col("capacity_tokens").cast("int").alias("capacity")
+    ).distinct()
     some = caps.limit(MOST_WINDOWS + 1).collect()
     if len(some) > MOST_WINDOWS:
         raise ValueError(f"more than {MOST_WINDOWS} windows")
-    pairs = F.array(*[F.struct(F.lit(r.window_name).alias("window_name"), F.lit(r.capacity).alias("capacity")) for r in some]) if some else F.array().cast("array<struct<window_name: string, capacity: int>>")
+    pairs = F.array(
+        *[F.struct(F.lit(r.window_name).alias("window_name"), F.lit(r.capacity).alias("capacity")) for r in some]
+    ) if some else F.array().cast("array<struct<window_name: string, capacity: int>>")
     each = items.select("doc_id", "n", F.explode(pairs).alias("w")).select("doc_id", "n", "w.*")
     sizes = F.when(
         F.col("n") > F.col("capacity"),
@@ -138,4 +147,8 @@ def fill_report(containers: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window: containers, tokens, the least number of containers that could hold them, and the share filled."""
     boxes = containers.groupBy("window_name", "container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
     per = boxes.groupBy("window_name").agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("n").alias("tokens"))
-    return per.join(windows, "window_name").select("window_name", "capacity_tokens", "containers", "items", "tokens", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled"))
+    return per.join(windows, "window_name").select(
+        "window_name", "capacity_tokens", "containers", "items", "tokens",
+        F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
+        F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled")
+    )

@@ -50,11 +50,18 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("row_id", "split", tokens.source_of(F.col("row_id")).alias("source"))
     pairs = p6_found(spark, sf_dir)
     for x in "ab":
-        pairs = pairs.join(rows.select(F.col("row_id").alias(f"row_id_{x}"), F.col("split").alias(f"split_{x}"), F.col("source").alias(f"source_{x}")), f"row_id_{x}")
+        pairs = pairs.join(
+            rows.select(F.col("row_id").alias(f"row_id_{x}"), F.col("split").alias(f"split_{x}"), F.col("source").alias(f"source_{x}")), f"row_id_{x}"
+        )
     first = F.col("split_a") != "train"
     pick = lambda c, ev: F.when(first if ev else ~first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    pairs = pairs.select(pick("split", True).alias("eval_split"), pick("source", True).alias("eval_source"), pick("source", False).alias("train_source"), pick("row_id", True).alias("ev"), pick("row_id", False).alias("tr"))
-    return pairs.groupBy("eval_split", "eval_source", "train_source").agg(F.count("*").alias("pairs"), F.count_distinct("ev").alias("eval_rows"), F.count_distinct("tr").alias("train_rows"))
+    pairs = pairs.select(
+        pick("split", True).alias("eval_split"), pick("source", True).alias("eval_source"), pick("source", False).alias("train_source"),
+        pick("row_id", True).alias("ev"), pick("row_id", False).alias("tr")
+    )
+    return pairs.groupBy("eval_split", "eval_source", "train_source").agg(
+        F.count("*").alias("pairs"), F.count_distinct("ev").alias("eval_rows"), F.count_distinct("tr").alias("train_rows")
+    )
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +81,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_mixture, p1_shares, p2_found, p3_counts, p3_totals, p4_sample, p5_found, p6_found, p6_report, p7_ids, p8_containers, p8_fill, p9_found)}
+    return {
+        f.__name__: f for f in (
+            p1_mixture, p1_shares, p2_found, p3_counts, p3_totals, p4_sample, p5_found, p6_found, p6_report, p7_ids, p8_containers, p8_fill, p9_found
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

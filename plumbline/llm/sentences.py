@@ -56,7 +56,9 @@ REPORT = set(
     "कहा पूछा बोला बोली बताया سأل قال أجاب سألت قالت أجابت رد صاح".split()
 )
 ASKING = set("who what when where why how which is are was were do does did has have had can could will would should may".split())
-STARTERS = set("the this these that we i it he she they you there our my his her its their no if because since who what some most all every please nobody neither was is does".split())
+STARTERS = set(
+    "the this these that we i it he she they you there our my his her its their no if because since who what some most all every please nobody neither was is does".split()
+)
 GERMAN = set("der die das den dem des und ist kam am um im ein eine nach vor mit ohne über nicht wer weil seit vom zum".split())
 
 OPEN = {"“": "”", "„": "“”", "«": "»", "‹": "›", "(": ")", "[": "]", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "［": "］", "‘": "’", "{": "}"}
@@ -298,7 +300,11 @@ def _split(t: str, cased: bool, doc: Document, corpus: Evidence) -> list[tuple[i
             word = WORD.match(t, n)
             if word and len(word[0]) == 1 and cased and nxt.isupper() and re.match(r"\.\s", t[n + 1 : n + 3]) and len(token) > 2 and token.islower() and common(token):
                 return True
-            return bool(word and nxt.isupper() and cased and "." not in token and "@" not in token and "/" not in token and len(token) > 2 and (t[i - 1].islower() or t[i - 1].isdigit() or t[i - 1] in CLOSE) and len(word[0]) > 1 and not re.match(r"_|\.\w", t[n + len(word[0]) : n + len(word[0]) + 2]))
+            return bool(
+                word and nxt.isupper() and cased and "." not in token and "@" not in token and "/" not in token and len(token) > 2 and (
+                    t[i - 1].islower() or t[i - 1].isdigit() or t[i - 1] in CLOSE
+                ) and len(word[0]) > 1 and not re.match(r"_|\.\w", t[n + len(word[0]) : n + len(word[0]) + 2])
+            )
         if nxt in ",;:)]%":
             return False
         if thai and (THAI.match(nxt) or THAI.match(t[i - 1])):
@@ -337,7 +343,9 @@ def _split(t: str, cased: bool, doc: Document, corpus: Evidence) -> list[tuple[i
                 return nxt.isupper() and bool(after) and (common(after) or not letters.isupper()) or nxt in OPEN
             if not any(c.islower() or c.isupper() for c in letters):
                 return False
-            return bool(after) and common(after) and not (len(letters) == 1 and letters.isupper() and not re.search(r"\d\s*$", t[max(0, left - 2) : left]) and not after.istitle())
+            return bool(after) and common(after) and not (
+                len(letters) == 1 and letters.isupper() and not re.search(r"\d\s*$", t[max(0, left - 2) : left]) and not after.istitle()
+            )
         if key in EITHER or last in EITHER and "." in key:
             if nxt.isdigit():
                 return False
@@ -511,7 +519,10 @@ def _count(batches):
                 counts["a", w.lower()] += n
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "word", "n"]
+            [
+                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+                pa.array([counts[k] for k in keys], pa.int64())
+            ], ["kind", "word", "n"]
         )
 
 
@@ -557,6 +568,8 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ids.append(d)
                     starts.append(a)
                     stops.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], [id_col, "start_char", "end_char"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], [id_col, "start_char", "end_char"]
+            )
 
     return source.where(F.col("text").isNotNull()).mapInArrow(cut, f"{id_col} long, start_char long, end_char long")

@@ -139,12 +139,16 @@ def _words_by_language(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             counts.setdefault(lang, Counter()).update(set(WORD.findall(text.lower())))
         rows = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"]
+        )
 
 
 def fit_languages(documents: DataFrame) -> Languages:
     """Fitted on at most about FITTED documents that state a language; no such documents give a model that goes by scripts alone."""
-    labelled = documents.select(language(F.col("lang"), F.lit(None).cast("string")).alias("lang"), "text").where("lang is not null and text is not null and text <> ''")
+    labelled = documents.select(
+        language(F.col("lang"), F.lit(None).cast("string")).alias("lang"), "text"
+    ).where("lang is not null and text is not null and text <> ''")
     have = labelled.count()
     some = labelled.sample(FITTED / have, seed=5) if have > FITTED else labelled
     counts = some.mapInArrow(_words_by_language, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -211,7 +215,9 @@ def count_texts(texts: DataFrame, keys: list[str], text_col: str = "text", token
                     pieces.append(p)
                     salt.append(k)
             taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(i) for i in range(len(keys))] + [pa.array(pieces, pa.string()), pa.array(salt, pa.int64())], keys + ["__text", "__salt"])
+            yield pa.RecordBatch.from_arrays(
+                [taken.column(i) for i in range(len(keys))] + [pa.array(pieces, pa.string()), pa.array(salt, pa.int64())], keys + ["__text", "__salt"]
+            )
 
     small = source.where(~large | F.col("__text").isNull()).mapInArrow(count, schema)
     if not is_cuttable(tokenizer):
@@ -222,7 +228,9 @@ def count_texts(texts: DataFrame, keys: list[str], text_col: str = "text", token
     pieces = cuts.select(*ks, "__text").mapInArrow(cut, ", ".join(spark_types) + ", __row long, __text string, __salt long")
     spread = pieces.repartition(F.xxhash64("__row", "__salt")).select(*ks, "__text")
     counted = spread.mapInArrow(count, ", ".join(spark_types) + ", __row long, n_tokens long, guessed string")
-    whole = counted.groupBy(*ks).agg(F.sum("n_tokens").alias("n_tokens"), F.max_by("guessed", "n_tokens").alias("guessed")).select(*keys0, "n_tokens", "guessed")
+    whole = counted.groupBy(*ks).agg(
+        F.sum("n_tokens").alias("n_tokens"), F.max_by("guessed", "n_tokens").alias("guessed")
+    ).select(*keys0, "n_tokens", "guessed")
     return small.unionByName(whole)
 
 
@@ -241,10 +249,20 @@ def token_counts(passes: DataFrame, documents: DataFrame, tokenizer: str = DEFAU
     """One row per text: origin, row_id, kind, key, pos, doc_id, source, lang, domain, n_tokens."""
     model = fit_languages(documents)
     p = count_texts(passes.select("row_id", "kind", "key", "pos", "text"), ["row_id", "kind", "key", "pos"], "text", tokenizer, folder, "\n\n[", model)
-    d = count_texts(documents.select("doc_id", "source", "lang", "domain", "text"), ["doc_id", "source", "lang", "domain"], "text", tokenizer, folder, None, model)
+    d = count_texts(
+        documents.select("doc_id", "source", "lang", "domain", "text"), ["doc_id", "source", "lang", "domain"], "text", tokenizer, folder, None, model
+    )
     none = lambda t, n: F.lit(None).cast(t).alias(n)
-    p = p.select(F.lit("passes").alias("origin"), "row_id", "kind", "key", "pos", none("long", "doc_id"), F.coalesce(source_of(F.col("row_id")), F.lit("unknown")).alias("source"), F.col("guessed").alias("lang"), F.lit("unknown").alias("domain"), "n_tokens")
-    d = d.select(F.lit("documents").alias("origin"), none("string", "row_id"), none("string", "kind"), none("string", "key"), none("int", "pos"), "doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), language(F.col("lang"), F.col("guessed")).alias("lang"), F.coalesce("domain", F.lit("unknown")).alias("domain"), "n_tokens")
+    p = p.select(
+        F.lit("passes").alias("origin"), "row_id", "kind", "key", "pos", none("long", "doc_id"),
+        F.coalesce(source_of(F.col("row_id")), F.lit("unknown")).alias("source"), F.col("guessed").alias("lang"), F.lit("unknown").alias("domain"),
+        "n_tokens"
+    )
+    d = d.select(
+        F.lit("documents").alias("origin"), none("string", "row_id"), none("string", "kind"), none("string", "key"), none("int", "pos"), "doc_id",
+        F.coalesce("source", F.lit("unknown")).alias("source"), language(F.col("lang"), F.col("guessed")).alias("lang"),
+        F.coalesce("domain", F.lit("unknown")).alias("domain"), "n_tokens"
+    )
     return p.unionByName(d)
 
 
@@ -254,4 +272,6 @@ def token_totals(counts: DataFrame) -> DataFrame:
     one = lambda name, *by: t.groupBy(*by).agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).select(
         F.lit(name).alias("slice"), *[(F.col(c) if c in by else F.lit(None).cast("string")).alias(c) for c in ("source", "lang", "domain")], "texts", "tokens"
     )
-    return one("source", "source").unionByName(one("lang", "lang")).unionByName(one("domain", "domain")).unionByName(one("source_lang_domain", "source", "lang", "domain")).unionByName(one("all"))
+    return one("source", "source").unionByName(one("lang", "lang")).unionByName(one("domain", "domain")).unionByName(
+        one("source_lang_domain", "source", "lang", "domain")
+    ).unionByName(one("all"))

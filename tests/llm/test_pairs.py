@@ -77,7 +77,10 @@ def corpus():
     base = rng.choices(v, k=80)
     for i in range(120):  # a cluster of near copies
         rows.append((f"c-{i}", i % 2 == 0, " ".join(edited(rng, base, 0.04))))
-    rows += [("x-1", True, None), ("x-2", False, None), ("x-3", True, ""), ("x-4", False, ""), ("x-5", True, "…"), rows[0], rows[501], ("y-1", True, "abc def"), ("y-2", False, "ABC, def!")]
+    rows += [
+        ("x-1", True, None), ("x-2", False, None), ("x-3", True, ""), ("x-4", False, ""), ("x-5", True, "…"), rows[0], rows[501],
+        ("y-1", True, "abc def"), ("y-2", False, "ABC, def!")
+    ]
     return rows
 
 
@@ -122,7 +125,10 @@ def test_hot_starts_are_routed(spark, monkeypatch):
 
 def feedback_rows(rng):
     v = voc(rng)
-    questions = [("noul", "Is it so?", None, None), ("choice", "Which one?", ["a b", "c"], None), ("choice", "which  ONE", ["C", "A b"], None), ("score", "How good?", None, ["1", "2"]), None]
+    questions = [
+        ("noul", "Is it so?", None, None), ("choice", "Which one?", ["a b", "c"], None), ("choice", "which  ONE", ["C", "A b"], None),
+        ("score", "How good?", None, ["1", "2"]), None
+    ]
     rows = []
     for i in range(400):
         if rows and rng.random() < 0.4:
@@ -413,8 +419,16 @@ def test_chunks_survive_edits():
 def test_short_items_and_items_mostly_of_stock_are_found(spark):
     """Items with fewer terms than a whole wording usually needs, carried word by word or with what may be changed."""
     stock = "These are the general words that stand on the back of each and every one of our papers here."
-    items = [(f"s-{i}", f"{stock} {w}") for i, w in enumerate(" ".join(x) for x in zip("amber bold crisp dense eager frail grand harsh ivory jolly keen lofty".split(), ["otter"] * 12, "runs swims digs hides eats hunts naps sings dives barks plays waits".split()))]
-    items += [("f-4", "green tractors hum softly"), ("f-6", "the quiet engine turns over twice"), ("f-1", "xylograph"), ("f-v", '{"a": "yes", "b": "zymurgist", "c": "quoin"}')]
+    items = [
+        (f"s-{i}", f"{stock} {w}") for i,
+        w in enumerate(
+            " ".join(x) for x in zip("amber bold crisp dense eager frail grand harsh ivory jolly keen lofty".split(), ["otter"] * 12, "runs swims digs hides eats hunts naps sings dives barks plays waits".split())
+        )
+    ]
+    items += [
+        ("f-4", "green tractors hum softly"), ("f-6", "the quiet engine turns over twice"), ("f-1", "xylograph"),
+        ("f-v", '{"a": "yes", "b": "zymurgist", "c": "quoin"}')
+    ]
     its = spark.createDataFrame(items, "item_id string, state_str string")
     rows = [(f"r-{n}", f"before it stands much else and then {t if t[0] != '{' else 'yes zymurgist quoin'} and so on it goes") for n, t in items]
     rows += [("r-none", "nothing of the kind is in this text about a tractor"), ("r-edit", f"well {stock.replace('general', 'usual')} amber otter runs away")]

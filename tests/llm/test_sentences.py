@@ -15,11 +15,26 @@ CASES = [
     ["J. M. Noro of Zamo Ltd. in March went home.", "We did it for Keba & Co.", "The next went well."],
     ["(The bill was seen by Mr. Oru twice.)", "[It was mild!]", "They asked why (“keen, isn't it?”) it stood."],
     ["Stop!", "Hm?", "Well... the correction was noted.", "Zeke waited… then left."],
-    ["Vgl. Abs. 4 der Frist, d. h. die Karte.", "Die 3. Übersicht kam am 2. 8. 2021 an.", "Am 5. Mai kam er.", "Prof. Tineto sagte: „Die Karte ist da.“", "Wer kam?", "„Ist sie da?“, fragte Hisi."],
-    ["« La note est-elle là ? » demanda Hisila.", "M. Gapafe rejeta la décision no 874, p. ex. avant le contrôle.", "Selon Mme Palo, elle suffit !", "L'an 2026, J.-P. Sife archiva 85 fiches… sans la clause."],
-    ["Según el art. 7, la alarma de D. Jalu es húmeda.", "El Dr. Gobo midió la ficha de EE. UU. el fin de semana.", "¿De verdad...?", "«¿Está abierta?», preguntó Sade."],
-    ["Ks. liite 22, jossa raja ym. siirtyi.", "Kokous on 3. päivä klo 17.22 mennessä.", "”Onko sääntö vanha?” kysyi Savi.", "Hinta nousi 3,8 %:iin!", "Tri Mole mittasi asiakirjan nro 790."],
-    ["В 2024 г. Lortu вернул карту, т. е. карту и очередь.", "Это стоило 456 тыс. руб., т. к. Sulbe ушёл.", "Неужели?!", "«Где ответ?» — спросил Jarota.", "Zomeno сказал: «Я вернул сводку».", "Цена выросла до 32,43 руб. за очередь."],
+    [
+        "Vgl. Abs. 4 der Frist, d. h. die Karte.", "Die 3. Übersicht kam am 2. 8. 2021 an.", "Am 5. Mai kam er.",
+        "Prof. Tineto sagte: „Die Karte ist da.“", "Wer kam?", "„Ist sie da?“, fragte Hisi."
+    ],
+    [
+        "« La note est-elle là ? » demanda Hisila.", "M. Gapafe rejeta la décision no 874, p. ex. avant le contrôle.",
+        "Selon Mme Palo, elle suffit !", "L'an 2026, J.-P. Sife archiva 85 fiches… sans la clause."
+    ],
+    [
+        "Según el art. 7, la alarma de D. Jalu es húmeda.", "El Dr. Gobo midió la ficha de EE. UU. el fin de semana.", "¿De verdad...?",
+        "«¿Está abierta?», preguntó Sade."
+    ],
+    [
+        "Ks. liite 22, jossa raja ym. siirtyi.", "Kokous on 3. päivä klo 17.22 mennessä.", "”Onko sääntö vanha?” kysyi Savi.",
+        "Hinta nousi 3,8 %:iin!", "Tri Mole mittasi asiakirjan nro 790."
+    ],
+    [
+        "В 2024 г. Lortu вернул карту, т. е. карту и очередь.", "Это стоило 456 тыс. руб., т. к. Sulbe ушёл.", "Неужели?!",
+        "«Где ответ?» — спросил Jarota.", "Zomeno сказал: «Я вернул сводку».", "Цена выросла до 32,43 руб. за очередь."
+    ],
     ["د. Pingri رفض الحوالة رقم 387.", "«أين الفاتورة؟» سأل Quopa.", "بلغ السعر 220.87 د.إ. بعد أن نقل Lema النموذج.", "هل قاس Nosi الرف؟"],
     ["रु. 363.79 का बिल Nivavi ने लिखा।", "“यह पुराना है।” Pinja ने कहा।", "“क्या समय है?” Bemar ने पूछा।", "अरे!", "डॉ. Logri ने लिखा।"],
     ["V3.5.8 판에서 조항을 옮겼다!", "“봤습니까?”라고 Maso 씨가 물었다.", "2034. 10. 27. 회의에서 취소했다."],
@@ -33,7 +48,10 @@ def test_spaced(want):
 
 
 def test_unspaced():
-    zh = ["“账户扫描了吗？”鹭皓问。", "阙栖皓说：“清单已经分类！”", "翎禾扫描了528份公告。", "“楼梯整齐吗？”“不，已经推迟。”两人说完就走了。", "闹钟（含迟到的货架。）由鹭稷测量。", "“诊所很空闲。”柜台的人说，“请提前更正。”", "铎枫写道：“桥梁……算了。”", "据No. 98号秤砣，归档了240.85kg菜单。", "谁拒绝了合同？！"]
+    zh = [
+        "“账户扫描了吗？”鹭皓问。", "阙栖皓说：“清单已经分类！”", "翎禾扫描了528份公告。", "“楼梯整齐吗？”“不，已经推迟。”两人说完就走了。", "闹钟（含迟到的货架。）由鹭稷测量。", "“诊所很空闲。”柜台的人说，“请提前更正。”",
+        "铎枫写道：“桥梁……算了。”", "据No. 98号秤砣，归档了240.85kg菜单。", "谁拒绝了合同？！"
+    ]
     assert cut("".join(zh)) == zh
     ja = ["「黄色い検査ですね。」「はい、黛禾が訂正した。」と二人は話した。", "枫棠さん、付録が……欠けたようです！", "検査（遅いものを除く。）は週末に見落とした。"]
     assert cut("".join(ja)) == ja
@@ -105,7 +123,14 @@ def test_the_corpus_tells_what_no_list_knows(spark, monkeypatch):
     """Invented abbreviations before numbers and names, in documents that don't show them otherwise; both lists are emptied."""
     monkeypatch.setattr(S, "BEFORE", set())
     monkeypatch.setattr(S, "EITHER", set())
-    kinds = [("The load is zorb. {n} on and on.", 0), ("Der Wert klst. {n} gilt.", 0), ("La part vlmr. {n} reste.", 0), ("El tipo trqn. {n} vale.", 0), ("Arvo hylk. {n} on hyvä.", 0), ("मूल्य टी. {n} है।", 0)]
-    rows = [(i, kinds[i % 6][0].format(n=i) + (" It was late here so far. The end of it is late. It went on to the day here." if i % 6 == 0 else "")) for i in range(180)]
+    kinds = [
+        ("The load is zorb. {n} on and on.", 0), ("Der Wert klst. {n} gilt.", 0), ("La part vlmr. {n} reste.", 0), ("El tipo trqn. {n} vale.", 0),
+        ("Arvo hylk. {n} on hyvä.", 0), ("मूल्य टी. {n} है।", 0)
+    ]
+    rows = [
+        (
+            i, kinds[i % 6][0].format(n=i) + (" It was late here so far. The end of it is late. It went on to the day here." if i % 6 == 0 else "")
+        ) for i in range(180)
+    ]
     got = S.sentences(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").count().collect()
     assert {(r.doc_id % 6, r["count"]) for r in got} == {(0, 4), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)}

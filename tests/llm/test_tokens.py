@@ -59,15 +59,28 @@ def test_counts_of_oversized_texts(spark, monkeypatch):
     for name in ("piece_bpe_32k", "word_bpe_49k", "byte_bpe_multi_50k"):
         other = tokens.encoder(name)
         few = df.where("doc_id < 6")
-        assert sorted(r.n_tokens for r in tokens.count_texts(few, ["doc_id"], tokenizer=name).collect()) == sorted(len(x) if t else 0 for t, x in zip(ODD[:6], other(ODD[:6])))
+        assert sorted(
+            r.n_tokens for r in tokens.count_texts(few, ["doc_id"], tokenizer=name).collect()
+        ) == sorted(len(x) if t else 0 for t, x in zip(ODD[:6], other(ODD[:6])))
 
 
 def test_totals(spark):
-    passes = spark.createDataFrame([("zhnli-1", "noul", None, 0, "他说。\n\n[noul] 是吗\nanswer:", 1), ("a-2", "choice_opt", "k", 1, None, 2)], "row_id string, kind string, key string, pos int, text string, n_tokens int")
-    docs = spark.createDataFrame([(1, "The cat of the house is in.", "s", None, None), (2, None, None, "en-GB", "d"), (3, "Хорошо сказано", "s", "und", "d")] + [(10 + i, t, "s", k, "d") for i, (t, k) in enumerate([("the cat is in the house", "en"), ("a house of the cat", "en_US"), ("kissa on talossa", "fi"), ("talo on kissan", "fi")])], "doc_id long, text string, source string, lang string, domain string")
+    passes = spark.createDataFrame(
+        [("zhnli-1", "noul", None, 0, "他说。\n\n[noul] 是吗\nanswer:", 1), ("a-2", "choice_opt", "k", 1, None, 2)],
+        "row_id string, kind string, key string, pos int, text string, n_tokens int"
+    )
+    docs = spark.createDataFrame(
+        [(1, "The cat of the house is in.", "s", None, None), (2, None, None, "en-GB", "d"), (3, "Хорошо сказано", "s", "und", "d")] + [
+            (10 + i, t, "s", k, "d") for i,
+            (t, k) in enumerate([("the cat is in the house", "en"), ("a house of the cat", "en_US"), ("kissa on talossa", "fi"), ("talo on kissan", "fi")])
+        ],
+        "doc_id long, text string, source string, lang string, domain string"
+    )
     counts = tokens.token_counts(passes, docs)
     rows = counts.collect()
-    assert {(r.doc_id, r.lang) for r in rows if r.doc_id and r.doc_id < 10} == {(1, "en"), (2, "en"), (3, "ru")} and next(r.lang for r in rows if r.row_id == "zhnli-1") == "zh"
+    assert {
+        (r.doc_id, r.lang) for r in rows if r.doc_id and r.doc_id < 10
+    } == {(1, "en"), (2, "en"), (3, "ru")} and next(r.lang for r in rows if r.row_id == "zhnli-1") == "zh"
     totals = tokens.token_totals(counts).collect()
     whole = sum(r.n_tokens for r in rows)
     for name in ("source", "lang", "domain", "all", "source_lang_domain"):
@@ -109,8 +122,14 @@ def passes(spark, n):
     import datetime
 
     t = datetime.datetime(2025, 1, 1)
-    rows = [(f"{s}-{i}", "noul", None, 0, w, t) for s, k, w in (("big", n, 1.0), ("small", n // 20, None), ("rare", n // 100, 0.5), ("other", n, 1.0)) for i in range(k)]
-    rows += [("big-0", "noul", None, 0, -4.0, t + datetime.timedelta(days=1)), ("small-1", "x", "k", 1, 0.0, t), (None, "x", "k", 1, 1.0, t), ("big-7", "x", "k", 1, 25.0, None)]
+    rows = [
+        (f"{s}-{i}", "noul", None, 0, w, t) for s, k,
+        w in (("big", n, 1.0), ("small", n // 20, None), ("rare", n // 100, 0.5), ("other", n, 1.0)) for i in range(k)
+    ]
+    rows += [
+        ("big-0", "noul", None, 0, -4.0, t + datetime.timedelta(days=1)), ("small-1", "x", "k", 1, 0.0, t), (None, "x", "k", 1, 1.0, t),
+        ("big-7", "x", "k", 1, 25.0, None)
+    ]
     return spark.createDataFrame(rows, PASS)
 
 
@@ -129,7 +148,10 @@ def test_mixture_shares(spark):
     assert all(r.n <= caps[r.source] for r in copies)
     assert abs(m.where("source = 'small'").agg(F.sum("weight")).first()[0] - got["small"].actual_weight) < 1e-6
     # as large as all there is, scarce sources stop at their caps and are told
-    full = {s: min(share / 0.9 * sum(g.available_weight for g in got.values()), caps[s] * got[s].available_weight) for s, share in (("big", 0.5), ("small", 0.3), ("rare", 0.1))}
+    full = {
+        s: min(share / 0.9 * sum(g.available_weight for g in got.values()), caps[s] * got[s].available_weight) for s,
+        share in (("big", 0.5), ("small", 0.3), ("rare", 0.1))
+    }
     assert all(abs(got[s].full_share - w / sum(full.values())) < 1e-9 for s, w in full.items()) and got["gone"].full_held_back
     assert {s for s in full if got[s].full_held_back} == {s for s in full if full[s] == caps[s] * got[s].available_weight} != set()
     first = [tuple(r) for r in m.collect()]
@@ -163,7 +185,9 @@ def test_thresholds_are_kept(spark, tmp_path):
     """A rate that is lowered later loses nobody; a raised one adds."""
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(f"a-{i}",) for i in range(3000)], "row_id string")
-    take = lambda rate: {r.row_id for r in sampling.stable_sample(rows, sampling.kept_thresholds(spark, path, {"a": rate}), {"a": rate}).collect()}
+    take = lambda rate: {
+        r.row_id for r in sampling.stable_sample(rows, sampling.kept_thresholds(spark, path, {"a": rate}), {"a": rate}).collect()
+    }
     first, lower, higher = take(0.3), take(0.1), take(0.5)
     assert first == lower and first < higher and take(0.2) == higher
 
@@ -172,7 +196,9 @@ def test_languages_of_held_out_documents(spark, data):
     """Fitted on three quarters of the documents, right on the others as far as their labels are."""
     d = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = tokens.fit_languages(d.where("doc_id % 4 > 0"))
-    rows = d.where("doc_id % 4 = 0 and lang is not null and length(text) > 40").select(tokens.language(F.col("lang"), F.lit(None)).alias("lang"), "text").collect()
+    rows = d.where("doc_id % 4 = 0 and lang is not null and length(text) > 40").select(
+        tokens.language(F.col("lang"), F.lit(None)).alias("lang"), "text"
+    ).collect()
     right = sum(model.of(r.text) == r.lang for r in rows)
     assert len(rows) > 100 and right / len(rows) > 0.9 and len(model.names) >= 10
     assert model.of(None) == model.of("") == "und" and model.of("1234 ...") == "und"
