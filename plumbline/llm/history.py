@@ -4,12 +4,16 @@ The words of a state are cut where a rolling hash (its window is the word just r
 mean, whatever the borders of values. A changed, dropped or added word destroys two chunks at most, and where values stand in another order each
 border destroys the one that lies across it, and so do the ends; so of the c chunks of a state at least c - d stand in every near-same one:
 d = 2 e, with e = n/7 edits at most, and v + 1 more if it has v > 1 values. A persistent table tells which states hold a chunk (a chunk met the second time in a state
-counts as another one). A new batch looks up the d + BEYOND chunks of each state that are rarest in the table: all but d of them are
-left in every near-same state. The few states with at most d chunks are also kept and looked up word by word (e + BEYOND words), so short and
-repetitive states lose nothing either.
+counts as another one).
 
-The table yields how many bytes two states share. Pairs are decided by coverage: the shared bytes must be at least all but those of the
-d largest chunks, on both sides, which each near-same pair keeps; an exact comparison follows. Then the chunks of the accepted records are
+The two chunks that an edit destroys are neighbours. So of chunks that are no neighbours of each other each edit destroys one at most, and another order of
+values none if the first chunk of each value and the last of all are left out. A new batch looks up e + BEYOND such chunks of each state, the rarest in
+the table: all but e of them are left in every near-same state. States with at most e such chunks look up the d + BEYOND rarest of all
+their chunks instead, and of those the ones with at most d chunks are also kept and looked up word by word (e + BEYOND words), so short and repetitive
+states lose nothing either. Where the lengths of both states are known, e is that of the longer one.
+
+Pairs are decided by coverage: the shared bytes must be at least all but those of the d largest chunks, on both sides, which each near-same pair
+keeps; an exact comparison follows. Then the chunks of the accepted records are
 appended. `repeats` does the same for a whole table: it appends all batches and looks all up, and the batch
 numbers decide which comes first. Taken as given: where the order of values differs, no value of the one is divided in the other.
 
@@ -28,11 +32,11 @@ from pyspark.sql import functions as F
 
 from . import bags, wording
 from .overlap import parts_of
-from .store import fresh, written
+from .store import append_to, drop, fresh, shuffles_dropped, written
 
 RECORD = "id string, batch_no int, ok boolean, qkey long, hash string, wkey long, n int, lens binary, toks binary, sizes binary"
 #: Words of a chunk on the mean, and chunks that are looked up beyond those that edits can destroy.
-MEAN, BEYOND = 2, 4
+MEAN, BEYOND = 2, 2
 #: Shares of the table from which a bucket of chunks is salted, and rows of one salt.
 HOT, SALTED = 1000, 100_000
 U = np.uint64
@@ -120,6 +124,11 @@ def values_of(lens: list[bytes]) -> np.ndarray:
 
 def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: list[bytes]):
     """record, key, bytes and whether it is a single word, of every chunk of the states; keys differ by space and by how often a chunk was met in its state."""
+    return _placed(space, lens, toks, sizes)[:4]
+
+
+def _placed(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: list[bytes]):
+    """The same with the place of each chunk among all, and whether it is met the first time and no other order of values destroys it."""
     word = np.frombuffer(b"".join(toks), np.int32).astype(np.int64).astype(U)
     size = np.frombuffer(b"".join(sizes), np.uint8).astype(np.int64)
     many = np.array([len(t) // 4 for t in toks], np.int64)
@@ -128,7 +137,8 @@ def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: li
     last[np.cumsum(many[many > 0]) - 1] = True
     with np.errstate(over="ignore"):
         roll = bags.mix(word, np.zeros(len(word), U))
-        end = np.flatnonzero(((roll >> U(20)) % U(MEAN) == 0) | last) + 1
+        ends = (roll >> U(20)) % U(MEAN) == 0
+        end = np.flatnonzero(ends | last) + 1
         begin = np.r_[0, end[:-1]] if len(end) else end
         power = np.cumprod(np.r_[U(1), np.full(len(word), INVERSE)])
         back = np.cumprod(np.r_[U(1), np.full(len(word), POWER)])
@@ -147,7 +157,22 @@ def chunks_of(space: np.ndarray, lens: list[bytes], toks: list[bytes], sizes: li
     ) if len(found) else np.zeros(0, np.int64)
     times = np.arange(len(found)) - np.repeat(change, np.diff(np.r_[change, len(found)]))
     key = bags.mix(bags.mix(found, (times * 2 + single).astype(U)), space[found_rec].astype(U))
-    return found_rec, key, found_size, single
+    values = np.frombuffer(b"".join(lens), np.int32).astype(np.int64)
+    first = np.zeros(len(word) + 1, np.int64)  # words that begin a value, before each word
+    first[(np.cumsum(values) - values)[values > 0] + 1] = 1
+    first = np.cumsum(first)
+    fixed = (values_of(lens)[owner] < 2) | ((first[end] == first[begin]) & ends[end - 1])
+    return found_rec, key, found_size, single, order, (times == 0) & ~single & np.r_[fixed, np.zeros(len(alone), bool)][order]
+
+
+def _apart(prior: np.ndarray) -> np.ndarray:
+    """Of the entries with a place of their own in prior (FAR: none), one after the other, those that stand beside none taken before."""
+    taken, left = np.zeros(len(prior), bool), prior.copy()
+    while (left < FAR).any():
+        now = (left < FAR) & (left < np.minimum(np.r_[left[1:], FAR], np.r_[FAR, left[:-1]]))
+        taken |= now
+        left[now | np.r_[now[1:], False] | np.r_[False, now[:-1]]] = FAR
+    return taken
 
 
 def _of(batch, *columns: str):
@@ -165,9 +190,13 @@ def _table_rows(batches):
         )
 
 
-PROBES = pa.schema([("chunk", pa.int64()), ("salt", pa.int32()), ("b", pa.int64()), ("nb", pa.int32()), ("need", pa.int64())])
-#: A number of hits and a number of bytes in one long: the bytes stand below this bit.
-BYTES = 40
+PROBES = pa.schema(
+    [("chunk", pa.int64()), ("salt", pa.int32()), ("qkey", pa.int64()), ("b", pa.int64())]
+    + [(c, pa.int32()) for c in ("nb", "rank", "taken", "lost")] + [("single", pa.bool_())]
+)
+PROBE = "chunk long, salt int, qkey long, b long, nb int, rank int, taken int, lost int, single boolean"
+#: Behind every place of a chunk.
+FAR = np.iinfo(np.int64).max
 
 
 def _all_but_largest(group: np.ndarray, size: np.ndarray, lost: np.ndarray) -> np.ndarray:
@@ -178,34 +207,40 @@ def _all_but_largest(group: np.ndarray, size: np.ndarray, lost: np.ndarray) -> n
     return np.bincount(place[order], np.where(rank < lost[order], 0, size[order]))[place].astype(np.int64) if len(group) else size
 
 
+NODE = ("n", "qkey", "skey", "lens", "toks", "sizes")
+
+
 def _lookups(counts: np.ndarray, salts: np.ndarray):
-    """n, qkey, node, lens, toks, sizes -> the chunks of each state to look up, rarest first, once for each salt of the table."""
+    """n, qkey, skey, lens, toks, sizes -> the chunks of each state to look up, once for each salt of the table: their rank (rarest first), how many are
+    looked up and how many can be lost (-1: as many as edits are possible)."""
 
     def run(batches):
         for batch in bags.slices(batches, 0):
-            n, q, node, lens, toks, sizes = _of(batch, "n", "qkey", "node", "lens", "toks", "sizes")
-            rec, key, size, single = chunks_of(q, lens, toks, sizes)
-            group = rec * 2 + single
-            bucket = bags.bucket_of(key)
-            order = np.lexsort((key, counts[bucket], group))
+            n, q, b, lens, toks, sizes = _of(batch, *NODE)
+            rec, key, _, single, place, fixed = _placed(q, lens, toks, sizes)
+            bucket, edits = bags.bucket_of(key), most_edits(n.astype(np.int64))
+            order = np.lexsort((key, counts[bucket]))
+            prior = np.full(len(key) + len(n) + 1, FAR)  # with a gap between states; single words stand last and are none
+            seat = np.where(single, len(prior) - 1, place + rec)
+            prior[seat[order]] = np.where(fixed[order], np.arange(len(order)), FAR)
+            apart = _apart(prior)[seat]
+            sure = (np.bincount(rec[apart], minlength=len(n)) > edits)[rec]
+            group = np.where(sure, rec * 2, rec * 2 + single)
+            order = order[(apart | ~sure)[order]]
+            order = order[np.argsort(group[order], kind="stable")]
             start = np.searchsorted(group[order], group[order], "left")
-            rank = np.arange(len(group)) - start
+            rank = np.arange(len(order)) - start
             size_of = np.searchsorted(group[order], group[order], "right") - start
-            edits = most_edits(n[rec[order]].astype(np.int64))
-            lost = np.where(single[order], edits, destroyed(edits, values_of(lens)[rec[order]]))
-            keep = rank < lost + BEYOND
-            order, lost, taken = order[keep], lost[keep], np.minimum(size_of, lost + BEYOND)[keep]
-            # of those looked up so many, and so many bytes, are in each near-same state; a state with few chunks has one in others with more
-            hits = np.maximum(1, taken - lost)
-            least = _all_but_largest(group[order], size[order], lost)
-            keep = order
-            found = counts[bucket[keep]] > 0
-            keep, hits, least = keep[found], hits[found], least[found]
-            many = salts[bucket[keep]]
+            r = rec[order]
+            lost = np.where(sure[order] | single[order], edits[r], destroyed(edits[r], values_of(lens)[r]))
+            taken = np.minimum(size_of, lost + BEYOND)
+            keep = (rank < lost + BEYOND) & (counts[bucket[order]] > 0)
+            order, rank, taken, lost = order[keep], rank[keep], taken[keep], np.where(sure[order], -1, lost)[keep]
+            many = salts[bucket[order]]
             salt = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            keep, hits, least = (np.repeat(x, many) for x in (keep, hits, least))
-            r = rec[keep]
-            columns = (key[keep].view(np.int64), salt, node[r], n[r], (single[keep].astype(np.int64) << 61) | (hits << BYTES) | least)
+            order, rank, taken, lost = (np.repeat(x, many) for x in (order, rank, taken, lost))
+            r = rec[order]
+            columns = (key[order].view(np.int64), salt, q[r], b[r], n[r], rank, taken, lost, single[order])
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, PROBES)], schema=PROBES)
 
     return run
@@ -232,73 +267,74 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (q, a, b)], ["qkey", "a", "b"])
 
 
-NODE = ("n", "qkey", "skey", "lens", "toks", "sizes")
+TEXT = ("n", "lens", "toks", "sizes")
 
 
-def _nodes(records: DataFrame) -> DataFrame:
-    """The different states of each question."""
-    rest = [F.first(c).alias(c) for c in ("n", "lens", "toks", "sizes")]
-    return records.where("wkey is not null").groupBy("qkey", F.col("wkey").alias("skey")).agg(*rest).select(*NODE)
+def _nodes(wanted: DataFrame, new: DataFrame, old: DataFrame | None) -> DataFrame:
+    """The wanted states (qkey, wkey) of each question, with their wording: one shuffle of the new records, and of those old ones whose state is wanted."""
+    texts = new.where("wkey is not null").select("wkey", *TEXT)
+    if old is not None:
+        texts = texts.unionByName(old.join(wanted.select("wkey").distinct(), "wkey", "left_semi").select("wkey", *TEXT))
+    found = wanted.unionByName(texts, allowMissingColumns=True).groupBy("wkey").agg(
+        F.collect_set("qkey").alias("qkeys"), *[F.first(c, True).alias(c) for c in TEXT]  # of questions, not of records
+    )
+    return found.select("n", F.explode("qkeys").alias("qkey"), F.col("wkey").alias("skey"), "lens", "toks", "sizes")
 
 
 def _lent(takers: DataFrame, lenders: DataFrame) -> DataFrame:
-    """The records without a state of their own, with that of another record with the same hash."""
-    state = F.min_by(F.struct("wkey", "n", "lens", "toks", "sizes"), "wkey")
-    of = lenders.where("hash is not null and wkey is not null").groupBy("hash").agg(state.alias("x"))
-    takers = takers.where("wkey is null and hash is not null").drop("wkey", "n", "lens", "toks", "sizes")
-    return takers.join(of, "hash").select("*", "x.*").select(*lenders.columns)
+    """qkey, wkey of the records without a state of their own, with that of another record with the same hash."""
+    of = lenders.where("hash is not null and wkey is not null").groupBy("hash").agg(F.min("wkey").alias("wkey"))
+    return takers.where("wkey is null and hash is not null").select("qkey", "hash").join(of, "hash").select("qkey", "wkey")
 
 
-def _keep(path: str, records: DataFrame) -> None:
-    """Append records, and the chunks of those states that an accepted record has, be it by its hash alone."""
-    spark = records.sparkSession
-    try:
-        old = spark.read.parquet(f"{path}/records")
-    except Exception as e:  # the first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = spark.createDataFrame([], RECORD)
-    accepted = records.where("ok and wkey is not null")
-    both = old.unionByName(records)
-    lent = _lent(both.where("ok"), records).unionByName(_lent(records.where("ok"), old))
-    rows = written(_nodes(accepted.unionByName(lent)).mapInArrow(_table_rows, "chunk long, a long, na int, bytes int"), "p2-rows")
-    records.write.mode("append").parquet(f"{path}/records")
-    rows.write.mode("append").parquet(f"{path}/chunks")
+def _keep(path: str, records: DataFrame, old: DataFrame | None) -> None:
+    """Append the chunks of those states that an accepted record has, be it by its hash alone."""
+    wanted = records.where("ok and wkey is not null").select("qkey", "wkey").unionByName(_lent(records.where("ok"), records))
+    if old is not None:
+        wanted = wanted.unionByName(_lent(old.where("ok"), records)).unionByName(_lent(records.where("ok"), old))
+    rows = _nodes(wanted, records, old).mapInArrow(_table_rows, "chunk long, a long, na int, bytes int")
+    append_to(rows, f"{path}/chunks")
 
 
-def _lookup(path: str, new: DataFrame, known_to_all: DataFrame) -> DataFrame:
-    """(earlier_id, later_id) of records against the kept history: only the chunks of the new ones are looked up."""
+def _lookup(path: str, new: DataFrame, before_new: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(earlier_id, later_id) of records against the kept history: only the chunks of the new ones are looked up. A part without pairs
+    met twice, also the other way round, and the rest. before_new: the kept records, if the new ones aren't among them."""
     spark = new.sparkSession
     old, kept = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/chunks")
-    known = known_to_all.where("hash is not null and wkey is not null").groupBy("hash").agg(F.min("wkey").alias("known"))
+    both = new if before_new is None else before_new.unionByName(new)
+    known = both.where("hash is not null and wkey is not null").groupBy("hash").agg(F.min("wkey").alias("known"))
     keyed = lambda r: r.join(known, "hash", "left").select(
         "id", "batch_no", "ok", "qkey", F.coalesce("known", "wkey", F.xxhash64("hash")).alias("skey")
     ).distinct()
-    before = written(
-        keyed(old.where("ok")).select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba")), "p2-before"
-    )
-    after = written(keyed(new).select("qkey", F.col("skey").alias("b"), F.col("id").alias("later_id"), F.col("batch_no").alias("bb")), "p2-after")
-    same = before.join(after.withColumnRenamed("b", "a"), ["qkey", "a"]).where("ba < bb").select("earlier_id", "later_id")
+    # an id that stands once on a side and once at most on the other is in each pair once
+    sides = keyed(old.where("ok")).withColumn("side", F.lit(1)).unionByName(keyed(new).withColumn("side", F.lit(2)))
+    often = sides.groupBy("id").agg(*[F.expr(f"count_if(side = {k}) > 1 as {x}") for k, x in ((1, "x"), (2, "y"))]).where("x or y")
+    sides = written(sides.join(often.select("id", F.lit(True).alias("often")), "id", "left"), "p2-sides")
+    often = F.coalesce("often", F.lit(False))
+    before = sides.where("side = 1").select("qkey", F.col("skey").alias("a"), F.col("id").alias("earlier_id"), F.col("batch_no").alias("ba"), often.alias("oa"))
+    after = sides.where("side = 2").select("qkey", F.col("skey").alias("b"), F.col("id").alias("later_id"), F.col("batch_no").alias("bb"), often.alias("ob"))
+    same = before.join(after.withColumnRenamed("b", "a"), ["qkey", "a"]).where("ba < bb").select("earlier_id", "later_id", F.expr("oa or ob").alias("often"))
     # how often the chunks of the table are met, in buckets: BUCKETS numbers at most
-    got = kept.groupBy(F.col("chunk").bitwiseAND(bags.BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("rows")).toArrow()
+    with shuffles_dropped(spark):
+        got = kept.groupBy(F.col("chunk").bitwiseAND(bags.BUCKETS - 1).alias("bucket")).agg(F.count("*").alias("rows")).toArrow()
     counts = np.zeros(bags.BUCKETS, np.int64)
     counts[got.column("bucket").to_numpy()] = got.column("rows").to_numpy()
     hot = (counts > SALTED) & (counts * HOT >= counts.sum())  # at most HOT buckets
     salts = np.where(hot, -(-counts // SALTED), 1)
-    nodes = written(_nodes(new.unionByName(_lent(new, old.unionByName(new)))).withColumn("node", F.xxhash64("qkey", "skey")), "p2-nodes")
-    probes = nodes.mapInArrow(_lookups(counts, salts), "chunk long, salt int, b long, nb int, need long")
+    wanted = new.where("wkey is not null").select("qkey", "wkey").unionByName(_lent(new, both))
+    nodes = written(_nodes(wanted, new, before_new), "p2-nodes")
+    probes = nodes.mapInArrow(_lookups(counts, salts), PROBE)
     at = np.flatnonzero(hot).tolist()
     salt = F.lit(0)
     if at:
         of = F.create_map(*[F.lit(x) for b in at for x in (b, int(salts[b]))])
         salt = F.pmod(F.xxhash64("a"), F.coalesce(of[F.col("chunk").bitwiseAND(bags.BUCKETS - 1).cast("int")], F.lit(1))).cast("int")
-    hits = probes.join(kept.withColumn("salt", salt), ["chunk", "salt"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
-    # hits and bytes are summed in one number, and what is needed of both is part of the key, so that rows are short
-    met = hits.groupBy("a", "b", "need").agg(F.sum(F.col("bytes") + F.lit(1 << BYTES)).alias("met"))
-    low = F.lit((1 << BYTES) - 1)
-    count = F.shiftright(F.col("need"), BYTES).bitwiseAND((1 << (61 - BYTES)) - 1)
-    enough = (F.shiftright(F.col("met"), BYTES) >= count) & (F.col("met").bitwiseAND(low) >= F.col("need").bitwiseAND(low))
-    pairs = met.where(enough).select("a", F.col("b").alias("node")).distinct().join(nodes.select("node", "qkey", F.col("skey").alias("b")), "node")
+    hits = probes.join(kept.select("chunk", "a", "na", salt.alias("salt")), ["chunk", "salt"]).where("a <> b and 8 * abs(na - nb) <= greatest(na, nb)")
+    # with both lengths fewer edits are possible, so fewer chunks are needed
+    hits = hits.withColumn("lost", F.expr("if(lost < 0, int(greatest(na, nb) div 8), lost)")).where(F.col("rank") < F.col("lost") + BEYOND)
+    need = F.greatest(F.lit(1), F.least("taken", F.col("lost") + BEYOND) - F.col("lost"))
+    met = hits.groupBy("qkey", "a", "b", (need * 2 + F.col("single").cast("int")).alias("need")).agg(F.count("*").alias("met"))
+    pairs = met.where("met >= need div 2").select("qkey", "a", "b").distinct()
     # only pairs of which the accepted one may come first
     first, last = before.groupBy("qkey", "a").agg(F.min("ba").alias("first")), after.groupBy("qkey", "b").agg(F.max("bb").alias("last"))
     pairs = written(pairs.join(first, ["qkey", "a"]).join(last, ["qkey", "b"]).where("first < last").select("qkey", "a", "b"), "p2-pairs")
@@ -309,33 +345,54 @@ def _lookup(path: str, new: DataFrame, known_to_all: DataFrame) -> DataFrame:
     near = pairs.join(texts, "a").join(late, ["qkey", "b"]).select(
         "qkey", "a", "b", "la", "ta", "za", "lb", "tb", "zb"
     ).mapInArrow(_compare, "qkey long, a long, b long")
-    other = near.join(before, ["qkey", "a"]).join(after, ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id")
-    return same.unionByName(other).where("earlier_id <> later_id").distinct()
+    other = near.join(before, ["qkey", "a"]).join(after, ["qkey", "b"]).where("ba < bb").select("earlier_id", "later_id", F.expr("oa or ob").alias("often"))
+    found = same.unionByName(other).where("earlier_id <> later_id")
+    return found.where("not often").drop("often"), found.where("often").drop("often")
+
+
+def _both(parts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return parts[0].unionByName(parts[1].distinct())
 
 
 def append(path: str, batch: DataFrame) -> None:
     """Add the records of a batch to the kept history, and the chunks of those accepted."""
-    _keep(path, written(read_records(batch), "p2-batch"))
+    spark, records = batch.sparkSession, written(read_records(batch), "p2-batch")
+    try:
+        old = spark.read.parquet(f"{path}/records")
+    except Exception as e:  # the first batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    _keep(path, records, old)
+    append_to(records, f"{path}/records")
 
 
 def against(path: str, batch: DataFrame) -> DataFrame:
     """(earlier_id, later_id) of a new batch against the kept history, whose texts are read only where chunks were met."""
     new = written(read_records(batch), "p2-batch")
     old = batch.sparkSession.read.parquet(f"{path}/records")
-    return _lookup(path, new, old.select("hash", "wkey").unionByName(new.select("hash", "wkey")))
+    return _both(_lookup(path, new, old))
 
 
-def repeats(feedback: DataFrame) -> DataFrame:
-    """(earlier_id, later_id): the later record repeats, exactly or nearly, a record of an earlier batch that was accepted.
+def _all_batches(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All batches are appended to a history of their own and looked up in it."""
+    spark = feedback.sparkSession
+    path = fresh(spark, "p2-history")
+    append_to(read_records(feedback), f"{path}/records")
+    records = spark.read.schema(RECORD).parquet(f"{path}/records")
+    _keep(path, records, None)
+    found = _lookup(path, records, None)
+    drop(spark, f"{path}/chunks")  # the pairs of states are written
+    return found
+
 
-    All batches are appended to a history of their own and looked up in it."""
-    path = fresh(feedback.sparkSession, "p2-history")
-    records = written(read_records(feedback), "p2-records")
-    _keep(path, records)
-    return _lookup(path, records, records)
+def repeats(feedback: DataFrame) -> DataFrame:
+    """(earlier_id, later_id): the later record repeats, exactly or nearly, a record of an earlier batch that was accepted."""
+    return _both(_all_batches(feedback))
 
 
 def repeated_feedback(feedback: DataFrame) -> DataFrame:
     """The pairs with the smaller id first: id_a, id_b."""
-    pairs = repeats(feedback)
-    return pairs.select(F.least("earlier_id", "later_id").alias("id_a"), F.greatest("earlier_id", "later_id").alias("id_b")).distinct()
+    ids = lambda d: d.select(F.least("earlier_id", "later_id").alias("id_a"), F.greatest("earlier_id", "later_id").alias("id_b"))
+    once, often = _all_batches(feedback)
+    return ids(once).unionByName(ids(often).distinct())

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +47,45 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete one of the tables before the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def setting(spark: SparkSession, **conf: str):
+    """Settings of the session for the jobs that run within; names with _ for dots."""
+    names = {k: k.replace("_", ".") for k in conf}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    for k, n in names.items():
+        spark.conf.set(n, conf[k])
+    try:
+        yield
+    finally:
+        for k, n in names.items():
+            spark.conf.unset(n) if before[k] is None else spark.conf.set(n, before[k])
+
+
+def shuffles_dropped(spark: SparkSession):
+    """What the jobs within shuffle is deleted with their end, not when the driver happens to collect its garbage."""
+    return setting(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true")
+
+
+def _write(df: DataFrame, path: str, mode: str, partition_by: tuple[str, ...] = (), **options: str) -> None:
+    with shuffles_dropped(df.sparkSession):
+        writer = df.write.mode(mode).options(compression="zstd", **options)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def append_to(df: DataFrame, path: str) -> None:
+    """df appended to a kept table."""
+    _write(df, path, "append")
+
+
+def written(df: DataFrame, name: str, *partition_by: str, **options: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage is cut and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{fresh(spark, name)}/table"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    _write(df, path, "errorifexists", partition_by, **options)
     return spark.read.schema(df.schema).parquet(path)

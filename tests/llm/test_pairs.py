@@ -1,12 +1,14 @@
 """Near-sameness, cross-split overlaps, repeated feedback and leaks against brute force."""
 
 import json
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from plumbline.llm import history, leaks, overlap, wording
+from plumbline.llm import history, leaks, overlap, store, wording
 
 
 def voc(rng, n=4000):
@@ -486,3 +488,46 @@ def test_repeats_with_values_in_other_places_are_whole(spark):
     want = repeated(old, new)
     got = {tuple(r) for r in history.repeats(spark.createDataFrame(in_two_batches(old, new), FEEDBACK)).collect()}
     assert got == want and len(want) > 70
+
+
+def test_looked_up_chunks_stand_apart():
+    """An edit destroys one of the chunks that are looked up at most, another order of values none, so some 2 more than edits are enough."""
+    rng = random.Random(36)
+    v, sure = voc(rng, 300), 0
+    for k in range(300):
+        values = [rng.choices(v, k=rng.randint(20, 60)) for _ in range(rng.randint(1, 4))]
+        n = sum(map(len, values))
+        edits = rng.randint(0, n // 8)
+        other = [list(x) for x in values]
+        for _ in range(edits):
+            x = rng.choice([x for x in other if len(x) > 1])
+            at = rng.randrange(len(x))
+            x[at : at + rng.choice([0, 1])] = rng.choice([[], [rng.choice(v)]])
+        if k % 2:
+            rng.shuffle(other)
+        batches = []
+        for x in (values, other):
+            lens, toks = np.array(list(map(len, x)), np.int32).tobytes(), (wording.hashes(sum(x, [])) >> 31).astype(np.int32).tobytes()
+            columns = [pa.array([y]) for y in (sum(map(len, x)), 0, 0, lens, toks, bytes(len(w) for p in x for w in p))]
+            batches.append(pa.RecordBatch.from_arrays(columns, ["n", "qkey", "skey", "lens", "toks", "sizes"]))
+        ones = np.ones(history.bags.BUCKETS, np.int64)
+        found = pa.Table.from_batches(history._lookups(ones, ones)(iter(batches[:1])))
+        there = set(pa.Table.from_batches(history._table_rows(iter(batches[1:])))["chunk"].to_pylist())
+        got = found["chunk"].to_pylist()
+        if found["lost"][0].as_py() < 0:  # else it has too few that stand apart
+            sure += 1
+            assert n // 7 < len(got) <= n // 7 + history.BEYOND and sum(x not in there for x in got) <= edits
+    assert sure > 250
+
+
+def test_repeated_feedback_has_each_pair_once_without_what_was_shuffled(spark, tmp_path):
+    """Whole rows repeated and an id in two batches; the chunks of an own history are gone once the pairs of states are known."""
+    text = " ".join(random.Random(37).choices(voc(random.Random(38)), k=40))
+    q = ("noul", "Is it so?", None, None)
+    rows = [("a", 1, ("confirmed",), q, text, None)] * 2 + [("b", 2, ("confirmed",), q, text + " x", None), ("b", 3, None, q, text, None), ("a", 4, None, q, text, None)]
+    df = spark.createDataFrame(rows, FEEDBACK)
+    before = set(store._tables)
+    assert [tuple(r) for r in history.repeated_feedback(df).collect()] == [("a", "b")]
+    own = {p.rpartition("/")[2].rpartition("-")[0]: p.removeprefix("file://") for p in set(store._tables) - before}
+    assert "p2-rows" not in own and os.listdir(own["p2-history"]) == ["records"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
