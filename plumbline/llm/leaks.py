@@ -2,7 +2,8 @@
 
 The index is stored and serves any number of item sets: each different training text is cut once into terms (the two
 words from a place on, in scripts without spaces three characters), and the postings (term, text, place) lie in runs sorted by term, written
-where the texts were read: nothing is shuffled, and no frequent term is ever gathered. A look into the index is a binary search in each run.
+where the texts were read: nothing is shuffled, and no frequent term is ever gathered. A look into the index is a binary search in each run. A run
+is cut into short rows, so what is held at once depends on no table's size.
 
 The test items are few and fixed; their size is checked. One look into the index counts the postings of all their terms. Of every window that
 must be found (RUN words, RUN_UNSPACED characters) the three rarest terms are anchors, and of every item as many of its
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sentences, wording
-from .store import written
+from .store import setting, written
 
 RUN, RUN_UNSPACED, SHARE, STOCK = 16, 30, 8, 10
 #: Test items are held by every worker; more bytes of text than this are refused.
 MOST_BYTES = 256 << 20
-#: Postings of a run.
-POSTINGS = 200_000
+#: Postings of a run, and of one row of it (20 bytes each); bytes of what a worker, a writer or a reader of the index holds at once, about: rows
+#: are taken by the batch, whatever their size, and a file of the index has as many runs as its task had text.
+POSTINGS, PIECE, AT_ONCE = 200_000, 8192, 8 << 20
 
 
 def _unspaced(word: str) -> bool:
@@ -173,7 +175,10 @@ def _run(terms: list, texts: list, places: list) -> pa.RecordBatch:
     th = np.repeat(np.array(texts, np.int64), [len(x) for x in terms])
     at = np.concatenate(places) if places else np.zeros(0, np.int32)
     order = np.argsort(t, kind="stable")
-    return pa.RecordBatch.from_arrays([pa.array([x[order].tobytes()], pa.binary()) for x in (t, th, at)], ["terms", "texts", "places"])
+    cuts = range(0, len(t), PIECE)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[i : i + PIECE].tobytes() for i in cuts], pa.binary()) for x in (t[order], th[order], at[order])], ["terms", "texts", "places"]
+    )
 
 
 def _postings(batches):
@@ -206,7 +211,8 @@ def _postings(batches):
 
 def build_index(surfaces: DataFrame) -> DataFrame:
     """The stored index of surfaces with columns th (a hash of the text) and text."""
-    return written(surfaces.select("th", "text").mapInArrow(_postings, INDEX), "p5-index")
+    with setting(surfaces.sparkSession, spark_sql_execution_arrow_maxBytesPerBatch=str(AT_ONCE)):
+        return written(surfaces.select("th", "text").mapInArrow(_postings, INDEX), "p5-index", **{"parquet.block.size": str(2 * AT_ONCE)})
 
 
 def _found(wanted: np.ndarray, counts: bool):
@@ -215,18 +221,22 @@ def _found(wanted: np.ndarray, counts: bool):
     def look(batches):
         total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for terms, texts, places in zip(*(batch.column(c).to_pylist() for c in ("terms", "texts", "places"))):
-                t = np.frombuffer(terms, np.int64)
-                low, high = np.searchsorted(t, wanted, "left"), np.searchsorted(t, wanted, "right")
+            for terms, texts, places in zip(*(batch.column(c) for c in ("terms", "texts", "places"))):
+                t = np.frombuffer(terms.as_buffer(), np.int64)
+                if not len(t):
+                    continue
+                first, behind = np.searchsorted(wanted, t[0], "left"), np.searchsorted(wanted, t[-1], "right")
+                some = wanted[first:behind]
+                low, high = np.searchsorted(t, some, "left"), np.searchsorted(t, some, "right")
                 n = high - low
-                total += n
+                total[first:behind] += n
                 if counts or not n.sum():
                     continue
                 at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(t[at], pa.int64()), pa.array(np.frombuffer(texts, np.int64)[at], pa.int64()),
-                        pa.array(np.frombuffer(places, np.int32)[at], pa.int32())
+                        pa.array(t[at], pa.int64()), pa.array(np.frombuffer(texts.as_buffer(), np.int64)[at], pa.int64()),
+                        pa.array(np.frombuffer(places.as_buffer(), np.int32)[at], pa.int32())
                     ], ["term", "th", "pos"]
                 )
         if counts:
@@ -257,7 +267,8 @@ def search(index: DataFrame, items: dict[str, Item]) -> DataFrame:
     """(item_id, th): texts of the index that may carry wording of an item."""
     spark = index.sparkSession
     counted = index.mapInArrow(_found(all_terms(items), True), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r.term: r.n for r in counted.collect()}  # at most as many rows as the items have terms
+    with setting(spark, spark_sql_execution_arrow_maxBytesPerBatch=str(AT_ONCE)):
+        df = {r.term: r.n for r in counted.collect()}  # at most as many rows as the items have terms
     marks = anchors(items, df)
     names, types = ("term", "item_id", "ipos", "band", "need", "in_item"), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
     table = spark.createDataFrame(pa.table({n: pa.array([m[i] for m in marks], t) for i, (n, t) in enumerate(zip(names, types))}))
@@ -285,7 +296,8 @@ def leaked(items: DataFrame, surfaces: DataFrame, of: DataFrame | None = None) -
 
 def leaked_by(index: DataFrame, source: DataFrame, held: dict[str, Item], of: DataFrame | None = None) -> DataFrame:
     """The same with an index that is stored already; source: row_id, th, text."""
-    candidates = written(search(index, held), "p5-candidates")
+    with setting(index.sparkSession, spark_sql_execution_arrow_maxBytesPerBatch=str(AT_ONCE)):
+        candidates = written(search(index, held), "p5-candidates")
     rows = source.select("row_id", "th").join(candidates.select("th").distinct(), "th", "left_semi").distinct()
     if of is not None:
         rows = rows.join(of.select("row_id").distinct(), "row_id", "left_semi")

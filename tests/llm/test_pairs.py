@@ -531,3 +531,22 @@ def test_repeated_feedback_has_each_pair_once_without_what_was_shuffled(spark, t
     own = {p.rpartition("/")[2].rpartition("-")[0]: p.removeprefix("file://") for p in set(store._tables) - before}
     assert "p2-rows" not in own and os.listdir(own["p2-history"]) == ["records"]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_of_the_index_are_short(spark, monkeypatch):
+    """However many postings a task has, no row of the index and no batch of rows is large, and a term that lies on both sides of a cut is found whole."""
+    rng = random.Random(39)
+    v = voc(rng, 50)
+    rows = [(f"r-{i}", " ".join(rng.choices(v, k=300))) for i in range(200)]
+    source = spark.createDataFrame(rows, "row_id string, text string").selectExpr("row_id", "xxhash64(text) as th", "text").coalesce(1).cache()
+    index = leaks.build_index(source)
+    runs = [(len(r.terms), len(r.texts), len(r.places)) for r in index.collect()]
+    assert sum(a for a, _, _ in runs) == 8 * 200 * 299 and all(a == b == 2 * c <= 8 * leaks.PIECE for a, b, c in runs)
+    held = leaks.read_items(spark.createDataFrame([(f"i-{i}", rows[i][1]) for i in range(5)], "item_id string, state_str string"))
+    assert {tuple(x) for x in leaks.leaked_by(index, source, held).collect()} == {(f"i-{i}", f"r-{i}") for i in range(5)}
+    counts = lambda x: {tuple(r) for r in x.mapInArrow(leaks._found(leaks.all_terms(held), True), "term long, n long").groupBy("term").sum("n").collect()}
+    monkeypatch.setattr(leaks, "PIECE", 1 << 40)
+    assert counts(index) == counts(leaks.build_index(source))
+    with store.setting(spark, spark_sql_execution_arrow_maxBytesPerBatch=str(leaks.AT_ONCE)):
+        sizes = index.union(index).union(index).coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in bs), "n long")
+        assert max(r.n for r in sizes.collect()) < leaks.AT_ONCE + 20 * 8192 * 2
